@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .language_id import op7_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .packing import op6_best_fit_packing
+from .secret_scan import op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
 }
 
