@@ -32,58 +32,100 @@ def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class ChunkEncoder:
-    """Token ids of texts by a tokenizer that drops white space: each chunk between ASCII white space is encoded once while it is remembered."""
+#: Contractions, runs of other signs and single digits are words of their own, as the vocabulary's tokenizer splits.
+_SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|[^\s\x0b\p{L}\p{N}]+|\p{N})"
+#: Any character outside Latin script, common signs and plain white space: such texts go whole to the tokenizer.
+_RARE = r"[^\x00-\x1b\x20-\x{84}\x{86}-\x{9f}\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]"
 
-    def __init__(self, path: str, remember: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.tokenizer.encode_special_tokens = True
+class WordEncoder:
+    """Token ids of texts by a lower-casing tokenizer with word ends (`</w>`) that drops white space.
+
+    Texts are split into chunks at white space and chunks into words, each different
+    one once per batch; each different word is encoded once while it is remembered.
+    A word ends in exactly one word-end token, so many words are encoded in one call.
+    """
+
+    def __init__(self, path: str, remember: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.words, self.remember = Tokenizer.from_file(path), Tokenizer.from_file(path), remember
+        self.whole.encode_special_tokens = self.words.encode_special_tokens = True
+        self.words.normalizer = None  # words come normalised and split
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {"": 0}
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
-
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.at[chunk] = len(self.starts)
-                self.starts.append(self.used)
-                self.lengths.append(len(ids))
-                self.used += len(ids)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text's; null is empty."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = pc.list_flatten(split).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.at) + len(words) > self.remember:
+        self.starts, self.lengths = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.at)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lengths[n : n + len(words)] = lengths
+        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):  # a word that this tokenizer splits after all
+                each = [np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
+                self._keep(part, np.concatenate(each), np.array([len(x) for x in each]))
+            else:
+                self._keep(part, ids, np.diff(last, prepend=-1))
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = pc.list_flatten(chunks).dictionary_encode()
+        lowered = pc.utf8_lower(coded.dictionary)  # all of it is in NFC, or it were rare
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, _SPLIT, r" \1 "))
+        inner = pc.list_flatten(words).dictionary_encode()
+        names = inner.dictionary.to_pylist()
+        if len(self.at) + len(names) > self.remember:
             self.forget()
-        self._learn([w for w in words if w not in self.at])
-        index = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        codes = index[coded.indices.to_numpy()]
-        starts, lengths = np.array(self.starts, np.int64)[codes], np.array(self.lengths, np.int64)[codes]
-        per_text = np.bincount(np.asarray(pc.list_parent_indices(split)), lengths, minlength=len(texts)).astype(np.int64)
-        return self.ids[_expand(starts, lengths)], per_text
-
-
-_encoder: ChunkEncoder | None = None
-
-
-def _encoder_of(path: str) -> ChunkEncoder:
+        self._learn([w for w in names if w not in self.at])
+        index = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))[inner.indices.to_numpy()]
+        starts, lengths = self.starts[index], self.lengths[index]
+        chunk_ids = self.ids[_expand(starts, lengths)]
+        chunk_n = np.bincount(np.asarray(pc.list_parent_indices(words)), lengths, minlength=len(coded.dictionary)).astype(np.int64)
+        codes = coded.indices.to_numpy()
+        n = chunk_n[codes]
+        per_text = np.bincount(np.asarray(pc.list_parent_indices(chunks)), n, minlength=len(texts)).astype(np.int64)
+        return chunk_ids[_expand((np.cumsum(chunk_n) - chunk_n)[codes], n)], per_text
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        rare = pc.match_substring_regex(texts, _RARE)
+        ids, n = self._split(pc.if_else(rare, "", texts))
+        ends = np.cumsum(n)
+        out = [ids[b - k : b] for b, k in zip(ends.tolist(), n.tolist())]
+        for i in np.flatnonzero(rare.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+
+_encoder: WordEncoder | None = None
+
+
+def _encoder_of(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
     global _encoder
     if _encoder is None:
-        _encoder = ChunkEncoder(path)
+        _encoder = WordEncoder(path)
     return _encoder
 
 
@@ -94,13 +136,11 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder, map_id = _encoder_of(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for batch in text_slices(batches, 1):
-            ids, counts = encoder.encode(batch.column(1))
-            doc_ids, out, at = batch.column(0).to_pylist(), [[] for _ in range(7)], 0
-            for doc_id, n in zip(doc_ids, counts.tolist()):
-                own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                at += n
-                for piece, start in enumerate(range(0, n + 1, capacity)):
+        for batch in text_slices(batches, 1, 8 << 20):
+            out = [[] for _ in range(7)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                own = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for piece, start in enumerate(range(0, len(own), capacity)):
                     part = own[start : start + capacity]
                     for column, x in zip(out, (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), map_id, int(seen[len(part)]))):
                         column.append(x)
