@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op7_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
 }
 
