@@ -8,9 +8,13 @@ from .language_id import op7_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op6_best_fit_packing
 from .secret_scan import op1_secret_scan
+from .topk_search import OP2_SQL, op2_topk_search
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_topk_search": op2_topk_search,
+    "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
@@ -18,4 +22,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_topk_search": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
