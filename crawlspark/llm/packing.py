@@ -46,7 +46,7 @@ class WordEncoder:
     A word ends in exactly one word-end token, so many words are encoded in one call.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -136,7 +136,7 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder, map_id = _encoder_of(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for batch in text_slices(batches, 1, 8 << 20):
+        for batch in text_slices(batches, 1):
             out = [[] for _ in range(7)]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 own = np.append(ids, np.uint32(end_id)).astype("<u4")
