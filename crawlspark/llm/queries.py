@@ -6,6 +6,7 @@ from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op7_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .ngram_join import op4_ngram_jaccard
 from .packing import op6_best_fit_packing
 from .secret_scan import op1_secret_scan
 from .topk_search import OP2_SQL, op2_topk_search
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
     "op3_warc": op3_warc,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
