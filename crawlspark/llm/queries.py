@@ -9,6 +9,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import op4_ngram_jaccard
 from .packing import op6_best_fit_packing
 from .secret_scan import op1_secret_scan
+from .suffix_dedup import op10_suffix_dedup
 from .topk_search import OP2_SQL, op2_topk_search
 from .warc import OP3_SQL, op3_warc
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {"op2_topk_search": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_line_dedup": OP9_SQL}
