@@ -8,8 +8,9 @@ classes meet at such hashes (those that other documents have, too). Then
 
 1. the least class at each hash is the pivot; the others are matched with it,
 2. links found make components,
-3. classes that share a hash but are in different components yet are matched with
-   each other. What is in one component already needs no further link.
+3. classes that share a hash but are in different components yet are a family, and its
+   classes are matched across components, block by block. What is in one component
+   already needs no further link.
 
 A match first compares parity sketches, whose Hamming distance is a lower bound of the
 sets' symmetric difference; pairs that pass bring their sets. The partners of a class
@@ -19,8 +20,8 @@ is cut as soon as what is left of a sequence cannot reach the overlap needed.
 
 Scale: what is broadcast is a bitmap of fixed size (hashes that two documents have) and
 at most `max_frequent` frequent hashes; both only choose the order. Copies collapse per
-task and per hash, large groups get a linear number of pivot pairs, partners are split
-into chunks. Texts are read again instead of keeping all sets.
+task and per hash, large groups get a linear number of pivot pairs, families are compared
+in pairs of bounded blocks, partners are split into chunks. Texts are read again instead of keeping all sets.
 
 Classes and n-grams are compared by 64-bit hashes of a keyed function.
 """
@@ -305,33 +306,63 @@ def _near(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int, block: int = 256):
-    """Pairs of different components at one hash that sketches do not tell apart; rows come sorted by token and n."""
+def _fold(k: np.ndarray) -> np.ndarray:
+    half = k.shape[1] // 2
+    return k[:, :half] ^ k[:, half:]
 
-    def pairs(rows):
-        out = []
-        sketches = [np.frombuffer(r[3], np.uint8) for r in rows]
-        for i, (_, a, na, _, ca) in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                _, b, nb, _, cb = rows[j]
-                if num * nb > den * na:
-                    break  # sizes ascend
-                if ca != cb and sketch_distance(sketches[i], sketches[j]) * (num + den) <= (na + nb) * (den - num):
-                    out.append((min(a, b), max(a, b)))
-        return out
+
+def near_pairs(sig, n, sketches: list[bytes], root, side, num: int, den: int, most_bytes: int = 16 << 20) -> list[tuple[int, int]]:
+    """Pairs of different roots that sketches do not tell apart; with two sides, pairs across them only."""
+    by_size: dict[int, list[int]] = {}
+    for i, k in enumerate(sketches):
+        by_size.setdefault(len(k), []).append(i)
+    two_sided = side.min() != side.max()
+    out = []
+    for size, members in by_size.items():
+        a = np.array(members)
+        ka = np.frombuffer(b"".join(sketches[i] for i in members), np.uint64).reshape(len(a), -1)
+        for other in (size, 2 * size):  # sizes of similar sets differ less than twofold
+            b = np.array(by_size.get(other, ()), int)
+            if not len(b):
+                continue
+            kb = ka if other == size else _fold(np.frombuffer(b"".join(sketches[i] for i in b), np.uint64).reshape(len(b), -1))
+            rows = max(1, most_bytes // (len(b) * size))
+            for lo in range(0, len(a), rows):
+                x = a[lo : lo + rows]
+                na, nb = n[x][:, None], n[b][None, :]
+                may = (root[x][:, None] != root[b][None, :]) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+                if two_sided:
+                    may &= side[x][:, None] != side[b][None, :]
+                if other == size:
+                    may &= x[:, None] < b[None, :]
+                if not may.any():
+                    continue
+                distance = np.bitwise_count(ka[lo : lo + rows][:, None, :] ^ kb[None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(may & (distance * (num + den) <= (na + nb) * (den - num)))
+                out += zip(np.minimum(sig[x[i]], sig[b[j]]).tolist(), np.maximum(sig[x[i]], sig[b[j]]).tolist())
+    return out
+
+
+def _across(num: int, den: int):
+    """Pairs of a family's blocks; rows come sorted by family and pair of blocks."""
+
+    def solve(rows):
+        _, side, sig, n, k, root = zip(*rows)
+        return near_pairs(np.array(sig), np.array(n, np.int64), k, np.array(root), np.array(side), num, den)
 
     def run(batches):
-        token, rows = None, []
+        key, rows = None, []
         for batch in batches:
             found = []
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != token:
-                    found += pairs(rows)
-                    token, rows = r[0], []
+                if r[0] != key:
+                    if rows:
+                        found += solve(rows)
+                    key, rows = r[0], []
                 rows.append(r)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-        if found := pairs(rows):
+        if rows and (found := solve(rows)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return run
@@ -377,7 +408,8 @@ def _linked(num: int, den: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, work: Workspace, broadcast_docs: int, chunk: int):
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, work: Workspace, broadcast_docs: int, chunk: int, block: int = 1024):
+        self.block = block
         self.docs, self.n, self.num, self.den, self.work, self.broadcast_docs, self.chunk = docs, n, num, den, work, broadcast_docs, chunk
         self.parts = shuffle_parts(docs.sparkSession)
 
@@ -424,9 +456,15 @@ class _Join:
         roots = work.save(connected_components(links, work, "cc1"), "roots1")
         placed = met.select("token", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
         placed = work.save(placed, "placed")
-        mixed = work.save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t")), "mixed")
-        rows = placed.join(mixed, F.col("token") == F.col("t"), "left_semi").join(k, F.col("sig") == F.col("x")).select("token", "sig", "n", "k", "root")
-        across = rows.repartition(self.parts, "token").sortWithinPartitions("token", "n").mapInArrow(_across(num, den), "a long, b long").distinct()
+        mixed = work.save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo"), "mixed")
+        # a family: the classes that share a hash with different components, whose least is lo
+        family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "n", "root").distinct(), "family")
+        sizes = work.save(family.groupBy(F.col("lo").alias("f")).agg(F.ceil(F.count("*") / self.block).alias("blocks")), "family-sizes")
+        rows = family.join(sizes, F.col("lo") == F.col("f")).join(k, F.col("sig") == F.col("x")).withColumn("side", F.pmod(F.xxhash64("sig"), "blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select(F.struct("lo", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).alias("pair"), "side", "sig", "n", "k", "root")
+        rows = rows.repartition(self.parts, "pair").sortWithinPartitions("pair").select(F.to_json("pair").alias("pair"), "side", "sig", "n", "k", "root")
+        across = rows.mapInArrow(_across(num, den), "a long, b long").distinct()
         more = self.verified(across, "across")
         roots = work.save(connected_components(links.unionByName(more), work, "cc2"), "roots2")
         return docs.select("doc_id", "n", "sig"), roots
