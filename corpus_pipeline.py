@@ -26,27 +26,31 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     With no labelled text to learn from, only documents without a letter go.
     """
-    columns = docs.columns
     try:
         model = fit(docs)
     except ValueError:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify(docs, model).where(~F.col("rejected")).withColumn("lang", F.col("lang_pred"))
-    return found.select(*columns)
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = identify(docs, model, prefix).where(~F.col(f"{prefix}rejected")).withColumn("lang", F.col(f"{prefix}lang_pred"))
+    return found.select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (A-Z and a-z alike): the one with the largest doc_id."""
     kept = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    one = keyed.join(kept, (F.col("_id") == F.col("kept_id")) & (F.col("_sha") == F.col("kept_sha")), "left_semi")
-    return one.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    # the row is one column, so that no name of docs can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256).alias("sha"))
+    one = keyed.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return one.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingles with a Jaccard of 0.8 or more: the one with the least doc_id."""
     kept = similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,7 @@ def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_
 
     Raises ValueError if nothing is left to learn from.
     """
+    train = train.select("doc_id", "text", "lang")
     rows = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
     ids = [r[0] for r in ranked.orderBy("n", "h", "doc_id").limit(max_sample).select("doc_id").collect()]
@@ -154,22 +155,24 @@ def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_
     return Model(langs, np.concatenate(centers).astype(np.float32), idf, np.array(limits), dims)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (cosine) and rejected: all rows and columns of docs stay, clashing ones are replaced.
+    prefix goes before the names of the new columns.
 
     Null text and texts without a letter are und, score 0, rejected.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    new = [prefix + n for n in ("lang_pred", "score", "rejected")]
+    docs = docs.drop(*new)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in text_slices(batches, at, 1 << 20):
             langs, score, rejected = model.predict(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *new])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType(docs.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType(docs.schema.fields + [T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.DoubleType(), T.BooleanType()))])
     return docs.mapInArrow(run, schema)
 
 
