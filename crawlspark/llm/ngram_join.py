@@ -9,8 +9,9 @@ classes meet at such hashes (those that other documents have, too). Then
 1. the least class at each hash is the pivot; the others are matched with it,
 2. links found make components,
 3. classes that share a hash but are in different components yet are a family, and its
-   classes are matched across components, block by block. What is in one component
-   already needs no further link.
+   classes are matched across components, block by block: first each with its nearest
+   by sketch, then, with the components that gives, all. What is in one component already
+   needs no further link.
 
 A match first compares parity sketches, whose Hamming distance is a lower bound of the
 sets' symmetric difference; pairs that pass bring their sets. The partners of a class
@@ -311,13 +312,17 @@ def _fold(k: np.ndarray) -> np.ndarray:
     return k[:, :half] ^ k[:, half:]
 
 
-def near_pairs(sig, n, sketches: list[bytes], root, side, num: int, den: int, most_bytes: int = 16 << 20) -> list[tuple[int, int]]:
-    """Pairs of different roots that sketches do not tell apart; with two sides, pairs across them only."""
+def near_pairs(sig, n, sketches: list[bytes], root, side, num: int, den: int, closest: bool = False, most_bytes: int = 16 << 20) -> list[tuple[int, int]]:
+    """Pairs of different roots that sketches do not tell apart; with two sides, pairs across them only.
+
+    closest: only those in which one is the nearest of the other.
+    """
     by_size: dict[int, list[int]] = {}
     for i, k in enumerate(sketches):
         by_size.setdefault(len(k), []).append(i)
     two_sided = side.min() != side.max()
     out = []
+    nearest: dict[int, tuple[float, int]] = {}
     for size, members in by_size.items():
         a = np.array(members)
         ka = np.frombuffer(b"".join(sketches[i] for i in members), np.uint64).reshape(len(a), -1)
@@ -338,17 +343,28 @@ def near_pairs(sig, n, sketches: list[bytes], root, side, num: int, den: int, mo
                 if not may.any():
                     continue
                 distance = np.bitwise_count(ka[lo : lo + rows][:, None, :] ^ kb[None, :, :]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero(may & (distance * (num + den) <= (na + nb) * (den - num)))
+                ok = may & (distance * (num + den) <= (na + nb) * (den - num))
+                if closest:
+                    share = np.where(ok, distance / (na + nb), 2.0)
+                    for own, mates, axis in ((x, b, 1), (b, x, 0)):
+                        best, where = share.min(axis=axis), share.argmin(axis=axis)
+                        for t in np.flatnonzero(best < 2).tolist():
+                            got = (float(best[t]), int(mates[where[t]]))
+                            nearest[int(own[t])] = min(got, nearest.get(int(own[t]), got))
+                    continue
+                i, j = np.nonzero(ok)
                 out += zip(np.minimum(sig[x[i]], sig[b[j]]).tolist(), np.maximum(sig[x[i]], sig[b[j]]).tolist())
+    if closest:
+        out = list({(min(p), max(p)) for p in ((int(sig[i]), int(sig[j])) for i, (_, j) in nearest.items())})
     return out
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, closest: bool):
     """Pairs of a family's blocks; rows come sorted by family and pair of blocks."""
 
     def solve(rows):
         _, side, sig, n, k, root = zip(*rows)
-        return near_pairs(np.array(sig), np.array(n, np.int64), k, np.array(root), np.array(side), num, den)
+        return near_pairs(np.array(sig), np.array(n, np.int64), k, np.array(root), np.array(side), num, den, closest)
 
     def run(batches):
         key, rows = None, []
@@ -431,6 +447,21 @@ class _Join:
         rows = members.unionByName(probes).repartition(self.parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
         return work.save(rows.mapInArrow(_linked(self.num, self.den), "a long, b long"), f"{name}-links")
 
+    def _between(self, met: DataFrame, roots: DataFrame, k: DataFrame, step: str) -> DataFrame:
+        """Pairs of classes in different components that share a hash's family and that sketches do not tell apart."""
+        work = self.work
+        placed = met.select("token", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
+        placed = work.save(placed, f"placed-{step}")
+        mixed = work.save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo"), f"mixed-{step}")
+        # a family: the classes that share a hash with different components, whose least is lo
+        family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "n", "root").distinct(), f"family-{step}")
+        sizes = work.save(family.groupBy(F.col("lo").alias("f")).agg(F.ceil(F.count("*") / self.block).alias("blocks")), f"sizes-{step}")
+        rows = family.join(sizes, F.col("lo") == F.col("f")).join(k, F.col("sig") == F.col("x")).withColumn("side", F.pmod(F.xxhash64("sig"), "blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select(F.struct("lo", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).alias("pair"), "side", "sig", "n", "k", "root")
+        rows = rows.repartition(self.parts, "pair").sortWithinPartitions("pair").select(F.to_json("pair").alias("pair"), "side", "sig", "n", "k", "root")
+        return rows.mapInArrow(_across(self.num, self.den, step == "closest"), "a long, b long").distinct()
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """The documents (doc_id, n, sig) and the roots (node, root) of linked classes."""
         spark, work, n, num, den = self.docs.sparkSession, self.work, self.n, self.num, self.den
@@ -453,20 +484,11 @@ class _Join:
         stars = met.where((F.col("pivot") != F.col("sig")) & (den * F.least("n", "pivot_n") >= num * F.greatest("n", "pivot_n"))).select(F.col("pivot").alias("a"), F.col("sig").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")).distinct()
         stars = stars.join(k.withColumnRenamed("k", "ka"), F.col("a") == F.col("x")).drop("x").join(k.withColumnRenamed("k", "kb"), F.col("b") == F.col("x")).drop("x")
         links = self.verified(stars.mapInArrow(_near(num, den), "a long, b long"), "star")
-        roots = work.save(connected_components(links, work, "cc1"), "roots1")
-        placed = met.select("token", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
-        placed = work.save(placed, "placed")
-        mixed = work.save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo"), "mixed")
-        # a family: the classes that share a hash with different components, whose least is lo
-        family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "n", "root").distinct(), "family")
-        sizes = work.save(family.groupBy(F.col("lo").alias("f")).agg(F.ceil(F.count("*") / self.block).alias("blocks")), "family-sizes")
-        rows = family.join(sizes, F.col("lo") == F.col("f")).join(k, F.col("sig") == F.col("x")).withColumn("side", F.pmod(F.xxhash64("sig"), "blocks"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select(F.struct("lo", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).alias("pair"), "side", "sig", "n", "k", "root")
-        rows = rows.repartition(self.parts, "pair").sortWithinPartitions("pair").select(F.to_json("pair").alias("pair"), "side", "sig", "n", "k", "root")
-        across = rows.mapInArrow(_across(num, den), "a long, b long").distinct()
-        more = self.verified(across, "across")
-        roots = work.save(connected_components(links.unionByName(more), work, "cc2"), "roots2")
+        roots = work.save(connected_components(links, work, "cc0"), "roots0")
+        # nearest classes first, which joins most of a family; then all that is in different components still
+        for step in ("closest", "all"):
+            links = links.unionByName(self.verified(self._between(met, roots, k, step), step))
+            roots = work.save(connected_components(links, work, f"cc-{step}"), f"roots-{step}")
         return docs.select("doc_id", "n", "sig"), roots
 
 
