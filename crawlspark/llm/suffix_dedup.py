@@ -13,10 +13,12 @@ before the anchor occur twice. The intervals are the maximal repeats with all th
 occurrences, so no pairs are formed.
 
 Scale: a first pass counts anchor strings (8 bytes per 140 bytes of text) and keeps one
-bit for those that occur twice, in a bitmap of fixed size; only these bring their
-contexts. Equal contexts collapse per task. Contexts are compared as bytes, so a hash or
-bit in common costs work and never changes a result. Texts are shuffled once, at the end,
-to meet their spans. The different contexts of one anchor string are held by one task.
+bit for those that occur twice, in a bitmap of fixed size. A second sends 128-bit digests
+of their contexts: a context that occurs twice is a repeat as it is, and only the
+different contexts of an anchor string that has several are needed as bytes, one
+occurrence of each. A second bitmap tells a third pass which. A bit in common costs work
+and never changes a result. Texts are shuffled once, at the end, to meet their spans. The
+different contexts of one anchor string are held by one task.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, load, shuffle_parts, text_slices, to_bytes
 
 _BITS = 27
+_NULL_ID = -(2**63)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -170,41 +174,105 @@ def _flags(ranges: int):
     return run
 
 
-_CONTEXTS = "h long, at int, context binary, doc_ids array<long>, rows array<long>, starts array<long>"
+def _bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - _BITS)
+    return (bitmap[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _contexts(length: int, gram: int, flags, most: int = 16 << 20):
-    def emit(known):
-        h, at, context, docs, rows, starts = zip(*((v[0], v[1], c, v[2], v[3], v[4]) for c, v in known.items()))
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(context, pa.binary()), *(pa.array(x, longs) for x in (docs, rows, starts))], names=["h", "at", "context", "doc_ids", "rows", "starts"])
+def _place_hash(doc_ids: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    h = (doc_ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rows.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) + starts.view(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _found(batches, length: int, gram: int):
+    """The anchors of a task's documents by slice: (doc_ids, rows, starts in the document, first, last, anchor, hash, data)."""
+    for batch in text_slices(batches, 2, 2 << 20):
+        texts = to_bytes(batch.column(2))
+        doc, first, last, at, h, data = anchors(texts, length, gram)
+        ids, rows = (pa.compute.fill_null(batch.column(i), 0).to_numpy()[doc] for i in (0, 1))
+        begins = np.cumsum([0] + [len(x) for x in texts])[doc]
+        yield ids, rows, first - begins, first, last, at, h, data
+
+
+_OCCURRENCES = "h long, c1 long, c2 long, doc_id long, row long, start long, n long"
+
+
+def _occurrences(length: int, gram: int, flags):
+    """Where the contexts of anchor strings that occur twice are, and their digests."""
+
+    def run(batches):
+        bitmap = np.frombuffer(flags.value, np.uint8)
+        for ids, rows, starts, first, last, at, h, data in _found(batches, length, gram):
+            keep = np.flatnonzero(_bits(bitmap, h))
+            blake = hashlib.blake2b
+            digest = b"".join([blake(data[s:e], digest_size=16).digest() for s, e in zip(first[keep].tolist(), (last[keep] + length).tolist())])
+            c = np.frombuffer(digest, np.int64).reshape(-1, 2)
+            columns = (h[keep].view(np.int64), c[:, 0], c[:, 1], ids[keep], rows[keep], starts[keep], (last - first)[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["h", "c1", "c2", "doc_id", "row", "start", "n"])
+
+    return run
+
+
+def _judged(length: int):
+    """Rows sorted by (h, c1, c2): spans of contexts that occur twice, and one place of each context whose anchor has several (to = -1)."""
+
+    def emit(t):
+        h, c1, c2, doc_id, row, start, n = t
+        new_h = np.append(True, h[1:] != h[:-1])
+        new_c = new_h | np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
+        c_of, h_of = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
+        twice = np.bincount(c_of)[c_of] > 1
+        several = np.bincount(h_of[new_c])[h_of] > 1
+        needed = new_c & several
+        out = [np.concatenate([x[twice], y[needed]]) for x, y in ((doc_id, doc_id), (row, row), (start, start), (start + n + length, np.full(len(start), -1)))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "row", "from", "to"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                t = [np.concatenate(x) for x in zip(held, t)]
+            cut = int(np.searchsorted(t[0], t[0][-1])) if len(t[0]) else 0  # the last anchor may go on
+            if cut:
+                yield emit([x[:cut] for x in t])
+            held = [x[cut:] for x in t]
+        if held is not None and len(held[0]):
+            yield emit(held)
+
+    return run
+
+
+def _needed(ranges: int):
+    """Places by range of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            h = np.sort(_place_hash(*(batch.column(i).to_numpy() for i in range(3))))
+            cuts = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges))
+            rows = [(r, b"", h[a:b].tobytes()) for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)])) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["r", "once", "again"])
+
+    return run
+
+
+_CONTEXTS = "h long, at int, context binary, doc_id long, row long, start long"
+
+
+def _contexts(length: int, gram: int, flags):
+    """The bytes of the contexts at needed places."""
 
     def run(batches):
         bitmap = np.frombuffer(flags.value, np.uint8)
-        known: dict[bytes, tuple] = {}
-        held = 0
-        for batch in text_slices(batches, 2, 2 << 20):
-            texts = to_bytes(batch.column(2))
-            doc, first, last, at, h, data = anchors(texts, length, gram)
-            place = h >> np.uint64(64 - _BITS)
-            keep = np.flatnonzero(bitmap[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1)
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            begins = np.cumsum([0] + [len(x) for x in texts]).tolist()
-            for d, s, e, a, x in zip(doc[keep].tolist(), first[keep].tolist(), last[keep].tolist(), at[keep].tolist(), h[keep].view(np.int64).tolist()):
-                context = data[s : e + length].tobytes()
-                got = known.get(context)
-                if got is None:
-                    got = known[context] = (x, a - s, [], [], [])
-                    held += len(context)
-                got[2].append(ids[d])
-                got[3].append(rows[d])
-                got[4].append(s - begins[d])
-                held += 24
-            if held > most:
-                yield emit(known)
-                known, held = {}, 0
-        if known:
-            yield emit(known)
+        for ids, rows, starts, first, last, at, h, data in _found(batches, length, gram):
+            k = np.flatnonzero(_bits(bitmap, _place_hash(ids, rows, starts)))
+            for i in range(0, len(k), 4096):
+                part = k[i : i + 4096]
+                context = [data[s:e].tobytes() for s, e in zip(first[part].tolist(), (last[part] + length).tolist())]
+                columns = [pa.array(h[part].view(np.int64)), pa.array((at - first)[part].astype(np.int32)), pa.array(context, pa.binary()), *(pa.array(x[part]) for x in (ids, rows, starts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "at", "context", "doc_id", "row", "start"])
 
     return run
 
@@ -227,7 +295,7 @@ def _spans(length: int):
                     if group and (len(group) > 1 or len(next(iter(group.values()))[1]) > 1):
                         out += solve(group)
                     h, group = x, {}
-                group.setdefault(context, (at, []))[1].extend(zip(*where))
+                group.setdefault(context, (at, []))[1].append(tuple(where))
             if out:
                 yield _span_batch(out)
                 out = []
@@ -257,13 +325,22 @@ def _merged(ranges):
 def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, gram: int = 128, ranges: int = 64) -> DataFrame:
     """(doc_id, row, from, to): byte spans of docs (doc_id, row, text) whose every byte is in a window of `length` bytes that also starts elsewhere."""
     strings = docs.select("text").mapInArrow(_strings(length, gram, ranges), "r int, once binary, again binary")
-    got = strings.groupBy("r").applyInArrow(_flags(ranges), "r int, flags binary").collect()  # a bitmap of 16 MB at most
-    empty = bytes((1 << _BITS) // ranges // 8)
-    bitmap = {r: bytes(x) for r, x in got}
-    flags = docs.sparkSession.sparkContext.broadcast(b"".join(bitmap.get(r, empty) for r in range(ranges)))
-    contexts = docs.mapInArrow(_contexts(length, gram, flags), _CONTEXTS)
-    grouped = contexts.repartition(shuffle_parts(docs.sparkSession) * 2, "h").sortWithinPartitions("h")
-    return work.save(grouped.mapInArrow(_spans(length), "doc_id long, row long, from long, to long"), "spans")
+
+    def bitmap(rows: DataFrame):
+        """16 MB, whatever the input."""
+        got = dict(rows.groupBy("r").applyInArrow(_flags(ranges), "r int, flags binary").collect())
+        empty = bytes((1 << _BITS) // ranges // 8)
+        return docs.sparkSession.sparkContext.broadcast(b"".join(bytes(got.get(r, empty)) for r in range(ranges)))
+
+    flags = bitmap(strings)
+    parts = shuffle_parts(docs.sparkSession)
+    places = docs.mapInArrow(_occurrences(length, gram, flags), _OCCURRENCES)
+    judged = work.save(places.repartition(parts, "h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_judged(length), "doc_id long, row long, from long, to long"), "judged")
+    needed = judged.where("to < 0").select("doc_id", "row", "from").mapInArrow(_needed(ranges), "r int, once binary, again binary")
+    wanted = bitmap(needed)
+    contexts = docs.mapInArrow(_contexts(length, gram, wanted), _CONTEXTS).repartition(2 * parts, "h").sortWithinPartitions("h")
+    more = work.save(contexts.mapInArrow(_spans(length), "doc_id long, row long, from long, to long"), "spans")
+    return judged.where("to >= 0").unionByName(more)
 
 
 def _cut(kept_text: bool):
@@ -295,10 +372,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, kept_tex
     Other columns are dropped. gram must be a power of two and at most length.
     """
     work = Workspace(docs.sparkSession, "suffix-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     spans = repeated_spans(docs, work, length, gram)
     found = spans.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "text", "spans")
+    joined = docs.join(found, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left").select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_cut(kept_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text)
 
 
