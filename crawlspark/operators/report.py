@@ -15,8 +15,10 @@ _COUNTS = ("total", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "err
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    segs = U.segments(F.col("url"))
-    return pages.withColumn("language", U.language(segs)).withColumn("section", U.section(segs)).withColumn("status_key", X.status_key())
+    """pages with language, section and status_key; the segments are a column of their own, so that they are split once."""
+    split = pages.withColumn("_segments", U.segments(F.col("url")))
+    segs = F.col("_segments")
+    return split.withColumns({"language": U.language(segs), "section": U.section(segs), "status_key": X.status_key()}).drop("_segments")
 
 
 def _bucket_counts() -> list:
@@ -52,7 +54,8 @@ def status_counts(pages: DataFrame) -> DataFrame:
 
 def redirects(pages: DataFrame) -> DataFrame:
     """Redirect patterns with the pages of least id as their samples."""
-    moved = pages.where(X.in_class(3) & (F.col("redirect_to") != "")).withColumn("pattern", U.redirect_pattern(F.col("url"), F.col("redirect_to")))
+    moved = pages.where(X.in_class(3) & (F.col("redirect_to") != "")).select("crawl_id", "id", "url", "redirect_to")
+    moved = moved.withColumn("pattern", U.redirect_pattern(F.col("url"), F.col("redirect_to")))
     return moved.groupBy("crawl_id", "pattern").agg(F.count("*").alias("n"), F.min_by("url", "id").alias("sample_from"), F.min_by("redirect_to", "id").alias("sample_to"))
 
 

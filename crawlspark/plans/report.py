@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -15,36 +16,38 @@ from ..operators import report as R
 def build(crawl: dict, pages: DataFrame, links: DataFrame, seed: int = 0, now: datetime | None = None) -> dict:
     """The report of one crawl, whose pages and links are given. Every list is bounded but those by depth, status and language."""
     prepared = R.classify(pages).persist()
+    broken = prepared.where(R.X.is_broken())
+    rows = lambda df, *order: lambda: [r.asDict(recursive=True) for r in df.orderBy(*order).drop("crawl_id").collect()]
+    ranked = lambda df: rows(df, "rank")
+    parts = {
+        "summary": lambda: P.summary(prepared).first().asDict(),
+        "by_depth": rows(R.buckets(prepared, "depth"), F.col("key").cast("int")),
+        "by_status": rows(R.status_counts(prepared).withColumnRenamed("status_key", "status"), F.desc("n"), "status"),
+        "by_language": rows(R.buckets(prepared, "language"), F.desc("total"), "key"),
+        "by_section": ranked(R.section_buckets(prepared)),
+        "content_types": rows(P.content_types(prepared), "content_type"),
+        "redirects": rows(R.redirects(prepared).orderBy(F.desc("n"), "pattern").limit(R.REDIRECTS), F.desc("n"), "pattern"),
+        "errors": rows(R.errors(prepared).orderBy(F.desc("n"), "kind").limit(R.ERRORS), F.desc("n"), "kind"),
+        "top_broken": ranked(R.top_broken(prepared, links)),
+        "top_broken_scanned": lambda: min(R.SCANNED, broken.count()),
+        "duplicate_titles": rows(R.duplicate_titles(prepared).orderBy(F.desc("n"), "title").limit(R.TITLES), F.desc("n"), "title"),
+        "slowest": ranked(R.top_pages(prepared, "duration_ms")),
+        "largest": ranked(R.top_pages(prepared, "size")),
+        "samples": rows(R.samples(prepared, seed), "key", "rn"),
+    }
     try:
-        rows = lambda df: [r.asDict(recursive=True) for r in df.drop("crawl_id").collect()]
-        drop = lambda df, *c: rows(df.orderBy(*c))
-        s = P.summary(prepared).first().asDict()
-        samples: dict[str, list] = {}
-        for r in drop(R.samples(prepared, seed), "key", "rn"):
-            r.pop("rn")
-            samples.setdefault(r.pop("key"), []).append(r)
-        ranked = lambda df: [{k: v for k, v in r.items() if k != "rank"} for r in drop(df, "rank")]
-        types = {r["content_type"]: r["n"] for r in rows(P.content_types(prepared))}
-        return {
-            "generated_at": now or datetime.now(timezone.utc),
-            "crawl": crawl,
-            "summary": s,
-            "by_depth": drop(R.buckets(prepared, "depth"), F.col("key").cast("int")),
-            "by_status": drop(R.status_counts(prepared).withColumnRenamed("status_key", "status"), F.desc("n"), "status"),
-            "by_language": drop(R.buckets(prepared, "language"), F.desc("total"), "key"),
-            "by_section": ranked(R.section_buckets(prepared)),
-            "content_types": types,
-            "redirects": drop(R.redirects(prepared), F.desc("n"), "pattern")[: R.REDIRECTS],
-            "errors": drop(R.errors(prepared), F.desc("n"), "kind")[: R.ERRORS],
-            "top_broken": ranked(R.top_broken(prepared, links)),
-            "top_broken_scanned": min(R.SCANNED, prepared.where(R.X.is_broken()).count()),
-            "duplicate_titles": rows(R.duplicate_titles(prepared).orderBy(F.desc("n"), "title").limit(R.TITLES)),
-            "slowest": ranked(R.top_pages(prepared, "duration_ms")),
-            "largest": ranked(R.top_pages(prepared, "size")),
-            "samples": samples,
-        }
+        prepared.count()  # once, before the parts share it
+        with ThreadPoolExecutor(8) as pool:
+            got = dict(zip(parts, pool.map(lambda f: f(), parts.values())))
     finally:
         prepared.unpersist()
+    samples: dict[str, list] = {}
+    for r in got.pop("samples"):
+        samples.setdefault(r["key"], []).append({k: v for k, v in r.items() if k not in ("key", "rn")})
+    for name in ("by_section", "top_broken", "slowest", "largest"):
+        got[name] = [{k: v for k, v in r.items() if k != "rank"} for r in got[name]]
+    got["content_types"] = {r["content_type"]: r["n"] for r in got["content_types"]}
+    return {"generated_at": now or datetime.now(timezone.utc), "crawl": crawl, **got, "samples": samples}
 
 
 def to_json(report: dict) -> str:
