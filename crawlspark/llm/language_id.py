@@ -4,17 +4,21 @@ A text is its words' letters, lower-cased; its vector counts the 1- to 3-grams o
 bytes within words and their borders, hashed into `dims` features, weighted by
 inverse document frequency and scaled to length 1. Spherical k-means gives several
 centroids per language. A text gets the language of the nearest centroid by cosine;
-when even that is farther than any training text was from its own (times a margin),
-the text is rejected. The limit is 0.95 at least: one-word texts lie at up to 0.9, texts in
-another script at 0.98 and more.
+when even that is farther than texts of the language lie from centroids learned
+without them, the text is rejected. How far that is depends on how much a text says
+(one word lies at up to 0.9 in its own language, a page at 0.1), so the limit is learned
+a language and a power of two of different n-grams in the text, from whole texts and from
+stretches of 1 to 64 words of them. What one or two words leave undecided stays accepted.
 
 Training reads a bounded sample: `per_lang` texts a language by hash of the id, at
-most `max_sample` in all, as vectors. Prediction is one pass over all texts without
-a shuffle; the centroids are the only thing sent out (256 KB for four languages).
+most `max_sample` in all, as vectors and one stretch each. Prediction is one pass over all
+texts without a shuffle; the centroids are the only thing sent out (256 KB for four languages).
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +32,10 @@ from .common import load, text_slices
 
 DIMS = 4096
 UNKNOWN = "und"
+#: Limits are learned for 2^k to 2^(k+1) different n-grams, k below this.
+LEVELS = 13
+#: Words of the stretches that short texts' limits are learned from.
+STRETCHES = (1, 2, 4, 8, 16, 32, 64)
 
 
 def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -85,26 +93,83 @@ class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    limits: np.ndarray  # largest cosine distance of each centroid
+    limits: np.ndarray  # largest cosine distance of each centroid, a column for each level of different n-grams
     dims: int = DIMS
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """lang, score and rejected of each text."""
         v = vectors(texts, self.dims)
         none = ~v.any(axis=1)
+        at = levels(v)
         v = unit(v * self.idf)
         cosines = np.clip(v @ self.centroids.T, 0.0, 1.0)
         best = cosines.argmax(axis=1)
         score = cosines[np.arange(len(best)), best].astype(float)
         score[none] = 0.0
         langs = [UNKNOWN if x else self.langs[b] for b, x in zip(best, none)]
-        return langs, score, none | (1.0 - score > self.limits[best])
+        return langs, score, none | (1.0 - score > self.limits[best, at])
 
 
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def levels(v: np.ndarray) -> np.ndarray:
+    """Power of two of the different n-grams of each text."""
+    return np.minimum(np.log2(np.maximum(np.count_nonzero(v, axis=1), 1)).astype(int), LEVELS - 1)
+
+
+def stretch(text: str) -> str:
+    """Up to 64 whole words from the second third of a text."""
+    at = len(text) // 3 if len(text) > 2000 else 0
+    words = re.findall(r"[^\W\d_]+", text[at : at + 1500])
+    if at:
+        words = words[1:]
+    if at + 1500 < len(text):
+        words = words[:-1]
+    return " ".join(words[: STRETCHES[-1]])
+
+
+def learn_limits(v: np.ndarray, folds: np.ndarray, labels: np.ndarray, stretches: list[str], idf: np.ndarray, k: int, quantile: float, slack: float, largest: float) -> dict[str, np.ndarray]:
+    """Largest distance of each language at each level: of texts to centroids learned without their fold, the quantile and slack (a share of the way from there to 1) more.
+
+    A level with few texts takes all languages' distances or, where those are few too,
+    the limit of the level below it; nothing known is `largest`.
+    """
+    dims = len(idf)
+    seen = {}  # language: (levels, distances)
+    for lang in sorted(set(labels)):
+        own, fold = np.flatnonzero(labels == lang), folds[labels == lang]
+        found = []
+        for f in sorted(set(fold)):
+            if (fold == f).all():  # nothing to learn from without it
+                continue
+            c = _clustered(v[own[fold != f]], k)
+            out = own[fold == f]
+            found.append((levels(v[out]), 1.0 - (v[out] @ c.T).max(axis=1)))
+            cut = [stretches[i].split(" ") for i in out if stretches[i]]
+            pieces = [" ".join(w[:n]) for w in cut for n in STRETCHES if n <= len(w)]
+            for start in range(0, len(pieces), 256):
+                u = vectors(pa.array(pieces[start : start + 256]), dims)
+                u = u[u.any(axis=1)]
+                found.append((levels(u), 1.0 - (unit(u * idf) @ c.T).max(axis=1)))
+        seen[lang] = tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0))
+    everyone = tuple(np.concatenate(x) for x in zip(*seen.values()))
+    limits = {}
+    for lang in seen:
+        row = np.full(LEVELS, largest)
+        for level in range(LEVELS):
+            own, every = (d[at == level] for at, d in (seen[lang], everyone))
+            d = own if len(own) >= 30 else every
+            if len(d) >= 30:
+                q = float(np.quantile(d, quantile))
+                row[level] = min(largest, q + slack * (1.0 - q))
+            elif level:
+                row[level] = row[level - 1]
+        limits[lang] = row
+    return limits
+
+
 def _clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from the first vector and the farthest ones after it."""
     chosen = [0]
@@ -119,7 +184,7 @@ def _clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_sample: int = 8000, dims: int = DIMS, margin: float = 1.1, least_limit: float = 0.95) -> Model:
+def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_sample: int = 8000, dims: int = DIMS, quantile: float = 0.995, slack: float = 0.1, largest: float = 0.98) -> Model:
     """Fit on a bounded sample of train (doc_id, text, lang); rows with null lang, or text without letters, are not used.
 
     Raises ValueError if nothing is left to learn from.
@@ -132,26 +197,30 @@ def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_
     def encode(batches):
         for batch in text_slices(batches, 0, 1 << 20):
             v = vectors(batch.column(0), dims)
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
+            pieces = [stretch(x or "") for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(pieces, pa.string())], names=["lang", "v", "piece"])
 
     spark = train.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "chosen long"))  # max_sample rows at most
-    got = train.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi").where("lang is not null").select("text", "lang").mapInArrow(encode, "lang string, v binary").collect()
+    got = train.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi").where("lang is not null").select("text", "lang").mapInArrow(encode, "lang string, v binary, piece string").collect()
     if not got:
         raise ValueError("no labelled text to learn from")
-    got.sort(key=lambda r: (r[0], bytes(r[1])))
+    got.sort(key=lambda r: (r[0], bytes(r[1]), r[2]))
+    folds = np.array([zlib.crc32(r[1]) % 5 for r in got])  # equal texts are in one
+    pieces = [r[2] for r in got]
     v = np.stack([np.frombuffer(r[1], np.float32) for r in got])
     labels = np.array([r[0] for r in got])
+    del got
     idf = (np.log((1 + len(v)) / (1 + (v > 0).sum(axis=0))) + 1).astype(np.float32)
     v = unit(v * idf).astype(np.float32)
+    limit = learn_limits(v, folds, labels, pieces, idf, centroids_per_lang, quantile, slack, largest)
     langs, centers, limits = [], [], []
     for lang in sorted(set(labels)):
         own = v[labels == lang]
         c = _clustered(own, centroids_per_lang)
-        farthest = float(1.0 - (own @ c.T).max(axis=1).min())
         langs += [lang] * len(c)
         centers.append(c)
-        limits += [min(0.98, max(least_limit, margin * farthest))] * len(c)
+        limits += [limit[lang]] * len(c)
     return Model(langs, np.concatenate(centers).astype(np.float32), idf, np.array(limits), dims)
 
 
