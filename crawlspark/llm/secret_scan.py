@@ -37,6 +37,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Wider than ASSIGN: more names, more ways to say "is", any value without white space.
 _CREDENTIALS = ("passphrase", "passcode", "password", "passwd", "pwd", "secret", "token", "credentials", "credential", "bearer", "login", "pin code", "private key", "access key", "api key", "api_key", "apikey", "auth key")
 CONTEXT = re.compile(r"(?:" + "|".join(map(_either_case, _CREDENTIALS)) + r""")["']?(?:\s{0,3}(?:[:=]|->|=>)\s{0,3}|\s{1,3}(?:is|was)\s{1,3})["'`]?([^\s"'`<>]{6,})""")
+_VALUE = re.compile(r"""[^\s"'`<>]*""")
 _MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)"
 _MAY_CONTEXT = r"(?i)(pass|pwd|secret|token|credential|bearer|login|pin code|key)[a-z]*[\"']?\s*([:=>-]|is\s|was\s)"
 
@@ -100,6 +101,14 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def value_end(text: str, start: int, least: int) -> int:
+    """End of the whole value at start, least or later: up to white space or a quote, without punctuation after it unless quotes enclose it."""
+    end = max(least, _VALUE.match(text, start).end())
+    if start and text[start - 1] in "\"'`" and text[end : end + 1] == text[start - 1]:
+        return end
+    return max(least, start + len(text[start:end].rstrip(".,;:!?)]}")))
+
+
 def find_spans(text: str, may=(True, True, True, True), min_log10: float = 8.0) -> tuple[list[tuple[int, int, int]], float]:
     """All (start, kind's number, end) in order, and the highest guess cost of a value in credential context."""
     found, highest = [], 0.0
@@ -110,12 +119,14 @@ def find_spans(text: str, may=(True, True, True, True), min_log10: float = 8.0)
     if may[2]:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if may[0] or may[3]:
-        values = {m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 6} if may[0] else set()
+        values = {(m.start(2), value_end(text, m.start(2), m.end(2))) for m in ASSIGN.finditer(text) if len(m[2]) >= 6} if may[0] else set()
         if may[3]:
             for m in CONTEXT.finditer(text):
-                value = m[1].rstrip(".,;:!?)]}")
-                if len(value) >= 6 and not any(a < m.start(1) + len(value) and m.start(1) < b for a, b in values):
-                    values.add((m.start(1), m.start(1) + len(value)))
+                a, b = m.start(1), value_end(text, m.start(1), m.start(1))
+                over = {x for x in values if x[0] < b and a < x[1]}
+                if b - a >= 6 and all(b - a > d - c for c, d in over):
+                    values -= over
+                    values.add((a, b))
         for a, b in values:
             cost = guess_cost(text[a:b])
             highest = max(highest, cost)

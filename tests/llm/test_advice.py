@@ -2,7 +2,7 @@
 
 import random
 
-from crawlspark.llm import language_id
+from crawlspark.llm import language_id, secret_scan
 
 
 def test_language_id_rejects_what_was_not_learned(spark):
@@ -22,3 +22,19 @@ def test_language_id_rejects_what_was_not_learned(spark):
     held = [got[i] for i in range(0, 300, 5)]
     assert sum(x.rejected for x in held) <= 1
     assert all(x.lang_pred == data[x.doc_id][2] for x in held if len(x.text) > 60)
+
+
+def test_secret_scan_reads_whole_values():
+    for text, value in (
+        ('password = "hunter2024!Xy$9kQz"', "hunter2024!Xy$9kQz"),
+        ("password: changeme!R7$kq#Zw2", "changeme!R7$kq#Zw2"),
+        ("token:      abcdef1!R7$kq#Zw2, then", "abcdef1!R7$kq#Zw2"),
+        ("secret = 'Xy$9kQz!#w2?!' # old", "Xy$9kQz!#w2?!"),
+    ):
+        spans, _ = secret_scan.find_spans(text)
+        at = text.index(value)
+        assert (at, 3, at + len(value)) in spans
+        left = secret_scan.redact(text, spans)
+        assert "[SECRET]" in left and not any(value[k : k + 3] in left for k in range(len(value) - 2))
+    base = [x for x in secret_scan.find_spans('password = "hunter2024!Xy$9kQz"')[0] if x[1] < 3]
+    assert base == [(0, 0, 22)]
