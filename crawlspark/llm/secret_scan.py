@@ -39,7 +39,7 @@ _CREDENTIALS = ("passphrase", "passcode", "password", "passwd", "pwd", "secret",
 CONTEXT = re.compile(r"(?:" + "|".join(map(_either_case, _CREDENTIALS)) + r""")["']?(?:\s{0,3}(?:[:=]|->|=>)\s{0,3}|\s{1,3}(?:is|was)\s{1,3})["'`]?([^\s"'`<>]{6,})""")
 _VALUE = re.compile(r"""[^\s"'`<>]*""")
 _MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)"
-_MAY_CONTEXT = r"(?i)(pass|pwd|secret|token|credential|bearer|login|pin code|key)[a-z]*[\"']?\s*([:=>-]|is\s|was\s)"
+_MAY_CONTEXT = "(?i)(" + "|".join(_CREDENTIALS) + ")"  # the names alone: RE2 and Python differ in what is white space
 
 #: Words that people and sample files use as values, most common first.
 WORDS = (

@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from crawlspark.llm import language_id, secret_scan
 
 
@@ -38,3 +41,14 @@ def test_secret_scan_reads_whole_values():
         assert "[SECRET]" in left and not any(value[k : k + 3] in left for k in range(len(value) - 2))
     base = [x for x in secret_scan.find_spans('password = "hunter2024!Xy$9kQz"')[0] if x[1] < 3]
     assert base == [(0, 0, 22)]
+
+
+def test_secret_filter_accepts_what_context_finds(spark):
+    spaces = ["", " ", "\t", "\x0b", "\x1c", "\x85", " ", " ", " ", "　"]
+    texts = [f"{name}{a}{sign}{b}Xk9#mQ2$vLz" for name in secret_scan._CREDENTIALS for a in spaces for b in spaces for sign in (":", "=", "->", "=>", "is", "was")]
+    texts = [t for x in texts for t in (x, x.upper()) if secret_scan.CONTEXT.search(t)]
+    assert len(texts) > 5000
+    assert all(pc.match_substring_regex(pa.array(texts), secret_scan._MAY_CONTEXT).to_pylist())
+    docs = spark.createDataFrame([(1, "Password : Xk9#mQ2$vLz"), (2, "passphrase is Xk9#mQ2$vLz")], "doc_id long, text string")
+    assert [x.n_guess for x in secret_scan.secret_scan(docs).collect()] == [1, 1]
+    assert not any("Xk9" in x.text for x in secret_scan.redact_secrets(docs).collect())
