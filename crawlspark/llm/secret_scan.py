@@ -12,9 +12,12 @@ which texts the exact patterns read, and the dynamic programming sees values onl
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,7 +44,7 @@ _VALUE = re.compile(r"""[^\s"'`<>]*""")
 _MAY_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)"
 _MAY_CONTEXT = "(?i)(" + "|".join(_CREDENTIALS) + ")"  # the names alone: RE2 and Python differ in what is white space
 
-#: Words that people and sample files use as values, most common first.
+#: Words that people and sample files use as values, most common first; they go before those of ranks().
 WORDS = (
     "password secret admin welcome letmein changeme test example default token qwerty monkey dragon master login user"
     " root guest pass hello shadow sunshine princess football baseball iloveyou trustno superman batman starwars"
@@ -49,14 +52,39 @@ WORDS = (
     " secure private public key api auth sample dummy placeholder your my the this here none null true false value"
     " redacted hidden insert enter fill todo demo temp temporary local localhost dev prod staging"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("4@3$510!7+", "aaessioitt")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:(?:19|20)\d\d|\d\d)")
 _KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in _KEY_ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in _KEY_ROWS for a, b in zip(row, row[1:])}
 
 
+@cache
+def ranks() -> tuple[dict[str, int], int]:
+    """Rank of each word, and the length of the longest.
+
+    WORDS, and what is of three letters or more in two public vocabularies whose ids
+    go from frequent to rare: words and their parts of word_bpe_49k.json (English) and of
+    byte_bpe_multi_50k.tiktoken (many languages); the least id of both counts. 51,000 in all.
+    """
+    import public_tokenizers
+
+    found: dict[str, int] = {}
+
+    def add(word: str, rank: int) -> None:
+        word = word.lower()
+        if len(word) >= 3 and word.isalpha():
+            found[word] = min(rank + 1, found.get(word, rank + 1))
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        for token, rank in json.load(f)["model"]["vocab"].items():
+            add(token.removesuffix("</w>"), rank)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        for token, rank in map(bytes.split, f):
+            add(base64.b64decode(token).decode("utf-8", "replace").removeprefix(" "), int(rank))
+    found |= {w: i + 1 for i, w in enumerate(WORDS)}
+    return found, max(map(len, found))
+
+
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
 
@@ -71,6 +99,7 @@ def guess_cost(value: str) -> float:
     if len(low) != n:  # a character that lower-cases to two
         low = value
     leet = low.translate(_LEET)
+    rank_of, longest = ranks()
     best = [0.0] + [math.inf] * n
     join = math.log10(2)
     walk = [0] * (n + 1)  # end of the keyboard walk or sequence that starts here
@@ -79,10 +108,10 @@ def guess_cost(value: str) -> float:
     for i in range(n):
         at = best[i]
         best[i + 1] = min(best[i + 1], at + _brute(value[i]))
-        for k in range(3, min(_LONGEST, n - i) + 1):
+        for k in range(3, min(longest, n - i) + 1):
             plain, part = low[i : i + k], leet[i : i + k]
-            if rank := _RANK.get(plain) or _RANK.get(part):
-                cost = math.log10(rank + 1) + join * ((value[i : i + k] != plain) + (plain not in _RANK))
+            if rank := rank_of.get(plain) or rank_of.get(part):
+                cost = math.log10(rank + 1) + join * ((value[i : i + k] != plain) + (plain not in rank_of))
                 best[i + k] = min(best[i + k], at + cost + join)
         if m := _DATE.match(value, i):
             best[m.end()] = min(best[m.end()], at + math.log10(365 * 120 if m.end() - i > 4 else 120) + join)

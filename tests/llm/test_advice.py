@@ -52,3 +52,17 @@ def test_secret_filter_accepts_what_context_finds(spark):
     docs = spark.createDataFrame([(1, "Password : Xk9#mQ2$vLz"), (2, "passphrase is Xk9#mQ2$vLz")], "doc_id long, text string")
     assert [x.n_guess for x in secret_scan.secret_scan(docs).collect()] == [1, 1]
     assert not any("Xk9" in x.text for x in secret_scan.redact_secrets(docs).collect())
+
+
+def test_secret_scan_leaves_prose():
+    for text in (
+        "The password is required for every account, and the token is invalid after a week.",
+        "Her secret was patience; the login was different, the passcode is forgotten.",
+        "The private key is encrypted, the access key was compromised: the bearer is unavailable.",
+        "Le secret: patience. Token: invalide, login: impossible, credential: perdu; access key: nécessaire.",
+        "Login: falsch. Token: vergessen, secret: geheim, passphrase: unbekannt; access key: notwendig.",
+        "Login: importante. Token: siguiente, secret: incorrecta, password: completamente.",
+    ):
+        assert [x for x in secret_scan.find_spans(text)[0] if x[1] == 3] == [], text
+    for value in ("xkqzvbnmwe", "Xk9#mQ2$vLz", "q7Hf3kLp9", "kXwPqzLmRt"):
+        assert secret_scan.find_spans(f"the password is {value}")[0] == [(16, 3, 16 + len(value))]
