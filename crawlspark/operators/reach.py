@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.shared import Folder
 
 
-def reachable(pages: DataFrame, links: DataFrame, start_id: int, max_depth: int, follow_nofollow: bool = False) -> DataFrame:
-    """(url, depth) of what in-scope links reach from a page, each at its least depth.
+def first_starts(pages: DataFrame, links: DataFrame, n: int, follow_nofollow: bool = False) -> list[int]:
+    """The n least ids of pages with an in-scope link that may be followed."""
+    on = links.where("in_scope")
+    if not follow_nofollow:
+        on = on.where(~F.col("nofollow")).join(pages.where(~F.col("nofollow")).select(F.col("id").alias("from_page_id")), "from_page_id", "left_semi")
+    return [r[0] for r in on.select("from_page_id").distinct().orderBy("from_page_id").limit(n).collect()]
+
+
+def reachable(pages: DataFrame, links: DataFrame, start_id: int | list[int], max_depth: int, follow_nofollow: bool = False) -> DataFrame:
+    """(url, depth) of what in-scope links reach from a page, or from several, each at its least depth.
 
     Every round is written, so lineage stays short and lost executors cost one round.
     """
@@ -18,7 +26,7 @@ def reachable(pages: DataFrame, links: DataFrame, start_id: int, max_depth: int,
     if not follow_nofollow:
         on = on.where(~F.col("nofollow") & ~F.col("page_nofollow"))
     edges = work.save(on.select("src", F.col("to_url").alias("dst")).distinct(), "edges")
-    wave = work.save(pages.where(F.col("id") == start_id).select("url", F.lit(0).alias("depth")), "wave0")
+    wave = work.save(pages.where(F.col("id").isin(start_id)).select("url", F.lit(0).alias("depth")), "wave0")
     seen = wave
     for depth in range(1, max_depth + 1):
         found = edges.join(wave.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()

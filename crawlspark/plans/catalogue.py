@@ -399,6 +399,21 @@ def _(spark, d):
     return reachable(pages(spark, d), links(spark, d), 0, 4, follow_nofollow=True)
 
 
+def _whole_crawl(follow_nofollow: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..operators.reach import first_starts, reachable
+
+        p, on = pages(spark, sf_dir), links(spark, sf_dir)
+        return reachable(p, on, first_starts(p, on, 20, follow_nofollow), Config().max_depth, follow_nofollow)
+
+    return run
+
+
+#: To the default depth, from the first 20 pages with links to follow; tests hold them against a brute-force search.
+query("crawl_bfs_whole")(_whole_crawl(False))
+query("crawl_bfs_whole_follow_nofollow")(_whole_crawl(True))
+
+
 @query("stream_counters", f"SELECT crawl_id, {_COUNTS_SQL}, count(*) FILTER (via_nofollow) AS via_nofollow, max(depth) AS max_depth, CAST(sum(CASE WHEN status > 0 THEN duration_ms ELSE 0 END) AS BIGINT) AS duration_sum, count(*) FILTER (status > 0) AS duration_n FROM cp GROUP BY crawl_id")
 def _(spark, d):
     from ..streaming.ingest import streamed_counters
