@@ -47,7 +47,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingles with a Jaccard of 0.8 or more: the one with the least doc_id."""
+    """One document of each component of five-word shingles with a Jaccard of 0.8 or more: the one with the least doc_id.
+
+    One row, too, where ids are null (they rank first) or repeat.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows != ids:  # null or repeated ids: rows get own ones, in the order of id, then hash of the text
+        keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text").sort("id", F.sha2(F.coalesce("text", F.lit("")), 256))
+        keyed = Workspace(spark, "near-rows").save(keyed.select("row", F.monotonically_increasing_id().alias("id"), "text"), "keyed")
+        kept = similar_components(keyed.select(F.col("id").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+        return keyed.join(kept, F.col("id") == F.col("kept_id"), "left_semi").select("row.*")
     kept = similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
     return keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
