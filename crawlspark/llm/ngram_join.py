@@ -63,7 +63,7 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     offsets = (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
     grams = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for i in range(n):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(grams) + i]
     grams = _mix(grams)
     empty = pc.equal(pc.binary_length(pc.list_flatten(words)), 0).to_numpy(zero_copy_only=False)
     out = []
