@@ -7,15 +7,17 @@ of least rank, until no word has a pair left. An ordered aggregation of the toke
 bytes decodes.
 
 Scale: one pass without a shuffle. A task encodes only words that it does not remember;
-what it remembers is bounded by `remember` words. Words over `long_word` bytes, which
-would take as many steps of the recursion as they have bytes, are contracted with a heap.
+what it remembers is bounded by `remember` words, the latest used, and a query by
+`batch_bytes` or one word.
+Neighbouring bytes that no token holds together part a word into pieces, which the query
+contracts side by side, so a long word takes as many steps as its worst piece has
+different pairs to contract.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -29,78 +31,59 @@ from .common import load, text_slices
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RUNS = f" [{_SPACE}]|[{_SPACE}] "
 
-# Rows stay in order of (word, position): lead and lag over () look at neighbours without a sort.
-# The input table is in order, one thread keeps it, and a row out of order is an error.
+# A step of one word contracts the leftmost pair of least rank. Where no token that begins or
+# ends with the new one has a lower rank (not `alone`), nothing can come before the pair's other
+# places, so those go in the same step: of matches that follow each other (a run of one token)
+# every second. Rows are ordered by `pos`, their place in the batch; a word's last row never matches, so runs end there.
 _CONTRACT = """
 WITH RECURSIVE step(w, pos, tok, done) AS (
-  SELECT w, pos, tok, false FROM start_tokens
+  SELECT w, pos, tok, done FROM start_tokens
   UNION ALL
   (WITH near AS (
-    SELECT w, pos, tok,
-      CASE WHEN lead(w) OVER () = w THEN lead(tok) OVER () END AS following,
-      CASE WHEN lag(w) OVER () = w THEN lag(pos) OVER () END AS before,
-      CASE WHEN lag(w) OVER () > w OR lag(w) OVER () = w AND lag(pos) OVER () >= pos THEN error('tokens out of order') END AS checked
-    FROM step WHERE NOT done),
+    SELECT w, pos, tok, CASE WHEN lead(w) OVER place = w THEN lead(tok) OVER place END AS following, row_number() OVER place AS n
+    FROM step WHERE NOT done WINDOW place AS (ORDER BY pos)),
   pairs AS MATERIALIZED (
-    SELECT n.w, n.pos, n.tok, n.before, m.id::BIGINT * 1048576 + n.pos AS pair
-    FROM near n LEFT JOIN merges m ON m.l = n.tok AND m.r = n.following
-    WHERE n.checked IS NULL),
-  least AS (SELECT w, min(pair) AS pair FROM pairs GROUP BY w)
-  SELECT p.w, p.pos, CASE WHEN p.pos = b.pair % 1048576 THEN (b.pair // 1048576)::INT ELSE p.tok END, b.pair IS NULL
-  FROM pairs p JOIN least b ON b.w = p.w
-  WHERE b.pair IS NULL OR p.before IS NULL OR p.before <> b.pair % 1048576))
-SELECT s.w, string_agg(s.tok::VARCHAR, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex, count(*) AS n
-FROM step s JOIN vocab v ON v.id = s.tok WHERE s.done GROUP BY s.w ORDER BY s.w
+    SELECT near.w, near.pos, near.tok, near.n, m.id, m.alone, m.id::BIGINT * 4294967296 + near.pos AS pair
+    FROM near LEFT JOIN merges m ON m.l = near.tok AND m.r = near.following),
+  least AS (SELECT w, min(pair) AS pair FROM pairs GROUP BY w),
+  matched AS (
+    SELECT p.w, p.pos, p.tok, p.n, b.pair // 4294967296 AS id,
+      coalesce(p.pair = b.pair OR p.id = b.pair // 4294967296 AND NOT p.alone, false) AS here
+    FROM pairs p JOIN least b ON b.w = p.w),
+  chosen AS (
+    SELECT w, pos, tok, id, here, lag(here, 1, false) OVER place AS before,
+      n - coalesce(max(CASE WHEN NOT here THEN n END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth
+    FROM matched WINDOW place AS (ORDER BY pos))
+  SELECT w, pos, CASE WHEN here AND nth % 2 = 1 THEN id::INT ELSE tok END, id IS NULL
+  FROM chosen WHERE NOT (before AND nth % 2 = 0)))
+SELECT p.word, string_agg(s.tok::VARCHAR, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex, count(*) AS n
+FROM step s JOIN pieces p ON p.w = s.w JOIN vocab v ON v.id = s.tok WHERE s.done GROUP BY p.word ORDER BY p.word
 """
 
 
-def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contraction for one long word: a heap of (rank, position) over linked parts."""
-    n = len(word)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at each position
-    alive = [True] * n
-    heap = []
-
-    def offer(i: int) -> None:
-        j = end[i]
-        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, end[j]))
-
-    for i in range(n):
-        offer(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = end[i] if alive[i] else n
-        if j >= n or end[j] != stop:
-            continue  # a part has changed since
-        alive[j], end[i] = False, stop
-        if stop < n:
-            before[stop] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : end[i]]])
-        i = end[i]
-    return out
-
-
 class Codec:
     """Encodes and decodes words of one vocabulary in a DuckDB connection of its own."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 400_000, long_word: int = 1000):
+    def __init__(self, path: str, pattern: str, remember: int = 800_000, batch_bytes: int = 400_000):
         import duckdb
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.pattern, self.remember, self.long_word = regex.compile(pattern), remember, long_word
+        self.pattern, self.remember, self.batch_bytes = regex.compile(pattern), remember, batch_bytes
         merges = [(left, right, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (left := self.ranks.get(t[:k])) is not None and (right := self.ranks.get(t[k:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        alone = {part for left, right, i in merges for part in (left, right) if part > i}
+        # neighbouring bytes that no token holds: words are cut there
+        self.apart = np.ones((256, 256), bool)
+        for t in self.ranks:
+            x = np.frombuffer(t, np.uint8)
+            self.apart[x[:-1], x[1:]] = False
+        # no spill: a task has no folder of its own to spill to, and a batch is bounded
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         l, r, i = (pa.array(x, pa.int32()) for x in zip(*merges))
-        for name, table in (("merges", pa.table({"l": l, "r": r, "id": i})), ("vocab", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))):
+        flags = pa.array([m[2] in alone for m in merges])
+        for name, table in (("merges", pa.table({"l": l, "r": r, "id": i, "alone": flags})), ("vocab", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
@@ -108,58 +91,77 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        """Words and chunks share a place each: its ids joined by spaces, its decoded bytes, its number of tokens."""
-        self.at: dict[str, int] = {}
-        self.written: list[str] = []
-        self.decoded: list[bytes] = []
-        self.counts: list[int] = []
-
-    def _keep(self, word: str, ids: str, decoded: bytes, n: int) -> None:
-        self.at[word] = len(self.counts)
-        self.written.append(ids)
-        self.decoded.append(decoded)
-        self.counts.append(n)
+        self.new: dict[str, tuple[str, bytes, int]] = {}  # words and chunks: ids joined by spaces, decoded bytes, number of tokens
+        self.old = self.new
+
+    def _age(self) -> None:
+        """Start a generation: what was not used in the one before last is forgotten."""
+        if 2 * len(self.new) > self.remember:
+            self.old, self.new = self.new, {}
+
+    def _unknown(self, words: list[str]) -> list[str]:
+        """Those of words that are not remembered; those of the last generation come into this one."""
+        out, new, old = [], self.new, self.old
+        for w in words:
+            if w not in new:
+                if (found := old.get(w)) is None:
+                    out.append(w)
+                else:
+                    new[w] = found
+        return out
 
     def learn(self, words: list[str]) -> None:
         parts = []
         for word in words:
             raw = word.encode()
             if (i := self.ranks.get(raw)) is not None:
-                self._keep(word, str(i), self.tokens[i], 1)
-            elif len(raw) > self.long_word:
-                ids = contract(raw, self.ranks)
-                self._keep(word, " ".join(map(str, ids)), b"".join(map(self.tokens.__getitem__, ids)), len(ids))
+                self.new[word] = (str(i), self.tokens[i], 1)
             else:
                 parts.append((word, raw))
-        for i in range(0, len(parts), 50_000):
-            some = parts[i : i + 50_000]
-            lengths = np.array([len(raw) for _, raw in some])
-            data = np.frombuffer(b"".join([raw for _, raw in some]), np.uint8)
-            w = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
-            pos = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            self.con.register("start_tokens", pa.table({"w": w, "pos": pos, "tok": self.single[data]}))
-            got = self.con.sql(_CONTRACT).to_arrow_table()
-            self.con.unregister("start_tokens")
-            if got.num_rows != len(some):
-                raise RuntimeError("words were lost")
-            first = len(self.counts)
-            self.at.update(zip([word for word, _ in some], range(first, first + len(some))))
-            self.written += got.column("ids").to_pylist()
-            self.decoded += map(bytes.fromhex, got.column("hex").to_pylist())
-            self.counts += got.column("n").to_pylist()
+        # words of like length go together, so that a batch has as many steps as its own words need
+        parts.sort(key=lambda x: len(x[1]))
+        sizes = np.array([len(raw) for _, raw in parts], np.int64)
+        bins = (np.cumsum(sizes) - sizes) // self.batch_bytes * 64 + np.ceil(np.log2(np.maximum(sizes, 8))).astype(np.int64)
+        cuts = (np.flatnonzero(np.diff(bins)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+            if a < b:
+                self._contract(parts[a:b])
+
+    def _contract(self, some: list[tuple[str, bytes]]) -> None:
+        """One recursive query for some words, which are cut into pieces where no token can be."""
+        lengths = np.array([len(raw) for _, raw in some])
+        data = np.frombuffer(b"".join([raw for _, raw in some]), np.uint8)
+        begins = np.append(True, self.apart[data[:-1], data[1:]])
+        begins[np.cumsum(lengths) - lengths] = True
+        first = np.flatnonzero(begins)
+        sizes = np.diff(np.append(first, len(data)))
+        word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)[first]
+        w = np.repeat(np.arange(len(first), dtype=np.int32), sizes)
+        self.con.register("start_tokens", pa.table({"w": w, "pos": np.arange(len(data)), "tok": self.single[data], "done": np.repeat(sizes == 1, sizes)}))
+        self.con.register("pieces", pa.table({"w": np.arange(len(first), dtype=np.int32), "word": word}))
+        got = self.con.sql(_CONTRACT).to_arrow_table()
+        self.con.unregister("start_tokens")
+        self.con.unregister("pieces")
+        if got.num_rows != len(some):
+            raise RuntimeError("words were lost")
+        found = zip(got.column("ids").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()), got.column("n").to_pylist())
+        self.new.update(zip([word for word, _ in some], found))
+
+    def _joined(self, words: list[str]) -> tuple[str, bytes, int]:
+        x = list(map(self.new.__getitem__, words))
+        return " ".join([a for a, _, _ in x]), b"".join([b for _, b, _ in x]), sum([n for _, _, n in x])
 
     def _learn_chunks(self, chunks: list[str], texts: list[str]) -> list[list[str]]:
         """Remember new chunks and return the words of whole texts, which are remembered, too."""
-        find, at = self.pattern.findall, self.at
-        split = [(c, w) for c in chunks if c not in at and (w := find(c)) != [c]]
+        find = self.pattern.findall
+        fresh = self._unknown(chunks)
+        split = {c: w for c in fresh if (w := find(c)) != [c]}
         alone = [find(x) for x in texts]
-        known = {c for c, _ in split}
-        words = set().union(*(w for _, w in split), *alone, (c for c in chunks if c not in known))
-        self.learn(sorted(w for w in words if w not in at))
-        for c, w in split:
-            if c not in at:
-                x = [at[y] for y in w]
-                self._keep(c, " ".join([self.written[i] for i in x]), b"".join([self.decoded[i] for i in x]), sum([self.counts[i] for i in x]))
+        words = set().union(*split.values(), *alone, (c for c in fresh if c not in split))
+        self.learn(self._unknown(sorted(words)))
+        for c, w in split.items():
+            if c not in self.new:
+                self.new[c] = self._joined(w)
         return alone
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes]]:
@@ -178,24 +180,23 @@ class Codec:
         codes = (np.cumsum(seen) - 1)[keys]
         names = coded.dictionary.to_pylist()
         chunks = [" " + names[k >> 1] if k & 1 else names[k >> 1] for k in used.tolist()]
-        if len(self.at) + sum(c not in self.at for c in chunks) > self.remember:
-            self.forget()
+        self._age()
         where = np.flatnonzero(whole).tolist()
         alone = self._learn_chunks(chunks, [texts[i].as_py() for i in where])
-        x = list(map(self.at.__getitem__, chunks))
-        n = np.array([self.counts[i] for i in x], np.int64)[codes]
+        written, decoded, counts = zip(*map(self.new.__getitem__, chunks)) if chunks else ((), (), ())
+        n = np.array(counts, np.int64)[codes]
         full = n > 0  # an empty chunk has no tokens
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))[full]
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]), pa.int32())
         take = pa.array(codes[full])
-        ids = pa.array([self.written[i] for i in x], pa.string()).take(take)
-        back = pa.array([self.decoded[i] for i in x], pa.binary()).take(take)
+        ids = pa.array(written, pa.string()).take(take)
+        back = pa.array(decoded, pa.binary()).take(take)
         ids = pc.binary_join(pa.ListArray.from_arrays(ends, ids), " ").cast(pa.binary()).to_pylist()
         back = pc.binary_join(pa.ListArray.from_arrays(ends, back), b"").to_pylist()
         totals = np.bincount(doc, n[full], minlength=len(texts)).astype(np.int64)
         for i, found in zip(where, alone):
-            x = [self.at[w] for w in found]
-            totals[i], ids[i], back[i] = sum(self.counts[k] for k in x), " ".join([self.written[k] for k in x]).encode(), b"".join([self.decoded[k] for k in x])
+            x, back[i], totals[i] = self._joined(found)
+            ids[i] = x.encode()
         return totals, ids, back
 
 
