@@ -13,10 +13,12 @@ before the anchor occur twice. The intervals are the maximal repeats with all th
 occurrences, so no pairs are formed.
 
 Scale: a first pass counts anchor strings (8 bytes per 140 bytes of text) and keeps one
-bit for those that occur twice, in a bitmap of fixed size. A second sends 128-bit digests
-of their contexts: a context that occurs twice is a repeat as it is, and only the
-different contexts of an anchor string that has several are needed as bytes, one
-occurrence of each. A second bitmap tells a third pass which. A bit in common costs work
+bit for those that occur twice, in a bitmap of fixed size. A second compares 128-bit
+digests of their contexts, within a stretch of a task first, so that a context that a
+third of all documents hold is one row a stretch, then across tasks, a context a key: a
+context that occurs twice is a repeat as it is, and only the different contexts of an
+anchor string that has several are needed as bytes, one occurrence of each. A second
+bitmap tells a third pass which. A bit in common costs work
 and never changes a result. Texts are shuffled once, at the end, to meet their spans. The
 different contexts of one anchor string are held by one task.
 """
@@ -134,25 +136,32 @@ def repeated_windows(contexts: list[tuple[bytes, int, bool]], length: int) -> li
     return out
 
 
-def _strings(length: int, gram: int, ranges: int):
-    """Anchor strings of a task by range of their hashes, those met once and those met again."""
+def _by_range(chunks, ranges: int, again: bool = False, most: int = 1 << 19):
+    """Values of arrays by range, in batches (r, once, again): those met once and those met again; `again` takes all for met again."""
 
     def emit(parts):
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        cuts = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges))
-        rows = [(r, h[a:b][n[a:b] == 1].tobytes(), h[a:b][n[a:b] > 1].tobytes()) for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)])) if a < b]
+        v, n = np.unique(np.concatenate(parts), return_counts=True)
+        more = (n > 1) | again
+        cuts = np.searchsorted(v, np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges))
+        rows = [(r, v[a:b][~more[a:b]].tobytes(), v[a:b][more[a:b]].tobytes()) for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(v)])) if a < b]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["r", "once", "again"])
 
-    def run(batches):
-        parts, held = [], 0
-        for batch in text_slices(batches, 0, 2 << 20):
-            parts.append(anchors(to_bytes(batch.column(0)), length, gram)[4])
-            held += len(parts[-1])
-            if held > 1 << 19:
-                yield emit(parts)
-                parts, held = [], 0
-        if held:
+    parts, held = [], 0
+    for x in chunks:
+        parts.append(x)
+        held += len(x)
+        if held > most:
             yield emit(parts)
+            parts, held = [], 0
+    if held:
+        yield emit(parts)
+
+
+def _strings(length: int, gram: int, ranges: int):
+    """Anchor strings of a task by range of their hashes."""
+
+    def run(batches):
+        yield from _by_range((anchors(to_bytes(b.column(0)), length, gram)[4] for b in text_slices(batches, 0, 2 << 20)), ranges)
 
     return run
 
@@ -195,46 +204,79 @@ def _found(batches, length: int, gram: int):
         yield ids, rows, first - begins, first, last, at, h, data
 
 
-_OCCURRENCES = "h long, c1 long, c2 long, doc_id long, row long, start long, n long"
+_OCCURRENCES = "key long, kind int, h long, c1 long, c2 long, doc_id long, row long, start long, n long"
+#: Kinds of occurrences: settled as a repeat; the only one of its context in its stretch; the first of several, all settled.
+_SETTLED, _ONLY, _FIRST = 0, 1, 2
+
+
+def _occurrences(length: int, gram: int, flags, most: int = 1 << 16):
+    """Where the contexts of anchor strings that occur twice are, and their digests.
 
+    Contexts that occur twice in a stretch of `most` occurrences of a task are settled there,
+    so of a context that a third of all documents hold a row a stretch is left to compare.
+    """
 
-def _occurrences(length: int, gram: int, flags):
-    """Where the contexts of anchor strings that occur twice are, and their digests."""
+    def emit(parts):
+        h, c1, c2, ids, rows, starts, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((c2, c1, h))
+        h, c1, c2, ids, rows, starts, n = (x[order] for x in (h, c1, c2, ids, rows, starts, n))
+        new = np.append(True, (h[1:] != h[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
+        several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        kind = np.concatenate([np.full(int(several.sum()), _SETTLED), np.where(several[new], _FIRST, _ONLY)]).astype(np.int32)
+        out = [np.concatenate([x[several], x[new]]) for x in (h, c1, c2, ids, rows, starts, n)]
+        key = np.where(kind == _SETTLED, _place_hash(*out[3:6]).view(np.int64), out[0] ^ out[1])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, kind, *out)], names=["key", "kind", "h", "c1", "c2", "doc_id", "row", "start", "n"])
 
     def run(batches):
         bitmap = np.frombuffer(flags.value, np.uint8)
+        parts, held = [], 0
         for ids, rows, starts, first, last, at, h, data in _found(batches, length, gram):
             keep = np.flatnonzero(_bits(bitmap, h))
             blake = hashlib.blake2b
             digest = b"".join([blake(data[s:e], digest_size=16).digest() for s, e in zip(first[keep].tolist(), (last[keep] + length).tolist())])
             c = np.frombuffer(digest, np.int64).reshape(-1, 2)
-            columns = (h[keep].view(np.int64), c[:, 0], c[:, 1], ids[keep], rows[keep], starts[keep], (last - first)[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["h", "c1", "c2", "doc_id", "row", "start", "n"])
+            parts.append((h[keep].view(np.int64), c[:, 0], c[:, 1], ids[keep], rows[keep], starts[keep], (last - first)[keep]))
+            held += len(keep)
+            if held >= most:
+                yield emit(parts)
+                parts, held = [], 0
+        if held:
+            yield emit(parts)
 
     return run
 
 
+_JUDGED = "h long, doc_id long, row long, from long, to long"
+
+
 def _judged(length: int):
-    """Rows sorted by (h, c1, c2): spans of contexts that occur twice, and one place of each context whose anchor has several (to = -1)."""
+    """Of rows sorted by (h, c1, c2): spans of contexts that occur twice, and one place of each context (to = -1)."""
+
+    def batch_of(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "doc_id", "row", "from", "to"])
 
     def emit(t):
-        h, c1, c2, doc_id, row, start, n = t
-        new_h = np.append(True, h[1:] != h[:-1])
-        new_c = new_h | np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
-        c_of, h_of = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-        twice = np.bincount(c_of)[c_of] > 1
-        several = np.bincount(h_of[new_c])[h_of] > 1
-        needed = new_c & several
-        out = [np.concatenate([x[twice], y[needed]]) for x, y in ((doc_id, doc_id), (row, row), (start, start), (start + n + length, np.full(len(start), -1)))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "row", "from", "to"])
+        kind, h, c1, c2, doc_id, row, start, n = t
+        new = np.append(True, (h[1:] != h[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
+        c_of = np.cumsum(new) - 1
+        twice = (np.bincount(c_of)[c_of] > 1) & (kind == _ONLY)
+        return batch_of(*(np.concatenate([x[twice], y[new]]) for x, y in ((h, h), (doc_id, doc_id), (row, row), (start, start), (start + n + length, np.full(len(start), -1)))))
 
     def run(batches):
         held = None
         for batch in batches:
             t = [c.to_numpy() for c in batch.columns]
+            done = t[0] == _SETTLED
+            if done.any():
+                h, _, _, doc_id, row, start, n = (x[done] for x in t[1:])
+                yield batch_of(h, doc_id, row, start, start + n + length)
+                t = [x[~done] for x in t]
             if held is not None:
                 t = [np.concatenate(x) for x in zip(held, t)]
-            cut = int(np.searchsorted(t[0], t[0][-1])) if len(t[0]) else 0  # the last anchor may go on
+            last = [x[-1:] for x in t[1:4]]
+            # the last context may go on
+            same = np.flatnonzero((t[1] != last[0]) | (t[2] != last[1]) | (t[3] != last[2])) if len(t[0]) else np.zeros(0, int)
+            cut = int(same[-1]) + 1 if len(same) else 0
             if cut:
                 yield emit([x[:cut] for x in t])
             held = [x[cut:] for x in t]
@@ -244,16 +286,27 @@ def _judged(length: int):
     return run
 
 
-def _needed(ranges: int):
-    """Places by range of their hashes."""
+def _anchor_hashes(ranges: int):
+    """Anchor strings of contexts by range of their hashes."""
 
     def run(batches):
-        for batch in batches:
-            h = np.sort(_place_hash(*(batch.column(i).to_numpy() for i in range(3))))
-            cuts = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges))
-            rows = [(r, b"", h[a:b].tobytes()) for r, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)])) if a < b]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["r", "once", "again"])
+        yield from _by_range((b.column(0).to_numpy().view(np.uint64) for b in batches), ranges)
+
+    return run
+
+
+def _needed(ranges: int, several):
+    """Places of contexts whose anchor string has several, by range of their hashes."""
+
+    def run(batches):
+        bitmap = np.frombuffer(several.value, np.uint8)
+
+        def places():
+            for batch in batches:
+                h, *place = (batch.column(i).to_numpy() for i in range(4))
+                yield _place_hash(*place)[_bits(bitmap, h.view(np.uint64))]
+
+        yield from _by_range(places(), ranges, again=True)
 
     return run
 
@@ -334,50 +387,56 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, gram: in
 
     flags = bitmap(strings)
     parts = shuffle_parts(docs.sparkSession)
-    places = docs.mapInArrow(_occurrences(length, gram, flags), _OCCURRENCES)
-    judged = work.save(places.repartition(parts, "h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_judged(length), "doc_id long, row long, from long, to long"), "judged")
-    needed = judged.where("to < 0").select("doc_id", "row", "from").mapInArrow(_needed(ranges), "r int, once binary, again binary")
+    places = docs.mapInArrow(_occurrences(length, gram, flags), _OCCURRENCES).repartition(parts, "key").drop("key").sortWithinPartitions("h", "c1", "c2")
+    judged = work.save(places.mapInArrow(_judged(length), _JUDGED), "judged")
+    by_range = "r int, once binary, again binary"
+    several = bitmap(judged.where("to < 0").select("h").mapInArrow(_anchor_hashes(ranges), by_range))
+    needed = judged.where("to < 0").select("h", "doc_id", "row", "from").mapInArrow(_needed(ranges, several), by_range)
     wanted = bitmap(needed)
     contexts = docs.mapInArrow(_contexts(length, gram, wanted), _CONTEXTS).repartition(2 * parts, "h").sortWithinPartitions("h")
     more = work.save(contexts.mapInArrow(_spans(length), "doc_id long, row long, from long, to long"), "spans")
-    return judged.where("to >= 0").unionByName(more)
+    return judged.where("to >= 0").drop("h").unionByName(more)
 
 
-def _cut(kept_text: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept_text
+def _cut(kept: str | None):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + {None: [], "bytes": ["kept"], "text": ["kept_text"]}[kept]
 
     def run(batches):
         for batch in text_slices(batches, 1):
             rows = []
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), to_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 merged = _merged((x["from"], x["to"]) for x in spans or ())
-                kept, at = [], 0
+                left, at = [], 0
                 for a, b in merged:
-                    kept.append(text[at:a])
+                    left.append(text[at:a])
                     at = b
-                kept = b"".join([*kept, text[at:]])
-                rows.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()) + (kept,) * kept_text)
-            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                left = b"".join([*left, text[at:]])
+                rows.append((doc_id, len(text), len(text) - len(left), len(merged), hashlib.sha256(left).hexdigest()) + {None: (), "bytes": (left,), "text": (left.decode("utf-8", "replace"),)}[kept])
+            types = [pa.int64()] * 4 + [pa.string(), pa.binary() if kept == "bytes" else pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, kept_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text), with kept_text also the kept bytes.
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, kept: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text).
+
+    kept="bytes" adds the remaining bytes (kept), kept="text" adds them as text (kept_text), in
+    which a character that was cut through is U+FFFD.
 
     Texts are UTF-8 bytes, null is empty; matches never cross rows. A byte goes if a window
     of `length` bytes around it starts anywhere else, too, in the same text or another.
-    Rows that repeat lose everything if they have `length` bytes. Null ids are kept.
-    Other columns are dropped. gram must be a power of two and at most length.
+    Rows that repeat lose everything if they have `length` bytes. Null ids are kept; an
+    empty table gives no rows; a text of any length is treated alike. Other columns are
+    dropped. gram must be a power of two and at most length.
     """
     work = Workspace(docs.sparkSession, "suffix-dedup")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     spans = repeated_spans(docs, work, length, gram)
     found = spans.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     joined = docs.join(found, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left").select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(_cut(kept_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text)
+    return joined.mapInArrow(_cut(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept_text string"}[kept])
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(load(spark, sf_dir, "documents"))
+    return remove_repeats(load(spark, sf_dir, "documents"), kept="text")

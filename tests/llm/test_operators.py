@@ -238,7 +238,7 @@ def test_suffix_dedup(docs, rows):
     for length, gram in ((400, 128), (40, 16)):
         starts = Counter(t[p : p + length] for t in map(str.encode, rows.values()) for p in range(len(t) - length + 1))
         some = False
-        for x in suffix_dedup.remove_repeats(docs, length, gram, kept_text=True).collect():
+        for x in suffix_dedup.remove_repeats(docs, length, gram, kept="bytes").collect():
             t = rows[x.doc_id].encode()
             mask = np.zeros(len(t), bool)
             for p in range(len(t) - length + 1):
