@@ -31,36 +31,57 @@ from .common import load, text_slices
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _RUNS = f" [{_SPACE}]|[{_SPACE}] "
 
-# A step of one word contracts the leftmost pair of least rank. Where no token that begins or
-# ends with the new one has a lower rank (not `alone`), nothing can come before the pair's other
-# places, so those go in the same step: of matches that follow each other (a run of one token)
-# every second. Rows are ordered by `pos`, their place in the batch; a word's last row never matches, so runs end there.
+# A step contracts each word's leftmost pair of least rank, and with it all that must come to the
+# same in any order:
+# - the pair's other places, where no token that begins or ends with the new one has a lower rank
+#   (not `alone`); of matches that follow each other (a run of one token) every second;
+# - pairs whose two tokens nothing can take first: whatever grows beside them ends with the byte
+#   before or begins with the byte after, and of those bytes `left` and `right` tell whether any
+#   token made with one of the two has a lower rank.
+# Rows are ordered by `pos`, their place in the batch; a word's last row never matches, so runs end there.
 _CONTRACT = """
-WITH RECURSIVE step(w, pos, tok, done) AS (
-  SELECT w, pos, tok, done FROM start_tokens
+WITH RECURSIVE step(w, pos, tok, before, own, done) AS (
+  SELECT w, pos, tok, before, own, done FROM start_tokens
   UNION ALL
   (WITH near AS (
-    SELECT w, pos, tok, CASE WHEN lead(w) OVER place = w THEN lead(tok) OVER place END AS following, row_number() OVER place AS n
+    SELECT w, pos, tok, before, own, row_number() OVER place AS n,
+      CASE WHEN lead(w) OVER place = w THEN lead(tok) OVER place END AS following,
+      CASE WHEN lead(w, 2) OVER place = w THEN lead(own, 2) OVER place ELSE 256 END AS after
     FROM step WHERE NOT done WINDOW place AS (ORDER BY pos)),
   pairs AS MATERIALIZED (
-    SELECT near.w, near.pos, near.tok, near.n, m.id, m.alone, m.id::BIGINT * 4294967296 + near.pos AS pair
+    SELECT w, pos, tok, before, own, n, m.id, m.alone, m.id::BIGINT * 4294967296 + pos AS pair,
+      m.id IS NOT NULL AND get_bit(m."left", before) = 1 AND get_bit(m."right", after) = 1 AS free
     FROM near LEFT JOIN merges m ON m.l = near.tok AND m.r = near.following),
   least AS (SELECT w, min(pair) AS pair FROM pairs GROUP BY w),
   matched AS (
-    SELECT p.w, p.pos, p.tok, p.n, b.pair // 4294967296 AS id,
+    SELECT p.w, p.pos, p.tok, p.before, p.own, p.n, p.id, b.pair IS NULL AS done, p.free,
       coalesce(p.pair = b.pair OR p.id = b.pair // 4294967296 AND NOT p.alone, false) AS here
     FROM pairs p JOIN least b ON b.w = p.w),
-  chosen AS (
-    SELECT w, pos, tok, id, here, lag(here, 1, false) OVER place AS before,
+  runs AS (
+    SELECT *, lag(here, 1, false) OVER place AS here_before, lag(free, 1, false) OVER place AS free_before,
       n - coalesce(max(CASE WHEN NOT here THEN n END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth
     FROM matched WINDOW place AS (ORDER BY pos))
-  SELECT w, pos, CASE WHEN here AND nth % 2 = 1 THEN id::INT ELSE tok END, id IS NULL
-  FROM chosen WHERE NOT (before AND nth % 2 = 0)))
+  SELECT w, pos, CASE WHEN free OR here AND nth % 2 = 1 THEN id ELSE tok END, before, own, done
+  FROM runs WHERE NOT (free_before OR here_before AND nth % 2 = 0)))
 SELECT p.word, string_agg(s.tok::VARCHAR, ' ' ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex, count(*) AS n
 FROM step s JOIN pieces p ON p.w = s.w JOIN vocab v ON v.id = s.tok WHERE s.done GROUP BY p.word ORDER BY p.word
 """
 
 
+def _free(ids: np.ndarray, own: np.ndarray, partner: np.ndarray, byte: np.ndarray, size: int, strict: bool) -> list[bytes]:
+    """For each merge, a bit a byte (the 257th: none): no merge of its token with a token at that byte has a lower rank."""
+    least = np.full((size, 257), np.iinfo(np.int32).max, np.int32)
+    np.minimum.at(least, (partner, byte), ids)
+    out = []
+    for i in range(0, len(ids), 8192):
+        part = least[own[i : i + 8192]]
+        limit = ids[i : i + 8192, None]
+        bits = np.zeros((len(part), 264), bool)
+        bits[:, :257] = part > limit if strict else part >= limit
+        out += [x.tobytes() for x in np.packbits(bits, axis=1)]
+    return out
+
+
 class Codec:
     """Encodes and decodes words of one vocabulary in a DuckDB connection of its own."""
 
@@ -81,11 +102,17 @@ class Codec:
             self.apart[x[:-1], x[1:]] = False
         # no spill: a task has no folder of its own to spill to, and a batch is bounded
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        l, r, i = (pa.array(x, pa.int32()) for x in zip(*merges))
-        flags = pa.array([m[2] in alone for m in merges])
-        for name, table in (("merges", pa.table({"l": l, "r": r, "id": i, "alone": flags})), ("vocab", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))):
+        l, r, i = (np.array(x, np.int32) for x in zip(*merges))
+        size = max(self.tokens) + 1
+        ends = np.zeros((2, size), np.int64)
+        for k, t in self.tokens.items():
+            ends[:, k] = t[0], t[-1]
+        # of what stands before, equal ranks come first; of what follows, later
+        left, right = _free(i, l, r, ends[1][l], size, True), _free(i, r, l, ends[0][r], size, False)
+        table = pa.table({"l": l, "r": r, "id": i, "alone": [m[2] in alone for m in merges], "left": pa.array(left, pa.binary()), "right": pa.array(right, pa.binary())})
+        for name, table in (("merges", table), ("vocab", pa.table({"id": pa.array(self.tokens.keys(), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))):
             self.con.register("given", table)
-            self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given" if name == "vocab" else 'CREATE TABLE merges AS SELECT * REPLACE (CAST("left" AS BIT) AS "left", CAST("right" AS BIT) AS "right") FROM given')
             self.con.unregister("given")
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
@@ -137,7 +164,9 @@ class Codec:
         sizes = np.diff(np.append(first, len(data)))
         word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)[first]
         w = np.repeat(np.arange(len(first), dtype=np.int32), sizes)
-        self.con.register("start_tokens", pa.table({"w": w, "pos": np.arange(len(data)), "tok": self.single[data], "done": np.repeat(sizes == 1, sizes)}))
+        own = data.astype(np.int32)
+        before = np.where(begins, 256, np.append(256, own[:-1])).astype(np.int32)
+        self.con.register("start_tokens", pa.table({"w": w, "pos": np.arange(len(data)), "tok": self.single[data], "before": before, "own": own, "done": np.repeat(sizes == 1, sizes)}))
         self.con.register("pieces", pa.table({"w": np.arange(len(first), dtype=np.int32), "word": word}))
         got = self.con.sql(_CONTRACT).to_arrow_table()
         self.con.unregister("start_tokens")
