@@ -8,12 +8,14 @@ longest first, to the sequence with the least gap that takes them.
 Scale: what to put where depends on the number of pieces of each length only, so the
 plan is made from a histogram of `capacity` numbers and is a few thousand rules. A
 piece's rank among those of its length, counted in parallel (per task, then summed),
-tells which rule, sequence and offset it has. Texts are read once and never shuffled.
+tells which rule, sequence and offset it has. Texts are read once and never shuffled;
+pieces (some 50 bytes each) meet the counts of the tasks before theirs in a merge join.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -51,7 +53,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.words, self.remember = Tokenizer.from_file(path), Tokenizer.from_file(path), remember
-        self.whole.encode_special_tokens = self.words.encode_special_tokens = True
+        #: Texts with the string of a special token, which is that token wherever it stands, go whole to the tokenizer.
+        self.special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"\z."
+        self.words.encode_special_tokens = True
         self.words.normalizer = None  # words come normalised and split
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
@@ -79,13 +83,15 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(part):  # a word that this tokenizer splits after all
+            got = self.words.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(got.ids, np.uint32), np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+            lengths = np.bincount(of[of >= 0], minlength=len(part))
+            # the tokenizer's own account of which word a token is of: all there, in order, the last token a word's end
+            if len(lengths) == len(part) and (of >= 0).all() and (np.diff(of) >= 0).all() and lengths.all() and self.ends[ids[np.cumsum(lengths) - 1]].all():
+                self._keep(part, ids, lengths)
+            else:
                 each = [np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
                 self._keep(part, np.concatenate(each), np.array([len(x) for x in each]))
-            else:
-                self._keep(part, ids, np.diff(last, prepend=-1))
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chunks = pc.ascii_split_whitespace(texts)
@@ -109,7 +115,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
         texts = pc.fill_null(texts, "")
-        rare = pc.match_substring_regex(texts, _RARE)
+        rare = pc.or_(pc.match_substring_regex(texts, _RARE), pc.match_substring_regex(texts, "(?i)" + self.special))
         ids, n = self._split(pc.if_else(rare, "", texts))
         ends = np.cumsum(n)
         out = [ids[b - k : b] for b, k in zip(ends.tolist(), n.tolist())]
@@ -232,7 +238,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     bases = work.save(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
     counts = {r[0]: r[1] for r in bases.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
     rules = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 6)
-    ranked = pieces.join(bases.drop("n"), ["length", "map_id"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at")).alias("rank"))
+    # as many bases as tasks times lengths: never broadcast, and no key has more pieces than a task wrote
+    ranked = pieces.join(bases.drop("n").hint("merge"), ["length", "map_id"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at")).alias("rank"))
     return ranked.mapInArrow(_placed(rules), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

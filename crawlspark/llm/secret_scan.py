@@ -2,7 +2,7 @@
 
 A value that follows a credential word (`passphrase: ...`, `login is ...`) is segmented
 by dynamic programming into dictionary words, dates, repeats, keyboard walks or
-sequences, and brute-force characters, at the least total log10 of guesses. A value
+sequences, and brute-force characters, at the least total log10 of guesses, exactly. A value
 that still costs `min_log10` or more is a secret, and its span is added to those of the
 patterns; `password = changeme2024` has a low cost and adds none.
 
@@ -18,7 +18,9 @@ import json
 import math
 import re
 from functools import cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -53,7 +55,17 @@ WORDS = (
     " redacted hidden insert enter fill todo demo temp temporary local localhost dev prod staging"
 ).split()
 _LEET = str.maketrans("4@3$510!7+", "aaessioitt")
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:(?:19|20)\d\d|\d\d)")
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2]|[1-9])", r"(?:0[1-9]|[12]\d|3[01]|[1-9])"
+_DATE = re.compile(rf"{_YEAR}|{_YEAR}([-/.]?){_MONTH}\1{_DAY}|{_DAY}([-/.]){_MONTH}\2(?:{_YEAR}|\d\d)", re.A)
+
+
+def date_ends(value: str, start: int) -> list[int]:
+    """Ends of the years and whole dates that start at a place."""
+    if not value[start : start + 1].isdigit():
+        return []
+    return [end for end in range(start + 4, min(start + 10, len(value)) + 1) if _DATE.fullmatch(value, start, end)]
+
+
 _KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in _KEY_ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in _KEY_ROWS for a, b in zip(row, row[1:])}
 
@@ -89,44 +101,104 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
 
 
+#: log10 of the guesses for where a segment ends, for the length of a run of its own and for the start of a keyboard walk.
+_JOIN, _LENGTH, _WALK = math.log10(2), 1.0, math.log10(40)
+
+
+def _agree(value: str, i: int, j: int) -> int:
+    """How many characters from i and from j (later) on are the same."""
+    n, low, step = len(value), 0, 16
+    while j + low < n and value[i + low : i + low + step] == value[j + low : j + low + step]:
+        low += step
+        step *= 2
+    if j + low >= n:
+        return n - j
+    while step > 1:  # the first difference is within the next step characters
+        step = (step + 1) // 2
+        if value[i + low : i + low + step] == value[j + low : j + low + step]:
+            low += step
+    return min(low, n - j)
+
+
+def repetitions(value: str) -> list[tuple[int, int, int]]:
+    """All maximal stretches (start, end, period) that hold their least period twice or more; some of another period of them may come, too.
+
+    A stretch of period p meets two places p apart that are multiples of p, so those are
+    compared: n/p for each p.
+    """
+    n, back, out = len(value), value[::-1], []
+    chars = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    period, until = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of the stretch over each place that ends last
+    for p in range(1, n // 2 + 1):
+        at = np.arange(0, n - p, p)
+        at = at[chars[at] == chars[at + p]]
+        if not len(at):
+            continue
+        within = period[at]
+        at = at[(within == 0) | (p % np.maximum(within, 1) != 0) | (until[at] <= at + p)]  # else a multiple of a lesser period
+        end = 0
+        for i in at.tolist():
+            if i + p < end:
+                continue
+            start, stop = i - (_agree(back, n - i - p, n - i) if i else 0), i + p + _agree(value, i, i + p)
+            if stop - start >= 2 * p:
+                out.append((start, stop, p))
+                end = stop
+                free = slice(start, stop)
+                period[free], until[free] = np.where(until[free] < stop, p, period[free]), np.maximum(until[free], stop)
+    return out
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation of a value; 0 for an empty one.
 
-    Every segment costs its own guesses and, as its place must be guessed, log10(2)
-    more. Linear in the length, but for repeats: units of up to 8 characters are tried.
+    Segments: a ranked word (plain, in other case or with digits for letters), a date, a
+    walk of 3 keys or more on a keyboard row or the alphabet, a unit of any length twice or
+    more (3 characters at least), or one character by brute force. All but the last cost
+    log10(2) more for their place; a walk or repeat one more for its length. Every start and
+    end counts. A walk or repeat goes on at no cost, so the time is in proportion to the length
+    and to the stretches that repeat.
     """
     n, low = len(value), value.lower()
     if len(low) != n:  # a character that lower-cases to two
         low = value
     leet = low.translate(_LEET)
     rank_of, longest = ranks()
+    brute = [_brute(c) for c in value]
+    spent = [0.0, *accumulate(brute)]
     best = [0.0] + [math.inf] * n
-    join = math.log10(2)
-    walk = [0] * (n + 1)  # end of the keyboard walk or sequence that starts here
-    for i in range(n - 1, -1, -1):
-        walk[i] = walk[i + 1] if i + 1 < n and (low[i], low[i + 1]) in _NEXT else i + 1
-    for i in range(n):
-        at = best[i]
-        best[i + 1] = min(best[i + 1], at + _brute(value[i]))
-        for k in range(3, min(longest, n - i) + 1):
-            plain, part = low[i : i + k], leet[i : i + k]
+    walking = math.inf  # the least cost of a walk of three keys or more that ends here
+    starting: dict[int, list[list]] = {}
+    for a, b, p in repetitions(value):
+        starting.setdefault(a + 2 * p, []).append([p, b, [math.inf] * p])
+    active: list[list] = []
+    for j in range(n + 1):
+        if j:
+            best[j] = min(best[j], best[j - 1] + brute[j - 1])
+        if j >= 3 and (low[j - 2], low[j - 1]) in _NEXT:
+            if (low[j - 3], low[j - 2]) in _NEXT:
+                walking = min(walking, best[j - 3] + _WALK + _LENGTH + _JOIN)
+            best[j] = min(best[j], walking)
+        else:
+            walking = math.inf
+        active += starting.get(j, ())
+        for x in active:
+            p, end, least = x
+            if j <= end:
+                if p > 1:
+                    least[j % p] = min(least[j % p], best[j - 2 * p] + spent[j - p] - spent[j - 2 * p] + _LENGTH + _JOIN)
+                elif j - 3 >= 0 and value[j - 3] == value[j - 1]:
+                    least[0] = min(least[0], best[j - 3] + brute[j - 1] + _LENGTH + _JOIN)
+                best[j] = min(best[j], least[j % p])
+        active = [x for x in active if x[1] > j]
+        at = best[j]
+        for k in range(3, min(longest, n - j) + 1):
+            plain, part = low[j : j + k], leet[j : j + k]
             if rank := rank_of.get(plain) or rank_of.get(part):
-                cost = math.log10(rank + 1) + join * ((value[i : i + k] != plain) + (plain not in rank_of))
-                best[i + k] = min(best[i + k], at + cost + join)
-        if m := _DATE.match(value, i):
-            best[m.end()] = min(best[m.end()], at + math.log10(365 * 120 if m.end() - i > 4 else 120) + join)
-        if (end := walk[i]) - i >= 3:
-            cost = math.log10(40 * (end - i)) + join
-            for j in range(i + 3, end + 1) if end - i <= 40 else (end,):
-                best[j] = min(best[j], at + cost)
-        for u in range(1, min(8, (n - i) // 2) + 1):
-            if value[i : i + u] == value[i + u : i + 2 * u] and (i < u or value[i - u : i] != value[i : i + u]):
-                j = i + 2 * u
-                while value.startswith(value[i : i + u], j):
-                    j += u
-                if j - i >= 3:
-                    cost = sum(map(_brute, value[i : i + u])) + math.log10((j - i) // u) + join
-                    best[j] = min(best[j], at + cost)
+                cost = math.log10(rank + 1) + _JOIN * ((value[j : j + k] != plain) + (plain not in rank_of))
+                best[j + k] = min(best[j + k], at + cost + _JOIN)
+        for end in date_ends(value, j):
+            best[end] = min(best[end], at + math.log10(365 * 120 if end - j > 4 else 120) + _JOIN)
     return best[n]
 
 
@@ -213,7 +285,8 @@ def secret_scan(docs: DataFrame, min_log10: float = 8.0) -> DataFrame:
     spans lists kind:start:end in code points, end exclusive, by start, then kind
     (assign, access, hex, guess). base_sha256 is of the same list without guess.
     redacted is the text with all spans masked, null if there are none. Null text
-    equals empty text; rows repeat as often as in docs; other columns are dropped.
+    equals empty text; rows repeat as often as in docs, null ids too; texts of any length
+    are read whole; an empty table gives no rows; other columns are dropped.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scanned(min_log10), "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, max_log10_guesses double, base_sha256 string, spans string, redacted string")
 
