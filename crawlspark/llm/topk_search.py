@@ -2,8 +2,9 @@
 
 Every vector is keyed by its nearest pivot and its distance to it; in that order the
 vectors are cut into blocks, each an annulus around a pivot with bounds on distance and
-norm. A query starts in its own annulus, then takes its most promising ones, then all
-that the triangle inequality cannot rule out: with q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2
+norm. A query starts in its own annulus and goes on through the others, sorted by what the
+triangle inequality lets them hold, in steps that grow; it stops at the first whose bound
+is below its k-th score: with q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2
 and |q - x| >= | |q - p| - |x - p| |, an annulus whose bound is below a query's k-th
 score holds nothing for it. Of equal scores the smaller id ranks first, so an annulus
 whose bound equals the k-th score counts only if it has smaller ids.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, load
 
-_BLOCK = "block_id long, pivot int, dmin double, dmax double, norm double, min_id long, n int, ids binary, vecs binary"
-_STATE = "chunk long, n int, ids binary, vecs binary, scores binary, found binary"
+_BLOCK = "block_id long, pivot int, dmin double, dmax double, norm double, min_id long, n int, ids binary, rows binary, vecs binary"
+#: A chunk of queries: vec_ids, row numbers and vectors, and for each the k best: scores, vec_ids, row numbers.
+_STATE = "chunk long, n int, ids binary, rows binary, vecs binary, scores binary, found binary, places binary"
+_STATE_NAMES = ["ids", "rows", "vecs", "scores", "found", "places"]
 _WORST = np.iinfo(np.int64).min
 _NO_ID = np.iinfo(np.int64).max
 
@@ -51,7 +54,7 @@ def _keyed(pivots: np.ndarray, dims: int):
             own = (v**2).sum(axis=1)
             d2 = np.maximum(own[:, None] - 2 * (v @ pivots.T) + norms, 0)
             p = d2.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(p)), p]))], names=["vec_id", "v", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(p.astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(p)), p]))], names=["vec_id", "v", "row", "pivot", "dist"])
 
     return run
 
@@ -63,16 +66,17 @@ def _blocks(dims: int, rows: int):
 
         def close():
             nonlocal number
-            ids, v, d = (np.concatenate(x) for x in zip(*(p[1:] for p in parts)))
+            ids, rows_of, v, d = (np.concatenate(x) for x in zip(*(p[1:] for p in parts)))
             order = np.argsort(ids, kind="stable")
-            out = (base + number, parts[0][0], d.min(), d.max(), math.sqrt((v**2).sum(axis=1).max()), int(ids.min()), len(ids), ids[order].tobytes(), v[order].tobytes())
+            out = (base + number, parts[0][0], d.min(), d.max(), math.sqrt((v**2).sum(axis=1).max()), int(ids.min()), len(ids), ids[order].tobytes(), rows_of[order].tobytes(), v[order].tobytes())
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([x]).cast(t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block_id", "pivot", "dmin", "dmax", "norm", "min_id", "n", "ids", "vecs"])
+            types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x]).cast(t) for x, t in zip(out, types)], names=["block_id", "pivot", "dmin", "dmax", "norm", "min_id", "n", "ids", "rows", "vecs"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, pivot, dist = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            ids, places, pivot, dist = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
             v = _matrix(batch.column(1), dims)
             cuts = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:]):
@@ -81,7 +85,7 @@ def _blocks(dims: int, rows: int):
                     parts = []
                 while a < b:
                     take = min(b - a, rows - sum(len(p[1]) for p in parts))
-                    parts.append((int(pivot[a]), ids[a : a + take], v[a : a + take], dist[a : a + take]))
+                    parts.append((int(pivot[a]), ids[a : a + take], places[a : a + take], v[a : a + take], dist[a : a + take]))
                     a += take
                     if sum(len(p[1]) for p in parts) == rows:
                         yield close()
@@ -92,28 +96,29 @@ def _blocks(dims: int, rows: int):
     return run
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of v (ids ascending) for each query but itself: scores and ids, padded with the worst."""
+def _best(q: np.ndarray, q_rows: np.ndarray, v: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of v (ids ascending) for each query but its own row: scores, ids and rows, padded with the worst."""
     scores = (q @ v.T).astype(np.int64)
     n = len(ids)
     keys = scores * n + np.arange(n - 1, -1, -1)  # of equal scores the smaller id is larger
-    keys[q_ids[:, None] == ids[None, :]] = _WORST
+    keys[q_rows[:, None] == rows[None, :]] = _WORST
     if n > k:
         keys = np.take_along_axis(keys, np.argpartition(keys, n - k, axis=1)[:, n - k :], axis=1)
     keys = -np.sort(-keys, axis=1) if keys.shape[1] else keys
     own = keys == _WORST
-    s, i = np.where(own, _WORST, keys // n), np.where(own, _NO_ID, ids[n - 1 - keys % n])
-    pad = k - keys.shape[1]
-    return (np.pad(s, ((0, 0), (0, max(0, pad))), constant_values=_WORST)[:, :k], np.pad(i, ((0, 0), (0, max(0, pad))), constant_values=_NO_ID)[:, :k])
+    at = n - 1 - keys % n
+    pad = ((0, 0), (0, max(0, k - keys.shape[1])))
+    out = ((np.where(own, _WORST, keys // n), _WORST), (np.where(own, _NO_ID, ids[at]), _NO_ID), (np.where(own, _NO_ID, rows[at]), _NO_ID))
+    return tuple(np.pad(x, pad, constant_values=fill)[:, :k] for x, fill in out)
 
 
-def _merge(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _merge(s: np.ndarray, i: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     order = np.lexsort((i, -s.astype(float), s == _WORST), axis=1)[:, :k]
-    return np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+    return tuple(np.take_along_axis(x, order, axis=1) for x in (s, i, r))
 
 
-def _state_batch(chunk: int, ids, v, s, i) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, v, s, i))], names=["chunk", "n", "ids", "vecs", "scores", "found"])
+def _state_batch(chunk: int, *state) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(state[0])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in state)], names=["chunk", "n", *_STATE_NAMES])
 
 
 def _home(dims: int, k: int, every: int, chunk_rows: int):
@@ -122,11 +127,11 @@ def _home(dims: int, k: int, every: int, chunk_rows: int):
     def run(batches):
         base, number, parts = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
-            for ids, vecs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, v = np.frombuffer(ids, np.int64), np.frombuffer(vecs).reshape(-1, dims)
-                is_query = ids % every == 0
-                if is_query.any():
-                    parts.append((ids[is_query], v[is_query], *_best(v[is_query], ids[is_query], v, ids, k)))
+            for ids, rows, vecs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids, rows, v = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), np.frombuffer(vecs).reshape(-1, dims)
+                asks = ids % every == 0
+                if asks.any():
+                    parts.append((ids[asks], rows[asks], v[asks], *_best(v[asks], rows[asks], v, ids, rows, k)))
                     if sum(len(p[0]) for p in parts) >= chunk_rows:
                         yield _state_batch(base + number, *(np.concatenate(x) for x in zip(*parts)))
                         number, parts = number + 1, []
@@ -137,36 +142,45 @@ def _home(dims: int, k: int, every: int, chunk_rows: int):
 
 
 def _open(state, dims: int, k: int):
-    ids, vecs, scores, found = state
-    return np.frombuffer(ids, np.int64), np.frombuffer(vecs).reshape(-1, dims), np.frombuffer(scores, np.int64).reshape(-1, k), np.frombuffer(found, np.int64).reshape(-1, k)
+    ids, rows, vecs, *best = state
+    return np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), np.frombuffer(vecs).reshape(-1, dims), *(np.frombuffer(x, np.int64).reshape(-1, k) for x in best)
 
 
-def _route(pivots: np.ndarray, annuli: np.ndarray, dims: int, k: int, first: int, rest: bool):
-    """Which annuli serve which queries: the `first` most promising of each, or, for the rest, all others that may."""
-    part, lo, hi, pivot = (annuli[:, i].astype(np.int64) for i in range(4))
-    dmin, dmax, norm, min_id = annuli[:, 4], annuli[:, 5], annuli[:, 6], annuli[:, 7].astype(np.int64)
+def _states(batch, *names):
+    return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names))
+
+
+def bounds(q: np.ndarray, pivots: np.ndarray, annuli: np.ndarray) -> np.ndarray:
+    """The highest inner product that each annulus (a column) may hold for each query."""
+    pivot = annuli[:, 3].astype(np.int64)
+    dmin, dmax, norm = annuli[:, 4], annuli[:, 5], annuli[:, 6]
+    q2 = (q**2).sum(axis=1)
+    dots = q @ pivots.T
+    dq = np.sqrt(np.maximum(q2[:, None] - 2 * dots + (pivots**2).sum(axis=1), 0))[:, pivot]
+    gap = np.maximum(0, np.maximum(dq - dmax, dmin - dq))
+    size = np.sqrt(q2)[:, None]
+    bound = np.minimum(np.minimum((q2[:, None] + norm**2 - gap**2) / 2, size * norm), dots[:, pivot] + size * dmax)
+    return np.floor(bound + 1e-6 * (1 + np.abs(bound)))
+
+
+def _route(pivots: np.ndarray, annuli: np.ndarray, dims: int, k: int, lo: int, hi: int):
+    """Of the annuli that are lo-th to hi-th by bound for a query, those that may hold something for it."""
+    part, first, last = (annuli[:, i].astype(np.int64) for i in range(3))
+    min_id = annuli[:, 7].astype(np.int64)
 
     def run(batches):
         for batch in batches:
-            for chunk, *state in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("chunk", "ids", "vecs", "scores", "found"))):
-                ids, q, s, i = _open(state, dims, k)
-                q2 = (q**2).sum(axis=1)
-                dots = q @ pivots.T
-                dq = np.sqrt(np.maximum(q2[:, None] - 2 * dots + (pivots**2).sum(axis=1), 0))[:, pivot]
-                gap = np.maximum(0, np.maximum(dq - dmax, dmin - dq))
-                size = np.sqrt(q2)[:, None]
-                bound = np.minimum(np.minimum((q2[:, None] + norm**2 - gap**2) / 2, size * norm), dots[:, pivot] + size * dmax)
-                bound = np.floor(bound + 1e-6 * (1 + np.abs(bound)))
-                promising = np.zeros(bound.shape, bool)
-                order = np.argsort(-bound, axis=1, kind="stable")[:, :first]
-                np.put_along_axis(promising, order, True, axis=1)
-                may = (bound > s[:, -1:]) | (bound == s[:, -1:]) & (min_id < i[:, -1:])
-                may &= ~promising if rest else promising
+            for chunk, *state in _states(batch, "chunk", *_STATE_NAMES):
+                _, rows, q, s, i, _ = _open(state, dims, k)
+                bound = bounds(q, pivots, annuli)
+                may = np.zeros(bound.shape, bool)
+                np.put_along_axis(may, np.argsort(-bound, axis=1, kind="stable")[:, lo:hi], True, axis=1)
+                may &= (bound > s[:, -1:]) | (bound == s[:, -1:]) & (min_id < i[:, -1:])
                 for a in np.flatnonzero(may.any(axis=0)).tolist():
                     who = np.flatnonzero(may[:, a]).astype(np.int32)
-                    n = int(hi[a] - lo[a] + 1)
-                    packed = [who.tobytes(), ids[who].tobytes(), q[who].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array((part[a] << 32) + np.arange(lo[a], hi[a] + 1)), pa.array([chunk] * n), *(pa.array([x] * n, pa.binary()) for x in packed)], names=["target", "chunk", "who", "q_ids", "q"])
+                    n = int(last[a] - first[a] + 1)
+                    packed = [who.tobytes(), rows[who].tobytes(), q[who].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array((part[a] << 32) + np.arange(first[a], last[a] + 1)), pa.array([chunk] * n), *(pa.array([x] * n, pa.binary()) for x in packed)], names=["target", "chunk", "who", "q_rows", "q"])
 
     return run
 
@@ -174,9 +188,11 @@ def _route(pivots: np.ndarray, annuli: np.ndarray, dims: int, k: int, first: int
 def _score(dims: int, k: int):
     def run(batches):
         for batch in batches:
-            for chunk, who, q_ids, q, ids, vecs in zip(*(c.to_pylist() for c in batch.columns)):
-                s, i = _best(np.frombuffer(q).reshape(-1, dims), np.frombuffer(q_ids, np.int64), np.frombuffer(vecs).reshape(-1, dims), np.frombuffer(ids, np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([None], pa.int32()), pa.array([who], pa.binary()), pa.array([None], pa.binary()), pa.array([s.tobytes()], pa.binary()), pa.array([i.tobytes()], pa.binary())], names=["chunk", "n", "ids", "vecs", "scores", "found"])
+            for chunk, who, q_rows, q, ids, rows, vecs in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, rows, q_rows = (np.frombuffer(x, np.int64) for x in (ids, rows, q_rows))
+                best = _best(np.frombuffer(q).reshape(-1, dims), q_rows, np.frombuffer(vecs).reshape(-1, dims), ids, rows, k)
+                none = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([None], pa.int32()), pa.array([who], pa.binary()), none, none, *(pa.array([x.tobytes()], pa.binary()) for x in best)], names=["chunk", "n", *_STATE_NAMES])
 
     return run
 
@@ -188,13 +204,11 @@ def _gather(dims: int, k: int):
         got, waiting = None, []
         chunk = key[0].as_py()
         for batch in batches:
-            for n, *state in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "ids", "vecs", "scores", "found"))):
+            for n, *state in _states(batch, "n", *_STATE_NAMES):
                 if n is not None:
                     got = [x.copy() for x in _open(state, dims, k)]
                     continue
-                who = np.frombuffer(state[0], np.int32)
-                s, i = (np.frombuffer(x, np.int64).reshape(-1, k) for x in state[2:])
-                late = (who, s, i)
+                late = (np.frombuffer(state[0], np.int32), *(np.frombuffer(x, np.int64).reshape(-1, k) for x in state[3:]))
                 if got is None:
                     waiting.append(late)
                 else:
@@ -207,17 +221,17 @@ def _gather(dims: int, k: int):
 
 
 def _apply(got, late, k: int) -> None:
-    who, s, i = late
-    again = (i[:, :, None] == got[3][who][:, None, :]).any(axis=2)  # a query's own annulus comes again
-    s, i = np.where(again, _WORST, s), np.where(again, _NO_ID, i)
-    got[2][who], got[3][who] = _merge(np.concatenate([got[2][who], s], axis=1), np.concatenate([got[3][who], i], axis=1), k)
+    who, s, i, r = late
+    again = (r[:, :, None] == got[5][who][:, None, :]).any(axis=2)  # a query's own annulus comes again
+    late = (np.where(again, _WORST, s), np.where(again, _NO_ID, i), np.where(again, _NO_ID, r))
+    got[3][who], got[4][who], got[5][who] = _merge(*(np.concatenate([a[who], b], axis=1) for a, b in zip(got[3:], late)), k)
 
 
 def _answers(dims: int, k: int):
     def run(batches):
         for batch in batches:
-            for state in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "vecs", "scores", "found"))):
-                ids, _, s, i = _open(state, dims, k)
+            for state in _states(batch, *_STATE_NAMES):
+                ids, _, _, s, i, _ = _open(state, dims, k)
                 ok = s != _WORST
                 row, rank = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(i[ok]), pa.array(s[ok])], names=["query_id", "rank", "vec_id", "score"])
@@ -226,26 +240,28 @@ def _answers(dims: int, k: int):
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 64, block_rows: int = 2048, chunk_rows: int = 1024, max_annuli: int = 16384, first: int = 2) -> DataFrame:
-    """query_id, rank, vec_id, score for every vec_id divisible by `every`, against all other vectors.
+    """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`, against all other rows.
 
     vectors has vec_id and embedding, whose components x count as floor(64 x). Vectors
     that are null or hold null, NaN or infinite components take no part, nor does a null
-    vec_id. Shorter vectors are filled with zeros. Rows that repeat a vec_id count once,
-    with the smallest vector. Scores are exact below 2^53 / block_rows. Other columns are
+    vec_id. Shorter vectors are filled with zeros. Rows that repeat a vec_id are queries and
+    candidates each for itself, and the others are among a query's candidates. Of equal scores
+    the smaller vec_id ranks first. Scores are exact below 2^53 / block_rows. Other columns are
     not read; an empty table gives no rows. The pivots are a sample of n_pivots vectors by hash.
+    A query takes its `first` most promising annuli, then eight times as many, and so on.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "top-k")
     e = F.transform("embedding", lambda x: x.cast("double"))
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where("vec_id is not null and e is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    clean = work.save(whole.select("vec_id", F.transform("e", lambda x: F.floor(x * 64).cast("double")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    clean = work.save(whole.select("vec_id", F.transform("e", lambda x: F.floor(x * 64).cast("double")).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
     dims, total = clean.agg(F.max(F.size("v")), F.count("*")).first()
     dims = max(dims or 0, 1)
     pivots = np.zeros((max(1, min(n_pivots, total)), dims))
-    for row, (v,) in zip(pivots, clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).select("v").collect()):
+    for row, (v,) in zip(pivots, clean.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).select("v").collect()):
         row[: len(v)] = v
     parts = max(1, min(math.ceil(total / (4 * block_rows)), 100_000))
-    keyed = clean.mapInArrow(_keyed(pivots, dims), "vec_id long, v array<double>, pivot int, dist double")
+    keyed = clean.mapInArrow(_keyed(pivots, dims), "vec_id long, v array<double>, row long, pivot int, dist double")
     index = work.save(keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id").mapInArrow(_blocks(dims, block_rows), _BLOCK), "index")
     # annuli: blocks that follow each other in a partition and share a pivot, merged to be few
     per = max(1, math.ceil(index.count() / max_annuli))
@@ -253,14 +269,17 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 64,
     number = F.col("block_id").bitwiseAND(0xFFFFFFFF)
     merged = index.groupBy(place.alias("part"), "pivot", F.floor(number / per).alias("g")).agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"), F.max("norm").alias("norm"), F.min("min_id").alias("min_id"))
     annuli = np.array([tuple(map(float, r)) for r in merged.select("part", "lo", "hi", "pivot", "dmin", "dmax", "norm", "min_id").collect()]).reshape(-1, 8)
-    if per == 1:  # of equal bounds, those with smaller ids first
-        annuli = annuli[np.argsort(annuli[:, 7], kind="stable")]
-    state = work.save(index.select("ids", "vecs").mapInArrow(_home(dims, k, every, chunk_rows), _STATE), "home")
-    blocks = index.select("block_id", F.col("ids").alias("b_ids"), F.col("vecs").alias("b"))
-    for rest in (False, True):
-        asked = state.mapInArrow(_route(pivots, annuli, dims, k, first, rest), "target long, chunk long, who binary, q_ids binary, q binary")
-        found = asked.join(blocks, F.col("target") == F.col("block_id")).select("chunk", "who", "q_ids", "q", "b_ids", "b").mapInArrow(_score(dims, k), _STATE)
-        state = work.save(state.unionByName(found).groupBy("chunk").applyInArrow(_gather(dims, k), _STATE), f"state{int(rest)}")
+    annuli = annuli[np.argsort(annuli[:, 7], kind="stable")]  # of equal bounds, those with smaller ids first
+    state = work.save(index.select("ids", "rows", "vecs").mapInArrow(_home(dims, k, every, chunk_rows), _STATE), "home")
+    blocks = index.select("block_id", F.col("ids").alias("b_ids"), F.col("rows").alias("b_rows"), F.col("vecs").alias("b"))
+    lo, hi = 0, first
+    while lo < len(annuli):
+        asked = work.save(state.mapInArrow(_route(pivots, annuli, dims, k, lo, hi), "target long, chunk long, who binary, q_rows binary, q binary"), f"asked{lo}")
+        if asked.isEmpty():  # annuli come by falling bounds: no query has any left
+            break
+        found = asked.join(blocks, F.col("target") == F.col("block_id")).select("chunk", "who", "q_rows", "q", "b_ids", "b_rows", "b").mapInArrow(_score(dims, k), _STATE)
+        state = work.save(state.unionByName(found).groupBy("chunk").applyInArrow(_gather(dims, k), _STATE), f"state{lo}")
+        lo, hi = hi, 9 * hi
     return state.mapInArrow(_answers(dims, k), "query_id long, rank int, vec_id long, score long")
 
 
@@ -270,12 +289,12 @@ def op2_topk_search(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+  SELECT q.vec_id AS query_id, q.row, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20
 """

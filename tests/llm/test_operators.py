@@ -157,8 +157,31 @@ def test_language_id(spark):
     assert sum(got[i].lang_pred == data[i][2] for i in tested) >= 0.97 * len(tested)
     assert all(0 <= x.score <= 1 for x in got.values()) and not any(got[i].rejected for i, _, _ in data)
     assert [got[i].lang_pred for i in (900, 901)] == ["und", "und"] and got[902].rejected
-    with pytest.raises(ValueError):
-        language_id.fit(docs.limit(0))
+    # nearest centroid by brute force, features counted one by one
+    import math
+
+    for i, text, _ in data[:60] + [(0, "Ñandú, über 'tis!", "")]:
+        counts = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            raw = f" {word} ".encode()
+            for n in (1, 2, 3):
+                for at in range(len(raw) - n + 1):
+                    gram = raw[at : at + n]
+                    if gram != b" ":
+                        code = 0
+                        for x in gram:
+                            code = (code * 257 + x + (not code)) % 2**64
+                        counts[(code * 0x9E3779B97F4A7C15 % 2**64 >> 40) % model.dims] += 1
+        weights = {f: c * float(model.idf[f]) for f, c in counts.items()}
+        size = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(c[f]) for f, w in weights.items()) / size for c in model.centroids]
+        lang, score, _ = model.predict(pa.array([text]))
+        assert lang == [model.langs[int(np.argmax(cosines))]] and abs(score[0] - max(cosines)) < 1e-4
+    nothing = language_id.fit(docs.limit(0))
+    assert [(x.lang_pred, x.score, x.rejected) for x in language_id.identify(docs.limit(3), nothing).collect()] == [("und", 0.0, True)] * 3
+    assert language_id.identify(docs.limit(0), nothing).count() == 0
+    repeated = docs.where("doc_id = 1").union(docs.where("doc_id = 1")).union(docs.where("doc_id > 1 and doc_id < 50")).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    assert language_id.fit(repeated, per_lang=5).langs
 
 
 def test_packing(docs, rows):
@@ -256,20 +279,23 @@ def test_topk(spark):
     v = r.normal(size=(900, 8)) * 0.2
     v[100:400] = v[100]  # a third of all are one vector
     data = [(i, [float(x) for x in np.float32(row)]) for i, row in enumerate(v)]
-    data += [(900, None), (920, [1.0, None]), (940, [float("nan")] * 8), (960, [float("inf")] * 8), (None, data[0][1]), data[3]]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(4)
-    ints = np.floor(64 * np.float32(v).astype(float)).astype(int)
+    extra = [(0, v[5]), (3, v[3]), (20, v[20]), (20, v[7]), (40, v[40]), (7, v[9])]  # rows that repeat a vec_id
+    data += [(i, [float(x) for x in np.float32(row)]) for i, row in extra]
+    rows = list(data)
+    data += [(900, None), (920, [1.0, None]), (940, [float("nan")] * 8), (960, [float("inf")] * 8), (None, data[0][1])]
+    df = spark.createDataFrame([(x, e, "x") for x, e in data], "vec_id long, embedding array<float>, row string").repartition(4)
+    ids = np.array([i for i, _ in rows])
+    ints = np.floor(64 * np.float32([x for _, x in rows]).astype(float)).astype(int)
     scores = ints @ ints.T
-    got = defaultdict(list)
-    for x in topk_search.top_k(df, block_rows=64, chunk_rows=16).orderBy("query_id", "rank").collect():
-        got[x.query_id].append((x.vec_id, x.score))
-    assert sorted(got) == list(range(0, 900, 20))
-    for q, found in got.items():
-        order = sorted((i for i in range(900) if i != q), key=lambda i: (-scores[q, i], i))[:20]
-        assert found == [(i, scores[q, i]) for i in order]
+    want = Counter()
+    for q in np.flatnonzero(ids % 20 == 0):
+        order = sorted((i for i in range(len(rows)) if i != q), key=lambda i: (-scores[q, i], ids[i]))[:20]
+        want += Counter((int(ids[q]), n + 1, int(ids[i]), int(scores[q, i])) for n, i in enumerate(order))
+    for first in (1, 2):
+        assert Counter(map(tuple, topk_search.top_k(df, block_rows=64, chunk_rows=16, first=first).collect())) == want
     assert topk_search.top_k(df.limit(0)).count() == 0
     few = topk_search.top_k(df.where("vec_id < 3")).collect()
-    assert len(few) == 2
+    assert len(few) == 6  # vec_id 0 twice, each with three others
 
 
 def test_warc(spark):
