@@ -11,7 +11,8 @@ a language and a power of two of different n-grams in the text, from whole texts
 stretches of 1 to 64 words of them. What one or two words leave undecided stays accepted.
 
 Training reads a bounded sample: `per_lang` texts a language by hash of the id, at
-most `max_sample` in all, as vectors and one stretch each. Prediction is one pass over all
+most `max_sample` in all, as vectors and one stretch each. A cut by hash, from the counts,
+goes before the ranking, so no task gathers more than some thousands of ids. Prediction is one pass over all
 texts without a shuffle; the centroids are the only thing sent out (256 KB for four languages).
 """
 
@@ -101,6 +102,8 @@ class Model:
         v = vectors(texts, self.dims)
         none = ~v.any(axis=1)
         at = levels(v)
+        if not self.langs:  # nothing was learned
+            return [UNKNOWN] * len(v), np.zeros(len(v)), np.ones(len(v), bool)
         v = unit(v * self.idf)
         cosines = np.clip(v @ self.centroids.T, 0.0, 1.0)
         best = cosines.argmax(axis=1)
@@ -185,14 +188,20 @@ def _clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_sample: int = 8000, dims: int = DIMS, quantile: float = 0.995, slack: float = 0.1, largest: float = 0.98) -> Model:
-    """Fit on a bounded sample of train (doc_id, text, lang); rows with null lang, or text without letters, are not used.
+    """Fit on a bounded sample of train (doc_id, text, lang).
 
-    Raises ValueError if nothing is left to learn from.
+    Rows with null lang, null doc_id or text without letters are not used; of rows that repeat
+    an id and lang the one with the least text is. With nothing to learn from, the model has no
+    language and all texts are und, score 0, rejected.
     """
-    train = train.select("doc_id", "text", "lang")
-    rows = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
-    ids = [r[0] for r in ranked.orderBy("n", "h", "doc_id").limit(max_sample).select("doc_id").collect()]
+    train = train.select(F.col("doc_id").cast("long"), "text", "lang")
+    usable = train.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # a cut by hash leaves about four times what is wanted of each language, whatever the input; only that is ranked
+    cut = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), F.least(F.lit(1.0), 4.0 * per_lang / F.col("n")).alias("share")))
+    passed = rows.join(cut, F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 32)) < F.col("share") * float(1 << 32)).select("doc_id", "lang", "h").distinct()
+    ranked = passed.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
+    ids = [tuple(r) for r in ranked.orderBy("n", "h", "doc_id", "lang").limit(max_sample).select("doc_id", "lang").collect()]
 
     def encode(batches):
         for batch in text_slices(batches, 0, 1 << 20):
@@ -201,10 +210,11 @@ def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(pieces, pa.string())], names=["lang", "v", "piece"])
 
     spark = train.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "chosen long"))  # max_sample rows at most
-    got = train.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi").where("lang is not null").select("text", "lang").mapInArrow(encode, "lang string, v binary, piece string").collect()
+    chosen = F.broadcast(spark.createDataFrame(ids, "chosen long, chosen_lang string"))  # max_sample rows at most
+    sample = usable.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")), "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = sample.select("text", "lang").mapInArrow(encode, "lang string, v binary, piece string").collect()
     if not got:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros((0, LEVELS)), dims)
     got.sort(key=lambda r: (r[0], bytes(r[1]), r[2]))
     folds = np.array([zlib.crc32(r[1]) % 5 for r in got])  # equal texts are in one
     pieces = [r[2] for r in got]
@@ -228,7 +238,8 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (cosine) and rejected: all rows and columns of docs stay, clashing ones are replaced.
     prefix goes before the names of the new columns.
 
-    Null text and texts without a letter are und, score 0, rejected.
+    Null text and texts without a letter are und, score 0, rejected. Ids are not read, so null
+    and repeated ones are like others; texts of any length are read whole; an empty table gives no rows.
     """
     new = [prefix + n for n in ("lang_pred", "score", "rejected")]
     docs = docs.drop(*new)
