@@ -24,11 +24,11 @@ _NO_ID = -(2**63)
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, with lang as identified; rejected ones and those without a letter go.
 
-    With no labelled text to learn from, only documents without a letter go.
+    With no labelled text to learn from, only documents without a letter go, null text among
+    them. Ids are not read; rows that repeat are treated alike.
     """
-    try:
-        model = fit(docs)
-    except ValueError:
+    model = fit(docs)
+    if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     prefix = "_"
     while any(c.startswith(prefix) for c in docs.columns):
