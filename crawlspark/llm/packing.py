@@ -9,7 +9,8 @@ Scale: what to put where depends on the number of pieces of each length only, so
 plan is made from a histogram of `capacity` numbers and is a few thousand rules. A
 piece's rank among those of its length, counted in parallel (per task, then summed),
 tells which rule, sequence and offset it has. Texts are read once and never shuffled;
-pieces (some 50 bytes each) meet the counts of the tasks before theirs in a merge join.
+pieces (some 50 bytes each) meet the counts of the tasks before theirs, which are broadcast
+up to `broadcast_rows` rows and meet in a merge join beyond that.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +59,13 @@ class WordEncoder:
         self.special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"\z."
         self.words.encode_special_tokens = True
         self.words.normalizer = None  # words come normalised and split
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.sizes = np.zeros(len(self.ends), np.int64)  # bytes, a character of the vocabulary each
+        for t, i in vocab.items():
+            self.sizes[i] = len(t.removesuffix("</w>"))
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
     def forget(self) -> None:
@@ -83,15 +88,14 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            got = self.words.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(got.ids, np.uint32), np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-            lengths = np.bincount(of[of >= 0], minlength=len(part))
-            # the tokenizer's own account of which word a token is of: all there, in order, the last token a word's end
-            if len(lengths) == len(part) and (of >= 0).all() and (np.diff(of) >= 0).all() and lengths.all() and self.ends[ids[np.cumsum(lengths) - 1]].all():
-                self._keep(part, ids, lengths)
-            else:
-                each = [np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
-                self._keep(part, np.concatenate(each), np.array([len(x) for x in each]))
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            # the tokens' bytes are the words' bytes in order, so words end where as many bytes have passed
+            if len(last) == len(part) and np.array_equal(np.cumsum(self.sizes[ids])[last], np.cumsum([len(w.encode()) for w in part])):
+                self._keep(part, ids, np.diff(last, prepend=-1))
+            else:  # a word that this tokenizer splits after all
+                each = [e.ids for e in self.words.encode_batch_fast(part, add_special_tokens=False)]
+                self._keep(part, np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each)))
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         chunks = pc.ascii_split_whitespace(texts)
@@ -224,7 +228,7 @@ def _placed(rules: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, broadcast_rows: int = 300_000) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty text; every document ends in end_id and so has a token. Rows with
@@ -238,8 +242,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     bases = work.save(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
     counts = {r[0]: r[1] for r in bases.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
     rules = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 6)
-    # as many bases as tasks times lengths: never broadcast, and no key has more pieces than a task wrote
-    ranked = pieces.join(bases.drop("n").hint("merge"), ["length", "map_id"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at")).alias("rank"))
+    # as many bases as tasks times lengths: sent out only when few; else no key has more pieces than a task wrote
+    few = bases.limit(broadcast_rows + 1).count() <= broadcast_rows  # 20 bytes each
+    ranked = pieces.join(F.broadcast(bases.drop("n")) if few else bases.drop("n").hint("merge"), ["length", "map_id"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at")).alias("rank"))
     return ranked.mapInArrow(_placed(rules), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
