@@ -11,7 +11,7 @@ from . import __doc__ as about
 from .config import Config, parse_header
 from .operators.pages import NotFound
 from .plans import report as report_plan
-from .store import Store, crawl_into, json_line
+from .store import Store, crawl_into, json_line, progress_lines
 
 VERSION = "0.1.0"
 
@@ -52,6 +52,9 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("id", type=int)
     for x in (c, crawls, pages, broken, report):
         x.add_argument("--json", action="store_true")
+    c.add_argument("--quiet", action="store_true")
+    s = sub.add_parser("serve")
+    s.add_argument("--addr", default="127.0.0.1:8080")
     sub.add_parser("version")
     return p
 
@@ -92,12 +95,25 @@ def _run(a, config, spark, store: Store, out) -> int:
     lines = lambda rows: out.write("".join(json_line(r) + "\n" for r in rows))
     if a.command == "crawl":
         fetcher = TableFetcher(spark.read.parquet(a.responses)) if a.responses else HttpFetcher(config, host_of(normalize(config.seed)))
-        crawl_id = crawl_into(store, config, fetcher)
+        crawl_id = crawl_into(store, config, fetcher, None if a.quiet else progress_lines(sys.stderr))
         s = store.summarize(crawl_id)
         if a.json:
             lines([{"id": crawl_id, "summary": s}])
         else:
             out.write(aligned([["crawl", crawl_id], *([k, thousands(v) if isinstance(v, int) else v] for k, v in s.items() if k != "content_types")]))
+    elif a.command == "serve":
+        from .manager import Api, Manager, serve
+
+        manager = Manager(store, lambda c: HttpFetcher(c, host_of(normalize(c.seed))))
+        host, _, port = a.addr.rpartition(":")
+        server = serve(Api(store, manager), host or "127.0.0.1", int(port))
+        try:
+            server.serve_forever()
+        except KeyboardInterrupt:
+            pass
+        finally:
+            server.server_close()
+            manager.shutdown()
     elif a.command == "crawls":
         rows = [r.asDict() for r in store.list_crawls().collect()]
         lines(rows) if a.json else out.write(aligned([["ID", "ESTADO", "INICIO", "SEMILLA"], *([r["id"], r["status"], r["started_at"], r["seed"]] for r in rows)]))

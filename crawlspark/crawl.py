@@ -39,6 +39,7 @@ class Stats:
     queued: int = 0
     sitemaps: int = 0
     via_nofollow: int = 0
+    delay_ms: int = 0
     final_host: str = ""
     robots_txt: str = ""
     robots_error: str = ""
@@ -78,18 +79,33 @@ def _blocked(url: str, depth: int, reason: str) -> dict:
     return build_page({"url": url, "fetch_error": reason or "-"}, depth, "", Config()) | {"error": reason, "blocked": True}
 
 
+class Cancelled(Exception):
+    """A crawl was told to stop; the pages of its finished rounds have been given out."""
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config, fetcher):
+    """sink(pages) gets each round's pages as soon as they are written; stopped() is asked before each round."""
+
+    def __init__(self, spark: SparkSession, config: Config, fetcher, sink=None, stopped=None):
         self.spark, self.config, self.fetcher = spark, config.with_defaults(), fetcher
+        self.sink, self.stopped = sink or (lambda pages: None), stopped or (lambda: False)
         if errors := self.config.validate():
             raise ValueError("; ".join(errors))
         self.work = Folder(spark, "crawl")
-        self.stats = Stats()
+        self.stats = Stats(delay_ms=self.config.delay_ms)
 
     def _one(self, url: str) -> dict:
         return self.fetcher.fetch(self.spark.createDataFrame([(url,)], "url string")).first().asDict()
 
     def _robots(self, base: str) -> B.Robots:
+        """The rules of an origin; the crawl goes on with the longer of its delay and the one they ask for."""
+        robots = self._rules(base)
+        asked = round(1000 * robots.crawl_delay(self.config.robots_token))
+        self.stats.delay_ms = max(self.stats.delay_ms, asked)
+        self.fetcher.pace(self.stats.delay_ms)
+        return robots
+
+    def _rules(self, base: str) -> B.Robots:
         if self.config.ignore_robots:
             return B.Robots()
         scheme, authority, _, _ = split(base)
@@ -199,12 +215,15 @@ class Engine:
         first = [(i, u, d, v) for i, (u, (d, v)) in enumerate(order.items()) if u not in done]
         rows = [p | {"seq": i} for i, p in enumerate(chain)]
         pages = [work.save(self.spark.createDataFrame(pd.DataFrame(rows, columns=CRAWLED.fieldNames()), CRAWLED), "pages0")]
+        self.sink(pages[0])
         wave = work.save(self.spark.createDataFrame(first, "seq long, url string, depth int, mark boolean"), "wave0")
         seen = self.spark.createDataFrame([(u,) for u in done], "url string").unionByName(wave.select("url"))
         base_seq, number = 1 << 32, 0
         while not wave.isEmpty():
+            if self.stopped():
+                raise Cancelled(f"after {s.fetched} pages")
             number += 1
-            checked = work.save(wave.withColumn("allowed", B.allowed_by(robots, c.robots_token, U.robots_path(F.col("url")))), f"checked{number}")
+            checked = work.save(wave.withColumn("allowed", self._allowed(robots)), f"checked{number}")
             budget = c.max_pages - s.fetched
             n_allowed = checked.where("allowed").count()
             taken = checked
@@ -223,6 +242,7 @@ class Engine:
             blocked = barred.select(*(self._blank(f, robots.reason) for f in CRAWLED.fields))
             page = work.save(kept.unionByName(blocked).withColumn("seq", F.col("seq") + base_seq * number), f"pages{number}")
             pages.append(page)
+            self.sink(page)
             got = page.agg(F.count_if(~F.col("blocked")), F.count_if("blocked"), F.count_if((F.col("error") != "") & ~F.col("blocked")), F.count_if("via_nofollow")).first()
             s.fetched, s.blocked, s.errors, s.via_nofollow = s.fetched + got[0], s.blocked + got[1], s.errors + got[2], s.via_nofollow + got[3]
             fresh = found.groupBy("url").agg(F.min(F.struct("i", "j", "depth", "nf")).alias("x"), F.min("nf").alias("nf"))
@@ -250,6 +270,12 @@ class Engine:
             value = F.lit("") if kind == "string" else F.lit(False) if kind == "boolean" else F.array() if kind.startswith("array") else F.lit(0)
         return value.cast(f.dataType).alias(f.name)
 
+    def _allowed(self, robots: B.Robots):
+        if robots.disallow_all:
+            return F.lit(False)
+        group = robots.group(self.config.robots_token)
+        return B.allowed_by_rules(U.robots_path(F.col("url")), group.rules if group else [])
+
     def _discovered(self, pages: DataFrame, host: str) -> DataFrame:
         """(i, j, url, depth, nf): what pages lead to, links in order, then the redirect."""
         c = self.config
@@ -263,5 +289,5 @@ class Engine:
         return link.unionByName(moved)
 
 
-def run(spark: SparkSession, config: Config, fetcher) -> Crawl:
-    return Engine(spark, config, fetcher).run()
+def run(spark: SparkSession, config: Config, fetcher, sink=None, stopped=None) -> Crawl:
+    return Engine(spark, config, fetcher, sink, stopped).run()

@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -44,6 +43,10 @@ class Robots:
         hits = [(len(p.encode()), allow) for allow, p in g.rules if re.search(pattern_regex(p), path)] if g else []
         return max(hits)[1] if hits else True
 
+    def block_reason(self) -> str:
+        """Why everything is closed, or ''."""
+        return self.reason if self.disallow_all else ""
+
     def crawl_delay(self, token: str) -> float:
         g = self.group(token)
         return g.delay if g and g.delay is not None else 0.0
@@ -90,18 +93,13 @@ def directives(value: str, token: str) -> tuple[bool, bool]:
     return bool(names & {"noindex", "none"}), bool(names & {"nofollow", "none"})
 
 
-def allowed_by(robots: Robots, token: str, path: Column) -> Column:
-    """Whether one robots.txt allows a path."""
-
-    @F.pandas_udf("boolean")
-    def run(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda p: robots.allowed(token, p))
-
-    return run(path)
-
+def allowed_by_rules(path: Column, rules: list[tuple[bool, str]]) -> Column:
+    """Whether the rules (allow, pattern) of one robots.txt allow a path: the longest pattern that matches decides, allow at a tie.
 
-def allowed_join(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """paths (path, ...) with `allowed`, by a table of rules (allow, pattern, regex). Rules of one robots.txt are few and are broadcast."""
-    best = F.max_by("allow", F.struct(F.octet_length("pattern"), "allow"))
-    keys = paths.columns
-    return paths.join(F.broadcast(rules), F.expr("path rlike regex"), "left").groupBy(*keys).agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+    The rules are one site's file and become one expression, so no row moves.
+    """
+    hits = [F.when(path.rlike(pattern_regex(p)), F.lit(2 * len(p.encode()) + allow)) for allow, p in rules]
+    if not hits:
+        return F.lit(True)
+    best = F.greatest(*hits) if len(hits) > 1 else hits[0]
+    return F.coalesce(best % 2 == 1, F.lit(True))

@@ -101,6 +101,46 @@ def thousands(n: Column) -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit("."))
 
 
+def grouped(n: int) -> str:
+    """A number with `.` between thousands; four digits stay together."""
+    return str(n) if abs(n) < 10_000 else f"{n:,}".replace(",", ".")
+
+
+def grouped_label(n: Column) -> Column:
+    return F.when(F.abs(n) < 10_000, n.cast("string")).otherwise(thousands(n))
+
+
+def _tenths(t: Column) -> Column:
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def bytes_label(n: Column) -> Column:
+    """`512 B`, `1.5 kB` or `2.0 MB`, a dash for what is missing or negative. Halves are rounded up."""
+    tenths = lambda unit: _tenths(F.floor((n * 10 + unit // 2) / unit))
+    return F.when(n.isNull() | (n < 0), "—").when(n < 1024, F.concat(n, F.lit(" B"))).when(n < 1 << 20, F.concat(tenths(1 << 10), F.lit(" kB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))
+
+
+def millis_label(n: Column) -> Column:
+    """`250 ms`, `1.5 s` or `2 min 5 s`, a dash for what is missing or negative."""
+    seconds = F.concat(_tenths(F.floor((n + 50) / 100)), F.lit(" s"))
+    minutes = F.concat(F.floor(n / 60_000), F.lit(" min "), F.floor((n % 60_000 + 500) / 1000), F.lit(" s"))
+    return F.when(n.isNull() | (n < 0), "—").when(n < 1000, F.concat(n, F.lit(" ms"))).when(n < 60_000, seconds).otherwise(minutes)
+
+
+#: Fixed labels of a crawl's state.
+STATES = {"running": "en curso", "done": "terminado", "failed": "fallido", "cancelled": "cancelado"}
+
+
+def state_label(status: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))
+    return F.coalesce(F.element_at(known, status), F.nullif(status, F.lit("")), F.lit("desconocido"))
+
+
+def date_label(t: Column) -> Column:
+    """Day, month, year and time in two digits each, a dash for none."""
+    return F.coalesce(F.date_format(t, "dd/MM/yy, HH:mm"), F.lit("—"))
+
+
 def yes_no(x: Column) -> Column:
     return F.when(x, "sí").otherwise("no")
 

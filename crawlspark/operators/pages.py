@@ -44,6 +44,24 @@ def list_pages(pages: DataFrame, crawl_id: int, status: str = "", q: str = "", l
     return matching(pages, crawl_id, status, q).orderBy("id").offset(max(0, offset)).limit(clamp_limit(limit))
 
 
+def page_range(offset: int, count: int, total: int, limit: int = DEFAULT_LIMIT) -> tuple[str, bool, bool]:
+    """What a page of a listing shows (`1–100 de 2.500`), and whether there are pages before and after it."""
+    if total <= 0:
+        return "0", False, False
+    label = f"{X.grouped(offset + 1)}–{X.grouped(min(offset + count, total))} de {X.grouped(total)}"
+    return label, offset > 0, offset + limit < total
+
+
+def all_in_pages(fetch, size: int = MAX_LIMIT):
+    """All rows of a listing, taken page by page: fetch(limit, offset) gives a page's rows."""
+    offset = 0
+    while rows := fetch(size, offset):
+        yield from rows
+        if len(rows) < size:
+            return
+        offset += size
+
+
 def find_page(pages: DataFrame, crawl_id: int, **key) -> DataFrame:
     """The row with a given id or url."""
     (name, value), = key.items()
@@ -86,21 +104,25 @@ def in_degrees(links: DataFrame) -> DataFrame:
     return links.groupBy("crawl_id", "to_url").agg(F.count("*").alias("n"))
 
 
-def broken(pages: DataFrame, links: DataFrame) -> DataFrame:
+def broken(pages: DataFrame, links: DataFrame, few: bool = False) -> DataFrame:
     """Broken pages with the number of link rows that lead to them.
 
-    Links are counted before they meet pages, and only those to broken pages: the
-    semi-join keeps a popular healthy target out of the shuffle's heavy keys.
+    Links are counted before they meet pages, in the map tasks first, so a popular target is a
+    row a task in the shuffle. few: the pages are at most some thousands, as a cut page is;
+    then links are first reduced to those that lead to them, by a broadcast of their URLs.
     """
     bad = pages.where(X.is_broken())
-    n = links.select("crawl_id", F.col("to_url").alias("url")).groupBy("crawl_id", "url").agg(F.count("*").alias("referrers_count"))
+    to = links.select("crawl_id", F.col("to_url").alias("url"))
+    if few:
+        to = to.join(F.broadcast(bad.select("crawl_id", "url")), ["crawl_id", "url"], "left_semi")
+    n = to.groupBy("crawl_id", "url").agg(F.count("*").alias("referrers_count"))
     return bad.join(n, ["crawl_id", "url"], "left").withColumn("referrers_count", F.coalesce("referrers_count", F.lit(0)))
 
 
 def broken_page(pages: DataFrame, links: DataFrame, crawl_id: int, limit: int = 0, offset: int = 0) -> DataFrame:
-    """Broken pages of a crawl by url. The page is cut before links are counted."""
+    """Broken pages of a crawl by url. The page is cut first, and only links to its rows are counted."""
     some = pages.where((F.col("crawl_id") == crawl_id) & X.is_broken()).orderBy("url").offset(max(0, offset)).limit(clamp_limit(limit))
-    return broken(some, links.where(F.col("crawl_id") == crawl_id)).orderBy("url")
+    return broken(some, links.where(F.col("crawl_id") == crawl_id), few=True).orderBy("url")
 
 
 def inlinks(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -112,7 +134,7 @@ def inlinks(pages: DataFrame, links: DataFrame) -> DataFrame:
 def referrers(pages: DataFrame, links: DataFrame, targets: DataFrame | None = None, per_url: int = 3) -> DataFrame:
     """The first per_url links to each target (crawl_id, to_url), by id. The window keeps so many rows a key before the shuffle."""
     if targets is not None:
-        links = links.join(targets.select("crawl_id", "to_url").distinct(), ["crawl_id", "to_url"], "left_semi")
+        links = links.join(targets.select("crawl_id", "to_url"), ["crawl_id", "to_url"], "left_semi")
     first = links.withColumn("rn", F.row_number().over(W.partitionBy("crawl_id", "to_url").orderBy("id"))).where(F.col("rn") <= (per_url if per_url > 0 else 3))
     return inlinks(pages, first)
 
@@ -120,7 +142,8 @@ def referrers(pages: DataFrame, links: DataFrame, targets: DataFrame | None = No
 def broken_with_referrers(pages: DataFrame, links: DataFrame, per_url: int = 3) -> DataFrame:
     """Broken pages with an array of their first referrers."""
     bad = broken(pages, links)
-    some = referrers(pages, links, bad.select("crawl_id", F.col("url").alias("to_url")), per_url)
+    targets = pages.where(X.is_broken()).select("crawl_id", F.col("url").alias("to_url"))
+    some = referrers(pages, links, targets, per_url)
     nested = some.groupBy("crawl_id", F.col("to_url").alias("url")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "from_url"))), lambda x: x["from_url"]).alias("referrers"))
     return bad.join(nested, ["crawl_id", "url"], "left").withColumn("referrers", F.coalesce("referrers", F.array().cast("array<string>")))
 

@@ -87,12 +87,12 @@ def top_pages(pages: DataFrame, by: str, n: int = TOP) -> DataFrame:
     return pages.where(X.has_response()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*page_ref(), "rank")
 
 
-def top_broken(pages: DataFrame, links: DataFrame, scanned: int = SCANNED, n: int = BROKEN) -> DataFrame:
-    """Of each crawl's first broken pages by url, those with the most referrers."""
+def top_broken(pages: DataFrame, links: DataFrame, scanned: int = SCANNED, n: int = BROKEN, one_crawl: bool = False) -> DataFrame:
+    """Of each crawl's first broken pages by url, those with the most referrers. one_crawl: the pages are of one, so `scanned` bounds them."""
     by_url = W.partitionBy("crawl_id").orderBy("url")
     some = pages.where(X.is_broken()).withColumn("at", F.row_number().over(by_url)).where(F.col("at") <= scanned)
     w = W.partitionBy("crawl_id").orderBy(F.desc("referrers_count"), "url")
-    return broken(some, links).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("crawl_id", "url", "status", "error", "referrers_count", "rank")
+    return broken(some, links, few=one_crawl).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("crawl_id", "url", "status", "error", "referrers_count", "rank")
 
 
 def sample_keys():

@@ -328,16 +328,68 @@ def _(spark, d):
     return parsed(spark, d).select("page_id", F.size("links").alias("n"))
 
 
-@query("html_links")
+#: Anchors as the test pages write them, relative to the site's root; a URL counts where it comes first.
+_ANCHORS = """WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages),
+  b AS (SELECT page_id, url AS page, unnest(hrefs) AS href, unnest(texts) AS text, generate_subscripts(hrefs, 1) AS i FROM a),
+  c AS (SELECT page_id, i, trim(text) AS text, {root} || {path} AS url FROM b),
+  d AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY i) AS nth FROM c),
+  e AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos, url, text, false AS nofollow, true AS in_scope FROM d WHERE nth = 1)
+""".replace("{root}", f"lower({_part('page', 2)}) || '://' || lower({_part('page', 4)})").replace("{path}", "replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%2A', '*')")
+
+
+@query("html_links", f"{_ANCHORS} SELECT page_id, pos, url, text, nofollow, in_scope FROM e", plain=True)
 def _(spark, d):
     return parsed(spark, d).select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.*")
 
 
-@query("inscope_links")
+@query("inscope_links", f"{_ANCHORS} SELECT page_id, url, text, nofollow FROM e", plain=True)
 def _(spark, d):
     return parsed(spark, d).select("page_id", F.explode("links").alias("l")).where("l.in_scope").select("page_id", "l.url", "l.text", "l.nofollow")
 
 
+_HOSTS = "CASE event_id % 6 WHEN 0 THEN 'WWW.Example.com' WHEN 1 THEN 'blog.example.com' WHEN 2 THEN 'example.com' WHEN 3 THEN 'notexample.com' WHEN 4 THEN '' ELSE 'example.com.evil.test' END"
+
+
+@query("same_site", f"SELECT event_id, event_id % 6 IN (0, 2) AS same, event_id % 6 IN (0, 1, 2) AS with_subdomains FROM events", plain=True)
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_HOSTS).alias("host"))
+    return v.select("event_id", U.same_site("example.com", F.col("host"), False).alias("same"), U.same_site("example.com", F.col("host"), True).alias("with_subdomains"))
+
+
+_TYPES = "CASE event_id % 5 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN ' application/JSON ' WHEN 2 THEN '' WHEN 3 THEN ';x' ELSE 'image/png;q=\"1;2\"' END"
+_RELS = "CASE event_id % 4 WHEN 0 THEN 'NoFollow' WHEN 1 THEN 'external  nofollow' WHEN 2 THEN 'nofollowed no-follow' ELSE '' END"
+
+
+@query("media_types", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' WHEN 4 THEN 'image/png' ELSE '' END AS media_type, event_id % 4 < 2 AS nofollow FROM events", plain=True)
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_TYPES).alias("type"), F.expr(_RELS).alias("rel"))
+    return v.select("event_id", X.media_type(F.col("type")).alias("media_type"), X.has_token(F.col("rel"), "nofollow").alias("nofollow"))
+
+
+_SIZE = "event_id * event_id * 37 - 3"
+_TENTH = "CAST(({n}) // 10 AS VARCHAR) || '.' || CAST(({n}) % 10 AS VARCHAR)"
+
+
+@query("labels", f"""WITH v AS (SELECT event_id, {_SIZE} AS n, ts FROM events) SELECT event_id,
+  CASE WHEN n < 0 THEN '—' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN {_TENTH.format(n="(n * 10 + 512) // 1024")} || ' kB' ELSE {_TENTH.format(n="(n * 10 + 524288) // 1048576")} || ' MB' END AS bytes,
+  CASE WHEN n < 0 THEN '—' WHEN n < 1000 THEN n || ' ms' WHEN n < 60000 THEN {_TENTH.format(n="(n + 50) // 100")} || ' s' ELSE (n // 60000) || ' min ' || ((n % 60000 + 500) // 1000) || ' s' END AS duration,
+  CASE WHEN abs(n) < 10000 THEN CAST(n AS VARCHAR) ELSE replace(format('{{:,}}', n), ',', '.') END AS number, replace(format('{{:,}}', n), ',', '.') AS thousands,
+  CASE event_id % 6 WHEN 0 THEN 'en curso' WHEN 1 THEN 'terminado' WHEN 2 THEN 'fallido' WHEN 3 THEN 'cancelado' WHEN 4 THEN 'other' ELSE 'desconocido' END AS state, strftime(ts, '%d/%m/%y, %H:%M') AS day FROM v""", plain=True)
+def _(spark, d):
+    state = "CASE event_id % 6 WHEN 0 THEN 'running' WHEN 1 THEN 'done' WHEN 2 THEN 'failed' WHEN 3 THEN 'cancelled' WHEN 4 THEN 'other' ELSE '' END"
+    v = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.expr(_SIZE).alias("n"), "ts", F.expr(state).alias("state"))
+    n = F.col("n")
+    return v.select("event_id", X.bytes_label(n).alias("bytes"), X.millis_label(n).alias("duration"), X.grouped_label(n).alias("number"), X.thousands(n).alias("thousands"), X.state_label(F.col("state")).alias("state"), X.date_label(F.col("ts")).alias("day"))
+
+
+@query("schemas", "SELECT * FROM (VALUES ('pages', 21), ('links', 7), ('crawls', 11), ('responses', 10)) t(name, columns)", plain=True)
+def _(spark, d):
+    """The fixed schemas: a table of each that holds rows written and read again has no null."""
+    from ..schema import CRAWLS, LINKS, PAGES, RESPONSES
+
+    return spark.createDataFrame([(n, len(s.fields)) for n, s in (("pages", PAGES), ("links", LINKS), ("crawls", CRAWLS), ("responses", RESPONSES))], "name string, columns int")
+
+
 #: (allow, pattern) of the query's robots.txt.
 _RULES = ((False, "/s1"), (True, "/s1/p*1"), (False, "/*utm"), (False, "/en/s*/p*0$"), (True, "/en/s10"))
 
@@ -347,8 +399,7 @@ _RULES = ((False, "/s1"), (True, "/s1/p*1"), (False, "/*utm"), (False, "/en/s*/p
     ", r AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, '{p}', '{B.pattern_regex(p)}')" for a, p in _RULES) + f") t(allow, pattern, regex)), u AS (SELECT id, {_part('url', 5)} || CASE WHEN {_part('url', 7)} = '' THEN '' ELSE '?' || {_part('url', 7)} END AS path FROM cp) SELECT u.id, coalesce(arg_max(allow, len(pattern) * 2 + CAST(allow AS INT)), true) AS allowed FROM u LEFT JOIN r ON regexp_matches(path, regex) GROUP BY u.id",
 )
 def _(spark, d):
-    rules = spark.createDataFrame([(a, p, B.pattern_regex(p)) for a, p in _RULES], "allow boolean, pattern string, regex string")
-    return B.allowed_join(pages(spark, d).select("id", U.robots_path(F.col("url")).alias("path")), rules).select("id", "allowed")
+    return pages(spark, d).select("id", B.allowed_by_rules(U.robots_path(F.col("url")), list(_RULES)).alias("allowed"))
 
 
 _VALUES = "CASE event_id % 6 WHEN 0 THEN 'noindex, follow' WHEN 1 THEN 'NONE' WHEN 2 THEN 'otherbot: noindex, nofollow' WHEN 3 THEN 'crawlspark: noindex' WHEN 4 THEN '*: none' ELSE 'all, , index' END"
@@ -419,3 +470,6 @@ def _(spark, d):
     from ..streaming.ingest import streamed_counters
 
     return streamed_counters(spark, pages(spark, d))
+
+
+from . import catalogue_site  # noqa: E402, F401  registers the queries over the crawled site

@@ -28,7 +28,7 @@ def build(crawl: dict, pages: DataFrame, links: DataFrame, seed: int = 0, now: d
         "content_types": rows(P.content_types(prepared), "content_type"),
         "redirects": rows(R.redirects(prepared).orderBy(F.desc("n"), "pattern").limit(R.REDIRECTS), F.desc("n"), "pattern"),
         "errors": rows(R.errors(prepared).orderBy(F.desc("n"), "kind").limit(R.ERRORS), F.desc("n"), "kind"),
-        "top_broken": ranked(R.top_broken(prepared, links)),
+        "top_broken": ranked(R.top_broken(prepared, links, one_crawl=True)),
         "top_broken_scanned": lambda: min(R.SCANNED, broken.count()),
         "duplicate_titles": rows(R.duplicate_titles(prepared).orderBy(F.desc("n"), "title").limit(R.TITLES), F.desc("n"), "title"),
         "slowest": ranked(R.top_pages(prepared, "duration_ms")),

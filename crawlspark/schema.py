@@ -13,7 +13,10 @@ def _struct(columns: str) -> T.StructType:
 
 CONFIG = "seed string, max_pages long, max_depth long, concurrency long, delay_ms long, timeout_ms long, max_body_bytes long, user_agent string, include_subdomains boolean, ignore_robots boolean, use_sitemaps boolean, headers map<string,string>, origin string, insecure_tls boolean, follow_nofollow boolean"
 
-CRAWLS = _struct("id long, seed string, status string, config string, started_at timestamp, finished_at timestamp, error string, robots_txt string")
+CRAWLS = _struct("id long, seed string, status string, config string, started_at timestamp, finished_at timestamp, error string, robots_txt string, pages_version int, links_version int, cleared long")
+
+#: What later versions added, with what older rows have: read as if always there.
+ADDED = {"crawls": {"robots_txt": "", "pages_version": 0, "links_version": 0, "cleared": 0}, "pages": {"x_robots_tag": "", "via_nofollow": False}}
 
 PAGES = _struct(
     "id long, crawl_id long, url string, depth int, status int, content_type string, size long, duration_ms long, title string, description string, canonical string,"

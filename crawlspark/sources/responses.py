@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ class Fetcher(Protocol):
 
     def fetch(self, urls: DataFrame) -> DataFrame: ...
 
+    def pace(self, delay_ms: int) -> None:
+        """At least so long between the starts of two requests from now on."""
+
 
 class TableFetcher:
     """Answers from a table; a URL that it lacks fails."""
@@ -29,6 +34,9 @@ class TableFetcher:
         names = set(responses.columns)
         self.responses = responses.select(*(F.col(f.name).cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in RESPONSES.fields))
 
+    def pace(self, delay_ms: int) -> None:
+        """A table is read at any rate."""
+
     def fetch(self, urls: DataFrame) -> DataFrame:
         r = self.responses.withColumn("known", F.lit(True)).withColumnRenamed("url", "u")
         joined = urls.select("url").join(r, F.col("url") == F.col("u"), "left")
@@ -46,30 +54,47 @@ def connection_target(url: str, seed_host: str, origin: str) -> tuple[str, int]
     return ip, int(port or (443 if url.startswith("https:") else 80))
 
 
+def next_slot(now: float, origin: float, delay: float, worker: int, workers: int, last: int = -1) -> tuple[int, float]:
+    """A worker's next turn, later than its turn `last`: number and start.
+
+    Turns of all workers are `delay` apart from `origin` on and belong to them in rotation, so
+    the workers keep one rate between them without speaking to each other.
+    """
+    turn = max(last + 1, math.ceil((now - origin) / delay)) if delay > 0 else last + 1
+    turn += (worker - turn) % workers
+    return turn, origin + turn * delay
+
+
 class HttpFetcher:
-    """GET requests from the executors, one client a partition; redirects are not followed.
+    """GET requests from the executors; redirects are not followed.
 
-    Hosts are kept together, so that each partition can pace its requests: `delay_ms`
-    between the starts of two, per partition.
+    `concurrency` partitions take turns, so that all requests of a crawl together keep
+    `delay_ms` between the starts of two.
     """
 
-    def __init__(self, config: Config, seed_host: str, partitions: int = 4):
-        self.config, self.seed_host, self.partitions = config, seed_host, partitions
+    def __init__(self, config: Config, seed_host: str):
+        self.config, self.seed_host, self.delay_ms, self.called = config, seed_host, config.delay_ms, False
+
+    def pace(self, delay_ms: int) -> None:
+        self.delay_ms = delay_ms
 
     def fetch(self, urls: DataFrame) -> DataFrame:
-        config, seed_host = self.config, self.seed_host
+        config, seed_host, workers, delay = self.config, self.seed_host, self.config.concurrency, self.delay_ms / 1000
+        # the requests of the call before have all begun by now
+        origin, self.called = time.time() + delay * self.called, True
 
         def run(batches):
-            last = 0.0
+            worker, turn = TaskContext.get().partitionId() % workers, -1
             for batch in batches:
                 rows = []
                 for url in batch.url:
-                    time.sleep(max(0.0, last + config.delay_ms / 1000 - time.monotonic()))
-                    last = time.monotonic()
+                    turn, start = next_slot(time.time(), origin, delay, worker, workers, turn)
+                    if delay > 0:
+                        time.sleep(max(0.0, start - time.time()))
                     rows.append(get(url, config, seed_host))
                 yield pd.DataFrame(rows, columns=RESPONSES.fieldNames())
 
-        return urls.select("url").repartition(self.partitions, F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)).mapInPandas(run, RESPONSES)
+        return urls.select("url").repartition(workers).mapInPandas(run, RESPONSES)
 
 
 def get(url: str, config: Config, seed_host: str) -> tuple:

@@ -1,24 +1,33 @@
 """A store of crawls as Parquet tables in one folder.
 
-pages and links are partitioned by crawl and batch; a batch counts once its marker row is
-in `batches`, so a batch is visible whole or not at all. The control table of crawls is
-small and is written anew, under the next version, with every change.
+pages and links are partitioned by crawl and version, counters by crawl. A batch counts once
+its marker row is in `batches`, so a batch is visible whole or not at all; its number is
+claimed before anything is written, so what a broken batch left is never taken for another's.
+The control table of crawls is small and is written anew, under the next version, with
+every change; it says which version of a crawl's pages and links holds.
+
+Each batch leaves its counters, so a summary adds up a row a batch and reads no page.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as X
 from .operators import pages as P
 from .plans import report as report_plan
-from .schema import CRAWLS, LINKS, PAGES
+from .schema import ADDED, CRAWLS, LINKS, PAGES
 from .sources.shared import Folder
 
 NotFound = P.NotFound
+_BATCHES = "batch long, n long, crawl_id long"
+_SHIFT = 40  # ids: batch, then number within it
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
@@ -26,10 +35,39 @@ class Store:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.check_writable()
+        self.migrate()
         # what was running when the last process ended has failed
         crawls = self.crawls()
         if not crawls.where("status = 'running'").isEmpty():
-            self._rewrite(crawls.withColumn("error", F.when(F.col("status") == "running", "interrumpido").otherwise(F.col("error"))).withColumn("finished_at", F.when(F.col("status") == "running", F.current_timestamp()).otherwise(F.col("finished_at"))).withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status"))))
+            ran = F.col("status") == "running"
+            self._rewrite(crawls.withColumns({"error": F.when(ran, "interrumpido").otherwise(F.col("error")), "finished_at": F.when(ran, F.current_timestamp()).otherwise(F.col("finished_at")), "status": F.when(ran, "failed").otherwise(F.col("status"))}))
+
+    def check_writable(self) -> None:
+        """The folder is made if it is not there; PermissionError if nothing can be written to it."""
+        probe = self._path(f"{self.path}/.probe-{uuid.uuid4().hex}")
+        try:
+            self._fs.mkdirs(probe.getParent())
+            self._fs.create(probe).close()
+            self._fs.delete(probe, False)
+        except Exception as e:
+            raise PermissionError(f"cannot write to {self.path}: {str(e).splitlines()[0]}") from e
+
+    def migrate(self) -> list[str]:
+        """Bring a store of an older version up to date: new columns of the control table, counters of batches that have none. Returns what was added."""
+        added = []
+        if v := self._versions():
+            have = set(self.spark.read.parquet(f"{self.path}/crawls/v={v[-1]}").columns)
+            if missing := [c for c in CRAWLS.fieldNames() if c not in have]:
+                self._rewrite(self.crawls())
+                added += [f"crawls.{c}" for c in missing]
+        if self._exists("batches"):
+            without = self._done().join(self._counters().select("crawl_id", "batch"), ["crawl_id", "batch"], "left_anti").select("crawl_id", "batch").collect()
+            for crawl_id in sorted({r.crawl_id for r in without}):
+                batches = [r.batch for r in without if r.crawl_id == crawl_id]
+                self._count(self.pages(crawl_id).where(F.shiftright("id", _SHIFT).isin(batches)), crawl_id)
+                added += [f"counters {crawl_id}/{b}" for b in batches]
+        return added
 
     # the control table
     def _exists(self, name: str) -> bool:
@@ -41,9 +79,13 @@ class Store:
         found = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/crawls"))]
         return sorted(int(n[2:]) for n in found if n.startswith("v=") and self._exists(f"crawls/{n}/_SUCCESS"))
 
+    @staticmethod
+    def _filled(table: DataFrame, name: str) -> DataFrame:
+        return table.fillna(ADDED.get(name, {}))
+
     def crawls(self) -> DataFrame:
         v = self._versions()
-        return self.spark.read.schema(CRAWLS).parquet(f"{self.path}/crawls/v={v[-1]}") if v else self.spark.createDataFrame([], CRAWLS)
+        return self._filled(self.spark.read.schema(CRAWLS).parquet(f"{self.path}/crawls/v={v[-1]}"), "crawls") if v else self.spark.createDataFrame([], CRAWLS)
 
     def _rewrite(self, crawls: DataFrame) -> None:
         v = self._versions()
@@ -60,7 +102,7 @@ class Store:
     def create_crawl(self, seed: str, config: str = "{}") -> int:
         crawls = self.crawls()
         new = (crawls.agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(new, seed, "running", config, datetime.now(timezone.utc), None, "", "")], CRAWLS)
+        row = self.spark.createDataFrame([(new, seed, "running", config, datetime.now(timezone.utc), None, "", "", 0, 0, 0)], CRAWLS)
         self._rewrite(crawls.unionByName(row))
         return new
 
@@ -85,16 +127,24 @@ class Store:
     def delete_crawl(self, crawl_id: int) -> None:
         self.get_crawl(crawl_id)
         self._rewrite(self.crawls().where(F.col("id") != crawl_id))
-        for name in ("batches", "pages", "links"):
+        for name in ("batches", "counters", "pages", "links"):
             self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}"), True)
 
     # pages and links
+    def _done(self) -> DataFrame:
+        """(crawl_id, batch) of whole batches."""
+        if not self._exists("batches"):
+            return self.spark.createDataFrame([], "crawl_id long, batch long")
+        return self.spark.read.schema(_BATCHES).parquet(f"{self.path}/batches").where("n >= 0").select("crawl_id", "batch")
+
     def _table(self, name: str, schema) -> DataFrame:
         if not self._exists(name) or not self._exists("batches"):
             return self.spark.createDataFrame([], schema)
-        t = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
-        done = self.spark.read.schema("batch long, n long, crawl_id long").parquet(f"{self.path}/batches").select("crawl_id", "batch")
-        return t.withColumn("batch", F.shiftright(F.col("id"), 40)).join(F.broadcast(done), ["crawl_id", "batch"], "left_semi").select(*schema.fieldNames())
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", version int"
+        t = self.spark.read.schema(columns).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+        holds = self.crawls().select(F.col("id").alias("crawl_id"), F.col(f"{name}_version").alias("version"))
+        t = t.join(F.broadcast(holds), ["crawl_id", "version"], "left_semi").withColumn("batch", F.shiftright(F.col("id"), _SHIFT))
+        return self._filled(t.join(F.broadcast(self._done()), ["crawl_id", "batch"], "left_semi").select(*schema.fieldNames()), name)
 
     def pages(self, crawl_id: int | None = None) -> DataFrame:
         t = self._table("pages", PAGES)
@@ -104,49 +154,104 @@ class Store:
         t = self._table("links", LINKS)
         return t if crawl_id is None else t.where(F.col("crawl_id") == crawl_id)
 
+    def _claim(self, crawl_id: int) -> int:
+        """A batch number that no other batch has, whole or broken."""
+        taken = self.spark.read.schema(_BATCHES).parquet(f"{self.path}/batches").agg(F.coalesce(F.max("batch"), F.lit(0))).first()[0] if self._exists("batches") else 0
+        self._mark(taken + 1, -1, crawl_id)
+        return taken + 1
+
+    def _mark(self, batch: int, n: int, crawl_id: int) -> None:
+        self.spark.createDataFrame([(batch, n, crawl_id)], _BATCHES).coalesce(1).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/batches")
+
+    def _write(self, df: DataFrame, crawl_id: int, name: str, schema, version: int, mode: str = "append") -> None:
+        """Rows of one crawl, under a version of its table."""
+        cols = [F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "crawl_id"]
+        df.select(*cols).write.mode(mode).parquet(f"{self.path}/{name}/crawl_id={crawl_id}/version={version}")
+
     def add_pages(self, crawl_id: int, batch: DataFrame) -> int:
         """Append crawled pages with their links (schema CRAWLED) as one batch; returns its number of pages.
 
         A URL that is there twice, in the batch or in the crawl, rejects the whole batch.
         """
+        crawl = self.get_crawl(crawl_id)
+        work = Folder(self.spark, "batch")
+        batch = work.save(batch, "given")
+        n = batch.count()
+        if batch.select("url").distinct().count() != n or not batch.join(self.pages(crawl_id), "url", "left_semi").isEmpty():
+            raise ValueError("duplicate url")
+        number = self._claim(crawl_id)
+        with_id = work.numbered(batch, "pages", "seq").withColumn("id", F.lit(number << _SHIFT) + F.col("n"))
+        self._write(with_id, crawl_id, "pages", PAGES, crawl["pages_version"])
+        each = with_id.select(F.col("id").alias("from_page_id"), F.posexplode("links").alias("pos", "l"))
+        each = work.numbered(each, "links", "from_page_id", "pos").withColumn("id", F.lit(number << _SHIFT) + F.col("n"))
+        self._write(each.select("id", "from_page_id", F.col("l.url").alias("to_url"), "l.text", "l.nofollow", "l.in_scope"), crawl_id, "links", LINKS, crawl["links_version"])
+        self._count(with_id, crawl_id)
+        self._mark(number, n, crawl_id)
+        return n
+
+    # counters
+    _COUNTS = "batch long, total long, status_2xx long, status_3xx long, status_4xx long, status_5xx long, errors long, blocked long, noindex long, via_nofollow long, max_depth int, duration_sum long, duration_n long, content_types map<string,long>, crawl_id long"
+
+    def _counters(self) -> DataFrame:
+        if not self._exists("counters"):
+            return self.spark.createDataFrame([], self._COUNTS)
+        return self.spark.read.schema(self._COUNTS).parquet(f"{self.path}/counters")
+
+    def _count(self, pages: DataFrame, crawl_id: int) -> None:
+        """Write the counters of some pages' batches, whatever batches those are."""
+        of = F.shiftright("id", _SHIFT).alias("batch")
+        counts = pages.groupBy(of).agg(*P.counters())
+        types = pages.where("content_type <> ''").groupBy(of, "content_type").agg(F.count("*").alias("n")).groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("content_type", "n"))).alias("content_types"))
+        rows = counts.join(types, "batch", "left").withColumn("content_types", F.coalesce("content_types", F.create_map().cast("map<string,bigint>"))).withColumn("crawl_id", F.lit(crawl_id).cast("long"))
+        rows.select(*(x.split()[0] for x in self._COUNTS.split(", "))).coalesce(1).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/counters")
+
+    def summary(self) -> DataFrame:
+        """The counters of all crawls, a row each, from those of their batches; a crawl without pages has zeros."""
+        parts = self._counters().join(F.broadcast(self._done()), ["crawl_id", "batch"], "left_semi")
+        sums = [c for c in parts.columns if c not in ("crawl_id", "batch", "max_depth", "content_types")]
+        added = parts.groupBy("crawl_id").agg(*(F.sum(c).alias(c) for c in sums), F.max("max_depth").alias("max_depth"))
+        out = self.crawls().select(F.col("id").alias("crawl_id"), "cleared").join(added, "crawl_id", "left").fillna(0)
+        out = out.withColumn("via_nofollow", F.col("via_nofollow") - F.col("cleared")).withColumn("avg_duration_ms", X.int_avg(F.col("duration_sum"), F.col("duration_n")))
+        return out.select("crawl_id", *(c for c in sums if not c.startswith("duration")), "max_depth", "avg_duration_ms")
+
+    def content_types(self) -> DataFrame:
+        parts = self._counters().join(F.broadcast(self._done()), ["crawl_id", "batch"], "left_semi")
+        return parts.select("crawl_id", F.explode("content_types").alias("content_type", "n")).groupBy("crawl_id", "content_type").agg(F.sum("n").alias("n"))
+
+    def summarize(self, crawl_id: int) -> dict:
         self.get_crawl(crawl_id)
-        batch = batch.persist()
-        try:
-            n = batch.count()
-            if batch.select("url").distinct().count() != n or not batch.join(self.pages(crawl_id), "url", "left_semi").isEmpty():
-                raise ValueError("duplicate url")
-            number = 1 + (self.spark.read.schema("batch long, n long, crawl_id long").parquet(f"{self.path}/batches").agg(F.coalesce(F.max("batch"), F.lit(0))).first()[0] if self._exists("batches") else 0)
-            work = Folder(self.spark, "batch")
-            with_id = work.numbered(batch, "pages", "seq").withColumn("id", F.lit(number << 40) + F.col("n")).withColumn("crawl_id", F.lit(crawl_id).cast("long"))
-            write = lambda df, name, schema: df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields)).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/{name}")
-            write(with_id, "pages", PAGES)
-            each = with_id.select("crawl_id", F.col("id").alias("from_page_id"), F.posexplode("links").alias("pos", "l"))
-            each = work.numbered(each, "links", "from_page_id", "pos").withColumn("id", F.lit(number << 40) + F.col("n"))
-            write(each.select("id", "crawl_id", "from_page_id", F.col("l.url").alias("to_url"), "l.text", "l.nofollow", "l.in_scope"), "links", LINKS)
-            self.spark.createDataFrame([(number, n, crawl_id)], "batch long, n long, crawl_id long").write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/batches")
-            return n
-        finally:
-            batch.unpersist()
+        row = self.summary().where(F.col("crawl_id") == crawl_id).drop("crawl_id").first().asDict()
+        return row | {"content_types": {r.content_type: r.n for r in self.content_types().where(F.col("crawl_id") == crawl_id).collect()}}
+
+    # versions
+    def _switch(self, crawl_id: int, tables: dict[str, tuple[DataFrame, object]], **values) -> None:
+        """Write tables of a crawl under their next versions, then let the control table name those; a stop before that changes nothing."""
+        crawl = self.get_crawl(crawl_id)
+        for name, (rows, schema) in tables.items():
+            self._write(rows, crawl_id, name, schema, crawl[f"{name}_version"] + 1, "overwrite")
+        self._update(crawl_id, **{f"{name}_version": F.lit(crawl[f"{name}_version"] + 1) for name in tables}, **values)
+        for name in tables:
+            self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}/version={crawl[f'{name}_version']}"), True)
 
     def recompute_via_nofollow(self, crawl_id: int) -> int:
-        """Clear marks of pages that a normal link reaches; returns how many. The crawl's pages are written anew."""
-        self.get_crawl(crawl_id)
+        """Clear marks of pages that a normal link reaches; returns how many. The crawl gets a new version of its pages."""
+        crawl = self.get_crawl(crawl_id)
         before = self.pages(crawl_id)
         after = P.recompute_via_nofollow(before, self.links(crawl_id))
         n = before.where("via_nofollow").count() - after.where("via_nofollow").count()
         if n:
-            fresh, old = f"{self.path}/pages-{crawl_id}.new", self._path(f"{self.path}/pages/crawl_id={crawl_id}")
-            after.drop("crawl_id").write.mode("overwrite").parquet(fresh)
-            self._fs.delete(old, True)
-            self._fs.rename(self._path(fresh), old)
+            self._switch(crawl_id, {"pages": (after, PAGES)}, cleared=F.lit(crawl["cleared"] + n))
         return n
 
-    # queries
-    def summarize(self, crawl_id: int) -> dict:
+    def compact(self, crawl_id: int, rows_per_file: int = 1_000_000) -> None:
+        """Write a crawl's many small files anew as few, in order of id, without what broken batches left."""
         self.get_crawl(crawl_id)
-        p = self.pages(crawl_id)
-        return P.summary(p).first().asDict() | {"content_types": {r.content_type: r.n for r in P.content_types(p).collect()}}
+        tables = {}
+        for name, rows, schema in (("pages", self.pages(crawl_id), PAGES), ("links", self.links(crawl_id), LINKS)):
+            tables[name] = (rows.repartitionByRange(max(1, -(-rows.count() // rows_per_file)), "id").sortWithinPartitions("id"), schema)
+        self._switch(crawl_id, tables)
 
+    # queries
     def list_pages(self, crawl_id: int, status: str = "", q: str = "", limit: int = 0, offset: int = 0) -> tuple[DataFrame, int]:
         self.get_crawl(crawl_id)
         p = self.pages(crawl_id)
@@ -190,23 +295,54 @@ class Store:
         return report_plan.build(self.get_crawl(crawl_id), self.pages(crawl_id), self.links(crawl_id), seed, now)
 
 
-def crawl_into(store: Store, config, fetcher) -> int:
-    """Crawl and store: the crawl's id, with its pages, robots.txt, corrected marks and final status."""
-    from .crawl import run
+def crawl_into(store: Store, config, fetcher, progress=None, stopped=None, crawl_id: int | None = None) -> int:
+    """Crawl and store: the crawl's id, with its pages, robots.txt, corrected marks and final status.
+
+    Every round's pages are stored as a batch when they are there, so a running crawl can be
+    read and a stop loses one round at most. progress(pages) gets each stored round. stopped()
+    true ends the crawl as cancelled.
+    """
+    from .crawl import Cancelled, Engine
 
-    crawl_id = store.create_crawl(config.seed, config.to_json())
+    if crawl_id is None:
+        crawl_id = store.create_crawl(config.seed, config.to_json())
+
+    def sink(pages: DataFrame) -> None:
+        store.add_pages(crawl_id, pages)
+        if progress:
+            progress(pages)
+
+    engine = None
+    status, error, raised = "done", "", None
     try:
-        got = run(store.spark, config, fetcher)
-        store.add_pages(crawl_id, got.pages)
-        if config.follow_nofollow:
-            store.recompute_via_nofollow(crawl_id)
-        store.set_robots(crawl_id, got.stats.robots_txt)
-        store.finish_crawl(crawl_id, "done")
-    except Exception as e:
-        store.finish_crawl(crawl_id, "failed", str(e))
-        raise
+        engine = Engine(store.spark, config, fetcher, sink, stopped)
+        engine.run()
+    except Cancelled:
+        status = "cancelled"
+    except Exception as e:  # noqa: BLE001  the crawl is finished first
+        status, error, raised = "failed", str(e), e
+    if config.follow_nofollow and not raised:
+        store.recompute_via_nofollow(crawl_id)
+    store.set_robots(crawl_id, engine.stats.robots_txt if engine else "")
+    store.finish_crawl(crawl_id, status, error)
+    if raised:
+        raise raised
     return crawl_id
 
 
+def progress_lines(out):
+    """A progress callback that writes a numbered line a page to a file-like object."""
+    number = 0
+
+    def write(pages: DataFrame) -> None:
+        nonlocal number
+        for r in pages.select("status", "blocked", "content_type", "url", "error").orderBy("seq").toLocalIterator():
+            number += 1
+            code = str(r.status) if r.status > 0 else "BLOQ" if r.blocked else "ERR"
+            out.write(f"[{number:4d}] {code:<4} {r.content_type:<11} {r.url}" + (f" ({r.error})" if r.blocked and r.error else "") + "\n")
+
+    return write
+
+
 def json_line(row: dict) -> str:
     return json.dumps(row, ensure_ascii=False, default=str)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pages import counters
+from ..schema import CRAWLED
 from ..sources.shared import Folder
 
 
@@ -36,3 +37,29 @@ def streamed_counters(spark: SparkSession, pages: DataFrame, files: int = 4) ->
 
     ingest(stream, write, f"{work.path}/checkpoint", None).awaitTermination()
     return merge_counters(spark.read.schema(schema).parquet(f"{work.path}/parts/*"))
+
+
+def store_stream(store, crawl_id: int, source: DataFrame, checkpoint: str, interval: str | None = "1 second"):
+    """Start a stream that stores each micro-batch of crawled pages (schema CRAWLED) as a batch of a crawl.
+
+    A micro-batch that is repeated after a failure finds its URLs stored and adds nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(["url"]).join(store.pages(crawl_id).select("url"), "url", "left_anti").select(*batch.columns)
+        if not new.isEmpty():
+            store.add_pages(crawl_id, new)
+
+    return ingest(source, write, checkpoint, interval)
+
+
+def stream_into(spark: SparkSession, store, crawl_id: int, pages: DataFrame, work: Folder, files: int = 3) -> None:
+    """Store pages that arrive as files, a file a micro-batch, the first of them twice."""
+    absent = {"string": "''", "boolean": "false", "int": "0", "bigint": "0L", "timestamp": "current_timestamp()"}
+    have = set(pages.columns)
+    blank = [("id" if f.name == "seq" else f.name if f.name in have else absent.get(f.dataType.simpleString(), "array()")) for f in CRAWLED.fields]
+    rows = pages.selectExpr(*(f"CAST({x} AS {f.dataType.simpleString()}) AS {f.name}" for x, f in zip(blank, CRAWLED.fields)))
+    rows.repartition(files).write.parquet(f"{work.path}/in")
+    rows.where("seq % 10 = 0").coalesce(1).write.mode("append").parquet(f"{work.path}/in")
+    stream = spark.readStream.schema(CRAWLED).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in")
+    store_stream(store, crawl_id, stream, f"{work.path}/checkpoint", None).awaitTermination()
