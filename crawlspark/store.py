@@ -230,8 +230,8 @@ class Store:
         for name, (rows, schema) in tables.items():
             self._write(rows, crawl_id, name, schema, crawl[f"{name}_version"] + 1, "overwrite")
         self._update(crawl_id, **{f"{name}_version": F.lit(crawl[f"{name}_version"] + 1) for name in tables}, **values)
-        for name in tables:
-            self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}/version={crawl[f'{name}_version']}"), True)
+        for name in tables:  # the version before stays for those who are reading it
+            self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}/version={crawl[f'{name}_version'] - 1}"), True)
 
     def recompute_via_nofollow(self, crawl_id: int) -> int:
         """Clear marks of pages that a normal link reaches; returns how many. The crawl gets a new version of its pages."""

@@ -32,7 +32,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["summary", "report_by_section", "report_redirects", "referrers_top3", "recompute_via_nofollow", "robots_allowed", "crawl_bfs", "stream_counters"])
+@pytest.mark.parametrize("name", ["summary", "report_by_section", "report_redirects", "referrers_top3", "recompute_via_nofollow", "robots_allowed", "crawl_bfs", "stream_counters", "broken_with_referrers", "crawl_site_budget", "store_pages", "store_links", "store_summary", "store_broken", "store_life", "store_migrated", "manager_life", "api_answers", "report_document", "html_links", "labels", "config_checks", "robots_groups", "limits_and_ranges"])
 def test_same_rows_as_sql(spark, name):
     import duckdb
 
@@ -40,7 +40,7 @@ def test_same_rows_as_sql(spark, name):
 
     got = e.queries()[name](spark, DATA)
     con = duckdb.connect()
-    for t in ("events", "lineitem", "pages"):
+    for t in ("events", "lineitem", "pages", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({e.oracle_sql()[name]})").fetchall()

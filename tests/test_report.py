@@ -1,71 +1,111 @@
+"""The report over a made-up library catalogue site, each part against plain Python counts of the same rows."""
+
+from collections import Counter, defaultdict
 from datetime import datetime
 
 from crawlspark.operators import report as R
 from crawlspark.plans.report import build, to_json, to_markdown
 
-E = "https://example.com"
-
-
-def seed(spark):
-    """27 pages that fill every part of a report."""
-    p = []
-
-    def add(url, depth, status=200, ms=0, size=0, title="", to="", error="", blocked=False, noindex=False):
-        full = url if "://" in url else E + url
-        p.append((len(p) + 1, 1, full, depth, status, "text/html" if status == 200 else "", size, ms, title, "", to, error, noindex, False, False, blocked))
-
-    add("/", 0, ms=100, size=1000, title="Inicio")
-    add("/en/docs/a", 1, ms=300, size=2000, title="Guía")
-    add("/en/docs/b", 1, ms=250, size=2500, title="  guía ")
-    add("/es/docs/c", 2, ms=50, size=500, title="Otra", noindex=True)
-    add("/es/blog/d", 2, ms=900, size=9000, title="Otra")
-    add("/es/w%C3%B6hner/e", 3, ms=120, size=800, title="Eñe")
-    add("/w%C3%B6hner/g", 3, ms=130, size=700, title="Otra cosa")
-    for url, depth, status, to in (("/en/docs", 1, 301, "/en/docs/"), ("/es/blog/x/", 2, 301, "/es/blog/x"), ("http://example.com/en/docs/h", 1, 301, "/en/docs/h"), ("/en/docs/J", 1, 301, "/en/docs/j"), ("/en/docs/k?utm=1", 1, 302, "/en/docs/k"), ("/en/a/1", 1, 301, "/en/b/1"), ("/en/a/2", 1, 301, "/en/b/2"), ("/en/a/3", 1, 301, "/en/b/3"), ("/legal", 1, 301, "/en/legal"), ("/old", 1, 301, "/nuevo/sitio"), ("/ext", 1, 302, "https://otro.example.org/")):
-        add(url, depth, status, 10, to=to if "://" in to else E + to)
-    for name, error in (("timeout", f'Get "{E}/e/timeout": context deadline exceeded'), ("dns", "lookup x: no such host"), ("refused", "connect: connection refused"), ("tls", "x509: unknown authority"), ("otro", f'Get "{E}/e/otro": algo raro')):
-        add(f"/e/{name}", 2, 0, error=error)
-    add("/privado", 1, 0, blocked=True)
-    for code in (404, 500, 410):
-        add(f"/roto-{code}", 2, code, 20)
-    pages = spark.createDataFrame(p, "id long, crawl_id long, url string, depth int, status int, content_type string, size long, duration_ms long, title string, meta_robots string, redirect_to string, error string, noindex boolean, nofollow boolean, via_nofollow boolean, blocked boolean")
-    to = [(1, 404), (1, 500), (1, 410), (2, 404), (2, 500), (3, 404)]
-    links = spark.createDataFrame([(i, 1, f, f"{E}/roto-{c}", "x", False, True) for i, (f, c) in enumerate(to)], "id long, crawl_id long, from_page_id long, to_url string, text string, nofollow boolean, in_scope boolean")
-    return pages, links
-
-
-def test_report(spark):
-    t = datetime(2026, 9, 17, 9)
-    crawl = {"id": 1, "seed": E + "/", "status": "done", "started_at": t, "finished_at": t.replace(minute=30), "error": "", "config": '{"max_pages":500,"max_depth":10,"concurrency":4,"delay_ms":500,"timeout_ms":15000,"user_agent":"x/1"}'}
-    r = build(crawl, *seed(spark), now=t.replace(hour=10))
+SITE = "https://books.test"
+COLUMNS = "id long, crawl_id long, url string, depth int, status int, content_type string, size long, duration_ms long, title string, meta_robots string, redirect_to string, error string, noindex boolean, nofollow boolean, via_nofollow boolean, blocked boolean"
+NAMES = [x.split()[0] for x in COLUMNS.split(", ")]
+
+
+def shelf(spark):
+    """Books by language and shelf; every eighth has moved, every ninth is lost, every eleventh unreachable, every thirteenth closed."""
+    rows = []
+    for i in range(1, 241):
+        lang = ("de", "fr", "")[i % 3]
+        path = "/".join(x for x in (lang, f"shelf{i % 5}", f"book{i}") if x)
+        kind = "moved" if i % 8 == 0 else "lost" if i % 9 == 0 else "dead" if i % 11 == 0 else "closed" if i % 13 == 0 else "fine"
+        status = {"moved": 301, "lost": 404 if i % 2 else 503, "dead": 0, "closed": 0, "fine": 200}[kind]
+        to = {0: f"{SITE}/{path}/", 1: f"{SITE}/{path.replace('shelf', 'rack')}"}[i // 8 % 2] if kind == "moved" else ""
+        error = ("lookup books.test: no such host", "read: connection reset by peer")[i % 2] if kind == "dead" else ""
+        rows.append((i, 1, f"{SITE}/{path}", i % 4, status, "text/html" if kind == "fine" else "", 10 * i if status else 0, (i * 37) % 500 if status else 0, f" Volume {i % 60}  " if kind == "fine" else "", "noindex" if i % 10 == 1 else "", to, error, i % 10 == 1, False, False, kind == "closed"))
+    pages = spark.createDataFrame(rows, COLUMNS)
+    pairs = [(1 + i % 240, 1 + (i * i) % 240) for i in range(600)]
+    links = spark.createDataFrame([(n, 1, a, rows[b - 1][2], "x", False, True) for n, (a, b) in enumerate(pairs)], "id long, crawl_id long, from_page_id long, to_url string, text string, nofollow boolean, in_scope boolean")
+    return pages, links, [dict(zip(NAMES, r)) for r in rows], Counter(rows[b - 1][2] for _, b in pairs)
+
+
+def crawl(**more):
+    return {"id": 4, "seed": SITE + "/", "status": "done", "started_at": datetime(2025, 3, 1, 12), "finished_at": datetime(2025, 3, 1, 14, 3, 4), "error": "", "config": '{"max_pages": 1000}'} | more
+
+
+def key_of(r):
+    return str(r["status"]) if r["status"] else "BLOQ" if r["blocked"] else "ERR"
+
+
+def failed(r):
+    return r["status"] == 0 and not r["blocked"]
+
+
+def average(rows):
+    ms = [r["duration_ms"] for r in rows if r["status"]]
+    return sum(ms) // len(ms) if ms else 0
+
+
+def test_parts(spark):
+    pages, links, rows, referred = shelf(spark)
+    r = build(crawl(), pages, links, now=datetime(2025, 4, 1))
     s = r["summary"]
-    assert [s[k] for k in ("total", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "errors", "blocked", "noindex", "max_depth", "avg_duration_ms")] == [27, 7, 11, 2, 1, 5, 1, 1, 3, 96]
-    assert [(b["key"], b["total"], b["avg_ms"]) for b in r["by_depth"]] == [("0", 1, 100), ("1", 13, 54), ("2", 11, 170), ("3", 2, 125)]
-    assert [(b["key"], b["total"], b["avg_ms"]) for b in r["by_language"]] == [("(sin idioma)", 14, 40), ("en", 9, 68), ("es", 4, 270)]
-    assert [b["key"] for b in r["by_section"]][:5] == ["docs", "e", "a", "blog", "wöhner"]
-    assert [(x["status"], x["n"]) for x in r["by_status"]][:4] == [("301", 9), ("200", 7), ("ERR", 5), ("302", 2)]
-    assert r["redirects"][0] == {"pattern": "segmento 2: a → b", "n": 3, "sample_from": E + "/en/a/1", "sample_to": E + "/en/b/1"}
-    assert len(r["redirects"]) == 9 and len(r["errors"]) == 5
-    assert [(x["url"][20:], x["referrers_count"]) for x in r["top_broken"]][:3] == [("roto-404", 3), ("roto-500", 2), ("roto-410", 1)]
-    assert r["top_broken_scanned"] == 8
-    assert [(x["title"], x["sample_url"]) for x in r["duplicate_titles"]] == [("Otra", E + "/es/blog/d"), ("guía", E + "/en/docs/b")]
-    assert [x["duration_ms"] for x in r["slowest"]] == [900, 300, 250, 130, 120, 100, 50, 20, 20, 20]
-    assert r["largest"][-1]["url"] == E + "/en/a/2"
-    assert {k: len(v) for k, v in r["samples"].items()} == {"3xx": 10, "4xx": 2, "5xx": 1, "error": 5, "blocked": 1, "noindex": 1}
-    md = to_markdown(r)
-    assert md.startswith(f"# Informe del rastreo #1 — {E}/\n\nEstado: done · Inicio: 2026-09-17 09:00:00 UTC · Fin: 2026-09-17 09:30:00 UTC · Duración: 30m0s\nGenerado: 2026-09-17 10:00:00 UTC\nConfiguración: máx. páginas 500 · máx. profundidad 10 · concurrencia 4 · retardo 500ms · timeout 15s · subdominios: no · robots: sí · UA: x/1\n\n| Métrica | Valor |\n|---|---|\n| Páginas | 27 |\n")
-    assert md.count("\n## ") == 12 and "| 9.000 | 200 | 2 |" in md and md == to_markdown(build(crawl, *seed(spark), now=t.replace(hour=10)))
-    assert '"generated_at"' in to_json(r)
+    assert (s["total"], s["errors"], s["blocked"], s["noindex"], s["max_depth"], s["avg_duration_ms"]) == (240, sum(map(failed, rows)), sum(x["blocked"] for x in rows), 24, 3, average(rows))
+    assert [s[f"status_{k}xx"] for k in (2, 3, 4, 5)] == [sum(x["status"] // 100 == k for x in rows) for k in (2, 3, 4, 5)]
+    by_status = Counter(map(key_of, rows))
+    assert [(x["status"], x["n"]) for x in r["by_status"]] == sorted(by_status.items(), key=lambda x: (-x[1], x[0]))
+    for part, key in (("by_depth", lambda x: str(x["depth"])), ("by_language", lambda x: ("de", "fr", "(sin idioma)")[x["id"] % 3])):
+        groups = defaultdict(list)
+        for x in rows:
+            groups[key(x)].append(x)
+        assert {b["key"]: (b["total"], b["errors"], b["avg_ms"]) for b in r[part]} == {k: (len(g), sum(map(failed, g)), average(g)) for k, g in groups.items()}
+    assert sorted((b["key"], b["total"]) for b in r["by_section"]) == [(f"shelf{k}", 48) for k in range(5)]
+    moved = [x for x in rows if x["redirect_to"]]
+    slash = [x for x in moved if x["redirect_to"].endswith("/")]
+    assert sum(x["n"] for x in r["redirects"]) == len(moved)
+    assert next(x for x in r["redirects"] if x["pattern"] == "añade barra final") == {"pattern": "añade barra final", "n": len(slash), "sample_from": slash[0]["url"], "sample_to": slash[0]["redirect_to"]}
+    assert all("→" in x["pattern"] and "shelf" in x["pattern"] and "rack" in x["pattern"] for x in r["redirects"] if x["pattern"] != "añade barra final")
+    assert {x["n"] for x in r["errors"]} == {sum(failed(x) and x["id"] % 2 == k for x in rows) for k in (0, 1)}
+    titles = defaultdict(list)
+    for x in rows:
+        if x["title"]:
+            titles[" ".join(x["title"].split())].append(x)
+    twice = sorted(((t, len(g), g[1]["url"]) for t, g in titles.items() if len(g) > 1), key=lambda x: (-x[1], x[0]))[:20]
+    assert [(x["title"], x["n"], x["sample_url"]) for x in r["duplicate_titles"]] == twice and len(twice) == 20
+    broken = [x for x in rows if x["status"] >= 400 or failed(x)]
+    assert r["top_broken_scanned"] == len(broken)
+    assert [(x["url"], x["referrers_count"]) for x in r["top_broken"]] == sorted(((x["url"], referred[x["url"]]) for x in broken), key=lambda x: (-x[1], x[0]))[:20]
+    for part, by in (("slowest", "duration_ms"), ("largest", "size")):
+        assert [x["url"] for x in r[part]] == [x["url"] for x in sorted((x for x in rows if x["status"]), key=lambda x: (-x[by], x["url"]))][:10]
+    in_class = {"3xx": moved, "4xx": [x for x in rows if x["status"] == 404], "5xx": [x for x in rows if x["status"] == 503], "error": [x for x in rows if failed(x)], "blocked": [x for x in rows if x["blocked"]], "noindex": [x for x in rows if x["noindex"]]}
+    assert {k: len(v) for k, v in r["samples"].items()} == {k: min(10, len(v)) for k, v in in_class.items()}
+    assert all({x["url"] for x in v} <= {x["url"] for x in in_class[k]} for k, v in r["samples"].items())
+    again = build(crawl(), pages, links, now=datetime(2025, 4, 1))
+    assert again["samples"] == r["samples"] != build(crawl(), pages, links, seed=5)["samples"]
+    assert to_markdown(again) == to_markdown(r) and to_json(again) == to_json(r)
+
+
+def test_markdown(spark):
+    pages, links, rows, _ = shelf(spark)
+    text = to_markdown(build(crawl(), pages, links, now=datetime(2025, 4, 1, 1, 2, 3)))
+    lines = text.split("\n")
+    assert lines[0] == f"# Informe del rastreo #4 — {SITE}/"
+    assert lines[2] == "Estado: done · Inicio: 2025-03-01 12:00:00 UTC · Fin: 2025-03-01 14:03:04 UTC · Duración: 2h3m4s"
+    assert lines[3] == "Generado: 2025-04-01 01:02:03 UTC" and "máx. páginas 1.000" in lines[4]
+    assert len([x for x in lines if x.startswith("## ")]) == 12
+    assert f"| 200 | {Counter(map(key_of, rows))['200']} |" in lines
+    running = to_markdown(build(crawl(finished_at=None, status="running", error="a|b\nc", config="nonsense"), pages, links))
+    assert "Fin: (en curso) · Duración: —" in running and "Configuración: (no disponible)" in running and "Error del rastreo: a\\|b c" in running
 
 
 def test_sections_beyond_the_cap(spark):
-    rows = [(i, 1, f"{E}/s{i}", 200, i, False, False) for i in range(60)]
+    rows = [(i, 1, f"{SITE}/room{i:03}", 200, i, False, False) for i in range(73)]
     pages = spark.createDataFrame(rows, "id long, crawl_id long, url string, status int, duration_ms long, blocked boolean, noindex boolean")
     got = R.section_buckets(R.classify(pages)).orderBy("rank").collect()
-    assert len(got) == 51 and got[-1].key == "(otras 10 secciones)" and got[-1].total == 10
+    assert [x.key for x in got[:50]] == [f"room{i:03}" for i in range(50)]
+    assert (got[50].key, got[50].total, got[50].avg_ms) == ("(otras 23 secciones)", 23, sum(range(50, 73)) // 23)
 
 
-def test_empty(spark):
-    pages, links = (x.limit(0) for x in seed(spark))
-    crawl = {"id": 1, "seed": "", "status": "running", "started_at": None, "finished_at": None, "error": "", "config": ""}
-    assert to_markdown(build(crawl, pages, links)).count("Sin datos.") == 12
+def test_nothing_to_report(spark):
+    pages, links, _, _ = shelf(spark)
+    text = to_markdown(build(crawl(started_at=None, finished_at=None, config=""), pages.limit(0), links.limit(0)))
+    assert text.count("Sin datos.") == 12
