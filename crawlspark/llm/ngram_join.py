@@ -1,28 +1,31 @@
-"""N-gram Jaccard join by a prefix tree, and the components of its links.
+"""N-gram Jaccard join by prefix trees, and the components of its links.
 
 A document is its set of distinct word n-grams, as 64-bit hashes in one global order:
 first hashes below LOW that few documents have, then the hashes above, then frequent
 ones. Documents whose sets are equal are one class. Two classes with a Jaccard of at
 least num/den share one of the first n - ceil(n num / den) + 1 hashes of each, so
-classes meet at such hashes (those that other documents have, too). Then
-
-1. the least class at each hash is the pivot; the others are matched with it,
-2. links found make components,
-3. classes that share a hash but are in different components yet are a family, and its
-   classes are matched across components, block by block: first each with its nearest
-   by sketch, then, with the components that gives, all. What is in one component already
-   needs no further link.
-
-A match first compares parity sketches, whose Hamming distance is a lower bound of the
-sets' symmetric difference; pairs that pass bring their sets. The partners of a class
-form a prefix tree (their sequences sorted, with common prefixes) that is traversed with
-the class's set: an overlap found on a shared path is not counted again, and a subtree
-is cut as soon as what is left of a sequence cannot reach the overlap needed.
+classes meet at such hashes (those that other documents have, too). Links are found by
+walks through prefix trees: sets as hash sequences, sorted, with the length that each
+shares with the one before. An overlap found on a shared path is not counted again, and a
+subtree is left as soon as what remains of a sequence cannot reach the overlap needed.
+
+1. The least class at each hash is the pivot; its set walks through the trees of those
+   that meet it.
+2. Links found make components. Classes that share a hash but are in different components
+   yet are a family. The family's sequences in order are one tree, cut into subtrees of
+   bounded size; in each, every set walks through those of other components, and what
+   is linked at once becomes one component, so copies cost a walk each.
+3. What is still outside its family's largest component walks through all other subtrees
+   of the family. What is inside needs no further link among itself.
+
+Parity sketches, whose Hamming distance is a lower bound of two sets' symmetric
+difference, say which leaves of a tree a walk may pass over.
 
 Scale: what is broadcast is a bitmap of fixed size (hashes that two documents have) and
 at most `max_frequent` frequent hashes; both only choose the order. Copies collapse per
-task and per hash, large groups get a linear number of pivot pairs, families are compared
-in pairs of bounded blocks, partners are split into chunks. Texts are read again instead of keeping all sets.
+task and per hash, large groups get a linear number of pivot pairs, a family's subtrees
+are dealt over tasks, and only the few that its largest component does not hold meet all
+of them. Texts are read again instead of keeping all sets.
 
 Classes and n-grams are compared by 64-bit hashes of a keyed function.
 """
@@ -36,8 +39,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, load, shuffle_parts, text_slices
@@ -104,37 +107,54 @@ class PrefixTree:
         keys = [s.astype(">u8").tobytes() for s in sets]
         self.order = sorted(range(len(sets)), key=keys.__getitem__)
         self.sets = [sets[i] for i in self.order]
-        self.shared = [0] * len(sets)
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.shared = np.zeros(len(sets), np.int64)
         for k in range(1, len(sets)):
             a, b = self.sets[k - 1], self.sets[k]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.shared[k] = int(differ[0]) if len(differ) else m
-
-    def matches(self, probe: np.ndarray, num: int, den: int, step: int = 64) -> list[int]:
-        """Numbers of the sets whose Jaccard with the probe is num/den at least."""
-        out, size = [], len(probe)
+        self._sketches: np.ndarray | None = None
+
+    def leaves(self, probe: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Places of the sets that sizes and sketches do not rule out."""
+        if self._sketches is None:
+            self._sketches = np.stack([_parities(s) for s in self.sets]) if self.sets else np.zeros((0, _TREE_BITS // 64), np.uint64)
+        m, size = self.sizes, len(probe)
+        apart = np.bitwise_count(self._sketches ^ _parities(probe)).sum(axis=1, dtype=np.int64)
+        return np.flatnonzero((den * np.minimum(m, size) >= num * np.maximum(m, size)) & (apart * (num + den) <= (m + size) * (den - num)))
+
+    def walk(self, probe: np.ndarray, num: int, den: int, component: np.ndarray | None = None, own: int = -1, step: int = 64):
+        """Numbers of the sets whose Jaccard with the probe is num/den at least.
+
+        With component (a number a set, in the tree's order), sets that are in the component
+        `own` when the walk comes to them are passed over; the caller may change it on the way.
+        """
+        size = len(probe)
         depths, overlaps = [0], [0]  # known on the current path
         cut = -1  # depth at which the path was given up, or -1
-        lowest, highest = 0, 0  # the sizes for which it was
-        for k, s in enumerate(self.sets):
-            m, shared = len(s), self.shared[k]
+        cut_size = 0  # the size for which it was
+        before = -1
+        for k in self.leaves(probe, num, den).tolist():
+            if component is not None and component[k] == own:
+                continue
+            s, m = self.sets[k], int(self.sizes[k])
+            shared = int(self.shared[before + 1 : k + 1].min()) if before >= 0 else 0
+            before = k
             while depths[-1] > shared:
                 depths.pop()
                 overlaps.pop()
-            if den * min(m, size) < num * max(m, size):
-                continue
             need = -(-num * (m + size) // (num + den))
-            if 0 <= cut <= shared and lowest <= m <= highest:
-                continue  # below a node that was cut for sizes like this one
+            if 0 <= cut <= shared and m == cut_size:
+                continue  # below a node that was given up for sets of this size
             cut = -1
             d, o = depths[-1], overlaps[-1]
             at = int(np.searchsorted(probe, s[d])) if d < m else size
             while d < m:
                 if o + min(m - d, size - at) < need:
-                    cut, lowest, highest = d, m, m
+                    cut, cut_size = d, m
                     break
-                end = min(m, d + step, shared if d < shared else m) if d < shared else min(m, d + step)
+                end = min(m, d + step)
                 part = s[d:end]
                 where = np.searchsorted(probe, part)
                 o += int((probe[np.minimum(where, size - 1)] == part).sum())
@@ -144,8 +164,33 @@ class PrefixTree:
                 overlaps.append(o)
             else:
                 if o >= need:
-                    out.append(self.order[k])
-        return out
+                    yield self.order[k]
+
+    def matches(self, probe: np.ndarray, num: int, den: int) -> list[int]:
+        return list(self.walk(probe, num, den))
+
+
+#: Bits of the sketches within a tree.
+_TREE_BITS = 2048
+
+
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Like sketch(), of one size for all sets."""
+    return np.packbits((np.bincount((s & np.uint64(_TREE_BITS - 1)).astype(np.int64), minlength=_TREE_BITS) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def links_within(sets: list[np.ndarray], component: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components (a number a set) as far as links among the sets can."""
+    tree = PrefixTree(sets)
+    at = component[tree.order].copy()
+    place = {i: k for k, i in enumerate(tree.order)}
+    out = []
+    for i, s in enumerate(sets):
+        own = int(at[place[i]])
+        for j in tree.walk(s, num, den, at, own):
+            out.append((i, j))
+            at[at == at[place[j]]] = own
+    return out
 
 
 def _classes(n: int):
@@ -307,88 +352,79 @@ def _near(num: int, den: int):
     return run
 
 
-def _fold(k: np.ndarray) -> np.ndarray:
-    half = k.shape[1] // 2
-    return k[:, :half] ^ k[:, half:]
+def _sets(n: int):
+    def run(batches):
+        for batch in text_slices(batches, 0):
+            sets = shingle_sets(batch.column(0), n)
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets]), pa.array([s[:8].astype(">u8").tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "head", "hashes"])
 
+    return run
 
-def near_pairs(sig, n, sketches: list[bytes], root, side, num: int, den: int, closest: bool = False, most_bytes: int = 16 << 20) -> list[tuple[int, int]]:
-    """Pairs of different roots that sketches do not tell apart; with two sides, pairs across them only.
 
-    closest: only those in which one is the nearest of the other.
-    """
-    by_size: dict[int, list[int]] = {}
-    for i, k in enumerate(sketches):
-        by_size.setdefault(len(k), []).append(i)
-    two_sided = side.min() != side.max()
-    out = []
-    nearest: dict[int, tuple[float, int]] = {}
-    for size, members in by_size.items():
-        a = np.array(members)
-        ka = np.frombuffer(b"".join(sketches[i] for i in members), np.uint64).reshape(len(a), -1)
-        for other in (size, 2 * size):  # sizes of similar sets differ less than twofold
-            b = np.array(by_size.get(other, ()), int)
-            if not len(b):
-                continue
-            kb = ka if other == size else _fold(np.frombuffer(b"".join(sketches[i] for i in b), np.uint64).reshape(len(b), -1))
-            rows = max(1, most_bytes // (len(b) * size))
-            for lo in range(0, len(a), rows):
-                x = a[lo : lo + rows]
-                na, nb = n[x][:, None], n[b][None, :]
-                may = (root[x][:, None] != root[b][None, :]) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
-                if two_sided:
-                    may &= side[x][:, None] != side[b][None, :]
-                if other == size:
-                    may &= x[:, None] < b[None, :]
-                if not may.any():
-                    continue
-                distance = np.bitwise_count(ka[lo : lo + rows][:, None, :] ^ kb[None, :, :]).sum(axis=2, dtype=np.int64)
-                ok = may & (distance * (num + den) <= (na + nb) * (den - num))
-                if closest:
-                    share = np.where(ok, distance / (na + nb), 2.0)
-                    for own, mates, axis in ((x, b, 1), (b, x, 0)):
-                        best, where = share.min(axis=axis), share.argmin(axis=axis)
-                        for t in np.flatnonzero(best < 2).tolist():
-                            got = (float(best[t]), int(mates[where[t]]))
-                            nearest[int(own[t])] = min(got, nearest.get(int(own[t]), got))
-                    continue
-                i, j = np.nonzero(ok)
-                out += zip(np.minimum(sig[x[i]], sig[b[j]]).tolist(), np.maximum(sig[x[i]], sig[b[j]]).tolist())
-    if closest:
-        out = list({(min(p), max(p)) for p in ((int(sig[i]), int(sig[j])) for i, (_, j) in nearest.items())})
-    return out
+_TREE = "tree long, lo long, sigs binary, roots binary, sizes binary, hashes binary, a binary, b binary"
 
 
-def _across(num: int, den: int, closest: bool):
-    """Pairs of a family's blocks; rows come sorted by family and pair of blocks."""
+def _trees(num: int, den: int, most: int, most_bytes: int, join: bool):
+    """Subtrees of families, whose rows (lo, sig, root, hashes) come in order of family and sequence, and with `join` the links within each."""
 
-    def solve(rows):
-        _, side, sig, n, k, root = zip(*rows)
-        return near_pairs(np.array(sig), np.array(n, np.int64), k, np.array(root), np.array(side), num, den, closest)
+    def emit(number, lo, rows):
+        sigs, roots, hashes = (list(x) for x in zip(*rows))
+        found = []
+        if join and len(set(roots)) > 1:
+            _, component = np.unique(np.array(roots), return_inverse=True)
+            found = links_within([np.frombuffer(h, np.uint64) for h in hashes], component, num, den)
+        a, b = (np.array([sigs[x[i]] for x in found], np.int64) for i in (0, 1))
+        out = (number, lo, *(np.array(x, np.int64).tobytes() for x in (sigs, roots, [len(h) // 8 for h in hashes])), b"".join(hashes), a.tobytes(), b.tobytes())
+        types = [pa.int64()] * 2 + [pa.binary()] * 6
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, types)], names=[x.split()[0] for x in _TREE.split(", ")])
 
     def run(batches):
-        key, rows = None, []
+        number, family, rows, held = TaskContext.get().partitionId() << 32, None, [], 0
         for batch in batches:
-            found = []
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != key:
-                    if rows:
-                        found += solve(rows)
-                    key, rows = r[0], []
-                rows.append(r)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-        if rows and (found := solve(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+            for lo, sig, root, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and (lo != family or len(rows) >= most or held + len(hashes) > most_bytes):
+                    yield emit(number, family, rows)
+                    number, rows, held = number + 1, [], 0
+                family = lo
+                rows.append((sig, root, hashes))
+                held += len(hashes)
+        if rows:
+            yield emit(number, family, rows)
 
     return run
 
 
-def _sets(n: int):
+def _members(sigs: bytes, roots: bytes, sizes: bytes, hashes: bytes):
+    all_hashes = np.frombuffer(hashes, np.uint64)
+    return np.frombuffer(sigs, np.int64), np.frombuffer(roots, np.int64), np.split(all_hashes, np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+
+
+def _links_of(batches):
+    """The links that rows of trees hold."""
+    for batch in batches:
+        a, b = (b"".join(batch.column(i).to_pylist()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def _probed(num: int, den: int):
+    """Links of the sets of one tree (the first four columns) with those of another, a row each."""
+
     def run(batches):
-        for batch in text_slices(batches, 0):
-            sets = shingle_sets(batch.column(0), n)
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "hashes"])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                (p_sigs, p_roots, probes), (sigs, roots, sets) = _members(*row[:4]), _members(*row[4:])
+                tree = PrefixTree(sets)
+                _, component = np.unique(np.concatenate([roots, p_roots]), return_inverse=True)
+                at, own = component[: len(roots)][tree.order].copy(), component[len(roots) :].copy()
+                place = {i: k for k, i in enumerate(tree.order)}
+                found = []
+                for i, probe in enumerate(probes):
+                    for j in tree.walk(probe, num, den, at, int(own[i])):
+                        found.append((int(p_sigs[i]), int(sigs[j])))
+                        was = at[place[j]]
+                        at[at == was], own[own == was] = own[i], own[i]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return run
 
@@ -424,43 +460,57 @@ def _linked(num: int, den: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int, work: Workspace, broadcast_docs: int, chunk: int, block: int = 1024):
-        self.block = block
-        self.docs, self.n, self.num, self.den, self.work, self.broadcast_docs, self.chunk = docs, n, num, den, work, broadcast_docs, chunk
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, work: Workspace, broadcast_docs: int, chunk: int, tree: int):
+        self.docs, self.n, self.num, self.den, self.work, self.broadcast_docs, self.chunk, self.tree = docs, n, num, den, work, broadcast_docs, chunk, tree
         self.parts = shuffle_parts(docs.sparkSession)
 
+    def sets_of(self, involved: DataFrame, name: str) -> DataFrame:
+        """(sig, head, hashes) of some classes, from the text of one document of each."""
+        work = self.work
+        wanted = work.save(self.classes.join(involved, "sig", "left_semi").select(F.col("rep").alias("wanted")).distinct(), f"{name}-wanted")
+        small = wanted.limit(self.broadcast_docs + 1).count() <= self.broadcast_docs  # 8 bytes each
+        texts = self.docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi").select("text")
+        return work.save(texts.mapInArrow(_sets(self.n), "sig long, head binary, hashes binary").join(involved.hint("shuffle_hash"), "sig", "left_semi").dropDuplicates(["sig"]), f"{name}-sets")
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are links: by sketches, then by prefix trees of the sets."""
+        """The pairs (a, b) that are links: the set of each a walks through the prefix trees of its partners."""
         work = self.work
         near = work.save(pairs, f"{name}-near")
-        count = W.partitionBy("a")
         sizes = near.groupBy(F.col("a").alias("x")).agg(F.count("*").alias("partners"))
         chunked = near.join(work.save(sizes, f"{name}-sizes"), F.col("a") == F.col("x")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / self.chunk)).alias("chunk"))
         chunked = work.save(chunked, f"{name}-chunked")
         involved = chunked.select(F.col("a").alias("sig")).union(chunked.select(F.col("b").alias("sig"))).distinct()
-        wanted = work.save(self.classes.join(involved, "sig", "left_semi").select(F.col("rep").alias("wanted")).distinct(), f"{name}-wanted")
-        small = wanted.limit(self.broadcast_docs + 1).count() <= self.broadcast_docs  # 8 bytes each
-        texts = self.docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi").select("text")
-        sets = work.save(texts.mapInArrow(_sets(self.n), "sig long, hashes binary").join(involved.hint("shuffle_hash"), "sig", "left_semi").dropDuplicates(["sig"]), f"{name}-sets")
+        sets = self.sets_of(involved, name).drop("head")
         members = chunked.join(sets, F.col("b") == F.col("sig")).select("a", "chunk", "b", "hashes")
         probes = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("sig")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "hashes")
         rows = members.unionByName(probes).repartition(self.parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
         return work.save(rows.mapInArrow(_linked(self.num, self.den), "a long, b long"), f"{name}-links")
 
-    def _between(self, met: DataFrame, roots: DataFrame, k: DataFrame, step: str) -> DataFrame:
-        """Pairs of classes in different components that share a hash's family and that sketches do not tell apart."""
+    def families(self, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(lo, sig, root): classes that share a hash with other components, whose least root is lo; and their sets."""
+        work = self.work
+        placed = work.save(met.select("token", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", F.coalesce("root", "sig").alias("root")), "placed")
+        mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo")
+        family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "root").distinct(), "family")
+        return family, self.sets_of(family.select("sig").distinct(), "family")
+
+    def trees(self, members: DataFrame, most: int, join: bool, name: str) -> DataFrame:
+        """Members (lo, sig, root, head, hashes) as subtrees, a row each."""
+        ordered = members.repartitionByRange(self.parts, "lo", "head", "sig").sortWithinPartitions("lo", "head", "sig").select("lo", "sig", "root", "hashes")
+        return self.work.save(ordered.mapInArrow(_trees(self.num, self.den, most, 8 << 20, join), _TREE), name)
+
+    def across(self, family: DataFrame, sets: DataFrame, trees: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links of the classes outside their family's largest component with all of the family."""
         work = self.work
-        placed = met.select("token", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
-        placed = work.save(placed, f"placed-{step}")
-        mixed = work.save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo"), f"mixed-{step}")
-        # a family: the classes that share a hash with different components, whose least is lo
-        family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "n", "root").distinct(), f"family-{step}")
-        sizes = work.save(family.groupBy(F.col("lo").alias("f")).agg(F.ceil(F.count("*") / self.block).alias("blocks")), f"sizes-{step}")
-        rows = family.join(sizes, F.col("lo") == F.col("f")).join(k, F.col("sig") == F.col("x")).withColumn("side", F.pmod(F.xxhash64("sig"), "blocks"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select(F.struct("lo", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q")).alias("pair"), "side", "sig", "n", "k", "root")
-        rows = rows.repartition(self.parts, "pair").sortWithinPartitions("pair").select(F.to_json("pair").alias("pair"), "side", "sig", "n", "k", "root")
-        return rows.mapInArrow(_across(self.num, self.den, step == "closest"), "a long, b long").distinct()
+        now = work.save(family.select("lo", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("lo", "sig", F.coalesce("root", "sig").alias("root")), "family-now")
+        largest = now.groupBy("lo", "root").agg(F.count("*").alias("n")).groupBy("lo").agg(F.max_by("root", F.struct("n", "root")).alias("held"), F.count("*").alias("left")).where("left > 1").select(F.col("lo").alias("f"), "held")
+        outside = work.save(now.join(largest, (F.col("lo") == F.col("f")) & (F.col("root") != F.col("held"))).select("lo", "sig", "root"), "outside")
+        probes = self.trees(outside.join(sets, "sig").select("lo", "sig", "root", "head", "hashes"), 64, False, "probes")
+        data = ["sigs", "roots", "sizes", "hashes"]
+        pairs = probes.select("lo", F.col("tree").alias("p")).join(trees.select("lo", F.col("tree").alias("t")), "lo").select("p", "t")
+        asked = pairs.join(probes.select(F.col("tree").alias("p"), *(F.col(c).alias(f"p_{c}") for c in data)), "p")
+        met = asked.join(trees.select(F.col("tree").alias("t"), *data), "t").select(*(f"p_{c}" for c in data), *data)
+        return work.save(met.mapInArrow(_probed(self.num, self.den), "a long, b long"), "across-links")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """The documents (doc_id, n, sig) and the roots (node, root) of linked classes."""
@@ -485,23 +535,27 @@ class _Join:
         stars = stars.join(k.withColumnRenamed("k", "ka"), F.col("a") == F.col("x")).drop("x").join(k.withColumnRenamed("k", "kb"), F.col("b") == F.col("x")).drop("x")
         links = self.verified(stars.mapInArrow(_near(num, den), "a long, b long"), "star")
         roots = work.save(connected_components(links, work, "cc0"), "roots0")
-        # nearest classes first, which joins most of a family; then all that is in different components still
-        for step in ("closest", "all"):
-            links = links.unionByName(self.verified(self._between(met, roots, k, step), step))
-            roots = work.save(connected_components(links, work, f"cc-{step}"), f"roots-{step}")
+        family, sets = self.families(met, roots)
+        trees = self.trees(family.join(sets, "sig").select("lo", "sig", "root", "head", "hashes"), self.tree, True, "trees")
+        links = links.unionByName(work.save(trees.select("a", "b").mapInArrow(_links_of, "a long, b long"), "tree-links"))
+        roots = work.save(connected_components(links, work, "cc1"), "roots1")
+        links = links.unionByName(self.across(family, sets, trees, roots))
+        roots = work.save(connected_components(links, work, "cc2"), "roots2")
         return docs.select("doc_id", "n", "sig"), roots
 
 
-def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, broadcast_docs: int = 2_000_000, chunk: int = 256) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, broadcast_docs: int = 2_000_000, chunk: int = 256, tree: int = 256) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of each row of docs (doc_id, text).
 
     Two documents link when den * |intersection| >= num * |union|. Null text is empty
     text; documents without words are linked with nothing. Rows with equal sets, repeated
-    rows too, are in one component. A null id ranks below all others. Other columns are dropped.
+    rows too, are in one component. A null id ranks below all others. Other columns are dropped;
+    an empty table gives no rows; texts of any length count whole. chunk and tree bound how many
+    sets are in one prefix tree, not what is found.
     """
     work = Workspace(docs.sparkSession, "ngram-join")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
-    rows, roots = _Join(docs, n, num, den, work, broadcast_docs, chunk).run()
+    rows, roots = _Join(docs, n, num, den, work, broadcast_docs, chunk, tree).run()
     placed = work.save(rows.join(roots, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sig").alias("root")), "rows")
     least = work.save(placed.where("n > 0").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least")), "least")
     out = placed.join(least, (F.col("root") == F.col("r")) & (F.col("n") > 0), "left")

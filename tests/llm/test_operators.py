@@ -100,8 +100,9 @@ def test_ngram_join(docs, rows):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similar_components(docs, n=4, num=85, den=100).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    for tree in (2, 256):  # subtrees so small that most links are across them
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similar_components(docs, n=4, num=85, den=100, tree=tree).collect()}
+        assert got == {i: (len(s), find(i)) for i, s in sets.items()}
     assert Counter(find(i) for i in sets).most_common(1)[0][1] > 3
 
 
@@ -116,6 +117,11 @@ def test_prefix_tree_finds_what_brute_force_finds():
     for probe in sets:
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 85 * len(np.union1d(probe, s))]
         assert sorted(tree.matches(probe, 85, 100)) == want
+        own = set()
+        at = np.arange(len(sets))
+        for j in tree.walk(probe, 85, 100, at, -1):
+            own.add(j)
+        assert own == set(want)
         for s in sets:
             assert ngram_join.sketch_distance(ngram_join.sketch(probe), ngram_join.sketch(s)) <= len(np.setxor1d(probe, s))
 
