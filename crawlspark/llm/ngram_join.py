@@ -12,20 +12,24 @@ subtree is left as soon as what remains of a sequence cannot reach the overlap n
 1. The least class at each hash is the pivot; its set walks through the trees of those
    that meet it.
 2. Links found make components. Classes that share a hash but are in different components
-   yet are a family. The family's sequences in order are one tree, cut into subtrees of
-   bounded size; in each, every set walks through those of other components, and what
-   is linked at once becomes one component, so copies cost a walk each.
-3. What is still outside its family's largest component walks through all other subtrees
-   of the family. What is inside needs no further link among itself.
-
-Parity sketches, whose Hamming distance is a lower bound of two sets' symmetric
-difference, say which leaves of a tree a walk may pass over.
+   yet are a family. The first hashes of its classes, those that others have, in order are
+   one tree, cut into subtrees of bounded size. In each, every class walks through those
+   of other components, with the rest of its set as a bound on what may follow, and the
+   closest that it cannot tell apart is verified.
+3. What is still outside its family's largest component walks through all subtrees of the
+   family, and all that it cannot tell apart is verified. What is inside needs no further
+   link among itself.
+
+Verifying is a walk of one whole set through the tree of its partners' whole sets. Parity
+sketches, whose Hamming distance is a lower bound of two sets' symmetric difference, say
+which leaves of a tree a walk may pass over.
 
 Scale: what is broadcast is a bitmap of fixed size (hashes that two documents have) and
 at most `max_frequent` frequent hashes; both only choose the order. Copies collapse per
-task and per hash, large groups get a linear number of pivot pairs, a family's subtrees
-are dealt over tasks, and only the few that its largest component does not hold meet all
-of them. Texts are read again instead of keeping all sets.
+task and per hash, large groups get a linear number of pivot pairs and of closest pairs, a
+family's subtrees (first hashes and sketches, a fifth of the sets) are dealt over tasks, and
+only the few that its largest component does not hold meet all of them. Texts are read
+again instead of keeping all sets.
 
 Classes and n-grams are compared by 64-bit hashes of a keyed function.
 """
@@ -46,6 +50,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, load, shuffle_parts, text_slices
 from .components import connected_components
 
+#: Bits of the sketches within a tree.
+TREE_BITS = 2048
 LOW = np.uint64(0.3 * 2.0**64)
 _BITS = 27
 _NULL_ID = -(2**63)
@@ -85,8 +91,8 @@ def signature(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of the hashes by their low bits, about two bits a hash, as bytes."""
-    bits = 256
+    """Parities of the hashes by their low bits, about two bits a hash and TREE_BITS at least, as bytes."""
+    bits = TREE_BITS
     while bits < 2 * len(s) and bits < 1 << 20:
         bits *= 2
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
@@ -100,59 +106,64 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def tree_sketch(k: np.ndarray) -> np.ndarray:
+    """A sketch folded to TREE_BITS, which lowers distances if anything."""
+    while len(k) > TREE_BITS // 8:
+        k = k[: len(k) // 2] ^ k[len(k) // 2 :]
+    return k.view(np.uint64)
+
+
 class PrefixTree:
-    """Sets as hash sequences in one order, sorted, with the length that each shares with the one before."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        keys = [s.astype(">u8").tobytes() for s in sets]
-        self.order = sorted(range(len(sets)), key=keys.__getitem__)
-        self.sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.shared = np.zeros(len(sets), np.int64)
-        for k in range(1, len(sets)):
-            a, b = self.sets[k - 1], self.sets[k]
+    """Hash sequences in one order, sorted, with the length that each shares with the one before.
+
+    They are whole sets, or the beginnings of sets of n hashes of which `rest` may follow;
+    then a walk finds all that cannot be told apart, a superset of the links.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], n=None, rest=None, sketches=None):
+        keys = [s.astype(">u8").tobytes() for s in sequences]
+        self.order = sorted(range(len(sequences)), key=keys.__getitem__)
+        self.sequences = [sequences[i] for i in self.order]
+        self.n = np.array([len(s) for s in sequences] if n is None else n, np.int64)[self.order]
+        self.rest = (np.zeros(len(sequences), np.int64) if rest is None else np.asarray(rest, np.int64))[self.order]
+        rows = [tree_sketch(sketch(s)) for s in sequences] if sketches is None else sketches
+        self.sketches = np.stack([rows[i] for i in self.order]) if len(sequences) else np.zeros((0, TREE_BITS // 64), np.uint64)
+        self.shared = np.zeros(len(sequences), np.int64)
+        for k in range(1, len(sequences)):
+            a, b = self.sequences[k - 1], self.sequences[k]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.shared[k] = int(differ[0]) if len(differ) else m
-        self._sketches: np.ndarray | None = None
 
-    def leaves(self, probe: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Places of the sets that sizes and sketches do not rule out."""
-        if self._sketches is None:
-            self._sketches = np.stack([_parities(s) for s in self.sets]) if self.sets else np.zeros((0, _TREE_BITS // 64), np.uint64)
-        m, size = self.sizes, len(probe)
-        apart = np.bitwise_count(self._sketches ^ _parities(probe)).sum(axis=1, dtype=np.int64)
-        return np.flatnonzero((den * np.minimum(m, size) >= num * np.maximum(m, size)) & (apart * (num + den) <= (m + size) * (den - num)))
+    def walk(self, probe: np.ndarray, num: int, den: int, n: int | None = None, rest: int = 0, own_sketch=None, may=True, step: int = 64) -> list[tuple[int, int]]:
+        """(sketch distance, number) of the sets that may have a Jaccard of num/den with the probe; of whole sets, those that have.
 
-    def walk(self, probe: np.ndarray, num: int, den: int, component: np.ndarray | None = None, own: int = -1, step: int = 64):
-        """Numbers of the sets whose Jaccard with the probe is num/den at least.
-
-        With component (a number a set, in the tree's order), sets that are in the component
-        `own` when the walk comes to them are passed over; the caller may change it on the way.
+        may: a mask in the tree's order of leaves to look at.
         """
-        size = len(probe)
+        size, n = len(probe), len(probe) if n is None else n
+        apart = np.bitwise_count(self.sketches ^ (tree_sketch(sketch(probe)) if own_sketch is None else own_sketch)).sum(axis=1, dtype=np.int64)
+        ok = may & (den * np.minimum(self.n, n) >= num * np.maximum(self.n, n)) & (apart * (num + den) <= (self.n + n) * (den - num))
+        needs = -(-num * (self.n + n) // (num + den)) - np.maximum(self.rest, rest)  # of the overlap of the sequences
         depths, overlaps = [0], [0]  # known on the current path
-        cut = -1  # depth at which the path was given up, or -1
-        cut_size = 0  # the size for which it was
-        before = -1
-        for k in self.leaves(probe, num, den).tolist():
-            if component is not None and component[k] == own:
-                continue
-            s, m = self.sets[k], int(self.sizes[k])
+        cut, cut_at = -1, (0, 0)  # depth at which the path was given up, and for which length and need; or -1
+        before, out = -1, []
+        for k in np.flatnonzero(ok).tolist():
+            s = self.sequences[k]
+            m, need = len(s), int(needs[k])
             shared = int(self.shared[before + 1 : k + 1].min()) if before >= 0 else 0
             before = k
             while depths[-1] > shared:
                 depths.pop()
                 overlaps.pop()
-            need = -(-num * (m + size) // (num + den))
-            if 0 <= cut <= shared and m == cut_size:
-                continue  # below a node that was given up for sets of this size
+            if 0 <= cut <= shared and m <= cut_at[0] and need >= cut_at[1]:
+                cut = min(cut, shared)
+                continue  # below a node that was given up for a longer sequence or a lesser need
             cut = -1
             d, o = depths[-1], overlaps[-1]
             at = int(np.searchsorted(probe, s[d])) if d < m else size
             while d < m:
                 if o + min(m - d, size - at) < need:
-                    cut, cut_size = d, m
+                    cut, cut_at = d, (m, need)
                     break
                 end = min(m, d + step)
                 part = s[d:end]
@@ -164,33 +175,12 @@ class PrefixTree:
                 overlaps.append(o)
             else:
                 if o >= need:
-                    yield self.order[k]
+                    out.append((int(apart[k]), self.order[k]))
+        return out
 
     def matches(self, probe: np.ndarray, num: int, den: int) -> list[int]:
-        return list(self.walk(probe, num, den))
-
-
-#: Bits of the sketches within a tree.
-_TREE_BITS = 2048
-
-
-def _parities(s: np.ndarray) -> np.ndarray:
-    """Like sketch(), of one size for all sets."""
-    return np.packbits((np.bincount((s & np.uint64(_TREE_BITS - 1)).astype(np.int64), minlength=_TREE_BITS) & 1).astype(np.uint8)).view(np.uint64)
-
-
-def links_within(sets: list[np.ndarray], component: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) that join the components (a number a set) as far as links among the sets can."""
-    tree = PrefixTree(sets)
-    at = component[tree.order].copy()
-    place = {i: k for k, i in enumerate(tree.order)}
-    out = []
-    for i, s in enumerate(sets):
-        own = int(at[place[i]])
-        for j in tree.walk(s, num, den, at, own):
-            out.append((i, j))
-            at[at == at[place[j]]] = own
-    return out
+        """Numbers of the whole sets whose Jaccard with the probe is num/den at least."""
+        return [i for _, i in self.walk(probe, num, den)]
 
 
 def _classes(n: int):
@@ -356,73 +346,86 @@ def _sets(n: int):
     def run(batches):
         for batch in text_slices(batches, 0):
             sets = shingle_sets(batch.column(0), n)
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets]), pa.array([s[:8].astype(">u8").tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "head", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "hashes"])
 
     return run
 
 
-_TREE = "tree long, lo long, sigs binary, roots binary, sizes binary, hashes binary, a binary, b binary"
+def _heads(batches):
+    """(sig, n, head, order): the first hashes of each class, which come as arrays, in order as bytes, and what sorts them."""
+    for batch in batches:
+        heads = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in heads], pa.binary()), pa.array([x[:8].astype(">u8").tobytes() for x in heads], pa.binary())], names=["sig", "n", "head", "order"])
+
+
+_TREE = "tree long, lo long, sigs binary, roots binary, sizes binary, lengths binary, heads binary, sketches binary, a binary, b binary"
+_PARTS = ["sigs", "roots", "sizes", "lengths", "heads", "sketches"]
+
+
+def _open_tree(sigs, roots, sizes, lengths, heads, sketches, num: int, den: int):
+    """The columns of a tree's row: sigs, roots, n, rest, heads and sketches of its classes."""
+    sigs, roots, n, lengths = (np.frombuffer(x, np.int64) for x in (sigs, roots, sizes, lengths))
+    heads = np.split(np.frombuffer(heads, np.uint64), np.cumsum(lengths)[:-1])
+    # n - (n - ceil(n num / den) + 1) hashes follow the first ones
+    return sigs, roots, n, -(-n * num // den) - 1, heads, np.frombuffer(sketches, np.uint64).reshape(len(sigs), -1)
 
 
-def _trees(num: int, den: int, most: int, most_bytes: int, join: bool):
-    """Subtrees of families, whose rows (lo, sig, root, hashes) come in order of family and sequence, and with `join` the links within each."""
+def _trees(num: int, den: int, most: int, closest: bool):
+    """Subtrees of families, whose rows (lo, sig, root, n, head, sketch) come in order of family and hashes, and for `closest` each class's nearest of another component."""
 
     def emit(number, lo, rows):
-        sigs, roots, hashes = (list(x) for x in zip(*rows))
-        found = []
-        if join and len(set(roots)) > 1:
-            _, component = np.unique(np.array(roots), return_inverse=True)
-            found = links_within([np.frombuffer(h, np.uint64) for h in hashes], component, num, den)
-        a, b = (np.array([sigs[x[i]] for x in found], np.int64) for i in (0, 1))
-        out = (number, lo, *(np.array(x, np.int64).tobytes() for x in (sigs, roots, [len(h) // 8 for h in hashes])), b"".join(hashes), a.tobytes(), b.tobytes())
-        types = [pa.int64()] * 2 + [pa.binary()] * 6
+        sigs, roots, n, heads, sketches = zip(*rows)
+        part = [np.array(x, np.int64).tobytes() for x in (sigs, roots, n, [len(h) // 8 for h in heads])]
+        part += [b"".join(heads), b"".join(tree_sketch(np.frombuffer(k, np.uint8)).tobytes() for k in sketches)]
+        pairs = set()
+        if closest and len(set(roots)) > 1:
+            sigs, roots, n, rest, heads, sketches = _open_tree(*part, num, den)
+            tree = PrefixTree(heads, n, rest, sketches)
+            at = roots[tree.order]
+            for i in range(len(sigs)):
+                if found := tree.walk(heads[i], num, den, int(n[i]), int(rest[i]), sketches[i], at != roots[i]):
+                    j = min(found)[1]
+                    pairs.add((min(int(sigs[i]), int(sigs[j])), max(int(sigs[i]), int(sigs[j]))))
+        a, b = (np.array([x[k] for x in sorted(pairs)], np.int64) for k in (0, 1))
+        out = (number, lo, *part, a.tobytes(), b.tobytes())
+        types = [pa.int64()] * 2 + [pa.binary()] * 8
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, types)], names=[x.split()[0] for x in _TREE.split(", ")])
 
     def run(batches):
-        number, family, rows, held = TaskContext.get().partitionId() << 32, None, [], 0
+        number, family, rows = TaskContext.get().partitionId() << 32, None, []
         for batch in batches:
-            for lo, sig, root, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (lo != family or len(rows) >= most or held + len(hashes) > most_bytes):
+            for lo, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and (lo != family or len(rows) >= most):
                     yield emit(number, family, rows)
-                    number, rows, held = number + 1, [], 0
+                    number, rows = number + 1, []
                 family = lo
-                rows.append((sig, root, hashes))
-                held += len(hashes)
+                rows.append(row)
         if rows:
             yield emit(number, family, rows)
 
     return run
 
 
-def _members(sigs: bytes, roots: bytes, sizes: bytes, hashes: bytes):
-    all_hashes = np.frombuffer(hashes, np.uint64)
-    return np.frombuffer(sigs, np.int64), np.frombuffer(roots, np.int64), np.split(all_hashes, np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
-
-
-def _links_of(batches):
-    """The links that rows of trees hold."""
+def _pairs_of(batches):
+    """The pairs that rows of trees hold."""
     for batch in batches:
         a, b = (b"".join(batch.column(i).to_pylist()) for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["a", "b"])
 
 
 def _probed(num: int, den: int):
-    """Links of the sets of one tree (the first four columns) with those of another, a row each."""
+    """Pairs (a, b), a < b, of the classes of one tree (the first columns) with those of other components in another, a row each."""
 
     def run(batches):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                (p_sigs, p_roots, probes), (sigs, roots, sets) = _members(*row[:4]), _members(*row[4:])
-                tree = PrefixTree(sets)
-                _, component = np.unique(np.concatenate([roots, p_roots]), return_inverse=True)
-                at, own = component[: len(roots)][tree.order].copy(), component[len(roots) :].copy()
-                place = {i: k for k, i in enumerate(tree.order)}
-                found = []
+                p_sigs, p_roots, p_n, p_rest, probes, p_sketches = _open_tree(*row[: len(_PARTS)], num, den)
+                sigs, roots, n, rest, heads, sketches = _open_tree(*row[len(_PARTS) :], num, den)
+                tree = PrefixTree(heads, n, rest, sketches)
+                at, found = roots[tree.order], []
                 for i, probe in enumerate(probes):
-                    for j in tree.walk(probe, num, den, at, int(own[i])):
-                        found.append((int(p_sigs[i]), int(sigs[j])))
-                        was = at[place[j]]
-                        at[at == was], own[own == was] = own[i], own[i]
+                    for _, j in tree.walk(probe, num, den, int(p_n[i]), int(p_rest[i]), p_sketches[i], at != p_roots[i]):
+                        found.append((int(min(p_sigs[i], sigs[j])), int(max(p_sigs[i], sigs[j]))))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
@@ -464,14 +467,6 @@ class _Join:
         self.docs, self.n, self.num, self.den, self.work, self.broadcast_docs, self.chunk, self.tree = docs, n, num, den, work, broadcast_docs, chunk, tree
         self.parts = shuffle_parts(docs.sparkSession)
 
-    def sets_of(self, involved: DataFrame, name: str) -> DataFrame:
-        """(sig, head, hashes) of some classes, from the text of one document of each."""
-        work = self.work
-        wanted = work.save(self.classes.join(involved, "sig", "left_semi").select(F.col("rep").alias("wanted")).distinct(), f"{name}-wanted")
-        small = wanted.limit(self.broadcast_docs + 1).count() <= self.broadcast_docs  # 8 bytes each
-        texts = self.docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi").select("text")
-        return work.save(texts.mapInArrow(_sets(self.n), "sig long, head binary, hashes binary").join(involved.hint("shuffle_hash"), "sig", "left_semi").dropDuplicates(["sig"]), f"{name}-sets")
-
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are links: the set of each a walks through the prefix trees of its partners."""
         work = self.work
@@ -480,37 +475,42 @@ class _Join:
         chunked = near.join(work.save(sizes, f"{name}-sizes"), F.col("a") == F.col("x")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / self.chunk)).alias("chunk"))
         chunked = work.save(chunked, f"{name}-chunked")
         involved = chunked.select(F.col("a").alias("sig")).union(chunked.select(F.col("b").alias("sig"))).distinct()
-        sets = self.sets_of(involved, name).drop("head")
+        wanted = work.save(self.classes.join(involved, "sig", "left_semi").select(F.col("rep").alias("wanted")).distinct(), f"{name}-wanted")
+        small = wanted.limit(self.broadcast_docs + 1).count() <= self.broadcast_docs  # 8 bytes each
+        texts = self.docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi").select("text")
+        sets = work.save(texts.mapInArrow(_sets(self.n), "sig long, hashes binary").join(involved.hint("shuffle_hash"), "sig", "left_semi").dropDuplicates(["sig"]), f"{name}-sets")
         members = chunked.join(sets, F.col("b") == F.col("sig")).select("a", "chunk", "b", "hashes")
         probes = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("sig")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "hashes")
         rows = members.unionByName(probes).repartition(self.parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
         return work.save(rows.mapInArrow(_linked(self.num, self.den), "a long, b long"), f"{name}-links")
 
     def families(self, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(lo, sig, root): classes that share a hash with other components, whose least root is lo; and their sets."""
+        """(lo, sig, root): classes that share a hash with other components, whose least root is lo; and (sig, n, head, order, sketch) of those."""
         work = self.work
         placed = work.save(met.select("token", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", F.coalesce("root", "sig").alias("root")), "placed")
         mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo")
         family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "root").distinct(), "family")
-        return family, self.sets_of(family.select("sig").distinct(), "family")
-
-    def trees(self, members: DataFrame, most: int, join: bool, name: str) -> DataFrame:
-        """Members (lo, sig, root, head, hashes) as subtrees, a row each."""
-        ordered = members.repartitionByRange(self.parts, "lo", "head", "sig").sortWithinPartitions("lo", "head", "sig").select("lo", "sig", "root", "hashes")
-        return self.work.save(ordered.mapInArrow(_trees(self.num, self.den, most, 8 << 20, join), _TREE), name)
-
-    def across(self, family: DataFrame, sets: DataFrame, trees: DataFrame, roots: DataFrame) -> DataFrame:
-        """Links of the classes outside their family's largest component with all of the family."""
+        some = family.select(F.col("sig").alias("s")).distinct()
+        heads = met.join(some, F.col("sig") == F.col("s"), "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("head"))
+        heads = heads.mapInArrow(_heads, "sig long, n int, head binary, order binary")
+        return family, work.save(heads.join(self.classes.select(F.col("sig").alias("s"), "sketch"), F.col("sig") == F.col("s")).drop("s"), "heads")
+
+    def trees(self, family: DataFrame, heads: DataFrame, most: int, closest: bool, name: str) -> DataFrame:
+        """A family's classes as subtrees, a row each."""
+        rows = family.join(heads, "sig").repartitionByRange(self.parts, "lo", "order", "sig").sortWithinPartitions("lo", "order", "sig")
+        return self.work.save(rows.select("lo", "sig", "root", "n", "head", "sketch").mapInArrow(_trees(self.num, self.den, most, closest), _TREE), name)
+
+    def outside(self, family: DataFrame, heads: DataFrame, trees: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of the classes outside their family's largest component with all of other components in the family that they may link with."""
         work = self.work
         now = work.save(family.select("lo", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("lo", "sig", F.coalesce("root", "sig").alias("root")), "family-now")
         largest = now.groupBy("lo", "root").agg(F.count("*").alias("n")).groupBy("lo").agg(F.max_by("root", F.struct("n", "root")).alias("held"), F.count("*").alias("left")).where("left > 1").select(F.col("lo").alias("f"), "held")
-        outside = work.save(now.join(largest, (F.col("lo") == F.col("f")) & (F.col("root") != F.col("held"))).select("lo", "sig", "root"), "outside")
-        probes = self.trees(outside.join(sets, "sig").select("lo", "sig", "root", "head", "hashes"), 64, False, "probes")
-        data = ["sigs", "roots", "sizes", "hashes"]
+        rest = now.join(largest, (F.col("lo") == F.col("f")) & (F.col("root") != F.col("held"))).select("lo", "sig", "root")
+        probes = self.trees(rest, heads, 64, False, "probes")
         pairs = probes.select("lo", F.col("tree").alias("p")).join(trees.select("lo", F.col("tree").alias("t")), "lo").select("p", "t")
-        asked = pairs.join(probes.select(F.col("tree").alias("p"), *(F.col(c).alias(f"p_{c}") for c in data)), "p")
-        met = asked.join(trees.select(F.col("tree").alias("t"), *data), "t").select(*(f"p_{c}" for c in data), *data)
-        return work.save(met.mapInArrow(_probed(self.num, self.den), "a long, b long"), "across-links")
+        asked = pairs.join(probes.select(F.col("tree").alias("p"), *(F.col(c).alias(f"p_{c}") for c in _PARTS)), "p")
+        asked = asked.join(trees.select(F.col("tree").alias("t"), *_PARTS), "t").select(*(f"p_{c}" for c in _PARTS), *_PARTS)
+        return asked.mapInArrow(_probed(self.num, self.den), "a long, b long").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """The documents (doc_id, n, sig) and the roots (node, root) of linked classes."""
@@ -535,11 +535,11 @@ class _Join:
         stars = stars.join(k.withColumnRenamed("k", "ka"), F.col("a") == F.col("x")).drop("x").join(k.withColumnRenamed("k", "kb"), F.col("b") == F.col("x")).drop("x")
         links = self.verified(stars.mapInArrow(_near(num, den), "a long, b long"), "star")
         roots = work.save(connected_components(links, work, "cc0"), "roots0")
-        family, sets = self.families(met, roots)
-        trees = self.trees(family.join(sets, "sig").select("lo", "sig", "root", "head", "hashes"), self.tree, True, "trees")
-        links = links.unionByName(work.save(trees.select("a", "b").mapInArrow(_links_of, "a long, b long"), "tree-links"))
+        family, heads = self.families(met, roots)
+        trees = self.trees(family, heads, self.tree, True, "trees")
+        links = links.unionByName(self.verified(trees.select("a", "b").mapInArrow(_pairs_of, "a long, b long").distinct(), "closest"))
         roots = work.save(connected_components(links, work, "cc1"), "roots1")
-        links = links.unionByName(self.across(family, sets, trees, roots))
+        links = links.unionByName(self.verified(self.outside(family, heads, trees, roots), "outside"))
         roots = work.save(connected_components(links, work, "cc2"), "roots2")
         return docs.select("doc_id", "n", "sig"), roots
 
