@@ -1,26 +1,32 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a table of line keys (128-bit hashes) sorted by key, with the number of
-documents and the largest document of each. Documents come in batches. A batch's
-keys are merge-anti-joined with the runs: unseen keys become the batch's own run,
-keys that a run holds are an update of their counts. When a level holds `fan` runs,
-they and the updates are compacted into one run of the next level, so a key is
-rewritten as often as there are levels.
+A run is a table of line keys (128-bit hashes), bucketed and sorted by key, with the number of
+documents and the largest document of each. Documents come in batches. A batch's keys
+are merge-anti-joined with the runs: unseen keys become the batch's own run, keys that a
+run holds are an update of their counts. When a level holds `fan` runs, they and the
+updates are compacted into one run of the next level, so a key is rewritten as often as
+there are levels.
 
 Scale: lines are reduced to (document, position, hash) before any shuffle, counts
-are pre-aggregated, and texts are shuffled once, to meet the positions they lose.
-A key that a third of all documents hold has one row in its run; the join with the
-lines is split by adaptive execution.
+are pre-aggregated, and texts are shuffled once, to meet the positions they lose. All runs
+have the same buckets, a sorted file each, so an anti-join reads bucket beside bucket and
+shuffles and sorts no run; compactions alone deal keys anew. A batch's lines are a folder of their own, so
+each is read once. A key that a third of all documents hold has one row in its run; the
+join with the lines is split by adaptive execution.
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Workspace, load, lower_ascii
+from .common import ASCII_SPACE, Workspace, load, lower_ascii, shuffle_parts
 
 KEY = ["h1", "h2"]
+_PLANNING = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -31,16 +37,37 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The runs: add() takes a batch of (doc_id, h1, h2), counts() gives h1, h2, n_docs, max_doc over all batches.
+    """The runs: add() takes a batch of (doc_id, h1, h2), counts() gives h1, h2, n_docs, max_doc over all batches, to be run under settings().
 
     Batches must not share documents. Rows may repeat.
     """
 
     def __init__(self, spark: SparkSession, work: Workspace, fan: int = 3):
-        self.work, self.fan, self.added = work, fan, 0
+        self.spark, self.work, self.fan, self.added = spark, work, fan, 0
+        self.buckets = shuffle_parts(spark)
+        self.tables: list[str] = []
         self.levels: list[list[DataFrame]] = [[]]
         self.updates: list[DataFrame] = []
 
+    def _run(self, df: DataFrame) -> DataFrame:
+        """Write df, partitioned by key as an aggregate or a join with runs leaves it, so that a bucket is one sorted file."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("path", f"{self.work.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    @contextmanager
+    def settings(self):
+        """For plans over runs: a run is sorted, as a bucket is one file; a union of runs is not taken for bucketed (it is dealt by run, not by bucket)."""
+        before = {k: self.spark.conf.get(k, None) for k in _PLANNING}
+        for k, v in _PLANNING.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
     @staticmethod
     def _merged(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -54,29 +81,35 @@ class LineRuns:
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch; returns the keys that no run held before."""
         self.added += 1
-        counted = self.work.save(batch.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).sortWithinPartitions(*KEY), f"batch{self.added}")
-        fresh = counted
-        if runs := self._runs():
-            held = runs[0].select(*KEY)
-            for x in runs[1:]:
-                held = held.unionByName(x.select(*KEY))
-            fresh = self.work.save(counted.join(held.hint("merge"), KEY, "left_anti").sortWithinPartitions(*KEY), f"run{self.added}")
-            self.updates.append(counted.join(held.hint("merge"), KEY, "left_semi"))
-        self.levels[0].append(fresh)
-        level = 0
-        while len(self.levels[level]) >= self.fan:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            # updates of keys in other runs stay in this run and are summed by a later merge
-            run = self.work.save(self._merged(self.levels[level] + self.updates).sortWithinPartitions(*KEY), f"run{self.added}-{level + 1}")
-            self.levels[level], self.updates = [], []
-            self.levels[level + 1].append(run)
-            level += 1
+        with self.settings():
+            counted = self._run(batch.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
+            fresh = counted
+            if runs := self._runs():
+                for x in runs:
+                    fresh = fresh.join(x.select(*KEY).hint("merge"), KEY, "left_anti")
+                fresh = self._run(fresh)
+                self.updates.append(self._run(counted.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti")))
+            self.levels[0].append(fresh)
+            level = 0
+            while len(self.levels[level]) >= self.fan:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                # updates of keys in other runs stay in this run and are summed by a later merge
+                run = self._run(self._merged(self.levels[level] + self.updates))
+                self.levels[level], self.updates = [], []
+                self.levels[level + 1].append(run)
+                level += 1
         return fresh
 
     def counts(self) -> DataFrame:
         return self._merged(self._runs() + self.updates)
 
+    def close(self) -> None:
+        """Take the runs' names from the catalogue; their files go with the workspace."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan: int = 3) -> DataFrame:
     """The rows of docs (doc_id, text) with n_lines, n_dropped and kept_text.
@@ -86,16 +119,21 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     points at least in min_docs documents or more lose their lines except in the
     document with the largest id. Repeated rows of one id count as one document and
     are treated alike; a null id is a document that every other id outranks, and its
-    lines are counted, too. Other columns of docs are dropped.
+    lines are counted, too. Other columns of docs are dropped. An empty table gives no rows;
+    a text of any length is split whole.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "line-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = work.save(line_hashes(docs, min_chars), "lines")
+    hashed = line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    hashed.write.option("compression", "zstd").partitionBy("batch").parquet(f"{work.path}/lines")
+    lines = spark.read.schema(hashed.schema).parquet(f"{work.path}/lines")
     runs = LineRuns(spark, work, fan)
     for b in range(batches):
-        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-    frequent = work.save(runs.counts().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"), "frequent")
+        runs.add(lines.where(F.col("batch") == b))
+    with runs.settings():
+        frequent = work.save(runs.counts().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"), "frequent")
+    runs.close()
     dropped = (
         lines.join(frequent, KEY)
         .where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
