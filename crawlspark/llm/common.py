@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +53,21 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more, and let go of the shuffle files of what wrote them."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # the context's cleaner removes shuffles that no plan holds
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def remove(self) -> None:
         """Delete the folder; results that still read from it are lost."""
         try:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(self.path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.path)
         except Exception:  # noqa: BLE001  the session may have ended
             pass
 
@@ -90,3 +101,11 @@ def text_slices(batches, index: int, most_bytes: int = 4 << 20):
 def to_bytes(column: pa.Array) -> list[bytes]:
     """The values of a string or binary column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def views(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without copies; they hold as long as the column is held."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).tolist()
+    data = memoryview(data) if data is not None else memoryview(b"")
+    return [data[a:b] for a, b in zip(ends, ends[1:])]

@@ -29,5 +29,6 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc") ->
         joined = large.join(work.save(least, f"{name}-{number}-s"), F.col("a") == F.col("u"))
         small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         e = work.save(small, f"{name}-{number}")
+        work.drop(f"{name}-{number - 1}", f"{name}-{number}-l", f"{name}-{number}-large", f"{name}-{number}-s")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -47,13 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, load, shuffle_parts, text_slices
+from .common import Workspace, load, shuffle_parts, text_slices, views
 from .components import connected_components
 
 #: Bits of the sketches within a tree.
 TREE_BITS = 2048
 LOW = np.uint64(0.3 * 2.0**64)
 _BITS = 27
+_SLICE = 2 << 20
 _NULL_ID = -(2**63)
 
 
@@ -185,7 +186,7 @@ class PrefixTree:
 
 def _classes(n: int):
     def run(batches):
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, _SLICE):
             sets = shingle_sets(batch.column(1), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets]), pa.array([signature(s) for s in sets]), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "sig", "sketch"])
 
@@ -195,7 +196,7 @@ def _classes(n: int):
 def _fresh(batches, n: int):
     """The sets of a task's different documents, by slice."""
     seen: set[int] = set()
-    for batch in text_slices(batches, 0):
+    for batch in text_slices(batches, 0, _SLICE):
         out = []
         for s in shingle_sets(batch.column(0), n):
             if len(s):
@@ -275,7 +276,7 @@ def _prefixes(n: int, num: int, den: int, ranges: int, flags, often, groups: int
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["g", "token", "sig", "size"])
 
     def run(batches):
-        bitmap, frequent = np.unpackbits(np.frombuffer(flags.value, np.uint8)).view(bool), np.frombuffer(often.value, np.uint64)
+        bitmap, frequent = np.frombuffer(flags.value, np.uint8), np.frombuffer(often.value, np.uint64)
         parts, held = [], 0
         for sets in _fresh(batches, n):
             for sig, s in sets:
@@ -290,7 +291,8 @@ def _prefixes(n: int, num: int, den: int, ranges: int, flags, often, groups: int
                     last = low[:0]
                 low = low[:p]
                 r = low // np.uint64(width)
-                low_shared = low[bitmap[(r * np.uint64(bits) + (low - r * np.uint64(width)) // step).astype(np.int64)]]
+                bit = r * np.uint64(bits) + (low - r * np.uint64(width)) // step
+                low_shared = low[(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
                 tokens = low_shared if len(low) == p else np.concatenate([low_shared, np.concatenate([s[k:], last])[: p - len(low)]])
                 if len(tokens):
                     parts.append((tokens, np.full(len(tokens), sig, np.int64), np.full(len(tokens), len(s), np.int32)))
@@ -344,7 +346,7 @@ def _near(num: int, den: int):
 
 def _sets(n: int):
     def run(batches):
-        for batch in text_slices(batches, 0):
+        for batch in text_slices(batches, 0, _SLICE):
             sets = shingle_sets(batch.column(0), n)
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "hashes"])
 
@@ -418,7 +420,7 @@ def _probed(num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*map(views, batch.columns)):
                 p_sigs, p_roots, p_n, p_rest, probes, p_sketches = _open_tree(*row[: len(_PARTS)], num, den)
                 sigs, roots, n, rest, heads, sketches = _open_tree(*row[len(_PARTS) :], num, den)
                 tree = PrefixTree(heads, n, rest, sketches)
@@ -445,7 +447,7 @@ def _linked(num: int, den: int):
         key, probe, members = None, None, []
         for batch in batches:
             found = []
-            for a, chunk, b, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, chunk, b, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), views(batch.column(3))):
                 if (a, chunk) != key:
                     if key:
                         found += links(key[0], probe, members)
@@ -454,6 +456,8 @@ def _linked(num: int, den: int):
                     probe = np.frombuffer(hashes, np.uint64)
                 else:
                     members.append((b, hashes))
+            # what the next batch goes on with must not hold this one
+            probe, members = None if probe is None else probe.copy(), [(b, bytes(x)) for b, x in members]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
         if key and (found := links(key[0], probe, members)):
@@ -482,7 +486,9 @@ class _Join:
         members = chunked.join(sets, F.col("b") == F.col("sig")).select("a", "chunk", "b", "hashes")
         probes = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("sig")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "hashes")
         rows = members.unionByName(probes).repartition(self.parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-        return work.save(rows.mapInArrow(_linked(self.num, self.den), "a long, b long"), f"{name}-links")
+        links = work.save(rows.mapInArrow(_linked(self.num, self.den), "a long, b long"), f"{name}-links")
+        work.drop(*(f"{name}-{x}" for x in ("near", "sizes", "chunked", "wanted", "sets")))
+        return links
 
     def families(self, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(lo, sig, root): classes that share a hash with other components, whose least root is lo; and (sig, n, head, order, sketch) of those."""
@@ -493,7 +499,9 @@ class _Join:
         some = family.select(F.col("sig").alias("s")).distinct()
         heads = met.join(some, F.col("sig") == F.col("s"), "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("head"))
         heads = heads.mapInArrow(_heads, "sig long, n int, head binary, order binary")
-        return family, work.save(heads.join(self.classes.select(F.col("sig").alias("s"), "sketch"), F.col("sig") == F.col("s")).drop("s"), "heads")
+        heads = work.save(heads.join(self.classes.select(F.col("sig").alias("s"), "sketch"), F.col("sig") == F.col("s")).drop("s"), "heads")
+        work.drop("placed", "met")
+        return family, heads
 
     def trees(self, family: DataFrame, heads: DataFrame, most: int, closest: bool, name: str) -> DataFrame:
         """A family's classes as subtrees, a row each."""
@@ -541,6 +549,7 @@ class _Join:
         roots = work.save(connected_components(links, work, "cc1"), "roots1")
         links = links.unionByName(self.verified(self.outside(family, heads, trees, roots), "outside"))
         roots = work.save(connected_components(links, work, "cc2"), "roots2")
+        work.drop("family", "heads", "trees", "probes", "family-now", "classes")
         return docs.select("doc_id", "n", "sig"), roots
 
 

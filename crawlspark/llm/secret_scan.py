@@ -303,7 +303,8 @@ def _redacting(min_log10: float, at: int, n_chars: int | None):
                 columns = list(batch.columns)
                 columns[at] = pa.array(new, batch.schema.field(at).type)
                 if n_chars is not None:
-                    columns[n_chars] = pa.array([None if x is None else len(x) for x in new], pa.int64()).cast(batch.schema.field(n_chars).type)
+                    sizes = pa.array([0 if x is None else len(x) for x in new], pa.int64()).cast(batch.schema.field(n_chars).type)
+                    columns[n_chars] = pc.if_else(may, sizes, columns[n_chars])  # others keep what they had
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
