@@ -38,18 +38,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (A-Z and a-z alike): the one with the largest doc_id."""
+    """One row of each group of equal texts (A-Z and a-z alike, null as empty): the one with the largest doc_id.
+
+    A null id ranks below all others. Of rows that share that id, too, the one whose hash is least stays.
+    """
     kept = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     # the row is one column, so that no name of docs can clash
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256).alias("sha"))
     one = keyed.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
-    return one.dropDuplicates(["id", "sha"]).select("row.*")
+    return one.groupBy("id", "sha").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingles with a Jaccard of 0.8 or more: the one with the least doc_id.
 
-    One row, too, where ids are null (they rank first) or repeat.
+    One row, too, where ids are null (they rank first) or repeat. Texts without words, null among them, all stay.
     """
     rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows != ids:  # null or repeated ids: rows get own ones, in the order of id, then hash of the text
@@ -63,12 +66,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
+    """All documents, with the secrets in their texts masked and n_chars made to fit; null and empty texts, ids and other columns as they are."""
     return redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 2048 tokens."""
+    """The pieces of all documents, packed into sequences of 2048 tokens; null and empty texts are one token, rows with null or repeated ids stand for themselves."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
