@@ -27,25 +27,43 @@ def _bucket_counts() -> list:
     return [v.alias(k) for k, v in zip(_COUNTS, values)]
 
 
-def _averaged(counts: DataFrame) -> DataFrame:
+def averaged(counts: DataFrame) -> DataFrame:
     return counts.withColumn("avg_ms", X.int_avg(F.col("ms"), F.col("answers"))).drop("ms", "answers")
 
 
 def buckets(pages: DataFrame, key: str) -> DataFrame:
     """Counts by crawl and key (depth or language)."""
-    return _averaged(pages.groupBy("crawl_id", F.col(key).cast("string").alias("key")).agg(*_bucket_counts()))
+    return averaged(pages.groupBy("crawl_id", F.col(key).cast("string").alias("key")).agg(*_bucket_counts()))
+
+
+#: What a report counts by, in this order in the sets of all_counts(); the last set is all pages.
+BREAKDOWNS = ("depth", "language", "section", "status_key", "content_type")
+
+
+def all_counts(pages: DataFrame) -> DataFrame:
+    """The counts by crawl and each of BREAKDOWNS, and of all pages, in one pass: part, crawl_id, key and counts."""
+    sets = [["crawl_id", c] for c in BREAKDOWNS] + [["crawl_id"]]
+    grouped = pages.groupingSets(sets, "crawl_id", *BREAKDOWNS).agg(F.grouping_id().alias("gid"), *_bucket_counts(), F.count_if("via_nofollow").alias("via_nofollow"), F.count_if(X.is_broken()).alias("broken"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    n = len(BREAKDOWNS)
+    part = F.lit("all")
+    key = F.lit("")
+    for i, c in enumerate(BREAKDOWNS):  # a bit a column that is not in the set
+        here = F.col("gid") == (1 << n) - 1 - (1 << n - 1 - i)
+        part, key = F.when(here, c).otherwise(part), F.when(here, F.col(c).cast("string")).otherwise(key)
+    return grouped.select(part.alias("part"), "crawl_id", key.alias("key"), *_COUNTS, "via_nofollow", "broken", "max_depth")
 
 
 def section_buckets(pages: DataFrame, most: int = SECTIONS) -> DataFrame:
-    """Counts of the largest sections, the others in one row whose average is of their sums.
+    """Counts of the largest sections, the others in one row whose average is of their sums."""
+    return ranked_sections(pages.groupBy("crawl_id", F.col("section").alias("key")).agg(*_bucket_counts()), most)
 
-    Ranks are of the aggregated sections, not of pages.
-    """
-    counts = pages.groupBy("crawl_id", F.col("section").alias("key")).agg(*_bucket_counts())
+
+def ranked_sections(counts: DataFrame, most: int = SECTIONS) -> DataFrame:
+    """section_buckets() of counts by section: ranks are of the aggregated sections, not of pages."""
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("crawl_id").orderBy(F.desc("total"), "key")))
     rest = F.count_if(F.col("rank") > most).over(W.partitionBy("crawl_id"))
     named = ranked.withColumn("key", F.when(F.col("rank") > most, F.concat(F.lit("(otras "), rest.cast("string"), F.lit(" secciones)"))).otherwise(F.col("key")))
-    return _averaged(named.groupBy("crawl_id", "key", F.least("rank", F.lit(most + 1)).alias("rank")).agg(*(F.sum(c).alias(c) for c in _COUNTS)))
+    return averaged(named.groupBy("crawl_id", "key", F.least("rank", F.lit(most + 1)).alias("rank")).agg(*(F.sum(c).alias(c) for c in _COUNTS)))
 
 
 def status_counts(pages: DataFrame) -> DataFrame:

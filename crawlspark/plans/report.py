@@ -14,33 +14,40 @@ from ..operators import report as R
 
 
 def build(crawl: dict, pages: DataFrame, links: DataFrame, seed: int = 0, now: datetime | None = None) -> dict:
-    """The report of one crawl, whose pages and links are given. Every list is bounded but those by depth, status and language."""
+    """The report of one crawl, whose pages and links are given. Every list is bounded but those by depth, status and language.
+
+    All that is counted by a key comes from one pass with grouping sets, whose few rows are
+    kept; the others read the classified pages, which are kept, too.
+    """
     prepared = R.classify(pages).persist()
-    broken = prepared.where(R.X.is_broken())
+    counts = R.all_counts(prepared).persist()
+    by = lambda part: R.averaged(counts.where(F.col("part") == part).drop("part", "via_nofollow", "broken", "max_depth"))
     rows = lambda df, *order: lambda: [r.asDict(recursive=True) for r in df.orderBy(*order).drop("crawl_id").collect()]
     ranked = lambda df: rows(df, "rank")
     parts = {
-        "summary": lambda: P.summary(prepared).first().asDict(),
-        "by_depth": rows(R.buckets(prepared, "depth"), F.col("key").cast("int")),
-        "by_status": rows(R.status_counts(prepared).withColumnRenamed("status_key", "status"), F.desc("n"), "status"),
-        "by_language": rows(R.buckets(prepared, "language"), F.desc("total"), "key"),
-        "by_section": ranked(R.section_buckets(prepared)),
-        "content_types": rows(P.content_types(prepared), "content_type"),
+        "summary": lambda: _summary(counts),
+        "by_depth": rows(by("depth"), F.col("key").cast("int")),
+        "by_status": rows(by("status_key").select("crawl_id", F.col("key").alias("status"), F.col("total").alias("n")), F.desc("n"), "status"),
+        "by_language": rows(by("language"), F.desc("total"), "key"),
+        "by_section": ranked(R.ranked_sections(counts.where("part = 'section'"))),
+        "content_types": rows(by("content_type").where("key <> ''").select("crawl_id", F.col("key").alias("content_type"), F.col("total").alias("n")), "content_type"),
         "redirects": rows(R.redirects(prepared).orderBy(F.desc("n"), "pattern").limit(R.REDIRECTS), F.desc("n"), "pattern"),
         "errors": rows(R.errors(prepared).orderBy(F.desc("n"), "kind").limit(R.ERRORS), F.desc("n"), "kind"),
         "top_broken": ranked(R.top_broken(prepared, links, one_crawl=True)),
-        "top_broken_scanned": lambda: min(R.SCANNED, broken.count()),
         "duplicate_titles": rows(R.duplicate_titles(prepared).orderBy(F.desc("n"), "title").limit(R.TITLES), F.desc("n"), "title"),
         "slowest": ranked(R.top_pages(prepared, "duration_ms")),
         "largest": ranked(R.top_pages(prepared, "size")),
         "samples": rows(R.samples(prepared, seed), "key", "rn"),
     }
     try:
-        prepared.count()  # once, before the parts share it
+        counts.count()  # once, before the parts share it
         with ThreadPoolExecutor(8) as pool:
             got = dict(zip(parts, pool.map(lambda f: f(), parts.values())))
     finally:
+        counts.unpersist()
         prepared.unpersist()
+    got["summary"], n_broken = got["summary"]
+    got["top_broken_scanned"] = min(R.SCANNED, n_broken)
     samples: dict[str, list] = {}
     for r in got.pop("samples"):
         samples.setdefault(r["key"], []).append({k: v for k, v in r.items() if k not in ("key", "rn")})
@@ -50,6 +57,14 @@ def build(crawl: dict, pages: DataFrame, links: DataFrame, seed: int = 0, now: d
     return {"generated_at": now or datetime.now(timezone.utc), "crawl": crawl, **got, "samples": samples}
 
 
+def _summary(counts: DataFrame) -> tuple[dict, int]:
+    """The counters of all pages, and how many are broken."""
+    row = R.averaged(counts.where("part = 'all'")).first()
+    names = ("total", "status_2xx", "status_3xx", "status_4xx", "status_5xx", "errors", "blocked", "noindex", "via_nofollow", "max_depth")
+    got = {n: row[n] if row else 0 for n in names} | {"avg_duration_ms": row["avg_ms"] if row else 0}
+    return got, row["broken"] if row else 0
+
+
 def to_json(report: dict) -> str:
     return json.dumps(report, ensure_ascii=False, default=lambda x: x.isoformat())
 
