@@ -105,9 +105,10 @@ class LineRuns:
         return self._merged(self._runs() + self.updates)
 
     def close(self) -> None:
-        """Take the runs' names from the catalogue; their files go with the workspace."""
+        """Take the runs from the catalogue and delete their files."""
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.work.drop(*self.tables)
         self.tables = []
 
 

@@ -272,13 +272,15 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 64,
     annuli = annuli[np.argsort(annuli[:, 7], kind="stable")]  # of equal bounds, those with smaller ids first
     state = work.save(index.select("ids", "rows", "vecs").mapInArrow(_home(dims, k, every, chunk_rows), _STATE), "home")
     blocks = index.select("block_id", F.col("ids").alias("b_ids"), F.col("rows").alias("b_rows"), F.col("vecs").alias("b"))
-    lo, hi = 0, first
+    lo, hi, last = 0, first, "home"
     while lo < len(annuli):
         asked = work.save(state.mapInArrow(_route(pivots, annuli, dims, k, lo, hi), "target long, chunk long, who binary, q_rows binary, q binary"), f"asked{lo}")
         if asked.isEmpty():  # annuli come by falling bounds: no query has any left
             break
         found = asked.join(blocks, F.col("target") == F.col("block_id")).select("chunk", "who", "q_rows", "q", "b_ids", "b_rows", "b").mapInArrow(_score(dims, k), _STATE)
         state = work.save(state.unionByName(found).groupBy("chunk").applyInArrow(_gather(dims, k), _STATE), f"state{lo}")
+        work.drop(last, f"asked{lo}")
+        last = f"state{lo}"
         lo, hi = hi, 9 * hi
     return state.mapInArrow(_answers(dims, k), "query_id long, rank int, vec_id long, score long")
 
