@@ -354,10 +354,12 @@ def _sets(n: int):
 
 
 def _heads(batches):
-    """(sig, n, head, order): the first hashes of each class, which come as arrays, in order as bytes, and what sorts them."""
+    """(sig, n, head, order, sketch): the first hashes of each class, which come as arrays, in order and cut to their upper halves (equal ones stay equal), what sorts them, and the sketch of a tree."""
     for batch in batches:
         heads = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in heads], pa.binary()), pa.array([x[:8].astype(">u8").tobytes() for x in heads], pa.binary())], names=["sig", "n", "head", "order"])
+        sketches = [tree_sketch(np.frombuffer(x, np.uint8)).tobytes() for x in views(batch.column(3))]
+        columns = [pa.array(x, pa.binary()) for x in ([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in heads], [x[:8].astype(">u8").tobytes() for x in heads], sketches)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["sig", "n", "head", "order", "sketch"])
 
 
 _TREE = "tree long, lo long, sigs binary, roots binary, sizes binary, lengths binary, heads binary, sketches binary, a binary, b binary"
@@ -367,7 +369,7 @@ _PARTS = ["sigs", "roots", "sizes", "lengths", "heads", "sketches"]
 def _open_tree(sigs, roots, sizes, lengths, heads, sketches, num: int, den: int):
     """The columns of a tree's row: sigs, roots, n, rest, heads and sketches of its classes."""
     sigs, roots, n, lengths = (np.frombuffer(x, np.int64) for x in (sigs, roots, sizes, lengths))
-    heads = np.split(np.frombuffer(heads, np.uint64), np.cumsum(lengths)[:-1])
+    heads = np.split(np.frombuffer(heads, np.uint32), np.cumsum(lengths)[:-1])
     # n - (n - ceil(n num / den) + 1) hashes follow the first ones
     return sigs, roots, n, -(-n * num // den) - 1, heads, np.frombuffer(sketches, np.uint64).reshape(len(sigs), -1)
 
@@ -377,8 +379,8 @@ def _trees(num: int, den: int, most: int, closest: bool):
 
     def emit(number, lo, rows):
         sigs, roots, n, heads, sketches = zip(*rows)
-        part = [np.array(x, np.int64).tobytes() for x in (sigs, roots, n, [len(h) // 8 for h in heads])]
-        part += [b"".join(heads), b"".join(tree_sketch(np.frombuffer(k, np.uint8)).tobytes() for k in sketches)]
+        part = [np.array(x, np.int64).tobytes() for x in (sigs, roots, n, [len(h) // 4 for h in heads])]
+        part += [b"".join(heads), b"".join(sketches)]
         pairs = set()
         if closest and len(set(roots)) > 1:
             sigs, roots, n, rest, heads, sketches = _open_tree(*part, num, den)
@@ -493,14 +495,15 @@ class _Join:
     def families(self, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(lo, sig, root): classes that share a hash with other components, whose least root is lo; and (sig, n, head, order, sketch) of those."""
         work = self.work
-        placed = work.save(met.select("token", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", F.coalesce("root", "sig").alias("root")), "placed")
+        placed = work.save(met.select("token", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root")), "placed")
+        work.drop("met")
         mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo")
         family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "root").distinct(), "family")
         some = family.select(F.col("sig").alias("s")).distinct()
-        heads = met.join(some, F.col("sig") == F.col("s"), "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("head"))
-        heads = heads.mapInArrow(_heads, "sig long, n int, head binary, order binary")
-        heads = work.save(heads.join(self.classes.select(F.col("sig").alias("s"), "sketch"), F.col("sig") == F.col("s")).drop("s"), "heads")
-        work.drop("placed", "met")
+        heads = placed.join(some, F.col("sig") == F.col("s"), "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("head"))
+        heads = heads.join(self.classes.select(F.col("sig").alias("s"), "sketch"), F.col("sig") == F.col("s")).select("sig", "n", "head", "sketch")
+        heads = work.save(heads.mapInArrow(_heads, "sig long, n int, head binary, order binary, sketch binary"), "heads")
+        work.drop("placed")
         return family, heads
 
     def trees(self, family: DataFrame, heads: DataFrame, most: int, closest: bool, name: str) -> DataFrame:
