@@ -121,7 +121,7 @@ def _(spark, d):
     return out.select("crawl_id", "url", "status", F.size("referrers").cast("long").alias("shown"), F.array_join("referrers", " ").alias("referrers"), "referrers_count")
 
 
-@query("outlink_counts", "SELECT crawl_id, to_url, count(*) AS n FROM cl GROUP BY ALL")
+@query("inlink_counts", "SELECT crawl_id, to_url, count(*) AS n FROM cl GROUP BY ALL")
 def _(spark, d):
     return P.in_degrees(links(spark, d))
 
@@ -295,6 +295,41 @@ def _(spark, d):
     return html_pages(spark, d).select("page_id", normalize_url(F.col("url")).alias("normal"))
 
 
+#: What is written on a page, in thirteen ways, and its normal form against https://a.test/d/p?q=1; n is the event's id.
+_WAYS = [
+    ("concat('HTTP://Shop.TEST:80/x', n)", "'http://shop.test/x' || n"),
+    ("concat('https://shop.test:443?k=', n)", "'https://shop.test/?k=' || n"),
+    ("concat('https://shop.test:8443/x', n, '#top')", "'https://shop.test:8443/x' || n"),
+    ("concat('https://shop.test/a/../b/./c', n, '/..')", "'https://shop.test/b/'"),
+    ("concat('../up', n, '?q=1')", "'https://a.test/up' || n || '?q=1'"),
+    ("concat('?only=', n)", "'https://a.test/d/p?only=' || n"),
+    ("concat('//other.test/x', n)", "'https://other.test/x' || n"),
+    ("concat('./ñ', n)", "'https://a.test/d/%C3%B1' || n"),
+    ("concat('  /x', n, '?  ')", "'https://a.test/x' || n"),
+    ("concat('ftp://shop.test/', n)", "CAST(NULL AS VARCHAR)"),
+    ("concat('https://user@shop.test/', n)", "CAST(NULL AS VARCHAR)"),
+    ("concat('/bad%zz', n)", "CAST(NULL AS VARCHAR)"),
+    ("concat('../../../../z', n)", "'https://a.test/z' || n"),
+]
+
+
+def _way(i: int) -> str:
+    return "CASE n % 13 " + " ".join(f"WHEN {k} THEN {w[i]}" for k, w in enumerate(_WAYS)) + " END"
+
+
+@query("normalize_references", f"WITH v AS (SELECT event_id AS n FROM events) SELECT n, {_way(1)} AS normal FROM v", plain=True)
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"))
+    return v.select("n", normalize_url(F.expr(_way(0)), F.lit("https://a.test/d/p?q=1")).alias("normal"))
+
+
+@query("page_links_capped", "SELECT event_id + 1 AS id, event_type AS text FROM events ORDER BY id LIMIT 500", plain=True)
+def _(spark, d):
+    """A page with a link for every event shows the first 500."""
+    many = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id + 1 AS id", "1L AS crawl_id", "7L AS from_page_id", "'https://a.test/' AS to_url", "event_type AS text", "false AS nofollow", "true AS in_scope")
+    return P.page_outlinks(many, 1, 7).select("id", "text")
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url and what the parser finds, links relative to the page's own site."""
     import pandas as pd

@@ -406,6 +406,32 @@ def _(spark, d):
     return spark.createDataFrame([(k, *split_origin(given(k))) for k in _nations(spark, d)], "k int, host string, port string")
 
 
+@query("connection_targets", "SELECT CAST(n_nationkey AS INT) AS k, CASE n_nationkey % 4 WHEN 3 THEN '' ELSE '10.0.0.1' END AS address, CASE n_nationkey % 4 WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 8080 ELSE 0 END AS port FROM nation", plain=True)
+def _(spark, d):
+    """The origin stands in for the seed's host and its www twin only."""
+    from ..sources.responses import connection_target
+
+    given = [("https://www.s.test/x", "10.0.0.1"), ("http://s.test/x", "10.0.0.1"), ("https://S.test/x", "10.0.0.1:8080"), ("https://o.s.test/x", "10.0.0.1")]
+    return spark.createDataFrame([(k, *(connection_target(given[k % 4][0], "s.test", given[k % 4][1]) or ("", 0))) for k in _nations(spark, d)], "k int, address string, port int")
+
+
+@query("sitemap_files", "SELECT CAST(n_nationkey AS INT) AS k, CASE n_nationkey % 5 WHEN 0 THEN 'urls: https://a.test/' || n_nationkey || ' ' WHEN 1 THEN 'indexes: https://a.test/' || n_nationkey || '.xml' WHEN 2 THEN 'urls: https://a.test/' || n_nationkey ELSE 'nothing' END AS found FROM nation", plain=True)
+def _(spark, d):
+    import gzip
+
+    from ..sources.sitemaps import read_sitemap, unpacked
+
+    rows = []
+    for k in _nations(spark, d):
+        ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+        body = [f"<urlset {ns}><url><loc> https://a.test/{k}\n</loc></url><url><lastmod>x</lastmod></url></urlset>", f"<sitemapindex><sitemap><loc>https://a.test/{k}.xml</loc></sitemap></sitemapindex>", f"<urlset><url><loc>https://a.test/{k}</loc></url></urlset>", "<urlset><url>", f"<rss><loc>https://a.test/{k}</loc></rss>"][k % 5].encode()
+        raw = unpacked(gzip.compress(body) if k % 5 == 2 else body, "https://a.test/s.xml")
+        indexes, urls = read_sitemap(raw)
+        broken = unpacked(b"\x1f\x8bnonsense", "https://a.test/s.xml")
+        rows.append((k, "broken" if broken is not None else "urls: " + " ".join(urls) if urls else "indexes: " + " ".join(indexes) if indexes else "nothing"))
+    return spark.createDataFrame(rows, "k int, found string")
+
+
 @query("config_round_trip", """SELECT CAST(n_nationkey AS INT) AS k, 15 AS n_keys, CASE WHEN n_nationkey % 2 = 0 THEN 500 ELSE CAST(n_nationkey AS INT) END AS max_pages, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 500 END AS delay_ms,
   CASE WHEN n_nationkey % 5 = 0 THEN '{"A":"é"}' ELSE '{}' END AS headers FROM nation""", plain=True)
 def _(spark, d):
