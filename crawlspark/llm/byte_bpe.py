@@ -242,7 +242,8 @@ def codec_of(path: str, pattern: str) -> Codec:
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs (doc_id, text); with_ids adds ids, a string of decimals.
 
-    Null text equals empty text, which has no tokens. Rows repeat as often as in docs;
+    Null text equals empty text, which has no tokens. Rows repeat as often as in docs, those
+    with null ids, too; texts of any length are encoded whole; an empty table gives no rows;
     other columns are dropped.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids

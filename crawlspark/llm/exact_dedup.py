@@ -109,7 +109,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, keep_id, group_size, kept, text_sha256: of rows with equal normalised text, the one with the largest id stays.
 
     Of repeated rows with one id a single row stays. An id that is null ranks below
-    every other. Null text equals empty text. An empty table gives no rows.
+    every other. Null text equals empty text; texts of any length are compared whole. An
+    empty table gives no rows. Other columns are not read.
     """
     work = Workspace(docs.sparkSession, "exact-dedup")
     named = work.save(block_names(docs, id_col, text_col, block_bytes, work=work), "named")

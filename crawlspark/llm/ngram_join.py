@@ -471,7 +471,7 @@ def _linked(num: int, den: int):
 class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, work: Workspace, broadcast_docs: int, chunk: int, tree: int):
         self.docs, self.n, self.num, self.den, self.work, self.broadcast_docs, self.chunk, self.tree = docs, n, num, den, work, broadcast_docs, chunk, tree
-        self.parts = shuffle_parts(docs.sparkSession)
+        self.parts, self.broadcast_rows = shuffle_parts(docs.sparkSession), broadcast_docs // 4
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are links: the set of each a walks through the prefix trees of its partners."""
@@ -516,9 +516,13 @@ class _Join:
         work = self.work
         now = work.save(family.select("lo", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("lo", "sig", F.coalesce("root", "sig").alias("root")), "family-now")
         largest = now.groupBy("lo", "root").agg(F.count("*").alias("n")).groupBy("lo").agg(F.max_by("root", F.struct("n", "root")).alias("held"), F.count("*").alias("left")).where("left > 1").select(F.col("lo").alias("f"), "held")
-        rest = now.join(largest, (F.col("lo") == F.col("f")) & (F.col("root") != F.col("held"))).select("lo", "sig", "root")
+        largest = work.save(largest, "largest")  # a row a family
+        few = largest.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows  # 16 bytes each
+        rest = now.join(F.broadcast(largest) if few else largest, (F.col("lo") == F.col("f")) & (F.col("root") != F.col("held"))).select("lo", "sig", "root")
         probes = self.trees(rest, heads, 64, False, "probes")
-        pairs = probes.select("lo", F.col("tree").alias("p")).join(trees.select("lo", F.col("tree").alias("t")), "lo").select("p", "t")
+        asking = probes.select("lo", F.col("tree").alias("p"))
+        few = asking.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
+        pairs = trees.select("lo", F.col("tree").alias("t")).join(F.broadcast(asking) if few else asking, "lo").select("p", "t")
         asked = pairs.join(probes.select(F.col("tree").alias("p"), *(F.col(c).alias(f"p_{c}") for c in _PARTS)), "p")
         asked = asked.join(trees.select(F.col("tree").alias("t"), *_PARTS), "t").select(*(f"p_{c}" for c in _PARTS), *_PARTS)
         return asked.mapInArrow(_probed(self.num, self.den), "a long, b long").distinct()
@@ -552,7 +556,7 @@ class _Join:
         roots = work.save(connected_components(links, work, "cc1"), "roots1")
         links = links.unionByName(self.verified(self.outside(family, heads, trees, roots), "outside"))
         roots = work.save(connected_components(links, work, "cc2"), "roots2")
-        work.drop("family", "heads", "trees", "probes", "family-now", "classes")
+        work.drop("family", "heads", "trees", "probes", "family-now", "largest", "classes")
         return docs.select("doc_id", "n", "sig"), roots
 
 

@@ -231,8 +231,8 @@ def _placed(rules: np.ndarray):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, broadcast_rows: int = 300_000) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text is empty text; every document ends in end_id and so has a token. Rows with
-    null or repeated ids are packed each for itself. An empty table gives no rows. Other
+    Null text is empty text; every document ends in end_id and so has a token, and a text of
+    any length is cut whole. Rows with null or repeated ids are packed each for itself. An empty table gives no rows. Other
     columns are dropped. The tokenizer must drop white space and not join across it.
     """
     work = Workspace(docs.sparkSession, "packing")

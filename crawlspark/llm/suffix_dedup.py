@@ -19,8 +19,12 @@ third of all documents hold is one row a stretch, then across tasks, a context a
 context that occurs twice is a repeat as it is, and only the different contexts of an
 anchor string that has several are needed as bytes, one occurrence of each. A second
 bitmap tells a third pass which. A bit in common costs work
-and never changes a result. Texts are shuffled once, at the end, to meet their spans. The
-different contexts of one anchor string are held by one task.
+and never changes a result. Texts are shuffled once, at the end, to meet their spans. An
+anchor string with more than `most` different contexts is split: windows that begin j to k
+bytes before it agree in the bytes that all of them hold, so contexts that agree there are
+a group for those windows, and groups are halved by j until they are small enough for one
+suffix array, or are one window. What agrees in all windows of a half is settled in its
+task, so a passage that a third of all documents hold goes on as one row a task.
 """
 
 from __future__ import annotations
@@ -360,6 +364,48 @@ def _spans(length: int):
     return run
 
 
+_HALVES = "kind int, h long, leaf boolean, j1 int, j2 int, at int, context binary, doc_id long, row long, start long, to long"
+
+
+def _halves(length: int, most: int = 1 << 14):
+    """Contexts (h, j1, j2, at, context, doc_id, row, start) of large groups, each in two groups: for the lower and the upper half of
+    j, the contexts that agree in what all windows that begin so far before the anchor share.
+
+    Contexts of a stretch of a task that agree in all their windows of a half are settled there
+    (kind _SETTLED, from start to `to`), but for one that goes on and stands for them (_ONLY).
+    """
+    types = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def emit(rows):
+        groups: dict[tuple, list] = {}
+        for h, j1, j2, at, context, *place in rows:
+            middle = (j1 + j2) // 2
+            for a, b in ((j1, middle), (middle + 1, j2)):
+                lo, hi = max(a, at + length - len(context)), min(b, at)  # the windows of the half that the context has
+                if lo <= hi:
+                    core = hashlib.blake2b(context[at - a : at + length - b], digest_size=8, key=f"{h} {a} {b}".encode()).digest()
+                    groups.setdefault((core, a, b, lo, hi, context[at - hi : at + length - lo]), []).append((at, context, *place))
+        out = []
+        for (core, a, b, lo, hi, _), members in groups.items():
+            if len(members) > 1:
+                out += [(_SETTLED, None, None, None, None, None, None, doc_id, row, start + at - hi, start + at - lo + length) for at, _, doc_id, row, start in members]
+            out.append((_ONLY, int.from_bytes(core, "little", signed=True), a == b, a, b, *members[0], None))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[x.split()[0] for x in _HALVES.split(", ")])
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append(row)
+                if len(rows) >= most:
+                    yield emit(rows)
+                    rows = []
+        if rows:
+            yield emit(rows)
+
+    return run
+
+
 def _span_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "row", "from", "to"])
 
@@ -375,7 +421,44 @@ def _merged(ranges):
     return out
 
 
-def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, gram: int = 128, ranges: int = 64) -> DataFrame:
+def _large(rows: DataFrame, work: Workspace, name: str, most: int) -> tuple[DataFrame, bool]:
+    """(g): groups h of more than `most` rows, and whether they are few enough to broadcast (8 bytes each)."""
+    large = work.save(rows.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("g"), name)
+    return large, large.limit(1_000_001).count() <= 1_000_000
+
+
+def _among(rows: DataFrame, large: DataFrame, few: bool, how: str) -> DataFrame:
+    return rows.join(F.broadcast(large) if few else large, F.col("h") == F.col("g"), how)
+
+
+def _solved(contexts: DataFrame, work: Workspace, length: int, gram: int, parts: int, most: int) -> list[DataFrame]:
+    """Spans (doc_id, row, from, to) of contexts (h, at, context, doc_id, row, start), a group h a task if it has `most` at most.
+
+    Larger groups are split by what lies around the anchor, until groups are small or of one window.
+    """
+    spans = "doc_id long, row long, from long, to long"
+    columns = ["h", "at", "context", "doc_id", "row", "start"]
+
+    def in_groups(rows: DataFrame, name: str) -> DataFrame:
+        sorted_rows = rows.select(*columns).repartition(2 * parts, "h").sortWithinPartitions("h")
+        return work.save(sorted_rows.mapInArrow(_spans(length), spans), name)
+
+    large, few = _large(contexts, work, "large", most)
+    out = [in_groups(_among(contexts, large, few, "left_anti"), "spans")]
+    left = _among(contexts, large, few, "left_semi").withColumns({"j1": F.lit(0), "j2": F.lit(length - gram)})
+    number = 0
+    while not large.isEmpty():
+        number += 1
+        halves = work.save(left.repartition(2 * parts).select("h", "j1", "j2", *columns[1:]).mapInArrow(_halves(length), _HALVES), f"halves{number}")
+        out.append(halves.where(F.col("kind") == _SETTLED).select("doc_id", "row", F.col("start").alias("from"), "to"))
+        kids = halves.where(F.col("kind") == _ONLY)
+        large, few = _large(kids.where("not leaf"), work, f"large{number}", most)
+        out.append(in_groups(_among(kids, large, few, "left_anti"), f"spans{number}"))
+        left = _among(kids, large, few, "left_semi")
+    return out
+
+
+def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, gram: int = 128, ranges: int = 64, most: int = 1000) -> DataFrame:
     """(doc_id, row, from, to): byte spans of docs (doc_id, row, text) whose every byte is in a window of `length` bytes that also starts elsewhere."""
     strings = docs.select("text").mapInArrow(_strings(length, gram, ranges), "r int, once binary, again binary")
 
@@ -393,9 +476,11 @@ def repeated_spans(docs: DataFrame, work: Workspace, length: int = 400, gram: in
     several = bitmap(judged.where("to < 0").select("h").mapInArrow(_anchor_hashes(ranges), by_range))
     needed = judged.where("to < 0").select("h", "doc_id", "row", "from").mapInArrow(_needed(ranges, several), by_range)
     wanted = bitmap(needed)
-    contexts = docs.mapInArrow(_contexts(length, gram, wanted), _CONTEXTS).repartition(2 * parts, "h").sortWithinPartitions("h")
-    more = work.save(contexts.mapInArrow(_spans(length), "doc_id long, row long, from long, to long"), "spans")
-    return judged.where("to >= 0").drop("h").unionByName(more)
+    contexts = work.save(docs.mapInArrow(_contexts(length, gram, wanted), _CONTEXTS), "contexts")
+    out = judged.where("to >= 0").drop("h")
+    for more in _solved(contexts, work, length, gram, parts, most):
+        out = out.unionByName(more)
+    return out
 
 
 def _cut(kept: str | None):
@@ -418,7 +503,7 @@ def _cut(kept: str | None):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, kept: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, kept: str | None = None, most: int = 1000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs (doc_id, text).
 
     kept="bytes" adds the remaining bytes (kept), kept="text" adds them as text (kept_text), in
@@ -428,11 +513,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 128, kept: st
     of `length` bytes around it starts anywhere else, too, in the same text or another.
     Rows that repeat lose everything if they have `length` bytes. Null ids are kept; an
     empty table gives no rows; a text of any length is treated alike. Other columns are
-    dropped. gram must be a power of two and at most length.
+    dropped. gram must be a power of two and at most length. most bounds the contexts that
+    one enhanced suffix array holds, not what is found.
     """
     work = Workspace(docs.sparkSession, "suffix-dedup")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    spans = repeated_spans(docs, work, length, gram)
+    spans = repeated_spans(docs, work, length, gram, most=most)
     found = spans.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     joined = docs.join(found, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r")), "left").select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_cut(kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept_text string"}[kept])

@@ -106,7 +106,9 @@ def write_archives(pages: DataFrame, work: Workspace, min_revisit_bytes: int = 1
     """Write pages (page_id, url, html) to archives under the workspace and return the index.
 
     Null html is an empty payload; a null url leaves the record without a target. Pages
-    with one page_id and equal payloads are all written as responses.
+    with one page_id and equal payloads are all written as responses; a null page_id ranks
+    below all others. Payloads of any length are written whole; an empty table writes no
+    archive. Other columns are not read.
     """
     from pyarrow import fs
 

@@ -265,10 +265,10 @@ def test_byte_bpe(docs, rows):
 
 
 def test_suffix_dedup(docs, rows):
-    for length, gram in ((400, 128), (40, 16)):
+    for length, gram, most in ((400, 128, 1000), (400, 128, 2), (40, 16, 1000), (40, 16, 1)):
         starts = Counter(t[p : p + length] for t in map(str.encode, rows.values()) for p in range(len(t) - length + 1))
         some = False
-        for x in suffix_dedup.remove_repeats(docs, length, gram, kept="bytes").collect():
+        for x in suffix_dedup.remove_repeats(docs, length, gram, kept="bytes", most=most).collect():
             t = rows[x.doc_id].encode()
             mask = np.zeros(len(t), bool)
             for p in range(len(t) - length + 1):
