@@ -10,6 +10,7 @@ import json
 import re
 import threading
 import time
+import traceback
 from collections.abc import Callable
 from datetime import datetime
 
@@ -161,6 +162,9 @@ class Api:
                     return 404, JSON, errors_body(["no encontrado"])
                 except Invalid as e:
                     return 400, JSON, errors_body(e.errors)
+                except Exception:  # noqa: BLE001  a caller gets an answer; the reason goes to the log
+                    traceback.print_exc()
+                    return 500, JSON, errors_body(["error interno"])
                 if status == 204:
                     return 204, {}, ""
                 return status, JSON | (headers[0] if headers else {}), value if isinstance(value, str) else json_body(value)
