@@ -146,7 +146,7 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder, map_id = _encoder_of(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for batch in text_slices(batches, 1):
+        for batch in text_slices(batches, 1, 2 << 20):
             out = [[] for _ in range(7)]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 own = np.append(ids, np.uint32(end_id)).astype("<u4")
