@@ -55,11 +55,15 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more, and let go of the shuffle files of what wrote them."""
-        for name in names:
-            self._delete(f"{self.path}/{name}")
+        self.delete(*names)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()  # the context's cleaner removes shuffles that no plan holds
 
+    def delete(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+
     def _delete(self, path: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
