@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from .common import load
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
-#: Kinds in the order that breaks ties of spans that start together: pattern, and a string without which a text has no match.
+#: Kinds in the order that breaks ties of spans that start together: pattern, and a quick one without which no match of a text passes its check.
 PATTERNS = {
-    "email": (rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@"),
-    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "."),
-    "card": (r"[0-9](?:[\x20-]?+[0-9])++", None),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4})++(?:\x20?+[0-9][A-Z0-9]{0,2})?+", None),
-    "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-"),
+    "email": (rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", rf"@{_LABEL}"),
+    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+    "card": (r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9](?:[\x20-]?+[0-9]){12}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4})++(?:\x20?+[0-9][A-Z0-9]{0,2})?+", r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]{4}"),
+    "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: A card number of 13 digits has no span of its own in the base: it needs context.
@@ -97,9 +97,13 @@ def score(kind: Column, context: Column) -> Column:
     return out
 
 
-def _matched(text: Column, pattern: str, needs: str | None, found: bool) -> Column:
-    out = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if found else F.split(text, pattern, -1)
-    return F.when(F.contains(text, F.lit(needs)), out).otherwise(F.array().cast("array<string>") if found else F.array(text)) if needs else out
+def _matches(text: Column, name: str) -> Column:
+    pattern, needs = PATTERNS[name]
+    return F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+def _gaps(text: Column, name: str, matches: str) -> Column:
+    return F.when(F.size(matches) > 0, F.split(text, PATTERNS[name][0], -1))
 
 
 def _candidates(name: str) -> Column:
@@ -126,8 +130,10 @@ def pii_scan(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = read.select("row", "doc_id", *(_matched(text, p, needs, found).alias(f"{'m' if found else 'g'}_{k}") for k, (p, needs) in PATTERNS.items() for found in (True, False)))
-    each = cut.select("row", "doc_id", F.explode_outer(F.concat(*(_candidates(k) for k in PATTERNS))).alias("c")).select("row", "doc_id", "c.*")
+    cut = read.select("*", *(_matches(text, k).alias(f"m_{k}") for k in PATTERNS))
+    cut = cut.select("*", *(_gaps(text, k, f"m_{k}").alias(f"g_{k}") for k in PATTERNS))
+    none = F.array().cast("array<struct<p:int,i:int,gap:int,len:int,kind:string,context:string,text:string>>")
+    each = cut.select("row", "doc_id", F.explode_outer(F.concat(*(F.coalesce(_candidates(k), none) for k in PATTERNS))).alias("c")).select("row", "doc_id", "c.*")
     kind = F.col("kind")
     scored = each.withColumn("score", score(kind, F.col("context"))).drop("context").withColumn("text", F.when(kind.isNotNull(), F.col("text")))
     placed = scored.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("row", "p").orderBy("i")))
@@ -149,14 +155,15 @@ def redact_pii(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     while {f"{g}{k}" for k in "gm"} & set(docs.columns):
         g += "_"
     m, g = f"{g}m", f"{g}g"
-    for name, (pattern, needs) in PATTERNS.items():
+    for name in PATTERNS:
         def mask(x, i):
             before, after = F.right(F.get(g, i), F.lit(BEFORE)), F.left(F.get(g, i + 1), F.lit(AFTER))
             kind = _kind(name, x, before, after)
             keep = kind.isin(*kinds) & (kind.isin(*BASE) | (score(kind, F.lower(F.concat(before, F.lit(" "), after))) >= LEAST))
             return F.concat(F.get(g, i), F.when(keep, F.concat(F.lit("["), F.upper(kind), F.lit("]"))).otherwise(x))
 
-        out = out.withColumn(m, _matched(text, pattern, needs, True)).withColumn(g, _matched(text, pattern, needs, False))
+        out = out.withColumn(m, _matches(text, name))
+        out = out.withColumn(g, _gaps(text, name, m))
         whole = F.array_join(F.concat(F.transform(m, mask), F.slice(g, -1, 1)), "")
         out = out.withColumn("text", F.when(F.size(m) > 0, whole).otherwise(text)).drop(m, g)
     return out
