@@ -1,9 +1,8 @@
-"""Page fields and links of HTML, with the standard library's parser."""
+"""Page fields and links of HTML, from the tree that the standard's parser builds."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
+from .html_tree import Node, parse
 from .normalize import host_of, same_site, try_normalize
 from .robots import directives
 
@@ -19,65 +18,40 @@ def usable(href: str) -> bool:
     return bool(href) and not href.lower().startswith(_UNUSABLE)
 
 
-class _Reader(HTMLParser):
-    """Collects base, title, h1, metas, canonicals and anchors; an anchor ends where the next begins."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.base = ""
-        self.first: dict[str, list[str]] = {}  # title and h1
-        self.metas: dict[str, str] = {}
-        self.canonicals: list[str] = []
-        self.anchors: list[tuple[str, str, list[str]]] = []
-        self.open: dict[str, list[str]] = {}
-
-    def handle_starttag(self, tag, attrs):
-        a = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        if tag in ("title", "h1") and tag not in self.first:
-            self.first[tag] = self.open[tag] = []
-        elif tag == "meta":
-            self.metas.setdefault(a.get("name", "").strip().lower(), a.get("content", ""))
-        elif tag == "base" and not self.base:
-            self.base = a.get("href", "").strip()
-        elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
-            self.canonicals.append(a.get("href", "").strip())
-        elif tag == "a":
-            self.open.pop("a", None)
-            if "href" in a:
-                self.open["a"] = []
-                self.anchors.append((a["href"].strip(), a.get("rel", ""), self.open["a"]))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        self.open.pop(tag, None)
-
-    def handle_data(self, data):
-        for text in self.open.values():
-            text.append(data)
-
-
 def parse_html(body: str, page_url: str, seed_host: str, subdomains: bool) -> dict:
     """title, h1, description, canonical, meta_robots, noindex, nofollow and links (url, text, nofollow, in_scope)."""
-    r = _Reader()
-    r.feed(body)
-    r.close()
-    base = (try_normalize(r.base, page_url) if r.base else None) or page_url
-    meta_robots = r.metas.get("robots", "")
+    first: dict[str, str] = {}  # title and h1
+    metas: dict[str, str] = {}
+    bases, canonicals, anchors = [], [], []
+    for n in parse(body).walk():
+        if not isinstance(n, Node):
+            continue
+        if n.tag in ("title", "h1"):
+            if n.tag not in first:
+                first[n.tag] = n.text()
+        elif n.tag == "meta":
+            metas.setdefault(n.attrs.get("name", "").strip().lower(), n.attrs.get("content", ""))
+        elif n.tag == "base":
+            bases.append(n.attrs.get("href", "").strip())
+        elif n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split():
+            canonicals.append(n.attrs.get("href", "").strip())
+        elif n.tag == "a" and "href" in n.attrs:
+            anchors.append(n)
+    base = next(filter(None, bases), "")
+    base = (try_normalize(base, page_url) if base else None) or page_url
+    meta_robots = metas.get("robots", "")
     noindex, nofollow = directives(meta_robots, "")
     links: dict[str, dict] = {}
-    for href, rel, text in r.anchors:
+    for a in anchors:
+        href = a.attrs["href"].strip()
         url = try_normalize(href, base) if usable(href) else None
         if url is not None and url not in links:
-            links[url] = {"url": url, "text": collapse("".join(text))[:TEXT_LIMIT], "nofollow": "nofollow" in rel.lower().split(), "in_scope": same_site(seed_host, host_of(url), subdomains)}
+            links[url] = {"url": url, "text": collapse(a.text())[:TEXT_LIMIT], "nofollow": "nofollow" in a.attrs.get("rel", "").lower().split(), "in_scope": same_site(seed_host, host_of(url), subdomains)}
     return {
-        "title": collapse("".join(r.first.get("title", ()))),
-        "h1": collapse("".join(r.first.get("h1", ()))),
-        "description": r.metas.get("description", "").strip(),
-        "canonical": next((u for c in r.canonicals if c and (u := try_normalize(c, base))), ""),
+        "title": collapse(first.get("title", "")),
+        "h1": collapse(first.get("h1", "")),
+        "description": metas.get("description", "").strip(),
+        "canonical": next((u for c in canonicals if c and (u := try_normalize(c, base))), ""),
         "meta_robots": meta_robots,
         "noindex": noindex,
         "nofollow": nofollow,

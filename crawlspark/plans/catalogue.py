@@ -330,8 +330,8 @@ def _(spark, d):
     return P.page_outlinks(many, 1, 7).select("id", "text")
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url and what the parser finds, links relative to the page's own site."""
+def parsed(spark: SparkSession, sf_dir: str, html: str = "html") -> DataFrame:
+    """page_id, url and what the parser finds in an expression over pages, links relative to the page's own site."""
     import pandas as pd
 
     from ..functions.normalize import host_of
@@ -343,7 +343,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = [H.parse_html(h, u, host_of(u), False) for h, u in zip(b.html, b.url)]
             yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "title": [r["title"] for r in rows], "h1": [r["h1"] for r in rows], "links": [r["links"] for r in rows]})
 
-    return html_pages(spark, sf_dir).mapInPandas(run, schema)
+    return html_pages(spark, sf_dir).selectExpr("page_id", "url", f"{html} AS html").mapInPandas(run, schema)
 
 
 def _element(tag: str) -> str:
@@ -382,6 +382,32 @@ def _(spark, d):
     return parsed(spark, d).select("page_id", F.explode("links").alias("l")).where("l.in_scope").select("page_id", "l.url", "l.text", "l.nofollow")
 
 
+#: Mark-up before each page, by page_id, and the links that the standard's tree has for it: path and text, in order.
+_SPLICED = [
+    ('<noscript><a href="/spliced/a{id}">x</a></noscript>', []),
+    ('<textarea><a href="/spliced/a{id}">x</a></textarea><title>t<a href="/spliced/b{id}">y</a></title>', []),
+    ('<p><a href="/spliced/a{id}">x {id}</p><p>more</p></a>', [("a", "x {id}")]),
+    ('<table><tr><a href="/spliced/a{id}">t</a><td><a href="/spliced/b{id}">u</a></td>v</tr></table>', [("a", "t"), ("b", "u")]),
+    ('<ul><li><a href="/spliced/a{id}">x<li><a href="/spliced/b{id}">y</ul></a>', [("a", "x"), ("b", "y")]),
+    ('<select><a href="/spliced/a{id}">n</a><option>o</select><a href="/spliced/b{id}">v</a>', [("b", "v")]),
+    ('<b><a href="/spliced/a{id}">x<div>in</b>y</a></div>', [("a", "x")]),
+    ('<svg><a href="/spliced/a{id}"><title>i</title>x</a></svg><a href="/spliced/b{id}">y<a href="/spliced/c{id}">z</a>', [("a", "ix"), ("b", "y"), ("c", "z")]),
+]
+
+
+def _spliced(parts: list[str]) -> str:
+    """SQL: the part of a page's number, with its id put in."""
+    pick = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(parts))
+    return f"replace(CASE page_id % {len(parts)} {pick} END, '{{id}}', CAST(page_id AS STRING))"
+
+
+@query("html_tree", "WITH s AS (" + " UNION ALL ".join(f"SELECT {i} AS k, {j} AS pos, '{path}' AS path, '{text}' AS text" for i, (_, found) in enumerate(_SPLICED) for j, (path, text) in enumerate(found)) + f") SELECT page_id, CAST(pos AS INT) AS pos, lower({_part('url', 2)}) || '://' || lower({_part('url', 4)}) || '/spliced/' || path || page_id AS url, replace(text, '{{id}}', CAST(page_id AS VARCHAR)) AS text FROM pages JOIN s ON page_id % {len(_SPLICED)} = k", plain=True)
+def _(spark, d):
+    """Links of mark-up that tags alone do not tell: overlapping tags, tables, lists of options, raw text."""
+    found = parsed(spark, d, f"concat('<!DOCTYPE html>', {_spliced([x for x, _ in _SPLICED])}, html)")
+    return found.select("page_id", F.posexplode("links").alias("pos", "l")).where("l.url like '%/spliced/%'").select("page_id", "pos", "l.url", "l.text")
+
+
 _HOSTS = "CASE event_id % 6 WHEN 0 THEN 'WWW.Example.com' WHEN 1 THEN 'blog.example.com' WHEN 2 THEN 'example.com' WHEN 3 THEN 'notexample.com' WHEN 4 THEN '' ELSE 'example.com.evil.test' END"
 
 
