@@ -3,7 +3,8 @@
 A wave is all that is queued when a round begins. Its items have an order (seq: the order
 in which a single worker would take them). A round checks robots, cuts the wave at the
 page budget, joins responses, parses, and makes the next wave of what the pages discover
-and no earlier wave has seen. Waves, pages and seen URLs are written every round.
+and no earlier wave has seen. Waves, pages and seen URLs are written every round; what a round
+finds is dealt by hash and meets the seen URLs bucket beside bucket, so these are never shuffled.
 
 The seed's redirects and the sitemaps are read first, one response at a time: they are a
 handful of URLs that decide the host, the robots.txt and the base of everything else.
@@ -25,6 +26,7 @@ from .functions.html import parse_html
 from .functions.normalize import InvalidURL, host_of, normalize, same_site, split, try_normalize
 from .schema import CRAWLED
 from .sources.shared import Folder
+from .sources.url_runs import UrlRuns, hashes
 from .sources.sitemaps import MOST_LEVELS, MOST_URLS, read_sitemap, unpacked
 
 MOST_HOST_HOPS = 5
@@ -79,6 +81,24 @@ def _blocked(url: str, depth: int, reason: str) -> dict:
     return build_page({"url": url, "fetch_error": reason or "-"}, depth, "", Config()) | {"error": reason, "blocked": True}
 
 
+def nth(rows: DataFrame, n: int, digit: int = 11) -> int:
+    """The n-th smallest seq of rows, of which there are n at least, without a sort: counts by leading bits, then by the next ones below the prefix that holds it.
+
+    The first counts are a row a range partition of the wave, the others 2^digit rows at most.
+    """
+    prefix, at = None, 33
+    while True:
+        counts = rows.groupBy(F.shiftright("seq", at).alias("p")).count().collect()
+        for p, count in sorted(map(tuple, counts)):
+            if count >= n:
+                prefix = p
+                break
+            n -= count
+        if not at:
+            return prefix
+        rows, at = rows.where(F.shiftright("seq", at) == prefix), max(0, at - digit)
+
+
 class Cancelled(Exception):
     """A crawl was told to stop; the pages of its finished rounds have been given out."""
 
@@ -217,23 +237,31 @@ class Engine:
         pages = [work.save(self.spark.createDataFrame(pd.DataFrame(rows, columns=CRAWLED.fieldNames()), CRAWLED), "pages0")]
         self.sink(pages[0])
         wave = work.save(self.spark.createDataFrame(first, "seq long, url string, depth int, mark boolean"), "wave0")
-        seen = self.spark.createDataFrame([(u,) for u in done], "url string").unionByName(wave.select("url"))
+        seen = UrlRuns(self.spark, f"{work.path}/seen")
+        try:
+            return self._rounds(pages, wave, done, seen, host, robots)
+        finally:
+            seen.close()
+
+    def _rounds(self, pages: list[DataFrame], wave: DataFrame, done: set[str], seen: UrlRuns, host: str, robots: B.Robots) -> Crawl:
+        c, s, work = self.config, self.stats, self.work
+        first = self.spark.createDataFrame([(u,) for u in done], "url string").unionByName(wave.select("url"))
+        seen.add(first.select(*hashes(F.col("url"))).repartition(seen.buckets, "h1", "h2"))
         base_seq, number = 1 << 32, 0
         while not wave.isEmpty():
             if self.stopped():
                 raise Cancelled(f"after {s.fetched} pages")
             number += 1
-            checked = work.save(wave.withColumn("allowed", self._allowed(robots)), f"checked{number}")
+            checked = wave.withColumn("allowed", self._allowed(robots))
             budget = c.max_pages - s.fetched
             n_allowed = checked.where("allowed").count()
             taken = checked
             if budget <= 0:
                 taken = checked.limit(0)
             elif n_allowed >= budget:  # nothing is taken after the item that uses the budget up
-                last = checked.where("allowed").orderBy("seq").limit(budget).agg(F.max("seq")).first()[0]
-                taken = checked.where(F.col("seq") <= last)
+                taken = checked.where(F.col("seq") <= nth(checked.where("allowed"), budget))
             fetched = work.save(self._parsed(taken.where("allowed"), host), f"fetched{number}")
-            found = work.save(self._discovered(fetched, host), f"found{number}")
+            found = self._discovered(fetched, host)
             # an item keeps its mark unless an earlier item of the wave has a normal link to it
             cleared = found.where("not nf").groupBy("url").agg(F.min("i").alias("by"))
             marks = taken.select("seq", "url", "mark").join(cleared, "url", "left").select("seq", (F.col("mark") & ~F.coalesce(F.col("by") < F.col("seq"), F.lit(False))).alias("via_nofollow"))
@@ -245,13 +273,14 @@ class Engine:
             self.sink(page)
             got = page.agg(F.count_if(~F.col("blocked")), F.count_if("blocked"), F.count_if((F.col("error") != "") & ~F.col("blocked")), F.count_if("via_nofollow")).first()
             s.fetched, s.blocked, s.errors, s.via_nofollow = s.fetched + got[0], s.blocked + got[1], s.errors + got[2], s.via_nofollow + got[3]
-            fresh = found.groupBy("url").agg(F.min(F.struct("i", "j", "depth", "nf")).alias("x"), F.min("nf").alias("nf"))
-            fresh = fresh.join(seen, "url", "left_anti").select("url", "x.i", "x.j", "x.depth", "nf")
-            # ids ascend through the range-partitioned order
-            ordered = fresh.orderBy("i", "j").select(F.monotonically_increasing_id().alias("seq"), "url", "depth", F.col("nf").alias("mark"))
+            keyed = found.select("i", "j", "depth", "nf", "url", *hashes(F.col("url")))
+            fresh = keyed.groupBy("h1", "h2").agg(F.min(F.struct("i", "j", "depth", "url")).alias("x"), F.min("nf").alias("nf"))
+            with seen.settings():
+                # ids ascend through the range-partitioned order
+                ordered = seen.absent(fresh).select("h1", "h2", "x.*", F.col("nf").alias("mark")).orderBy("i", "j")
+                wave = work.save(ordered.select(F.monotonically_increasing_id().alias("seq"), "url", "depth", "mark", "h1", "h2"), f"wave{number}")
+            seen.add(wave.select("h1", "h2").repartition(seen.buckets, "h1", "h2"))
             left = checked.join(taken.select("seq"), "seq", "left_anti")
-            wave = work.save(ordered, f"wave{number}")
-            seen = seen.unionByName(wave.select("url"))
             if budget - n_allowed <= 0:
                 s.queued = left.count() + wave.count()
                 break

@@ -211,8 +211,7 @@ class Api:
     def _broken(self, p, body):
         limit, offset = limit_offset(p)
         rows = [r.asDict() for r in self.store.broken(p["id"], limit, offset).collect()]
-        total = self.store.pages(p["id"]).where(P.X.is_broken()).count()
-        return 200, {"broken": rows, "total": total, "limit": limit, "offset": offset}
+        return 200, {"broken": rows, "total": self.store.totals(p["id"])["broken"], "limit": limit, "offset": offset}
 
     def _report(self, p, body):
         kind = p.get("format") or "json"

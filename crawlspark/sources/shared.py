@@ -37,11 +37,18 @@ class Folder:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def numbered(self, df: DataFrame, name: str, *order: str) -> DataFrame:
-        """df with n = 1, 2, ... in an order, counted in parallel: ranks within range partitions plus the counts before them."""
+    def numbered(self, df: DataFrame, name: str, *order: str, weight=None) -> DataFrame:
+        """df with n = 1, 2, ... in an order, counted in parallel: ranks within range partitions plus the counts before them.
+
+        weight: a column of whole numbers; `before` is then their sum over all rows before.
+        """
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        cut = self.save(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
-        before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-        bases = cut.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-        rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-        return cut.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn("n", F.col("_base") + rank).drop("_part", "_p", "_base")
+        weight = F.lit(0) if weight is None else weight
+        cut = self.save(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight.cast("long")), name)
+        above = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+        sums = cut.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.sum("_w").alias("_sum"))
+        bases = sums.select("_p", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"), F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_wbase"))
+        within = W.partitionBy("_part").orderBy(*order)
+        both = cut.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn("n", F.col("_base") + F.row_number().over(within))
+        own = F.coalesce(F.sum("_w").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return both.withColumn("before", F.col("_wbase") + own).drop("_part", "_w", "_p", "_base", "_wbase")

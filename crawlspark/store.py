@@ -6,7 +6,9 @@ claimed before anything is written, so what a broken batch left is never taken f
 The control table of crawls is small and is written anew, under the next version, with
 every change; it says which version of a crawl's pages and links holds.
 
-Each batch leaves its counters, so a summary adds up a row a batch and reads no page.
+Each batch leaves its counters, so a summary adds up a row a batch and reads no page, and the
+hashes of its URLs as a run (url_runs.py), so what is new is told without reading the crawl. Runs name
+the batches that they are of: those of a batch that broke are taken out, those that are missing are made.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .operators import pages as P
 from .plans import report as report_plan
 from .schema import ADDED, CRAWLS, LINKS, PAGES
 from .sources.shared import Folder
+from .sources.url_runs import UrlRuns, hashes
 
 NotFound = P.NotFound
 _BATCHES = "batch long, n long, crawl_id long"
@@ -32,6 +35,7 @@ _SHIFT = 40  # ids: batch, then number within it
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._url_runs: dict[int, UrlRuns] = {}
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -65,7 +69,7 @@ class Store:
             without = self._done().join(self._counters().select("crawl_id", "batch"), ["crawl_id", "batch"], "left_anti").select("crawl_id", "batch").collect()
             for crawl_id in sorted({r.crawl_id for r in without}):
                 batches = [r.batch for r in without if r.crawl_id == crawl_id]
-                self._count(self.pages(crawl_id).where(F.shiftright("id", _SHIFT).isin(batches)), crawl_id)
+                self._count(self.pages(crawl_id).withColumn("batch", F.shiftright("id", _SHIFT)).where(F.col("batch").isin(batches)), crawl_id)
                 added += [f"counters {crawl_id}/{b}" for b in batches]
         return added
 
@@ -127,7 +131,9 @@ class Store:
     def delete_crawl(self, crawl_id: int) -> None:
         self.get_crawl(crawl_id)
         self._rewrite(self.crawls().where(F.col("id") != crawl_id))
-        for name in ("batches", "counters", "pages", "links"):
+        if runs := self._url_runs.pop(crawl_id, None):
+            runs.close()
+        for name in ("batches", "counters", "pages", "links", "urls"):
             self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}"), True)
 
     # pages and links
@@ -143,8 +149,8 @@ class Store:
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", version int"
         t = self.spark.read.schema(columns).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
         holds = self.crawls().select(F.col("id").alias("crawl_id"), F.col(f"{name}_version").alias("version"))
-        t = t.join(F.broadcast(holds), ["crawl_id", "version"], "left_semi").withColumn("batch", F.shiftright(F.col("id"), _SHIFT))
-        return self._filled(t.join(F.broadcast(self._done()), ["crawl_id", "batch"], "left_semi").select(*schema.fieldNames()), name)
+        t = t.join(holds, ["crawl_id", "version"], "left_semi").withColumn("batch", F.shiftright(F.col("id"), _SHIFT))
+        return self._filled(t.join(self._done(), ["crawl_id", "batch"], "left_semi").select(*schema.fieldNames()), name)
 
     def pages(self, crawl_id: int | None = None) -> DataFrame:
         t = self._table("pages", PAGES)
@@ -168,54 +174,93 @@ class Store:
         cols = [F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "crawl_id"]
         df.select(*cols).write.mode(mode).parquet(f"{self.path}/{name}/crawl_id={crawl_id}/version={version}")
 
-    def add_pages(self, crawl_id: int, batch: DataFrame) -> int:
+    def _urls(self, crawl_id: int) -> tuple[UrlRuns, set[int]]:
+        """The URLs of a crawl's whole batches, and the numbers of these."""
+        runs = self._url_runs.get(crawl_id)
+        if runs is None or runs.stale():
+            if runs is not None:
+                runs.close()
+            runs = self._url_runs[crawl_id] = UrlRuns(self.spark, f"{self.path}/urls/crawl_id={crawl_id}")
+        done = {r.batch for r in self._done().where(F.col("crawl_id") == crawl_id).select("batch").collect()}
+        have = runs.tags()
+        runs.drop(have - done)
+        if missing := sorted(done - have):  # of an older version, or stopped before its run was written
+            some = self.pages(crawl_id).where(F.shiftright("id", _SHIFT).isin(missing))
+            runs.add(some.select(*hashes(F.col("url"))).distinct().repartition(runs.buckets, "h1", "h2"), missing, done)
+        return runs, done
+
+    def unseen(self, crawl_id: int, batch: DataFrame) -> DataFrame:
+        """The pages of a batch (schema CRAWLED) whose URLs the crawl does not have, the first of each URL, as a written table."""
+        urls, _ = self._urls(crawl_id)
+        one = batch.select(F.struct(*batch.columns).alias("page"), "seq", *hashes(F.col("url"))).groupBy("h1", "h2").agg(F.min_by("page", "seq").alias("page"))
+        with urls.settings():
+            return Folder(self.spark, "unseen").save(urls.absent(one).select("page.*"), "pages")
+
+    def add_pages(self, crawl_id: int, batch: DataFrame, saved: bool = False) -> int:
         """Append crawled pages with their links (schema CRAWLED) as one batch; returns its number of pages.
 
-        A URL that is there twice, in the batch or in the crawl, rejects the whole batch.
+        A URL that is there twice, in the batch or in the crawl, rejects the whole batch. saved: batch is
+        a table that can be read again as it is.
         """
         crawl = self.get_crawl(crawl_id)
         work = Folder(self.spark, "batch")
-        batch = work.save(batch, "given")
-        n = batch.count()
-        if batch.select("url").distinct().count() != n or not batch.join(self.pages(crawl_id), "url", "left_semi").isEmpty():
+        if not saved:
+            batch = work.save(batch, "given")
+        keys = batch.select(*hashes(F.col("url")))
+        n, different = keys.agg(F.count("*"), F.count_distinct("h1", "h2")).first()
+        urls, done = self._urls(crawl_id)
+        # a run that holds a hash is rare, so what it says is checked against the pages
+        if different != n or urls.any_of(keys, n) and not batch.join(self.pages(crawl_id), "url", "left_semi").isEmpty():
             raise ValueError("duplicate url")
         number = self._claim(crawl_id)
-        with_id = work.numbered(batch, "pages", "seq").withColumn("id", F.lit(number << _SHIFT) + F.col("n"))
+        with_id = work.numbered(batch, "pages", "seq", weight=F.size("links")).withColumn("id", F.lit(number << _SHIFT) + F.col("n"))
         self._write(with_id, crawl_id, "pages", PAGES, crawl["pages_version"])
-        each = with_id.select(F.col("id").alias("from_page_id"), F.posexplode("links").alias("pos", "l"))
-        each = work.numbered(each, "links", "from_page_id", "pos").withColumn("id", F.lit(number << _SHIFT) + F.col("n"))
+        each = with_id.select("before", F.col("id").alias("from_page_id"), F.posexplode("links").alias("pos", "l")).withColumn("id", F.lit(number << _SHIFT) + F.col("before") + F.col("pos") + 1)
         self._write(each.select("id", "from_page_id", F.col("l.url").alias("to_url"), "l.text", "l.nofollow", "l.in_scope"), crawl_id, "links", LINKS, crawl["links_version"])
-        self._count(with_id, crawl_id)
+        self._count(batch.withColumn("batch", F.lit(number).cast("long")), crawl_id)
+        urls.add(keys.repartition(urls.buckets, "h1", "h2"), [number], done)
         self._mark(number, n, crawl_id)
         return n
 
     # counters
-    _COUNTS = "batch long, total long, status_2xx long, status_3xx long, status_4xx long, status_5xx long, errors long, blocked long, noindex long, via_nofollow long, max_depth int, duration_sum long, duration_n long, content_types map<string,long>, crawl_id long"
+    _COUNTS = "batch long, total long, status_2xx long, status_3xx long, status_4xx long, status_5xx long, errors long, blocked long, noindex long, via_nofollow long, max_depth int, duration_sum long, duration_n long, broken long, content_types map<string,long>, crawl_id long"
+    #: The counter that has the total of a listing's filter.
+    _OF_FILTER = {"": "total", **{f"{k}xx": f"status_{k}xx" for k in (2, 3, 4, 5)}, "error": "errors", "blocked": "blocked", "via_nofollow": "via_nofollow"}
 
     def _counters(self) -> DataFrame:
         if not self._exists("counters"):
             return self.spark.createDataFrame([], self._COUNTS)
-        return self.spark.read.schema(self._COUNTS).parquet(f"{self.path}/counters")
+        return self.spark.read.schema(self._COUNTS).parquet(f"{self.path}/counters").withColumn("broken", F.coalesce("broken", F.col("status_4xx") + F.col("status_5xx") + F.col("errors")))
 
     def _count(self, pages: DataFrame, crawl_id: int) -> None:
-        """Write the counters of some pages' batches, whatever batches those are."""
-        of = F.shiftright("id", _SHIFT).alias("batch")
-        counts = pages.groupBy(of).agg(*P.counters())
-        types = pages.where("content_type <> ''").groupBy(of, "content_type").agg(F.count("*").alias("n")).groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("content_type", "n"))).alias("content_types"))
-        rows = counts.join(types, "batch", "left").withColumn("content_types", F.coalesce("content_types", F.create_map().cast("map<string,bigint>"))).withColumn("crawl_id", F.lit(crawl_id).cast("long"))
+        """Write the counters of some pages, a row a batch (column batch), in one pass."""
+        counts = [*P.counters(), F.count_if(X.is_broken()).alias("broken")]
+        by_type = pages.groupBy("batch", "content_type").agg(*counts)
+        names = [c for c in by_type.columns if c not in ("batch", "content_type", "max_depth")]
+        types = F.map_from_entries(F.collect_list(F.when(F.col("content_type") != "", F.struct("content_type", "total"))))
+        rows = by_type.groupBy("batch").agg(*(F.sum(c).alias(c) for c in names), F.max("max_depth").alias("max_depth"), types.alias("content_types")).withColumn("crawl_id", F.lit(crawl_id).cast("long"))
         rows.select(*(x.split()[0] for x in self._COUNTS.split(", "))).coalesce(1).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/counters")
 
+    def totals(self, crawl_id: int) -> dict[str, int]:
+        """The number of pages of every filter of a listing, and of broken ones, from the counters."""
+        names = [*dict.fromkeys(self._OF_FILTER.values()), "broken"]
+        parts = self._counters().where(F.col("crawl_id") == crawl_id).join(self._done(), ["crawl_id", "batch"], "left_semi")
+        row = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+        found = {f: row[c] for f, c in (self._OF_FILTER | {"broken": "broken"}).items()}
+        found["via_nofollow"] -= self.get_crawl(crawl_id)["cleared"]
+        return found
+
     def summary(self) -> DataFrame:
         """The counters of all crawls, a row each, from those of their batches; a crawl without pages has zeros."""
-        parts = self._counters().join(F.broadcast(self._done()), ["crawl_id", "batch"], "left_semi")
-        sums = [c for c in parts.columns if c not in ("crawl_id", "batch", "max_depth", "content_types")]
+        parts = self._counters().join(self._done(), ["crawl_id", "batch"], "left_semi")
+        sums = [c for c in parts.columns if c not in ("crawl_id", "batch", "max_depth", "content_types", "broken")]
         added = parts.groupBy("crawl_id").agg(*(F.sum(c).alias(c) for c in sums), F.max("max_depth").alias("max_depth"))
         out = self.crawls().select(F.col("id").alias("crawl_id"), "cleared").join(added, "crawl_id", "left").fillna(0)
         out = out.withColumn("via_nofollow", F.col("via_nofollow") - F.col("cleared")).withColumn("avg_duration_ms", X.int_avg(F.col("duration_sum"), F.col("duration_n")))
         return out.select("crawl_id", *(c for c in sums if not c.startswith("duration")), "max_depth", "avg_duration_ms")
 
     def content_types(self) -> DataFrame:
-        parts = self._counters().join(F.broadcast(self._done()), ["crawl_id", "batch"], "left_semi")
+        parts = self._counters().join(self._done(), ["crawl_id", "batch"], "left_semi")
         return parts.select("crawl_id", F.explode("content_types").alias("content_type", "n")).groupBy("crawl_id", "content_type").agg(F.sum("n").alias("n"))
 
     def summarize(self, crawl_id: int) -> dict:
@@ -253,9 +298,10 @@ class Store:
 
     # queries
     def list_pages(self, crawl_id: int, status: str = "", q: str = "", limit: int = 0, offset: int = 0) -> tuple[DataFrame, int]:
+        """A page of the matches and how many there are; only a text filter makes them be counted."""
         self.get_crawl(crawl_id)
         p = self.pages(crawl_id)
-        return P.list_pages(p, crawl_id, status, q, limit, offset), P.matching(p, crawl_id, status, q).count()
+        return P.list_pages(p, crawl_id, status, q, limit, offset), P.matching(p, crawl_id, status, q).count() if q else self.totals(crawl_id)[status]
 
     def get_page(self, crawl_id: int, page_id: int) -> dict:
         """A page with its first links out and in, and how many there are."""
@@ -308,7 +354,7 @@ def crawl_into(store: Store, config, fetcher, progress=None, stopped=None, crawl
         crawl_id = store.create_crawl(config.seed, config.to_json())
 
     def sink(pages: DataFrame) -> None:
-        store.add_pages(crawl_id, pages)
+        store.add_pages(crawl_id, pages, saved=True)
         if progress:
             progress(pages)
 

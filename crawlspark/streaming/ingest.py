@@ -46,9 +46,9 @@ def store_stream(store, crawl_id: int, source: DataFrame, checkpoint: str, inter
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(["url"]).join(store.pages(crawl_id).select("url"), "url", "left_anti").select(*batch.columns)
+        new = store.unseen(crawl_id, batch)
         if not new.isEmpty():
-            store.add_pages(crawl_id, new)
+            store.add_pages(crawl_id, new, saved=True)
 
     return ingest(source, write, checkpoint, interval)
 
