@@ -443,14 +443,6 @@ def _(spark, d):
     return v.select("event_id", X.bytes_label(n).alias("bytes"), X.millis_label(n).alias("duration"), X.grouped_label(n).alias("number"), X.thousands(n).alias("thousands"), X.state_label(F.col("state")).alias("state"), X.date_label(F.col("ts")).alias("day"))
 
 
-@query("schemas", "SELECT * FROM (VALUES ('pages', 21), ('links', 7), ('crawls', 11), ('responses', 10)) t(name, columns)", plain=True)
-def _(spark, d):
-    """The fixed schemas: a table of each that holds rows written and read again has no null."""
-    from ..schema import CRAWLS, LINKS, PAGES, RESPONSES
-
-    return spark.createDataFrame([(n, len(s.fields)) for n, s in (("pages", PAGES), ("links", LINKS), ("crawls", CRAWLS), ("responses", RESPONSES))], "name string, columns int")
-
-
 #: (allow, pattern) of the query's robots.txt.
 _RULES = ((False, "/s1"), (True, "/s1/p*1"), (False, "/*utm"), (False, "/en/s*/p*0$"), (True, "/en/s10"))
 
@@ -492,23 +484,26 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.truncate(X.collapse_spaces(F.col("text")), 200).alias("text"))
 
 
-_BFS = """RECURSIVE , good AS (SELECT crawl_id, url, id, nofollow FROM cp), edges AS (SELECT DISTINCT f.url AS src, l.to_url AS dst FROM cl l JOIN cp f ON f.id = l.from_page_id WHERE l.in_scope {only}),
-  reach(url, depth) AS (SELECT url, 0 FROM cp WHERE id = 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url WHERE r.depth < 4)
+#: Breadth-first from some pages to the default depth, over links as they may be followed.
+_BFS = f"""RECURSIVE , edges AS (SELECT DISTINCT f.id, f.url AS src, l.to_url AS dst FROM cl l JOIN cp f ON f.id = l.from_page_id WHERE l.in_scope {{only}}),
+  reach(url, depth) AS (SELECT url, 0 FROM cp WHERE id IN ({{starts}}) UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url WHERE r.depth < {Config().max_depth})
   SELECT url, CAST(min(depth) AS INT) AS depth FROM reach GROUP BY url"""
+_FOLLOWED = "AND NOT l.nofollow AND NOT f.nofollow"
+_FIRST = "SELECT DISTINCT id FROM edges ORDER BY id LIMIT 20"
 
 
-@query("crawl_bfs", _BFS.format(only="AND NOT l.nofollow AND NOT f.nofollow"))
+@query("crawl_bfs", _BFS.format(only=_FOLLOWED, starts="0"))
 def _(spark, d):
     from ..operators.reach import reachable
 
-    return reachable(pages(spark, d), links(spark, d), 0, 4)
+    return reachable(pages(spark, d), links(spark, d), 0, Config().max_depth)
 
 
-@query("crawl_bfs_follow_nofollow", _BFS.format(only=""))
+@query("crawl_bfs_follow_nofollow", _BFS.format(only="", starts="0"))
 def _(spark, d):
     from ..operators.reach import reachable
 
-    return reachable(pages(spark, d), links(spark, d), 0, 4, follow_nofollow=True)
+    return reachable(pages(spark, d), links(spark, d), 0, Config().max_depth, follow_nofollow=True)
 
 
 def _whole_crawl(follow_nofollow: bool):
@@ -521,9 +516,9 @@ def _whole_crawl(follow_nofollow: bool):
     return run
 
 
-#: To the default depth, from the first 20 pages with links to follow; tests hold them against a brute-force search.
-query("crawl_bfs_whole")(_whole_crawl(False))
-query("crawl_bfs_whole_follow_nofollow")(_whole_crawl(True))
+# from the first 20 pages with links to follow
+query("crawl_bfs_whole", _BFS.format(only=_FOLLOWED, starts=_FIRST))(_whole_crawl(False))
+query("crawl_bfs_whole_follow_nofollow", _BFS.format(only="", starts=_FIRST))(_whole_crawl(True))
 
 
 @query("stream_counters", f"SELECT crawl_id, {_COUNTS_SQL}, count(*) FILTER (via_nofollow) AS via_nofollow, max(depth) AS max_depth, CAST(sum(CASE WHEN status > 0 THEN duration_ms ELSE 0 END) AS BIGINT) AS duration_sum, count(*) FILTER (status > 0) AS duration_n FROM cp GROUP BY crawl_id")

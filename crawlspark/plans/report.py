@@ -14,7 +14,7 @@ from ..operators import report as R
 
 
 def build(crawl: dict, pages: DataFrame, links: DataFrame, seed: int = 0, now: datetime | None = None) -> dict:
-    """The report of one crawl, whose pages and links are given. Every list is bounded but those by depth, status and language.
+    """The report of one crawl, whose pages and links are given; ValueError if they are of several. Every list is bounded but those by depth, status and language.
 
     All that is counted by a key comes from one pass with grouping sets, whose few rows are
     kept; the others read the classified pages, which are kept, too.
@@ -41,6 +41,8 @@ def build(crawl: dict, pages: DataFrame, links: DataFrame, seed: int = 0, now: d
     }
     try:
         counts.count()  # once, before the parts share it
+        if counts.where("part = 'all'").count() > 1:
+            raise ValueError("pages of several crawls")
         with ThreadPoolExecutor(8) as pool:
             got = dict(zip(parts, pool.map(lambda f: f(), parts.values())))
     finally:

@@ -32,7 +32,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["summary", "report_by_section", "report_redirects", "referrers_top3", "recompute_via_nofollow", "robots_allowed", "crawl_bfs", "stream_counters", "broken_with_referrers", "crawl_site_budget", "store_pages", "store_links", "store_summary", "store_broken", "store_life", "store_migrated", "manager_life", "api_answers", "report_document", "html_links", "labels", "config_checks", "robots_groups", "limits_and_ranges"])
+@pytest.mark.parametrize("name", ["summary", "report_by_section", "report_redirects", "referrers_top3", "recompute_via_nofollow", "robots_allowed", "crawl_bfs", "stream_counters", "broken_with_referrers", "crawl_site_budget", "store_pages", "store_links", "store_summary", "store_broken", "store_migrated", "report_document", "html_links", "html_tree", "labels", "crawl_bfs_whole"])
 def test_same_rows_as_sql(spark, name):
     import duckdb
 

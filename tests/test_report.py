@@ -109,3 +109,9 @@ def test_nothing_to_report(spark):
     pages, links, _, _ = shelf(spark)
     text = to_markdown(build(crawl(started_at=None, finished_at=None, config=""), pages.limit(0), links.limit(0)))
     assert text.count("Sin datos.") == 12
+
+
+def test_pages_of_several_crawls_are_refused(spark):
+    pages, links, _, _ = shelf(spark)
+    with pytest.raises(ValueError):
+        build(crawl(), pages.unionByName(pages.withColumn("crawl_id", F.col("crawl_id") + 1)), links)
