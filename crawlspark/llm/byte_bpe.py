@@ -8,7 +8,10 @@ bytes decodes.
 
 Scale: one pass without a shuffle. A task encodes only words that it does not remember;
 what it remembers is bounded by `remember` words, the latest used, and a query by
-`batch_bytes` or one word.
+`batch_bytes`. A word longer than two stretches goes through the query stretch by stretch. Two encodings
+may stand side by side if the last token and the first one, encoded together, are those two
+tokens again; where they are not, a window around the joint goes through the query anew and
+grows until both its ends pass.
 Neighbouring bytes that no token holds together part a word into pieces, which the query
 contracts side by side, so a long word takes as many steps as its worst piece has
 different pairs to contract.
@@ -85,14 +88,14 @@ def _free(ids: np.ndarray, own: np.ndarray, partner: np.ndarray, byte: np.ndarra
 class Codec:
     """Encodes and decodes words of one vocabulary in a DuckDB connection of its own."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 800_000, batch_bytes: int = 400_000):
+    def __init__(self, path: str, pattern: str, remember: int = 800_000, batch_bytes: int = 400_000, stretch: int = 8192):
         import duckdb
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        self.pattern, self.remember, self.batch_bytes = regex.compile(pattern), remember, batch_bytes
+        self.pattern, self.remember, self.batch_bytes, self.stretch = regex.compile(pattern), remember, batch_bytes, stretch
         merges = [(left, right, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (left := self.ranks.get(t[:k])) is not None and (right := self.ranks.get(t[k:])) is not None]
         alone = {part for left, right, i in merges for part in (left, right) if part > i}
         # neighbouring bytes that no token holds: words are cut there
@@ -143,21 +146,84 @@ class Codec:
             raw = word.encode()
             if (i := self.ranks.get(raw)) is not None:
                 self.new[word] = (str(i), self.tokens[i], 1)
+            elif len(raw) > 2 * self.stretch:
+                ids = self._long(raw)
+                self.new[word] = (" ".join(map(str, ids)), self._bytes(ids), len(ids))
             else:
                 parts.append((word, raw))
-        # words of like length go together, so that a batch has as many steps as its own words need
-        parts.sort(key=lambda x: len(x[1]))
-        sizes = np.array([len(raw) for _, raw in parts], np.int64)
+        self.new.update(zip([word for word, _ in parts], self._contracted([raw for _, raw in parts])))
+
+    def _contracted(self, raws: list[bytes]) -> list[tuple[str, bytes, int]]:
+        """Ids joined by spaces, decoded bytes and number of tokens of each, in queries of bounded size."""
+        # what is of like length goes together, so that a batch has as many steps as its own words need
+        order = sorted(range(len(raws)), key=lambda k: len(raws[k]))
+        sizes = np.array([len(raws[k]) for k in order], np.int64)
         bins = (np.cumsum(sizes) - sizes) // self.batch_bytes * 64 + np.ceil(np.log2(np.maximum(sizes, 8))).astype(np.int64)
         cuts = (np.flatnonzero(np.diff(bins)) + 1).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+        out: list = [None] * len(raws)
+        for a, b in zip([0, *cuts], [*cuts, len(raws)]):
             if a < b:
-                self._contract(parts[a:b])
+                for k, found in zip(order[a:b], self._contract([raws[k] for k in order[a:b]])):
+                    out[k] = found
+        return out
 
-    def _contract(self, some: list[tuple[str, bytes]]) -> None:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def _encoded(self, raws: list[bytes]) -> list[list[int]]:
+        return [[int(x) for x in ids.split()] for ids, _, _ in self._contracted(raws)]
+
+    def _long(self, raw: bytes) -> list[int]:
+        """The ids of a long word, from stretches of it whose joints are mended."""
+        fit: dict[tuple[int, int], bool] = {}
+
+        def check(pairs) -> None:
+            new = sorted({p for p in pairs if p not in fit})
+            fit.update((p, ids == list(p)) for p, ids in zip(new, self._encoded([self._bytes(list(p)) for p in new])))
+
+        parts = self._encoded([raw[i : i + self.stretch] for i in range(0, len(raw), self.stretch)])
+        for most in (4, 16, 64):  # all joints at once: most encodings fall into step within some tokens
+            check((a[-1], b[0]) for a, b in zip(parts, parts[1:]))
+            if all(fit[a[-1], b[0]] for a, b in zip(parts, parts[1:])):
+                break
+            out: list = [parts[0]]
+            windows = []  # places in out that hold bytes yet
+            for part in parts[1:]:
+                if isinstance(out[-1], bytes) or fit[out[-1][-1], part[0]]:
+                    out.append(part)
+                    continue
+                around = self._bytes(out[-1][-most:] + part[:most])
+                out[-1] = out[-1][:-most]
+                if not out[-1]:
+                    out.pop()
+                windows.append(len(out))
+                out.append(around)
+                if part[most:]:
+                    out.append(part[most:])
+            for k, ids in zip(windows, self._encoded([out[k] for k in windows])):
+                out[k] = ids
+            parts = out
+        # periodic words never do: the rest of each stretch follows from what stands before it
+        done = parts[0]
+        for part in parts[1:]:
+            back = 16
+            check([(done[-1], part[0])])
+            while not fit[done[-1], part[0]]:
+                (ids,) = self._encoded([self._bytes(done[-back:] + part)])
+                if len(done) > back:
+                    check([(done[-back - 1], ids[0])])
+                if len(done) <= back or fit[done[-back - 1], ids[0]]:
+                    del done[-back:]
+                    part = ids
+                    break
+                back *= 4
+            done.extend(part)
+        return done
+
+    def _contract(self, some: list[bytes]) -> list[tuple[str, bytes, int]]:
         """One recursive query for some words, which are cut into pieces where no token can be."""
-        lengths = np.array([len(raw) for _, raw in some])
-        data = np.frombuffer(b"".join([raw for _, raw in some]), np.uint8)
+        lengths = np.array([len(raw) for raw in some])
+        data = np.frombuffer(b"".join(some), np.uint8)
         begins = np.append(True, self.apart[data[:-1], data[1:]])
         begins[np.cumsum(lengths) - lengths] = True
         first = np.flatnonzero(begins)
@@ -173,8 +239,7 @@ class Codec:
         self.con.unregister("pieces")
         if got.num_rows != len(some):
             raise RuntimeError("words were lost")
-        found = zip(got.column("ids").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()), got.column("n").to_pylist())
-        self.new.update(zip([word for word, _ in some], found))
+        return list(zip(got.column("ids").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()), got.column("n").to_pylist()))
 
     def _joined(self, words: list[str]) -> tuple[str, bytes, int]:
         x = list(map(self.new.__getitem__, words))
