@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -104,14 +105,17 @@ class Cancelled(Exception):
 
 
 class Engine:
-    """sink(pages) gets each round's pages as soon as they are written; stopped() is asked before each round."""
+    """sink(pages) gets pages as soon as they are written: those of a round, or of a slice of it; stopped() is asked before each.
 
-    def __init__(self, spark: SparkSession, config: Config, fetcher, sink=None, stopped=None):
+    A slice has flush_pages pages at most and, at the rate that the crawl's delay allows, takes flush_seconds.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config, fetcher, sink=None, stopped=None, flush_pages: int | None = None, flush_seconds: float = 30):
         self.spark, self.config, self.fetcher = spark, config.with_defaults(), fetcher
         self.sink, self.stopped = sink or (lambda pages: None), stopped or (lambda: False)
         if errors := self.config.validate():
             raise ValueError("; ".join(errors))
-        self.work = Folder(spark, "crawl")
+        self.work, self.flush_pages, self.flush_seconds = Folder(spark, "crawl"), flush_pages, flush_seconds
         self.stats = Stats(delay_ms=self.config.delay_ms)
 
     def _one(self, url: str) -> dict:
@@ -260,19 +264,23 @@ class Engine:
                 taken = checked.limit(0)
             elif n_allowed >= budget:  # nothing is taken after the item that uses the budget up
                 taken = checked.where(F.col("seq") <= nth(checked.where("allowed"), budget))
-            fetched = work.save(self._parsed(taken.where("allowed"), host), f"fetched{number}")
-            found = self._discovered(fetched, host)
-            # an item keeps its mark unless an earlier item of the wave has a normal link to it
-            cleared = found.where("not nf").groupBy("url").agg(F.min("i").alias("by"))
-            marks = taken.select("seq", "url", "mark").join(cleared, "url", "left").select("seq", (F.col("mark") & ~F.coalesce(F.col("by") < F.col("seq"), F.lit(False))).alias("via_nofollow"))
-            kept = fetched.drop("via_nofollow").join(marks, "seq").select(*CRAWLED.fieldNames())
-            barred = taken.where("not allowed")
-            blocked = barred.select(*(self._blank(f, robots.reason) for f in CRAWLED.fields))
-            page = work.save(kept.unionByName(blocked).withColumn("seq", F.col("seq") + base_seq * number), f"pages{number}")
-            pages.append(page)
-            self.sink(page)
-            got = page.agg(F.count_if(~F.col("blocked")), F.count_if("blocked"), F.count_if((F.col("error") != "") & ~F.col("blocked")), F.count_if("via_nofollow")).first()
-            s.fetched, s.blocked, s.errors, s.via_nofollow = s.fetched + got[0], s.blocked + got[1], s.errors + got[2], s.via_nofollow + got[3]
+            fetched = []
+            for k, part in enumerate(self._slices(taken.where("allowed"), min(n_allowed, max(0, budget)), number)):
+                if k and self.stopped():
+                    raise Cancelled(f"after {s.fetched} pages")
+                fetched.append(work.save(self._parsed(part, host), f"fetched{number}-{k}"))
+                found = self._discovered(reduce(DataFrame.unionByName, fetched), host)
+                # an item keeps its mark unless an earlier item of the wave has a normal link to it
+                cleared = found.where("not nf").groupBy("url").agg(F.min("i").alias("by"))
+                marks = part.select("seq", "url", "mark").join(cleared, "url", "left").select("seq", (F.col("mark") & ~F.coalesce(F.col("by") < F.col("seq"), F.lit(False))).alias("via_nofollow"))
+                page = fetched[-1].drop("via_nofollow").join(marks, "seq").select(*CRAWLED.fieldNames())
+                if not k:
+                    page = page.unionByName(taken.where("not allowed").select(*(self._blank(f, robots.reason) for f in CRAWLED.fields)))
+                page = work.save(page.withColumn("seq", F.col("seq") + base_seq * number), f"pages{number}-{k}")
+                pages.append(page)
+                self.sink(page)
+                got = page.agg(F.count_if(~F.col("blocked")), F.count_if("blocked"), F.count_if((F.col("error") != "") & ~F.col("blocked")), F.count_if("via_nofollow")).first()
+                s.fetched, s.blocked, s.errors, s.via_nofollow = s.fetched + got[0], s.blocked + got[1], s.errors + got[2], s.via_nofollow + got[3]
             keyed = found.select("i", "j", "depth", "nf", "url", *hashes(F.col("url")))
             fresh = keyed.groupBy("h1", "h2").agg(F.min(F.struct("i", "j", "depth", "url")).alias("x"), F.min("nf").alias("nf"))
             with seen.settings():
@@ -289,6 +297,16 @@ class Engine:
             out = out.unionByName(p)
         return Crawl(out, s, robots)
 
+    def _slices(self, items: DataFrame, n: int, number: int) -> list[DataFrame]:
+        """The n items of a wave that are fetched, in order, as slices whose pages are given out one after the other."""
+        per = self.flush_pages or n
+        if self.stats.delay_ms:
+            per = min(per, max(1, round(1000 * self.flush_seconds / self.stats.delay_ms)))
+        if n <= per:
+            return [items]
+        at = self.work.save(self.work.numbered(items, f"order{number}", "seq").withColumn("slice", F.floor((F.col("n") - 1) / per)), f"sliced{number}")
+        return [at.where(F.col("slice") == k) for k in range(-(-n // per))]
+
     @staticmethod
     def _blank(f, reason: str):
         kind = f.dataType.simpleString()
@@ -318,5 +336,5 @@ class Engine:
         return link.unionByName(moved)
 
 
-def run(spark: SparkSession, config: Config, fetcher, sink=None, stopped=None) -> Crawl:
-    return Engine(spark, config, fetcher, sink, stopped).run()
+def run(spark: SparkSession, config: Config, fetcher, sink=None, stopped=None, **flush) -> Crawl:
+    return Engine(spark, config, fetcher, sink, stopped, **flush).run()

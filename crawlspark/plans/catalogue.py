@@ -455,6 +455,25 @@ def _(spark, d):
     return pages(spark, d).select("id", B.allowed_by_rules(U.robots_path(F.col("url")), list(_RULES)).alias("allowed"))
 
 
+# as many hosts as there are suppliers, each with a robots.txt of its own
+_FILES = """concat('User-agent: other\nDisallow: /\n\n', CASE s_suppkey % 4
+  WHEN 0 THEN concat('User-agent: *\nDisallow: /a', s_suppkey % 5, '\nAllow: /a', s_suppkey % 5, '/open\nCrawl-delay: x\nCrawl-delay: ', s_suppkey % 3, '.5\n')
+  WHEN 1 THEN 'USER-AGENT : CrawlSpark-x # ours\nuser-agent: z\nDisallow: /*.pdf$\nDisallow:\n\nUser-agent: *\nDisallow: /\n'
+  WHEN 2 THEN 'Disallow: /b\nUser-agent: *\nAllow: /b/c.pdf\nDisallow: /b/c.p*f\nUser-agent: crawlspark2\nDisallow: /a(1\nAllow: /\n'
+  ELSE '' END)"""
+_PATHS = "CASE l_partkey % 5 WHEN 0 THEN concat('/a', l_partkey % 5, '/x') WHEN 1 THEN concat('/a', l_suppkey % 5, '/open/y') WHEN 2 THEN '/b/c.pdf' WHEN 3 THEN concat('/a', l_suppkey % 5, '?q') ELSE '/a(1/b/c.pdf?q' END"
+
+
+@query("robots_by_host", f"""WITH u AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS kind, l_suppkey % 5 AS five, l_suppkey % 3 AS three, {_PATHS} AS path FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier))
+  SELECT l_orderkey, l_linenumber, CASE kind WHEN 0 THEN NOT starts_with(path, '/a' || five) OR starts_with(path, '/a' || five || '/open') WHEN 1 THEN NOT path LIKE '%.pdf' WHEN 2 THEN NOT starts_with(path, '/a(1') ELSE true END AS allowed,
+  CASE kind WHEN 0 THEN three + 0.5 ELSE 0 END AS delay FROM u""", plain=True)
+def _(spark, d):
+    files = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("concat('h', s_suppkey, '.test') AS host", f"{_FILES} AS body")
+    urls = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "concat('h', l_suppkey, '.test') AS host", f"{_PATHS} AS path")
+    known = urls.join(files.select("host"), "host", "left_semi")
+    return B.allowed_by_host(known, files, "crawlspark").select("l_orderkey", "l_linenumber", "allowed", F.col("delay").cast("decimal(12,1)").alias("delay"))
+
+
 _VALUES = "CASE event_id % 6 WHEN 0 THEN 'noindex, follow' WHEN 1 THEN 'NONE' WHEN 2 THEN 'otherbot: noindex, nofollow' WHEN 3 THEN 'crawlspark: noindex' WHEN 4 THEN '*: none' ELSE 'all, , index' END"
 _OURS = "list_transform(list_filter(list_transform(string_split(lower(value), ','), lambda x: trim(x)), lambda x: x <> '' AND (NOT contains(x, ':') OR trim(split_part(x, ':', 1)) = '*' OR contains(trim(split_part(x, ':', 1)), 'crawlspark'))), lambda x: trim(regexp_replace(x, '^[^:]*:', '')))"
 

@@ -341,12 +341,12 @@ class Store:
         return report_plan.build(self.get_crawl(crawl_id), self.pages(crawl_id), self.links(crawl_id), seed, now)
 
 
-def crawl_into(store: Store, config, fetcher, progress=None, stopped=None, crawl_id: int | None = None) -> int:
+def crawl_into(store: Store, config, fetcher, progress=None, stopped=None, crawl_id: int | None = None, **flush) -> int:
     """Crawl and store: the crawl's id, with its pages, robots.txt, corrected marks and final status.
 
-    Every round's pages are stored as a batch when they are there, so a running crawl can be
-    read and a stop loses one round at most. progress(pages) gets each stored round. stopped()
-    true ends the crawl as cancelled.
+    Pages are stored as a batch when a round of them is there, or a slice of it (flush_pages,
+    flush_seconds), so a running crawl can be read and a stop loses a slice at most. progress(pages)
+    gets each stored batch. stopped() true ends the crawl as cancelled.
     """
     from .crawl import Cancelled, Engine
 
@@ -361,7 +361,7 @@ def crawl_into(store: Store, config, fetcher, progress=None, stopped=None, crawl
     engine = None
     status, error, raised = "done", "", None
     try:
-        engine = Engine(store.spark, config, fetcher, sink, stopped)
+        engine = Engine(store.spark, config, fetcher, sink, stopped, **flush)
         engine.run()
     except Cancelled:
         status = "cancelled"

@@ -10,33 +10,52 @@ from ..schema import CRAWLED
 from ..sources.shared import Folder
 
 
-def merge_counters(parts: DataFrame) -> DataFrame:
-    """Totals of partial counters: sums, but the largest depth."""
-    keep = ("crawl_id", "max_depth")
-    return parts.groupBy("crawl_id").agg(*(F.sum(c).alias(c) for c in parts.columns if c not in keep), F.max("max_depth").alias("max_depth"))
-
-
 def ingest(source: DataFrame, write_batch, checkpoint: str, interval: str | None = "1 second"):
     """Start a stream that gives each micro-batch to write_batch(batch, batch_id); with no interval, all that is there and stop."""
     writer = source.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def streamed_counters(spark: SparkSession, pages: DataFrame, files: int = 4) -> DataFrame:
-    """Counters by crawl of pages that arrive as files: each micro-batch's partial counters are appended, then merged.
+#: Keeps the state of streams on the executors' disks.
+_ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def running_counters(source: DataFrame, path: str, interval: str | None = "1 second"):
+    """Start a stream that keeps the counters of every crawl as state and writes those that a micro-batch changes.
 
-    A batch that is repeated after a failure replaces its own partial counters.
+    The state is a row a crawl; sums and the largest depth go on from the checkpoint when the stream is started
+    again. A micro-batch that is repeated after a failure writes its rows anew.
     """
-    work = Folder(spark, "stream")
-    pages.repartition(files).write.parquet(f"{work.path}/in")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in")
-    schema = pages.groupBy("crawl_id").agg(*counters()).schema
+    spark = source.sparkSession
+    before = {k: spark.conf.get(k, None) for k in _ROCKSDB}
+    for k, v in _ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        totals = source.groupBy("crawl_id").agg(*counters())
+        write = lambda rows, batch_id: rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/batch={batch_id}")
+        writer = totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters that a stream has last written for every crawl."""
+    rows = spark.read.parquet(f"{path}/totals")
+    names = [c for c in rows.columns if c not in ("crawl_id", "batch")]
+    return rows.groupBy("crawl_id").agg(F.max_by(F.struct(*names), F.col("batch").cast("long")).alias("x")).select("crawl_id", "x.*")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("crawl_id").agg(*counters()).write.mode("overwrite").parquet(f"{work.path}/parts/batch={batch_id}")
 
-    ingest(stream, write, f"{work.path}/checkpoint", None).awaitTermination()
-    return merge_counters(spark.read.schema(schema).parquet(f"{work.path}/parts/*"))
+def streamed_counters(spark: SparkSession, pages: DataFrame, files: int = 4) -> DataFrame:
+    """Counters by crawl of pages that arrive as files, the later half of them after the stream has stopped and been started again."""
+    work = Folder(spark, "stream")
+    halves = pages.withColumn("_half", F.pmod(F.xxhash64("id"), F.lit(2)))
+    for half in (0, 1):
+        halves.where(F.col("_half") == half).drop("_half").repartition(max(1, files // 2)).write.mode("append").parquet(f"{work.path}/in")
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in")
+        running_counters(stream, work.path, None).awaitTermination()
+    return read_counters(spark, work.path)
 
 
 def store_stream(store, crawl_id: int, source: DataFrame, checkpoint: str, interval: str | None = "1 second"):

@@ -3,6 +3,8 @@
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import pytest
+
 from crawlspark.operators import report as R
 from crawlspark.plans.report import build, to_json, to_markdown
 
