@@ -107,15 +107,17 @@ class Cancelled(Exception):
 class Engine:
     """sink(pages) gets pages as soon as they are written: those of a round, or of a slice of it; stopped() is asked before each.
 
-    A slice has flush_pages pages at most and, at the rate that the crawl's delay allows, takes flush_seconds.
+    A slice has flush_pages pages at most and, at the rate that the crawl's delay allows, takes flush_seconds
+    (by default the fetcher's; one that answers at once has none, and its rounds are not cut).
     """
 
-    def __init__(self, spark: SparkSession, config: Config, fetcher, sink=None, stopped=None, flush_pages: int | None = None, flush_seconds: float = 30):
+    def __init__(self, spark: SparkSession, config: Config, fetcher, sink=None, stopped=None, flush_pages: int | None = None, flush_seconds: float | None = None):
         self.spark, self.config, self.fetcher = spark, config.with_defaults(), fetcher
         self.sink, self.stopped = sink or (lambda pages: None), stopped or (lambda: False)
         if errors := self.config.validate():
             raise ValueError("; ".join(errors))
-        self.work, self.flush_pages, self.flush_seconds = Folder(spark, "crawl"), flush_pages, flush_seconds
+        self.work, self.flush_pages = Folder(spark, "crawl"), flush_pages
+        self.flush_seconds = getattr(fetcher, "flush_seconds", None) if flush_seconds is None else flush_seconds
         self.stats = Stats(delay_ms=self.config.delay_ms)
 
     def _one(self, url: str) -> dict:
@@ -300,7 +302,7 @@ class Engine:
     def _slices(self, items: DataFrame, n: int, number: int) -> list[DataFrame]:
         """The n items of a wave that are fetched, in order, as slices whose pages are given out one after the other."""
         per = self.flush_pages or n
-        if self.stats.delay_ms:
+        if self.stats.delay_ms and self.flush_seconds:
             per = min(per, max(1, round(1000 * self.flush_seconds / self.stats.delay_ms)))
         if n <= per:
             return [items]

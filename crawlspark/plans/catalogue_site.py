@@ -254,4 +254,24 @@ def _(spark, d):
     return got.groupBy("crawl_id").agg(F.count("*").alias("total"), F.count_distinct("url").alias("urls")).withColumn("several", F.lit(int(batches > 1)).cast("long"))
 
 
+_DEEP = "status BETWEEN 200 AND 299 AND crawl_id = 1"
+
+
+@query("store_deep_page", f"SELECT url, status, title FROM cp WHERE {_DEEP} ORDER BY id LIMIT 100 OFFSET (SELECT count(*) // 2 FROM cp WHERE {_DEEP})")
+def _(spark, d):
+    """A page from the middle of a listing, found by the counts of batches; the same rows by its cursor."""
+    from ..streaming.ingest import as_crawled
+
+    s = Store(spark, f"{Folder(spark, 'deep').path}/store")
+    c = s.create_crawl("https://example.com/")
+    own = Folder(spark, "deep-pages").save(pages(spark, d).where("crawl_id = 1"), "pages")
+    low, high = own.agg(F.min("id"), F.max("id")).first()
+    step = (high - low) // 4 + 1
+    for k in range(4):  # batches in order of id
+        s.add_pages(c, as_crawled(own.where(F.col("id").between(low + k * step, low + (k + 1) * step - 1))))
+    total = s.totals(c)["2xx"]
+    before = s.list_pages(c, "2xx", limit=1, offset=total // 2 - 1)[0].first()
+    return s.pages_after(c, "2xx", before.id, 100).select("url", "status", "title")
+
+
 assert QUERIES  # registered above

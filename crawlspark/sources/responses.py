@@ -72,6 +72,9 @@ class HttpFetcher:
     `delay_ms` between the starts of two.
     """
 
+    #: About how long the requests of a slice of a round may take before their pages are given out.
+    flush_seconds = 30
+
     def __init__(self, config: Config, seed_host: str):
         self.config, self.seed_host, self.delay_ms, self.called = config, seed_host, config.delay_ms, False
 

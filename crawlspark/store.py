@@ -20,6 +20,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .crawl import Cancelled, Engine, nth
 from .functions import text as X
 from .operators import pages as P
 from .plans import report as report_plan
@@ -30,6 +31,7 @@ from .sources.url_runs import UrlRuns, hashes
 NotFound = P.NotFound
 _BATCHES = "batch long, n long, crawl_id long"
 _SHIFT = 40  # ids: batch, then number within it
+_SORTED = 20_000  # up to so many rows before a page are sorted with it
 
 
 class Store:
@@ -169,10 +171,16 @@ class Store:
     def _mark(self, batch: int, n: int, crawl_id: int) -> None:
         self.spark.createDataFrame([(batch, n, crawl_id)], _BATCHES).coalesce(1).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/batches")
 
+    #: Columns of which single values are looked up. Ids, by which files are sorted, have bounds.
+    _LOOKUPS = {"pages": ("url",), "links": ("to_url",)}
+
     def _write(self, df: DataFrame, crawl_id: int, name: str, schema, version: int, mode: str = "append") -> None:
         """Rows of one crawl, under a version of its table."""
         cols = [F.col(f.name).cast(f.dataType) for f in schema.fields if f.name != "crawl_id"]
-        df.select(*cols).write.mode(mode).parquet(f"{self.path}/{name}/crawl_id={crawl_id}/version={version}")
+        writer = df.select(*cols).write.mode(mode)
+        for column in self._LOOKUPS[name]:  # files whose filter has not the value are not read
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.path}/{name}/crawl_id={crawl_id}/version={version}")
 
     def _urls(self, crawl_id: int) -> tuple[UrlRuns, set[int]]:
         """The URLs of a crawl's whole batches, and the numbers of these."""
@@ -298,10 +306,51 @@ class Store:
 
     # queries
     def list_pages(self, crawl_id: int, status: str = "", q: str = "", limit: int = 0, offset: int = 0) -> tuple[DataFrame, int]:
-        """A page of the matches and how many there are; only a text filter makes them be counted."""
+        """A page of the matches and how many there are; only a text filter makes them be counted, or sorted up to the page."""
+        crawl = self.get_crawl(crawl_id)
+        p, limit, offset = self.pages(crawl_id), P.clamp_limit(limit), max(0, offset)
+        if q:
+            return P.list_pages(p, crawl_id, status, q, limit, offset), P.matching(p, crawl_id, status, q).count()
+        P.status_filter(status)
+        total = self.totals(crawl_id)[status]
+        if status == "via_nofollow" and crawl["cleared"]:  # the batches' counts are of before
+            return P.list_pages(p, crawl_id, status, q, limit, offset), total
+        near, offset = self._range(crawl_id, status, offset, limit)
+        some = P.matching(p.where(near), crawl_id, status)
+        if offset > _SORTED:
+            some, offset = some.where(F.col("id") >= nth(some.select(F.col("id").alias("seq")), offset + 1)), 0
+        return some.orderBy("id").offset(offset).limit(limit), total
+
+    def _range(self, crawl_id: int, status: str, offset: int, limit: int, first: int = 0):
+        """A condition on ids that holds for the limit matches after an offset, and the offset within it: whole batches, found by the sums of their counts."""
+        counter = self._OF_FILTER[status]
+        parts = self._counters().where((F.col("crawl_id") == crawl_id) & (F.col("batch") >= first)).join(self._done(), ["crawl_id", "batch"], "left_semi")
+        lo, hi, before, rest = None, first, 0, offset
+        for batch, n in parts.where(F.col(counter) > 0).orderBy("batch").select("batch", counter).collect():  # a row a batch
+            if lo is None and before + n > offset:
+                lo, rest = batch, offset - before
+            before, hi = before + n, batch
+            if before >= offset + limit:
+                break
+        return (F.col("id").between(lo << _SHIFT, ((hi + 1) << _SHIFT) - 1) if lo is not None else F.lit(False)), rest
+
+    def pages_after(self, crawl_id: int, status: str = "", after: int = 0, limit: int = 0) -> DataFrame:
+        """The next matches in order of id after a page's id; reads the batches that hold them only."""
         self.get_crawl(crawl_id)
-        p = self.pages(crawl_id)
-        return P.list_pages(p, crawl_id, status, q, limit, offset), P.matching(p, crawl_id, status, q).count() if q else self.totals(crawl_id)[status]
+        limit, own = P.clamp_limit(limit), after >> _SHIFT
+        counter = self._OF_FILTER[status]
+        # as many more as the batch of that id holds, all of which may lie before it
+        skipped = self._counters().where((F.col("crawl_id") == crawl_id) & (F.col("batch") == own)).agg(F.coalesce(F.sum(counter), F.lit(0))).first()[0]
+        cleared = status == "via_nofollow" and self.get_crawl(crawl_id)["cleared"]
+        near = F.lit(True) if cleared else self._range(crawl_id, status, 0, skipped + limit, own)[0]
+        return P.matching(self.pages(crawl_id).where(near & (F.col("id") > after)), crawl_id, status).orderBy("id").limit(limit)
+
+    def all_pages(self, crawl_id: int, status: str = "", size: int = P.MAX_LIMIT):
+        """All matches in order of id, a page of them at a time, each from where the last one ended."""
+        after = 0
+        while rows := self.pages_after(crawl_id, status, after, size).collect():
+            yield from rows
+            after = rows[-1].id
 
     def get_page(self, crawl_id: int, page_id: int) -> dict:
         """A page with its first links out and in, and how many there are."""
@@ -348,8 +397,6 @@ def crawl_into(store: Store, config, fetcher, progress=None, stopped=None, crawl
     flush_seconds), so a running crawl can be read and a stop loses a slice at most. progress(pages)
     gets each stored batch. stopped() true ends the crawl as cancelled.
     """
-    from .crawl import Cancelled, Engine
-
     if crawl_id is None:
         crawl_id = store.create_crawl(config.seed, config.to_json())
 

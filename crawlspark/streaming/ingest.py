@@ -72,12 +72,17 @@ def store_stream(store, crawl_id: int, source: DataFrame, checkpoint: str, inter
     return ingest(source, write, checkpoint, interval)
 
 
-def stream_into(spark: SparkSession, store, crawl_id: int, pages: DataFrame, work: Folder, files: int = 3) -> None:
-    """Store pages that arrive as files, a file a micro-batch, the first of them twice."""
+def as_crawled(pages: DataFrame) -> DataFrame:
+    """Pages of a view as crawled pages (schema CRAWLED) without links, in order of id."""
     absent = {"string": "''", "boolean": "false", "int": "0", "bigint": "0L", "timestamp": "current_timestamp()"}
     have = set(pages.columns)
     blank = [("id" if f.name == "seq" else f.name if f.name in have else absent.get(f.dataType.simpleString(), "array()")) for f in CRAWLED.fields]
-    rows = pages.selectExpr(*(f"CAST({x} AS {f.dataType.simpleString()}) AS {f.name}" for x, f in zip(blank, CRAWLED.fields)))
+    return pages.selectExpr(*(f"CAST({x} AS {f.dataType.simpleString()}) AS {f.name}" for x, f in zip(blank, CRAWLED.fields)))
+
+
+def stream_into(spark: SparkSession, store, crawl_id: int, pages: DataFrame, work: Folder, files: int = 3) -> None:
+    """Store pages that arrive as files, a file a micro-batch, the first of them twice."""
+    rows = as_crawled(pages)
     rows.repartition(files).write.parquet(f"{work.path}/in")
     rows.where("seq % 10 = 0").coalesce(1).write.mode("append").parquet(f"{work.path}/in")
     stream = spark.readStream.schema(CRAWLED).option("maxFilesPerTrigger", 1).parquet(f"{work.path}/in")
