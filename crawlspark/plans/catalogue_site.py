@@ -158,7 +158,7 @@ def _(spark, d):
     added = Store.migrate(s)  # nothing is left to do
     probe = Store.__new__(Store)  # what the first opening did, seen from the files
     probe.spark, probe.path, probe._fs, probe._path = s.spark, s.path, s._fs, s._path
-    new = len(set(spark.read.parquet(f"{path}/crawls/v={s._versions()[-1]}").columns) - {"id", "seed", "status", "config", "started_at", "finished_at", "error"})
+    new = len(set(spark.read.parquet(s.control_folder()).columns) - {"id", "seed", "status", "config", "started_at", "finished_at", "error"})
     counted = probe._counters().count()
     if added:
         raise AssertionError(f"not idempotent: {added}")

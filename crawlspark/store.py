@@ -3,8 +3,12 @@
 pages and links are partitioned by crawl and version, counters by crawl. A batch counts once
 its marker row is in `batches`, so a batch is visible whole or not at all; its number is
 claimed before anything is written, so what a broken batch left is never taken for another's.
-The control table of crawls is small and is written anew, under the next version, with
-every change; it says which version of a crawl's pages and links holds.
+The control table of crawls is small and is written anew with every change; it says which
+version of a crawl's pages and links holds. A change reads the newest table, writes what follows
+from it to a folder of its own, and takes the next number for that folder. If another process was
+first, the change is made anew on what that one left, so none is lost and conditions (only a
+running crawl finishes) hold when they count. Tables that were replaced stay for `_KEPT` seconds for
+who is reading them. Pages of one crawl are to be added by one process at a time.
 
 Each batch leaves its counters, so a summary adds up a row a batch and reads no page, and the
 hashes of its URLs as a run (url_runs.py), so what is new is told without reading the crawl. Runs name
@@ -25,6 +29,7 @@ from .functions import text as X
 from .operators import pages as P
 from .plans import report as report_plan
 from .schema import ADDED, CRAWLS, LINKS, PAGES
+from .sources.exclusive import Exclusive
 from .sources.shared import Folder
 from .sources.url_runs import UrlRuns, hashes
 
@@ -32,6 +37,12 @@ NotFound = P.NotFound
 _BATCHES = "batch long, n long, crawl_id long"
 _SHIFT = 40  # ids: batch, then number within it
 _SORTED = 20_000  # up to so many rows before a page are sorted with it
+_KEPT = 3600  # seconds that replaced control tables and taken numbers stay
+_TRIES = 100
+
+
+class Conflict(RuntimeError):
+    """Another process changed what a change was based on."""
 
 
 class Store:
@@ -41,13 +52,20 @@ class Store:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._control = Exclusive(spark, f"{self.path}/control")
+        self._numbers = Exclusive(spark, f"{self.path}/numbers")
         self.check_writable()
         self.migrate()
         # what was running when the last process ended has failed
-        crawls = self.crawls()
-        if not crawls.where("status = 'running'").isEmpty():
-            ran = F.col("status") == "running"
-            self._rewrite(crawls.withColumns({"error": F.when(ran, "interrumpido").otherwise(F.col("error")), "finished_at": F.when(ran, F.current_timestamp()).otherwise(F.col("finished_at")), "status": F.when(ran, "failed").otherwise(F.col("status"))}))
+        self._change(self._interrupted)
+        self._numbers.forget(self._last_batch(), 24 * _KEPT)
+
+    @staticmethod
+    def _interrupted(crawls: DataFrame) -> DataFrame | None:
+        ran = F.col("status") == "running"
+        if crawls.where(ran).isEmpty():
+            return None
+        return crawls.withColumns({"error": F.when(ran, "interrumpido").otherwise(F.col("error")), "finished_at": F.when(ran, F.current_timestamp()).otherwise(F.col("finished_at")), "status": F.when(ran, "failed").otherwise(F.col("status"))})
 
     def check_writable(self) -> None:
         """The folder is made if it is not there; PermissionError if nothing can be written to it."""
@@ -62,10 +80,10 @@ class Store:
     def migrate(self) -> list[str]:
         """Bring a store of an older version up to date: new columns of the control table, counters of batches that have none. Returns what was added."""
         added = []
-        if v := self._versions():
-            have = set(self.spark.read.parquet(f"{self.path}/crawls/v={v[-1]}").columns)
+        if folder := self.control_folder():
+            have = set(self.spark.read.parquet(folder).columns)
             if missing := [c for c in CRAWLS.fieldNames() if c not in have]:
-                self._rewrite(self.crawls())
+                self._change(lambda crawls: crawls)
                 added += [f"crawls.{c}" for c in missing]
         if self._exists("batches"):
             without = self._done().join(self._counters().select("crawl_id", "batch"), ["crawl_id", "batch"], "left_anti").select("crawl_id", "batch").collect()
@@ -79,37 +97,79 @@ class Store:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{name}"))
 
-    def _versions(self) -> list[int]:
-        if not self._exists("crawls"):
-            return []
-        found = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/crawls"))]
-        return sorted(int(n[2:]) for n in found if n.startswith("v=") and self._exists(f"crawls/{n}/_SUCCESS"))
+    def _newest(self) -> tuple[int, str | None]:
+        """The number of the newest control table, and its folder."""
+        if taken := self._control.taken():
+            return (n := max(taken)), f"{self.path}/crawls/{self._control.text(n)}"
+        if self._exists("crawls"):  # of a store before control tables had numbers of their own
+            found = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/crawls"))]
+            if v := [int(n[2:]) for n in found if n.startswith("v=") and self._exists(f"crawls/{n}/_SUCCESS")]:
+                return max(v), f"{self.path}/crawls/v={max(v)}"
+        return 0, None
+
+    def control_folder(self) -> str | None:
+        return self._newest()[1]
 
     @staticmethod
     def _filled(table: DataFrame, name: str) -> DataFrame:
         return table.fillna(ADDED.get(name, {}))
 
+    def _crawls_in(self, folder: str | None) -> DataFrame:
+        return self._filled(self.spark.read.schema(CRAWLS).parquet(folder), "crawls") if folder else self.spark.createDataFrame([], CRAWLS)
+
     def crawls(self) -> DataFrame:
-        v = self._versions()
-        return self._filled(self.spark.read.schema(CRAWLS).parquet(f"{self.path}/crawls/v={v[-1]}"), "crawls") if v else self.spark.createDataFrame([], CRAWLS)
+        return self._crawls_in(self.control_folder())
+
+    def _change(self, change) -> None:
+        """Replace the control table by change(table), which may return None for no change; called anew when another process was first."""
+        for _ in range(_TRIES):
+            number, folder = self._newest()
+            table = change(self._crawls_in(folder))
+            if table is None:
+                return
+            new = f"t-{uuid.uuid4().hex}"
+            table.coalesce(1).write.parquet(f"{self.path}/crawls/{new}")
+            if self._control.take(number + 1, new):
+                return self._tidy()
+            self._fs.delete(self._path(f"{self.path}/crawls/{new}"), True)
+        raise Conflict(f"control table of {self.path}: {_TRIES} times another change was first")
+
+    def _tidy(self) -> None:
+        """Delete control tables that were replaced, or never took a number, `_KEPT` seconds ago or longer."""
+        self._control.forget(max(self._control.taken()), _KEPT)
+        held = set()
+        for n in self._control.taken():
+            try:
+                held.add(self._control.text(n))
+            except Exception:  # noqa: BLE001  another process has just deleted it
+                pass
+        before = (datetime.now(timezone.utc).timestamp() - _KEPT) * 1000
+        for x in self._fs.listStatus(self._path(f"{self.path}/crawls")):
+            if x.getPath().getName() not in held and x.getModificationTime() < before:
+                self._fs.delete(x.getPath(), True)
+
+    def _update(self, crawl_id: int, when=None, **values) -> None:
+        """Set columns of a crawl. when(row) is asked about the crawl as it is when the change counts: False leaves it so."""
+
+        def change(crawls: DataFrame) -> DataFrame | None:
+            row = crawls.where(F.col("id") == crawl_id).first()
+            if row is None:
+                raise NotFound(f"crawl {crawl_id}")
+            if when is not None and not when(row):
+                return None
+            return crawls.withColumns({n: F.when(F.col("id") == crawl_id, v).otherwise(F.col(n)) for n, v in values.items()})
+
+        self._change(change)
 
-    def _rewrite(self, crawls: DataFrame) -> None:
-        v = self._versions()
-        crawls.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/crawls/v={(v[-1] if v else 0) + 1}")
-        for old in v[:-1]:
-            self._fs.delete(self._path(f"{self.path}/crawls/v={old}"), True)
+    def create_crawl(self, seed: str, config: str = "{}") -> int:
+        new = 0
 
-    def _update(self, crawl_id: int, **values) -> None:
-        out = self.crawls()
-        for name, value in values.items():
-            out = out.withColumn(name, F.when(F.col("id") == crawl_id, value).otherwise(F.col(name)))
-        self._rewrite(out)
+        def change(crawls: DataFrame) -> DataFrame:
+            nonlocal new
+            new = (crawls.agg(F.max("id")).first()[0] or 0) + 1
+            return crawls.unionByName(self.spark.createDataFrame([(new, seed, "running", config, datetime.now(timezone.utc), None, "", "", 0, 0, 0)], CRAWLS))
 
-    def create_crawl(self, seed: str, config: str = "{}") -> int:
-        crawls = self.crawls()
-        new = (crawls.agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(new, seed, "running", config, datetime.now(timezone.utc), None, "", "", 0, 0, 0)], CRAWLS)
-        self._rewrite(crawls.unionByName(row))
+        self._change(change)
         return new
 
     def get_crawl(self, crawl_id: int) -> dict:
@@ -122,21 +182,25 @@ class Store:
         return self.crawls().orderBy(F.desc("started_at"), F.desc("id"))
 
     def set_robots(self, crawl_id: int, text: str) -> None:
-        self.get_crawl(crawl_id)
         self._update(crawl_id, robots_txt=F.lit(text))
 
     def finish_crawl(self, crawl_id: int, status: str, error: str = "") -> None:
         """Only a running crawl changes; finishing one again does nothing."""
-        if self.get_crawl(crawl_id)["status"] == "running":
-            self._update(crawl_id, finished_at=F.current_timestamp(), status=F.lit(status), error=F.lit(error))
+        self._update(crawl_id, lambda row: row.status == "running", finished_at=F.current_timestamp(), status=F.lit(status), error=F.lit(error))
 
     def delete_crawl(self, crawl_id: int) -> None:
-        self.get_crawl(crawl_id)
-        self._rewrite(self.crawls().where(F.col("id") != crawl_id))
+        def change(crawls: DataFrame) -> DataFrame:
+            if crawls.where(F.col("id") == crawl_id).isEmpty():
+                raise NotFound(f"crawl {crawl_id}")
+            return crawls.where(F.col("id") != crawl_id)
+
+        self._change(change)
         if runs := self._url_runs.pop(crawl_id, None):
             runs.close()
         for name in ("batches", "counters", "pages", "links", "urls"):
             self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}"), True)
+        for name in ("pages", "links"):
+            self._fs.delete(self._path(f"{self.path}/numbers/{name}-{crawl_id}"), True)
 
     # pages and links
     def _done(self) -> DataFrame:
@@ -162,14 +226,18 @@ class Store:
         t = self._table("links", LINKS)
         return t if crawl_id is None else t.where(F.col("crawl_id") == crawl_id)
 
+    def _last_batch(self) -> int:
+        return self.spark.read.schema(_BATCHES).parquet(f"{self.path}/batches").agg(F.coalesce(F.max("batch"), F.lit(0))).first()[0] if self._exists("batches") else 0
+
     def _claim(self, crawl_id: int) -> int:
-        """A batch number that no other batch has, whole or broken."""
-        taken = self.spark.read.schema(_BATCHES).parquet(f"{self.path}/batches").agg(F.coalesce(F.max("batch"), F.lit(0))).first()[0] if self._exists("batches") else 0
-        self._mark(taken + 1, -1, crawl_id)
-        return taken + 1
+        """A batch number that no other batch has, whole or broken, of any process."""
+        number = self._numbers.next(self._last_batch())
+        self._mark(number, -1, crawl_id)
+        return number
 
     def _mark(self, batch: int, n: int, crawl_id: int) -> None:
-        self.spark.createDataFrame([(batch, n, crawl_id)], _BATCHES).coalesce(1).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/batches")
+        # straight into the crawl's own folder: two writers to one folder take away each other's temporary files
+        self.spark.createDataFrame([(batch, n)], "batch long, n long").coalesce(1).write.mode("append").parquet(f"{self.path}/batches/crawl_id={crawl_id}")
 
     #: Columns of which single values are looked up. Ids, by which files are sorted, have bounds.
     _LOOKUPS = {"pages": ("url",), "links": ("to_url",)}
@@ -246,8 +314,8 @@ class Store:
         by_type = pages.groupBy("batch", "content_type").agg(*counts)
         names = [c for c in by_type.columns if c not in ("batch", "content_type", "max_depth")]
         types = F.map_from_entries(F.collect_list(F.when(F.col("content_type") != "", F.struct("content_type", "total"))))
-        rows = by_type.groupBy("batch").agg(*(F.sum(c).alias(c) for c in names), F.max("max_depth").alias("max_depth"), types.alias("content_types")).withColumn("crawl_id", F.lit(crawl_id).cast("long"))
-        rows.select(*(x.split()[0] for x in self._COUNTS.split(", "))).coalesce(1).write.mode("append").partitionBy("crawl_id").parquet(f"{self.path}/counters")
+        rows = by_type.groupBy("batch").agg(*(F.sum(c).alias(c) for c in names), F.max("max_depth").alias("max_depth"), types.alias("content_types"))
+        rows.select(*(x.split()[0] for x in self._COUNTS.split(", ")[:-1])).coalesce(1).write.mode("append").parquet(f"{self.path}/counters/crawl_id={crawl_id}")
 
     def totals(self, crawl_id: int) -> dict[str, int]:
         """The number of pages of every filter of a listing, and of broken ones, from the counters."""
@@ -277,14 +345,33 @@ class Store:
         return row | {"content_types": {r.content_type: r.n for r in self.content_types().where(F.col("crawl_id") == crawl_id).collect()}}
 
     # versions
-    def _switch(self, crawl_id: int, tables: dict[str, tuple[DataFrame, object]], **values) -> None:
-        """Write tables of a crawl under their next versions, then let the control table name those; a stop before that changes nothing."""
-        crawl = self.get_crawl(crawl_id)
+    def _switch(self, crawl_id: int, crawl: dict, tables: dict[str, tuple[DataFrame, object]], **values) -> None:
+        """Write tables made of a crawl's present versions (those of `crawl`) under new ones, then let the control table name those.
+
+        A stop before that changes nothing; Conflict if another process was first to replace the versions.
+        """
+        names = [f"{n}_version" for n in tables]
+        # numbers of their own, so two processes never write to one folder
+        new = {n: Exclusive(self.spark, f"{self.path}/numbers/{n}-{crawl_id}").next(crawl[f"{n}_version"]) for n in tables}
         for name, (rows, schema) in tables.items():
-            self._write(rows, crawl_id, name, schema, crawl[f"{name}_version"] + 1, "overwrite")
-        self._update(crawl_id, **{f"{name}_version": F.lit(crawl[f"{name}_version"] + 1) for name in tables}, **values)
+            self._write(rows, crawl_id, name, schema, new[name], "overwrite")
+
+        def same(row) -> bool:
+            if any(row[n] != crawl[n] for n in names):
+                for name in tables:
+                    self._fs.delete(self._version(crawl_id, name, new[name]), True)
+                raise Conflict(f"crawl {crawl_id}: another change was first")
+            return True
+
+        self._update(crawl_id, same, **{f"{n}_version": F.lit(v) for n, v in new.items()}, **values)
         for name in tables:  # the version before stays for those who are reading it
-            self._fs.delete(self._path(f"{self.path}/{name}/crawl_id={crawl_id}/version={crawl[f'{name}_version'] - 1}"), True)
+            for x in self._fs.listStatus(self._version(crawl_id, name, new[name]).getParent()):
+                at = x.getPath().getName()
+                if at.startswith("version=") and int(at[8:]) < crawl[f"{name}_version"]:
+                    self._fs.delete(x.getPath(), True)
+
+    def _version(self, crawl_id: int, name: str, version: int):
+        return self._path(f"{self.path}/{name}/crawl_id={crawl_id}/version={version}")
 
     def recompute_via_nofollow(self, crawl_id: int) -> int:
         """Clear marks of pages that a normal link reaches; returns how many. The crawl gets a new version of its pages."""
@@ -293,16 +380,16 @@ class Store:
         after = P.recompute_via_nofollow(before, self.links(crawl_id))
         n = before.where("via_nofollow").count() - after.where("via_nofollow").count()
         if n:
-            self._switch(crawl_id, {"pages": (after, PAGES)}, cleared=F.lit(crawl["cleared"] + n))
+            self._switch(crawl_id, crawl, {"pages": (after, PAGES)}, cleared=F.lit(crawl["cleared"] + n))
         return n
 
     def compact(self, crawl_id: int, rows_per_file: int = 1_000_000) -> None:
         """Write a crawl's many small files anew as few, in order of id, without what broken batches left."""
-        self.get_crawl(crawl_id)
+        crawl = self.get_crawl(crawl_id)
         tables = {}
         for name, rows, schema in (("pages", self.pages(crawl_id), PAGES), ("links", self.links(crawl_id), LINKS)):
             tables[name] = (rows.repartitionByRange(max(1, -(-rows.count() // rows_per_file)), "id").sortWithinPartitions("id"), schema)
-        self._switch(crawl_id, tables)
+        self._switch(crawl_id, crawl, tables)
 
     # queries
     def list_pages(self, crawl_id: int, status: str = "", q: str = "", limit: int = 0, offset: int = 0) -> tuple[DataFrame, int]:
