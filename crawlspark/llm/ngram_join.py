@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees, and the components of its links.
 
 A document is its set of distinct word n-grams, as 64-bit hashes in one global order:
-first hashes below LOW that few documents have, then the hashes above, then frequent
+first hashes below LOW that few documents have, then such hashes above, then frequent
 ones. Documents whose sets are equal are one class. Two classes with a Jaccard of at
 least num/den share one of the first n - ceil(n num / den) + 1 hashes of each, so
 classes meet at such hashes (those that other documents have, too). Links are found by
@@ -16,20 +16,23 @@ subtree is left as soon as what remains of a sequence cannot reach the overlap n
    one tree, cut into subtrees of bounded size. In each, every class walks through those
    of other components, with the rest of its set as a bound on what may follow, and the
    closest that it cannot tell apart is verified.
-3. What is still outside its family's largest component walks through all subtrees of the
-   family, and all that it cannot tell apart is verified. What is inside needs no further
-   link among itself.
+3. At each hash where classes of several components still meet, those outside the hash's
+   largest component walk through the tree of all that have it, and all that they cannot
+   tell apart is verified. What is inside needs no further link among itself. Hashes that
+   the same classes have are one. Where many classes meet, they are dealt by length and in
+   blocks, so that a tree and what walks through it are of bounded size.
 
 Verifying is a walk of one whole set through the tree of its partners' whole sets. Parity
 sketches, whose Hamming distance is a lower bound of two sets' symmetric difference, say
 which leaves of a tree a walk may pass over.
 
 Scale: what is broadcast is a bitmap of fixed size (hashes that two documents have) and
-at most `max_frequent` frequent hashes; both only choose the order. Copies collapse per
-task and per hash, large groups get a linear number of pivot pairs and of closest pairs, a
-family's subtrees (first hashes and sketches, a fifth of the sets) are dealt over tasks, and
-only the few that its largest component does not hold meet all of them. Texts are read
-again instead of keeping all sets.
+up to two million frequent hashes; both only choose work. Copies collapse per task and
+per hash, large groups get a linear number of pivot pairs and of closest pairs, a family's
+subtrees (first hashes and sketches, a fifth of the sets) are dealt over tasks, and the last
+step's work is that of classes outside a component and what they meet at a hash. Hashes of
+a passage that many documents hold are frequent and come last, so classes meet there only
+if such hashes are nearly all they have. Texts are read again instead of keeping all sets.
 
 Classes and n-grams are compared by 64-bit hashes of a keyed function.
 """
@@ -43,7 +46,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,14 +209,43 @@ def _fresh(batches, n: int):
         yield out
 
 
-def _counted(n: int, ranges: int):
-    width = LOW // np.uint64(ranges) + np.uint64(1)
+def _low(s: np.ndarray) -> np.ndarray:
+    return s[: np.searchsorted(s, LOW)]
+
+
+def _among(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which hashes of s are among the frequent ones, which are sorted."""
+    if not len(frequent):
+        return np.zeros(len(s), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+
+
+def _high(num: int, den: int, often):
+    """What picks the hashes above of a set whose first hashes reach them."""
+
+    def pick(s):
+        low = _low(s)
+        p = len(s) - -(-num * len(s) // den) + 1
+        reaches = len(low) - int(_among(low, np.frombuffer(often.value, np.uint64)).sum()) < p
+        return s[len(low) :] if reaches else s[:0]
+
+    return pick
+
+
+def _width(ranges: int, base: np.uint64) -> np.uint64:
+    """How wide each range of the hashes below LOW (base 0) or from there on is."""
+    return np.uint64((int(LOW) if base == 0 else 2**64 - int(base)) // ranges + 1)
+
+
+def _counted(n: int, ranges: int, pick, base: np.uint64 = np.uint64(0)):
+    """Per task and range of the hashes that pick takes of each set: those met once, and those met more often with their counts."""
+    inner = base + _width(ranges, base) * np.arange(1, ranges, dtype=np.uint64)
 
     def emit(parts):
         tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        ends = np.searchsorted(tokens, width * np.arange(1, ranges + 1, dtype=np.uint64))
+        ends = [*np.searchsorted(tokens, inner).tolist(), len(tokens)]
         rows = []
-        for r, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        for r, (a, b) in enumerate(zip([0, *ends], ends)):
             if a < b:
                 many = counts[a:b] > 1
                 rows.append((r, tokens[a:b][~many].tobytes(), tokens[a:b][many].tobytes(), counts[a:b][many].astype(np.uint32).tobytes()))
@@ -224,10 +255,10 @@ def _counted(n: int, ranges: int):
         parts, held = [], 0
         for sets in _fresh(batches, n):
             for _, s in sets:
-                low = s[: np.searchsorted(s, LOW)]
-                if len(low):
-                    parts.append(low)
-                    held += len(low)
+                picked = pick(s)
+                if len(picked):
+                    parts.append(picked)
+                    held += len(picked)
             if held > 1 << 20:
                 yield emit(parts)
                 parts, held = [], 0
@@ -237,11 +268,11 @@ def _counted(n: int, ranges: int):
     return run
 
 
-def _frequencies(ranges: int, keep: int, least: int):
-    """Per range: the bits of hashes that two documents have, and its most frequent hashes."""
-    width = int(LOW) // ranges + 1
+def _frequencies(ranges: int, keep: int, least: int, base: np.uint64 = np.uint64(0)):
+    """Per range: its most frequent hashes and, below LOW, the bits of hashes that two documents have."""
+    width = _width(ranges, base)
     bits = (1 << _BITS) // ranges
-    step = np.uint64(width // bits + 1)
+    step = width // np.uint64(bits) + np.uint64(1)
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = key[0].as_py()
@@ -252,8 +283,9 @@ def _frequencies(ranges: int, keep: int, least: int):
                 counts += [np.ones(len(tokens[-2]), np.uint32), np.frombuffer(n, np.uint32)]
         t, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
         c = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-        flags = np.zeros(bits, bool)
-        flags[((t[c > 1] - np.uint64(r * width)) // step).astype(np.int64)] = True
+        flags = np.zeros(bits if base == 0 else 0, bool)
+        if base == 0:
+            flags[((t[c > 1] - np.uint64(r) * width) // step).astype(np.int64)] = True
         often = np.flatnonzero(c > least)
         often = often[np.argsort(-c[often], kind="stable")][:keep]
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([t[often].tobytes()], pa.binary())], names=["r", "flags", "often"])
@@ -262,9 +294,9 @@ def _frequencies(ranges: int, keep: int, least: int):
 
 
 def _prefixes(n: int, num: int, den: int, ranges: int, flags, often, groups: int):
-    width, step = int(LOW) // ranges + 1, None
+    width = _width(ranges, np.uint64(0))
     bits = (1 << _BITS) // ranges
-    step = np.uint64(width // bits + 1)
+    step = width // np.uint64(bits) + np.uint64(1)
 
     def emit(parts):
         token, sig, size = (np.concatenate(x) for x in zip(*parts))
@@ -281,19 +313,17 @@ def _prefixes(n: int, num: int, den: int, ranges: int, flags, often, groups: int
         for sets in _fresh(batches, n):
             for sig, s in sets:
                 p = len(s) - -(-num * len(s) // den) + 1
-                k = int(np.searchsorted(s, LOW))
-                low = s[:k]
-                if len(frequent):
-                    at = np.searchsorted(frequent, low)
-                    is_frequent = frequent[np.minimum(at, len(frequent) - 1)] == low
-                    low, last = low[~is_frequent], low[is_frequent]
-                else:
-                    last = low[:0]
-                low = low[:p]
-                r = low // np.uint64(width)
-                bit = r * np.uint64(bits) + (low - r * np.uint64(width)) // step
+                low = _low(s)
+                high = s[len(low) :]
+                late = _among(low, frequent)
+                low, last = low[~late][:p], low[late]
+                r = low // width
+                bit = r * np.uint64(bits) + (low - r * width) // step
                 low_shared = low[(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
-                tokens = low_shared if len(low) == p else np.concatenate([low_shared, np.concatenate([s[k:], last])[: p - len(low)]])
+                tokens = low_shared
+                if len(low) < p:
+                    late = _among(high, frequent)
+                    tokens = np.concatenate([low_shared, np.concatenate([high[~late], last, high[late]])[: p - len(low)]])
                 if len(tokens):
                     parts.append((tokens, np.full(len(tokens), sig, np.int64), np.full(len(tokens), len(s), np.int32)))
                     held += len(tokens)
@@ -362,76 +392,75 @@ def _heads(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["sig", "n", "head", "order", "sketch"])
 
 
-_TREE = "tree long, lo long, sigs binary, roots binary, sizes binary, lengths binary, heads binary, sketches binary, a binary, b binary"
-_PARTS = ["sigs", "roots", "sizes", "lengths", "heads", "sketches"]
-
+def _rest(n, num: int, den: int):
+    return -(-n * num // den) - 1  # n - (n - ceil(n num / den) + 1) hashes follow the first ones
 
-def _open_tree(sigs, roots, sizes, lengths, heads, sketches, num: int, den: int):
-    """The columns of a tree's row: sigs, roots, n, rest, heads and sketches of its classes."""
-    sigs, roots, n, lengths = (np.frombuffer(x, np.int64) for x in (sigs, roots, sizes, lengths))
-    heads = np.split(np.frombuffer(heads, np.uint32), np.cumsum(lengths)[:-1])
-    # n - (n - ceil(n num / den) + 1) hashes follow the first ones
-    return sigs, roots, n, -(-n * num // den) - 1, heads, np.frombuffer(sketches, np.uint64).reshape(len(sigs), -1)
 
+def _closest(num: int, den: int, most: int):
+    """Pairs (a, b), a < b, of classes with the nearest of another component in their subtree.
 
-def _trees(num: int, den: int, most: int, closest: bool):
-    """Subtrees of families, whose rows (lo, sig, root, n, head, sketch) come in order of family and hashes, and for `closest` each class's nearest of another component."""
+    Rows (lo, sig, root, n, head, sketch) come in order of family and hashes; a subtree has at most `most` classes.
+    """
 
-    def emit(number, lo, rows):
+    def pairs(rows):
         sigs, roots, n, heads, sketches = zip(*rows)
-        part = [np.array(x, np.int64).tobytes() for x in (sigs, roots, n, [len(h) // 4 for h in heads])]
-        part += [b"".join(heads), b"".join(sketches)]
-        pairs = set()
-        if closest and len(set(roots)) > 1:
-            sigs, roots, n, rest, heads, sketches = _open_tree(*part, num, den)
-            tree = PrefixTree(heads, n, rest, sketches)
-            at = roots[tree.order]
-            for i in range(len(sigs)):
-                if found := tree.walk(heads[i], num, den, int(n[i]), int(rest[i]), sketches[i], at != roots[i]):
-                    j = min(found)[1]
-                    pairs.add((min(int(sigs[i]), int(sigs[j])), max(int(sigs[i]), int(sigs[j]))))
-        a, b = (np.array([x[k] for x in sorted(pairs)], np.int64) for k in (0, 1))
-        out = (number, lo, *part, a.tobytes(), b.tobytes())
-        types = [pa.int64()] * 2 + [pa.binary()] * 8
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, types)], names=[x.split()[0] for x in _TREE.split(", ")])
+        if len(set(roots)) == 1:
+            return set()
+        heads, sketches = [np.frombuffer(x, np.uint32) for x in heads], [np.frombuffer(x, np.uint64) for x in sketches]
+        rest = [_rest(x, num, den) for x in n]
+        tree = PrefixTree(heads, n, rest, sketches)
+        at, found = np.array(roots, np.int64)[tree.order], set()
+        for i, sig in enumerate(sigs):
+            if near := tree.walk(heads[i], num, den, n[i], rest[i], sketches[i], at != roots[i]):
+                j = min(near)[1]
+                found.add((min(sig, sigs[j]), max(sig, sigs[j])))
+        return found
 
     def run(batches):
-        number, family, rows = TaskContext.get().partitionId() << 32, None, []
+        family, rows = None, []
         for batch in batches:
+            found = set()
             for lo, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and (lo != family or len(rows) >= most):
-                    yield emit(number, family, rows)
-                    number, rows = number + 1, []
+                    found |= pairs(rows)
+                    rows = []
                 family = lo
                 rows.append(row)
-        if rows:
-            yield emit(number, family, rows)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        if rows and (found := pairs(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return run
 
 
-def _pairs_of(batches):
-    """The pairs that rows of trees hold."""
-    for batch in batches:
-        a, b = (b"".join(batch.column(i).to_pylist()) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["a", "b"])
-
+def _met_at_hash(num: int, den: int):
+    """Pairs (a, b), a < b, of classes of different components that one block's trees cannot tell apart.
 
-def _probed(num: int, den: int):
-    """Pairs (a, b), a < b, of the classes of one tree (the first columns) with those of other components in another, a row each."""
+    Rows (sig, root, n, head, sketch, probe, and the block's key) come by block, those of the
+    tree first, then those that walk through it.
+    """
 
     def run(batches):
+        key, tree, sigs, at, members = None, None, [], None, []
         for batch in batches:
-            for row in zip(*map(views, batch.columns)):
-                p_sigs, p_roots, p_n, p_rest, probes, p_sketches = _open_tree(*row[: len(_PARTS)], num, den)
-                sigs, roots, n, rest, heads, sketches = _open_tree(*row[len(_PARTS) :], num, den)
-                tree = PrefixTree(heads, n, rest, sketches)
-                at, found = roots[tree.order], []
-                for i, probe in enumerate(probes):
-                    for _, j in tree.walk(probe, num, den, int(p_n[i]), int(p_rest[i]), p_sketches[i], at != p_roots[i]):
-                        found.append((int(min(p_sigs[i], sigs[j])), int(max(p_sigs[i], sigs[j]))))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+            found = set()
+            for sig, root, n, head, words, probe, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != key:
+                    key, tree, members = block, None, []
+                row = (sig, root, n, np.frombuffer(head, np.uint32), np.frombuffer(words, np.uint64))
+                if not probe:
+                    members.append(row)
+                    continue
+                if tree is None and members:
+                    sigs, roots, sizes, heads, sketches = zip(*members)
+                    tree = PrefixTree(list(heads), sizes, [_rest(x, num, den) for x in sizes], list(sketches))
+                    at, members = np.array(roots, np.int64)[tree.order], []
+                if tree is not None:
+                    for _, j in tree.walk(row[3], num, den, n, _rest(n, num, den), row[4], at != root):
+                        found.add((min(sig, sigs[j]), max(sig, sigs[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     return run
 
@@ -471,7 +500,7 @@ def _linked(num: int, den: int):
 class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, work: Workspace, broadcast_docs: int, chunk: int, tree: int):
         self.docs, self.n, self.num, self.den, self.work, self.broadcast_docs, self.chunk, self.tree = docs, n, num, den, work, broadcast_docs, chunk, tree
-        self.parts, self.broadcast_rows = shuffle_parts(docs.sparkSession), broadcast_docs // 4
+        self.parts = shuffle_parts(docs.sparkSession)
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are links: the set of each a walks through the prefix trees of its partners."""
@@ -492,40 +521,51 @@ class _Join:
         work.drop(*(f"{name}-{x}" for x in ("near", "sizes", "chunked", "wanted", "sets")))
         return links
 
-    def families(self, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(lo, sig, root): classes that share a hash with other components, whose least root is lo; and (sig, n, head, order, sketch) of those."""
+    def families(self, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(lo, sig, root): classes that share a hash with other components, whose least root is lo; (sig, n, head, order, sketch) of those; and (token, sig, n) where they meet."""
         work = self.work
         placed = work.save(met.select("token", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root")), "placed")
         work.drop("met")
         mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"), "lo")
-        family = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("lo", "sig", "root").distinct(), "family")
+        mixed = work.save(placed.join(mixed, F.col("token") == F.col("t")).select("token", "sig", "n", "lo", "root"), "mixed")
+        family = work.save(mixed.select("lo", "sig", "root").distinct(), "family")
         some = family.select(F.col("sig").alias("s")).distinct()
         heads = placed.join(some, F.col("sig") == F.col("s"), "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.collect_list("token").alias("head"))
         heads = heads.join(self.classes.select(F.col("sig").alias("s"), "sketch"), F.col("sig") == F.col("s")).select("sig", "n", "head", "sketch")
         heads = work.save(heads.mapInArrow(_heads, "sig long, n int, head binary, order binary, sketch binary"), "heads")
         work.drop("placed")
-        return family, heads
+        return family, heads, mixed.select("token", "sig", "n")
 
-    def trees(self, family: DataFrame, heads: DataFrame, most: int, closest: bool, name: str) -> DataFrame:
-        """A family's classes as subtrees, a row each."""
+    def closest(self, family: DataFrame, heads: DataFrame) -> DataFrame:
+        """Pairs of each class with the nearest of another component in its subtree of the family."""
         rows = family.join(heads, "sig").repartitionByRange(self.parts, "lo", "order", "sig").sortWithinPartitions("lo", "order", "sig")
-        return self.work.save(rows.select("lo", "sig", "root", "n", "head", "sketch").mapInArrow(_trees(self.num, self.den, most, closest), _TREE), name)
-
-    def outside(self, family: DataFrame, heads: DataFrame, trees: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of the classes outside their family's largest component with all of other components in the family that they may link with."""
-        work = self.work
-        now = work.save(family.select("lo", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("lo", "sig", F.coalesce("root", "sig").alias("root")), "family-now")
-        largest = now.groupBy("lo", "root").agg(F.count("*").alias("n")).groupBy("lo").agg(F.max_by("root", F.struct("n", "root")).alias("held"), F.count("*").alias("left")).where("left > 1").select(F.col("lo").alias("f"), "held")
-        largest = work.save(largest, "largest")  # a row a family
-        few = largest.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows  # 16 bytes each
-        rest = now.join(F.broadcast(largest) if few else largest, (F.col("lo") == F.col("f")) & (F.col("root") != F.col("held"))).select("lo", "sig", "root")
-        probes = self.trees(rest, heads, 64, False, "probes")
-        asking = probes.select("lo", F.col("tree").alias("p"))
-        few = asking.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
-        pairs = trees.select("lo", F.col("tree").alias("t")).join(F.broadcast(asking) if few else asking, "lo").select("p", "t")
-        asked = pairs.join(probes.select(F.col("tree").alias("p"), *(F.col(c).alias(f"p_{c}") for c in _PARTS)), "p")
-        asked = asked.join(trees.select(F.col("tree").alias("t"), *_PARTS), "t").select(*(f"p_{c}" for c in _PARTS), *_PARTS)
-        return asked.mapInArrow(_probed(self.num, self.den), "a long, b long").distinct()
+        return rows.select("lo", "sig", "root", "n", "head", "sketch").mapInArrow(_closest(self.num, self.den, self.tree), "a long, b long").distinct()
+
+    def outside(self, mixed: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs that may link of classes outside the largest component at a hash with those of other components there."""
+        work, most = self.work, 4 * self.tree
+        now = work.save(mixed.join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root")), "mixed-now")
+        work.drop("mixed")
+        of_root = now.groupBy("token", "root").agg(F.count("*").alias("c"), *(F.bit_xor(F.xxhash64("sig", F.lit(i))).alias(f"x{i}") for i in (0, 1)))
+        of_hash = of_root.groupBy("token").agg(F.sum("c").alias("met"), F.max_by("root", F.struct("c", "root")).alias("held"), F.count("*").alias("components"), *(F.bit_xor(f"x{i}").alias(f"x{i}") for i in (0, 1)))
+        # hashes that the same classes have (a shared passage) are one
+        hashes = work.save(of_hash.where("components > 1").groupBy("met", "held", "x0", "x1").agg(F.min("token").alias("t")).select("t", "met", "held"), "hashes")
+        band = F.when(F.col("met") > most, F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 * max(self.den / self.num, 1.05))))).otherwise(0)
+        rows = work.save(now.join(hashes, F.col("token") == F.col("t")).select("token", "sig", "n", "root", (F.col("met") > most).alias("hot"), (F.col("root") != F.col("held")).alias("out"), band.alias("band")), "meeting")
+        sizes = rows.groupBy("token", "band").agg(F.count("*").alias("held"), F.count_if("out").alias("asking"))
+        sizes = sizes.select(F.col("token").alias("t"), F.col("band").alias("to"), *(F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("held", "asking")))
+        # a band's classes, and those from outside of it and the bands beside it, in blocks
+        near = F.when(F.col("hot"), F.sequence(F.col("band") - 1, F.col("band") + 1)).otherwise(F.array("band"))
+        asks = rows.where("out").withColumn("to_band", F.explode(near))
+        around = sizes.select(F.col("t").alias("t2"), F.explode(F.sequence(F.col("to") - 1, F.col("to") + 1)).alias("to2"), "asking").groupBy("t2", "to2").agg(F.sum("asking").cast("int").alias("asking"))
+        blocks = work.save(sizes.drop("asking").join(around, (F.col("t") == F.col("t2")) & (F.col("to") == F.col("to2"))).where("asking > 0").select("t", "to", "held", "asking"), "blocks")
+        in_block = lambda c: F.pmod(F.xxhash64("sig"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        held = rows.join(blocks, (F.col("token") == F.col("t")) & (F.col("band") == F.col("to"))).select("sig", "root", F.lit(False).alias("probe"), "token", "to", in_block("held").alias("i"), every("asking").alias("j"))
+        asks = asks.join(blocks, (F.col("token") == F.col("t")) & (F.col("to_band") == F.col("to"))).select("sig", "root", F.lit(True).alias("probe"), "token", "to", every("held").alias("i"), in_block("asking").alias("j"))
+        key = ["token", "to", "i", "j"]
+        met = held.unionByName(asks).join(heads.select("sig", "n", "head", "sketch"), "sig").repartition(self.parts, *key).sortWithinPartitions(*key, "probe")
+        return met.select("sig", "root", "n", "head", "sketch", "probe", *key).mapInArrow(_met_at_hash(self.num, self.den), "a long, b long").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """The documents (doc_id, n, sig) and the roots (node, root) of linked classes."""
@@ -536,13 +576,19 @@ class _Join:
         ranges = 64
         while ranges < 4096 and total * 3 // ranges > 16 << 20:
             ranges *= 2
-        counted = self.docs.select("text").mapInArrow(_counted(n, ranges), "r int, once binary, many binary, counts binary")
-        got = counted.groupBy("r").applyInArrow(_frequencies(ranges, max(1, (1 << 20) // ranges), 32), "r int, flags binary, often binary").collect()  # 16 MB of bits and 8 MB of hashes at most
+        most = max(1, (1 << 20) // ranges)
+
+        def frequent(pick, base):  # 16 MB of bits, below LOW alone, and 8 MB of hashes at most
+            counted = self.docs.select("text").mapInArrow(_counted(n, ranges, pick, base), "r int, once binary, many binary, counts binary")
+            return counted.groupBy("r").applyInArrow(_frequencies(ranges, most, 32, base), "r int, flags binary, often binary").collect()
+
+        got = frequent(_low, np.uint64(0))
         empty = np.zeros((1 << _BITS) // ranges // 8, np.uint8).tobytes()
         flags = dict((r, bytes(x)) for r, x, _ in got)
         sc = spark.sparkContext
         flags = sc.broadcast(b"".join(flags.get(r, empty) for r in range(ranges)))
-        often = sc.broadcast(np.sort(np.concatenate([np.frombuffer(bytes(x), np.uint64) for _, _, x in got] or [np.zeros(0, np.uint64)])).tobytes())
+        joined = lambda rows: sc.broadcast(np.sort(np.concatenate([np.frombuffer(bytes(x), np.uint64) for _, _, x in rows] or [np.zeros(0, np.uint64)])).tobytes())
+        often = joined(got + frequent(_high(num, den, joined(got)), LOW))
         prefixes = self.docs.select("text").mapInArrow(_prefixes(n, num, den, ranges, flags, often, 4 * ranges), "g int, token binary, sig binary, size binary")
         met = work.save(prefixes.groupBy("g").applyInArrow(_meetings(), "token long, sig long, n int, pivot long, pivot_n int"), "met")
         k = self.classes.select(F.col("sig").alias("x"), F.col("sketch").alias("k"))
@@ -550,13 +596,12 @@ class _Join:
         stars = stars.join(k.withColumnRenamed("k", "ka"), F.col("a") == F.col("x")).drop("x").join(k.withColumnRenamed("k", "kb"), F.col("b") == F.col("x")).drop("x")
         links = self.verified(stars.mapInArrow(_near(num, den), "a long, b long"), "star")
         roots = work.save(connected_components(links, work, "cc0"), "roots0")
-        family, heads = self.families(met, roots)
-        trees = self.trees(family, heads, self.tree, True, "trees")
-        links = links.unionByName(self.verified(trees.select("a", "b").mapInArrow(_pairs_of, "a long, b long").distinct(), "closest"))
+        family, heads, mixed = self.families(met, roots)
+        links = links.unionByName(self.verified(self.closest(family, heads), "closest"))
         roots = work.save(connected_components(links, work, "cc1"), "roots1")
-        links = links.unionByName(self.verified(self.outside(family, heads, trees, roots), "outside"))
+        links = links.unionByName(self.verified(self.outside(mixed, heads, roots), "outside"))
         roots = work.save(connected_components(links, work, "cc2"), "roots2")
-        work.drop("family", "heads", "trees", "probes", "family-now", "largest", "classes")
+        work.drop("family", "heads", "mixed-now", "hashes", "meeting", "blocks", "classes")
         return docs.select("doc_id", "n", "sig"), roots
 
 
