@@ -31,6 +31,7 @@ from .sources.url_runs import UrlRuns, hashes
 from .sources.sitemaps import MOST_LEVELS, MOST_URLS, read_sitemap, unpacked
 
 MOST_HOST_HOPS = 5
+_PAGES_LEAST, _PAGES_MOST = 100, 20_000  # pages that a task parses
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 
 
@@ -212,8 +213,13 @@ class Engine:
         self.stats.sitemaps = count
         return out
 
-    def _parsed(self, wave: DataFrame, host: str) -> DataFrame:
-        """The pages of a wave's items (seq, url, depth, ...)."""
+    def _tasks(self, n: int) -> int:
+        """How many tasks parse n pages: all cores have some of a wave, however few bytes it has, and no task has too many."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return max(1, min(-(-n // _PAGES_LEAST), 4 * cores), -(-n // _PAGES_MOST))
+
+    def _parsed(self, wave: DataFrame, host: str, n: int) -> DataFrame:
+        """The pages of a wave's items (seq, url, depth, ...), n at most."""
         config = self.config
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +228,8 @@ class Engine:
                 yield pd.DataFrame(rows, columns=CRAWLED.fieldNames())
 
         answers = self.fetcher.fetch(wave.select("url"))
-        return wave.select("seq", "url", "depth").join(answers, "url").mapInPandas(run, CRAWLED)
+        # parsing costs far more than its bytes tell, by which adaptive execution would put a wave into a task or two
+        return wave.select("seq", "url", "depth").join(answers, "url").repartition(self._tasks(n), "seq").mapInPandas(run, CRAWLED)
 
     def run(self) -> Crawl:
         c, s, work = self.config, self.stats, self.work
@@ -267,10 +274,11 @@ class Engine:
             elif n_allowed >= budget:  # nothing is taken after the item that uses the budget up
                 taken = checked.where(F.col("seq") <= nth(checked.where("allowed"), budget))
             fetched = []
-            for k, part in enumerate(self._slices(taken.where("allowed"), min(n_allowed, max(0, budget)), number)):
+            n_taken = min(n_allowed, max(0, budget))
+            for k, part in enumerate(self._slices(taken.where("allowed"), n_taken, number)):
                 if k and self.stopped():
                     raise Cancelled(f"after {s.fetched} pages")
-                fetched.append(work.save(self._parsed(part, host), f"fetched{number}-{k}"))
+                fetched.append(work.save(self._parsed(part, host, n_taken), f"fetched{number}-{k}"))
                 found = self._discovered(reduce(DataFrame.unionByName, fetched), host)
                 # an item keeps its mark unless an earlier item of the wave has a normal link to it
                 cleared = found.where("not nf").groupBy("url").agg(F.min("i").alias("by"))

@@ -39,6 +39,8 @@ class TableFetcher:
 
     def fetch(self, urls: DataFrame) -> DataFrame:
         r = self.responses.withColumn("known", F.lit(True)).withColumnRenamed("url", "u")
+        # first cut to what is asked for: the left join can broadcast only the table, this one the URLs of a small wave
+        r = r.join(urls.select("url"), F.col("url") == F.col("u"), "left_semi")
         joined = urls.select("url").join(r, F.col("url") == F.col("u"), "left")
         error = F.when(F.col("known").isNull(), MISSING).otherwise(F.coalesce("fetch_error", F.lit("")))
         fill = {"status": 0, "content_type": "", "location": "", "x_robots_tag": "", "size": 0, "duration_ms": 0, "truncated": False}

@@ -44,11 +44,13 @@ class Folder:
         """
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         weight = F.lit(0) if weight is None else weight
-        cut = self.save(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).withColumn("_w", weight.cast("long")), name)
+        # a row's place in its sorted partition is the low 33 bits of its id there, the partition the bits above
+        placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        cut = self.save(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)).withColumn("_w", weight.cast("long")), name)
         above = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
         sums = cut.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.sum("_w").alias("_sum"))
         bases = sums.select("_p", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"), F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_wbase"))
-        within = W.partitionBy("_part").orderBy(*order)
-        both = cut.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn("n", F.col("_base") + F.row_number().over(within))
-        own = F.coalesce(F.sum("_w").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return both.withColumn("before", F.col("_wbase") + own).drop("_part", "_w", "_p", "_base", "_wbase")
+        both = cut.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn("n", F.col("_base") + F.col("_at") + 1)
+        # rows are dealt anew only for who reads `before`
+        own = F.coalesce(F.sum("_w").over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return both.withColumn("before", F.col("_wbase") + own).drop("_part", "_at", "_w", "_p", "_base", "_wbase")
