@@ -272,21 +272,22 @@ class Store:
         with urls.settings():
             return Folder(self.spark, "unseen").save(urls.absent(one).select("page.*"), "pages")
 
-    def add_pages(self, crawl_id: int, batch: DataFrame, saved: bool = False) -> int:
+    def add_pages(self, crawl_id: int, batch: DataFrame, saved: bool = False, new: bool = False) -> int:
         """Append crawled pages with their links (schema CRAWLED) as one batch; returns its number of pages.
 
         A URL that is there twice, in the batch or in the crawl, rejects the whole batch. saved: batch is
-        a table that can be read again as it is.
+        a table that can be read again as it is. new: it is what unseen() has just given, so its URLs are
+        not asked for once more.
         """
         crawl = self.get_crawl(crawl_id)
         work = Folder(self.spark, "batch")
         if not saved:
             batch = work.save(batch, "given")
         keys = batch.select(*hashes(F.col("url")))
-        n, different = keys.agg(F.count("*"), F.count_distinct("h1", "h2")).first()
+        n, different = (batch.count(),) * 2 if new else keys.agg(F.count("*"), F.count_distinct("h1", "h2")).first()
         urls, done = self._urls(crawl_id)
         # a run that holds a hash is rare, so what it says is checked against the pages
-        if different != n or urls.any_of(keys, n) and not batch.join(self.pages(crawl_id), "url", "left_semi").isEmpty():
+        if different != n or not new and urls.any_of(keys, n) and not batch.join(self.pages(crawl_id), "url", "left_semi").isEmpty():
             raise ValueError("duplicate url")
         number = self._claim(crawl_id)
         with_id = work.numbered(batch, "pages", "seq", weight=F.size("links")).withColumn("id", F.lit(number << _SHIFT) + F.col("n"))
@@ -467,10 +468,16 @@ class Store:
         wanted = self.spark.createDataFrame([(crawl_id, u) for u in urls], "crawl_id long, to_url string")
         return P.referrers(self.pages(crawl_id), self.links(crawl_id), wanted, per_url).orderBy("to_url", "rn")
 
+    def scan(self, crawl_id: int, *columns: str) -> DataFrame:
+        """Columns of all pages with n = 1, 2, ... in order of id, as a written table: a scan that stays on the executors."""
+        self.get_crawl(crawl_id)
+        work = Folder(self.spark, "scan")
+        return work.numbered(self.pages(crawl_id).select("id", *(c for c in columns if c != "id")), "pages", "id").drop("before")
+
     def for_each_page(self, crawl_id: int, f) -> None:
-        """f(row) for every page in order of id, streamed to the driver partition by partition."""
+        """f(row) for every page in order of id, streamed to the driver partition by partition; scan() is for work that can be shared out."""
         self.get_crawl(crawl_id)
-        for row in self.pages(crawl_id).orderBy("id").toLocalIterator():
+        for row in self.pages(crawl_id).orderBy("id").toLocalIterator(prefetchPartitions=True):
             f(row)
 
     def report(self, crawl_id: int, seed: int = 0, now: datetime | None = None) -> dict:
