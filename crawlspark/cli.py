@@ -124,11 +124,11 @@ def _run(a, config, spark, store: Store, out) -> int:
         from .operators.pages import broken_with_referrers
 
         store.get_crawl(a.id)
-        rows = [r.asDict() for r in broken_with_referrers(store.pages(a.id), store.links(a.id), a.referrers).orderBy("url").toLocalIterator()]
-        if a.json:
-            lines(rows)
-        else:
-            for r in rows:
+        found = broken_with_referrers(store.pages(a.id), store.links(a.id), a.referrers).orderBy("url")
+        for r in (x.asDict() for x in found.toLocalIterator(prefetchPartitions=True)):  # written as they come
+            if a.json:
+                lines([r])
+            else:
                 out.write(f"{label(r)}  {r['url']}  ({r['referrers_count']})\n" + "".join(f"    {u}\n" for u in r["referrers"]))
     else:
         r = store.report(a.id)

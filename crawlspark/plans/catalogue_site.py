@@ -139,10 +139,10 @@ def _(spark, d):
 
 @query("store_scan", _ALL("SELECT CAST(row_number() OVER () AS BIGINT) AS n, true AS ascending FROM site"), plain=True)
 def _(spark, d):
-    """A callback for every page, in order of id."""
-    seen = []
-    S.stored(spark, d).for_each_page(1, lambda r: seen.append(r.id))
-    return spark.createDataFrame([(i + 1, i == 0 or seen[i - 1] < x) for i, x in enumerate(seen)], "n long, ascending boolean")
+    """Every page in order of id, each held against the one before it."""
+    seen = Folder(spark, "scanned").save(S.stored(spark, d).scan(1), "pages")
+    before = seen.select((F.col("n") + 1).alias("n"), F.col("id").alias("last"))
+    return seen.join(before, "n", "left").select("n", F.coalesce(F.col("last") < F.col("id"), F.col("n") == 1).alias("ascending"))
 
 
 @query("store_migrated", "SELECT count(*) AS total, count(*) FILTER (n_nationkey % 2 = 0) AS status_2xx, CAST(0 AS BIGINT) AS via_nofollow, '' AS x_robots_tag, CAST(4 AS BIGINT) AS new_columns, CAST(1 AS BIGINT) AS counted FROM nation", plain=True)
