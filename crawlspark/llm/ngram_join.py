@@ -43,7 +43,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -57,6 +56,7 @@ TREE_BITS = 2048
 LOW = np.uint64(0.3 * 2.0**64)
 _BITS = 27
 _SLICE = 2 << 20
+_LONG_WORD = 512  # bytes of a word that are hashed by columns
 _NULL_ID = -(2**63)
 
 
@@ -66,23 +66,49 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, eight bytes of all of them at a time; long ones are hashed one by one."""
+    _, offsets, data = words.buffers()
+    kind = np.dtype(np.int64 if pa.types.is_large_string(words.type) else np.int32)
+    ends = np.frombuffer(offsets, kind, len(words) + 1, words.offset * kind.itemsize).astype(np.int64)
+    start, size = ends[:-1], np.diff(ends)
+    raw = (data.to_pybytes() if data is not None else b"") + bytes(8)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    h = _mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero((size > 0) & (size <= _LONG_WORD))
+    for at in range(0, _LONG_WORD, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        beyond = np.maximum(8 - (size[left] - at), 0).astype(np.uint64) * np.uint64(8)
+        part = eight[start[left] + at] << beyond  # without the bytes that follow the word
+        h[left] = _mix((h[left] ^ part) * np.uint64(0x9FB21C651E98DF25) + np.uint64(at + 1))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[ends[i] : ends[i + 1]], digest_size=8).digest(), "little")
+    return h
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """np.unique, which goes by a hash table, costs several times as much."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams; fewer words are one n-gram, no words none."""
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
-    coded = pc.list_flatten(words).dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    h = pd.util.hash_array(np.array(names, dtype=object), categorize=False)[coded.indices.to_numpy()] if names else np.zeros(0, np.uint64)
+    flat = pc.list_flatten(words)
+    h = word_hashes(flat)
     offsets = (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
     grams = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for i in range(n):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(grams) + i]
     grams = _mix(grams)
-    empty = pc.equal(pc.binary_length(pc.list_flatten(words)), 0).to_numpy(zero_copy_only=False)
     out = []
     for a, b in zip(offsets, offsets[1:]):
         if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
-        elif b - a == 0 or b - a == 1 and empty[a]:
+            out.append(_distinct(grams[a : b - n + 1]))
+        elif b - a == 0 or b - a == 1 and flat[a].as_py() == "":
             out.append(np.zeros(0, np.uint64))
         else:
             out.append(np.frombuffer(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), np.uint64))
