@@ -122,6 +122,8 @@ class Engine:
         self.stats = Stats(delay_ms=self.config.delay_ms)
 
     def _one(self, url: str) -> dict:
+        if one := getattr(self.fetcher, "fetch_one", None):
+            return one(url).first().asDict()
         return self.fetcher.fetch(self.spark.createDataFrame([(url,)], "url string")).first().asDict()
 
     def _robots(self, base: str) -> B.Robots:

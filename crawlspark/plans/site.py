@@ -38,6 +38,7 @@ CLOSED = "k % 29 = 9"  # meta robots nofollow
 SHY = "k % 23 = 5"  # links to it are rel=nofollow
 NOINDEX = "k % 7 = 3"
 FANOUT = 8
+_FILE_LEAST, _FILE_MOST = 2000, 100_000  # answers in a file
 
 
 def path(k: str = "k") -> str:
@@ -49,6 +50,7 @@ def responses(spark: SparkSession, sf_dir: str, redirects: bool = True) -> DataF
     """The answers of the site, RESPONSES in part."""
     nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
     n = nodes.count()
+    nodes = nodes.repartition(max(min(-(-n // _FILE_LEAST), spark.sparkContext.defaultParallelism), -(-n // _FILE_MOST)))  # bodies are made and read by all cores
     moved = REDIRECT if redirects else "false"
     links = f"""concat_ws('', transform(filter(sequence({FANOUT} * k + 1, {FANOUT} * k + {FANOUT}), c -> c < {n}),
       c -> concat('<li><a href="', {path("c")}, '"', IF(c % 23 = 5, ' rel="NoFollow external"', ''), '>to ', c, '</a>')))"""
@@ -79,9 +81,14 @@ def responses(spark: SparkSession, sf_dir: str, redirects: bool = True) -> DataF
     return all_rows.withColumn("size", F.octet_length("body").cast("long"))
 
 
+def _saved(work: Folder, answers: DataFrame) -> DataFrame:
+    """answers as a written table whose files tell by a filter whether they may have a url."""
+    return work.save(answers, "responses", **{"parquet.bloom.filter.enabled#url": "true"})
+
+
 def crawl(spark: SparkSession, sf_dir: str, seed: str = START, redirects: bool = True, **settings) -> Crawl:
     settings = {"max_pages": 10_000_000, "delay_ms": 0} | settings
-    answers = Folder(spark, "site").save(responses(spark, sf_dir, redirects), "responses")
+    answers = _saved(Folder(spark, "site"), responses(spark, sf_dir, redirects))
     return Engine(spark, Config(seed=seed, **settings), TableFetcher(answers)).run()
 
 
@@ -93,7 +100,7 @@ def stored(spark: SparkSession, sf_dir: str) -> Store:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stores:
         work = Folder(spark, "site-store")
-        answers = work.save(responses(spark, sf_dir), "responses")
+        answers = _saved(work, responses(spark, sf_dir))
         store = Store(spark, f"{work.path}/store")
         crawl_into(store, Config(seed=START, max_pages=10_000_000, delay_ms=0, follow_nofollow=True), TableFetcher(answers))
         _stores[key] = store

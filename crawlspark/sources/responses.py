@@ -37,11 +37,20 @@ class TableFetcher:
     def pace(self, delay_ms: int) -> None:
         """A table is read at any rate."""
 
+    def fetch_one(self, url: str) -> DataFrame:
+        """fetch() of one URL: the table's files are asked for it by their bounds and Bloom filters, instead of being read to meet it."""
+        own = self.responses.where(F.col("url") == url)
+        return self._answers(self.responses.sparkSession.range(1).select(F.lit(url).alias("url")), own)
+
     def fetch(self, urls: DataFrame) -> DataFrame:
-        r = self.responses.withColumn("known", F.lit(True)).withColumnRenamed("url", "u")
+        r = self.responses.withColumnRenamed("url", "u")
         # first cut to what is asked for: the left join can broadcast only the table, this one the URLs of a small wave
-        r = r.join(urls.select("url"), F.col("url") == F.col("u"), "left_semi")
-        joined = urls.select("url").join(r, F.col("url") == F.col("u"), "left")
+        return self._answers(urls, r.join(urls.select("url"), F.col("url") == F.col("u"), "left_semi").withColumnRenamed("u", "url"))
+
+    @staticmethod
+    def _answers(urls: DataFrame, found: DataFrame) -> DataFrame:
+        found = found.withColumn("known", F.lit(True)).withColumnRenamed("url", "u")
+        joined = urls.select("url").join(found, F.col("url") == F.col("u"), "left")
         error = F.when(F.col("known").isNull(), MISSING).otherwise(F.coalesce("fetch_error", F.lit("")))
         fill = {"status": 0, "content_type": "", "location": "", "x_robots_tag": "", "size": 0, "duration_ms": 0, "truncated": False}
         return joined.withColumn("fetch_error", error).fillna(fill).select(*RESPONSES.fieldNames())

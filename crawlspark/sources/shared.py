@@ -31,10 +31,10 @@ class Folder:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read back."""
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write df, with options of the writer, and return it as read back."""
         at = f"{self.path}/{name}"
-        df.write.parquet(at)
+        df.write.options(**options).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def numbered(self, df: DataFrame, name: str, *order: str, weight=None) -> DataFrame:

@@ -237,7 +237,7 @@ class Store:
 
     def _mark(self, batch: int, n: int, crawl_id: int) -> None:
         # straight into the crawl's own folder: two writers to one folder take away each other's temporary files
-        self.spark.createDataFrame([(batch, n)], "batch long, n long").coalesce(1).write.mode("append").parquet(f"{self.path}/batches/crawl_id={crawl_id}")
+        self.spark.range(0, 1, 1, 1).select(*(F.lit(x).cast("long").alias(c) for c, x in (("batch", batch), ("n", n)))).write.mode("append").parquet(f"{self.path}/batches/crawl_id={crawl_id}")
 
     #: Columns of which single values are looked up. Ids, by which files are sorted, have bounds.
     _LOOKUPS = {"pages": ("url",), "links": ("to_url",)}
