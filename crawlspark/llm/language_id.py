@@ -11,7 +11,8 @@ a language and a power of two of different n-grams in the text, from whole texts
 stretches of 1 to 64 words of them. What one or two words leave undecided stays accepted.
 
 Training reads a bounded sample: `per_lang` texts a language by hash of the id, at
-most `max_sample` in all, as vectors and one stretch each. A cut by hash, from the counts,
+most `max_sample` in all, as packed vectors and one stretch each, of which the driver unpacks
+a language's at a time. A cut by hash, from the counts,
 goes before the ranking, so no task gathers more than some thousands of ids. Prediction is one pass over all
 texts without a shuffle; the centroids are the only thing sent out (256 KB for four languages).
 """
@@ -133,30 +134,30 @@ def stretch(text: str) -> str:
     return " ".join(words[: STRETCHES[-1]])
 
 
-def learn_limits(v: np.ndarray, folds: np.ndarray, labels: np.ndarray, stretches: list[str], idf: np.ndarray, k: int, quantile: float, slack: float, largest: float) -> dict[str, np.ndarray]:
-    """Largest distance of each language at each level: of texts to centroids learned without their fold, the quantile and slack (a share of the way from there to 1) more.
+def left_out_distances(v: np.ndarray, folds: np.ndarray, stretches: list[str], idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, distances) of one language's texts, and of stretches of them, to centroids learned without their fold."""
+    dims, found = len(idf), []
+    for f in sorted(set(folds)):
+        if (folds == f).all():  # nothing to learn from without it
+            continue
+        c = _clustered(v[folds != f], k)
+        out = np.flatnonzero(folds == f)
+        found.append((levels(v[out]), 1.0 - (v[out] @ c.T).max(axis=1)))
+        cut = [stretches[i].split(" ") for i in out if stretches[i]]
+        pieces = [" ".join(w[:n]) for w in cut for n in STRETCHES if n <= len(w)]
+        for start in range(0, len(pieces), 256):
+            u = vectors(pa.array(pieces[start : start + 256]), dims)
+            u = u[u.any(axis=1)]
+            found.append((levels(u), 1.0 - (unit(u * idf) @ c.T).max(axis=1)))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0))
+
+
+def learn_limits(seen: dict[str, tuple[np.ndarray, np.ndarray]], quantile: float, slack: float, largest: float) -> dict[str, np.ndarray]:
+    """Largest distance of each language at each level, from its (levels, distances): the quantile and slack (a share of the way from there to 1) more.
 
     A level with few texts takes all languages' distances or, where those are few too,
     the limit of the level below it; nothing known is `largest`.
     """
-    dims = len(idf)
-    seen = {}  # language: (levels, distances)
-    for lang in sorted(set(labels)):
-        own, fold = np.flatnonzero(labels == lang), folds[labels == lang]
-        found = []
-        for f in sorted(set(fold)):
-            if (fold == f).all():  # nothing to learn from without it
-                continue
-            c = _clustered(v[own[fold != f]], k)
-            out = own[fold == f]
-            found.append((levels(v[out]), 1.0 - (v[out] @ c.T).max(axis=1)))
-            cut = [stretches[i].split(" ") for i in out if stretches[i]]
-            pieces = [" ".join(w[:n]) for w in cut for n in STRETCHES if n <= len(w)]
-            for start in range(0, len(pieces), 256):
-                u = vectors(pa.array(pieces[start : start + 256]), dims)
-                u = u[u.any(axis=1)]
-                found.append((levels(u), 1.0 - (unit(u * idf) @ c.T).max(axis=1)))
-        seen[lang] = tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0))
     everyone = tuple(np.concatenate(x) for x in zip(*seen.values()))
     limits = {}
     for lang in seen:
@@ -207,31 +208,37 @@ def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_
         for batch in text_slices(batches, 0, 1 << 20):
             v = vectors(batch.column(0), dims)
             pieces = [stretch(x or "") for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(pieces, pa.string())], names=["lang", "v", "piece"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), pa.array([zlib.compress(x.tobytes(), 1) for x in v], pa.binary()), pa.array(pieces, pa.string())], names=["lang", "v", "piece"])
 
     spark = train.sparkSession
     chosen = F.broadcast(spark.createDataFrame(ids, "chosen long, chosen_lang string"))  # max_sample rows at most
     sample = usable.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")), "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    got = sample.select("text", "lang").mapInArrow(encode, "lang string, v binary, piece string").collect()
-    if not got:
+    packed: dict[str, list[tuple[bytes, str]]] = {}  # vectors are sparse, so packed ones take a tenth or less
+    for lang, x, piece in sample.select("text", "lang").mapInArrow(encode, "lang string, v binary, piece string").collect():
+        packed.setdefault(lang, []).append((bytes(x), piece))
+    if not packed:
         return Model([], np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros((0, LEVELS)), dims)
-    got.sort(key=lambda r: (r[0], bytes(r[1]), r[2]))
-    folds = np.array([zlib.crc32(r[1]) % 5 for r in got])  # equal texts are in one
-    pieces = [r[2] for r in got]
-    v = np.stack([np.frombuffer(r[1], np.float32) for r in got])
-    labels = np.array([r[0] for r in got])
-    del got
-    idf = (np.log((1 + len(v)) / (1 + (v > 0).sum(axis=0))) + 1).astype(np.float32)
-    v = unit(v * idf).astype(np.float32)
-    limit = learn_limits(v, folds, labels, pieces, idf, centroids_per_lang, quantile, slack, largest)
-    langs, centers, limits = [], [], []
-    for lang in sorted(set(labels)):
-        own = v[labels == lang]
-        c = _clustered(own, centroids_per_lang)
-        langs += [lang] * len(c)
-        centers.append(c)
-        limits += [limit[lang]] * len(c)
-    return Model(langs, np.concatenate(centers).astype(np.float32), idf, np.array(limits), dims)
+    frequency = np.zeros(dims, np.int64)
+    for rows in packed.values():
+        for x, _ in rows:
+            frequency += np.frombuffer(zlib.decompress(x), np.float32) > 0
+    idf = (np.log((1 + sum(map(len, packed.values()))) / (1 + frequency)) + 1).astype(np.float32)
+    centers, seen = {}, {}
+    for lang in sorted(packed):  # one language's vectors at a time are unpacked
+        rows = sorted((zlib.decompress(x), piece) for x, piece in packed.pop(lang))
+        folds = np.array([zlib.crc32(x) % 5 for x, _ in rows])  # equal texts are in one
+        pieces = [piece for _, piece in rows]
+        v = np.empty((len(rows), dims), np.float32)
+        for i, (x, _) in enumerate(rows):
+            v[i] = np.frombuffer(x, np.float32)
+        del rows
+        v *= idf
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        seen[lang] = left_out_distances(v, folds, pieces, idf, centroids_per_lang)
+        centers[lang] = _clustered(v, centroids_per_lang)
+    limit = learn_limits(seen, quantile, slack, largest)
+    langs = [lang for lang, c in centers.items() for _ in c]
+    return Model(langs, np.concatenate(list(centers.values())).astype(np.float32), idf, np.array([limit[lang] for lang in langs]), dims)
 
 
 def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
