@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all of
 docs and returns a DataFrame. All but the last return the columns of documents, so the
-output of one, written as Parquet and read again, is the docs of the next.
+output of one, written as Parquet and read again, is the docs of the next. Stages set the
+session's bytes per batch that goes to Python.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm.common import Workspace, load, lower_ascii
+from crawlspark.llm.common import Workspace, bounded_batches, load, lower_ascii
 from crawlspark.llm.exact_dedup import exact_dedup
 from crawlspark.llm.language_id import fit, identify
 from crawlspark.llm.ngram_join import similar_components
@@ -27,6 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     With no labelled text to learn from, only documents without a letter go, null text among
     them. Ids are not read; rows that repeat are treated alike.
     """
+    bounded_batches(spark)
     model = fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -42,6 +44,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null id ranks below all others. Of rows that share that id, too, the one whose hash is least stays.
     """
+    bounded_batches(spark)
     kept = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     # the row is one column, so that no name of docs can clash
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256).alias("sha"))
@@ -54,6 +57,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row, too, where ids are null (they rank first) or repeat. Texts without words, null among them, all stay.
     """
+    bounded_batches(spark)
     rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows != ids:  # null or repeated ids: rows get own ones, in the order of id, then hash of the text
         keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text").sort("id", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -67,6 +71,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked and n_chars made to fit; null and empty texts, ids and other columns as they are."""
+    bounded_batches(spark)
     return redact_secrets(docs)
 
 
@@ -74,6 +79,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of all documents, packed into sequences of 2048 tokens; null and empty texts are one token, rows with null or repeated ids stand for themselves."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

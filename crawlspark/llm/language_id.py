@@ -34,6 +34,8 @@ from .common import load, text_slices
 
 DIMS = 4096
 UNKNOWN = "und"
+#: Texts whose vectors (16 KB each, a few times over) are held together.
+_ROWS = 128
 #: Limits are learned for 2^k to 2^(k+1) different n-grams, k below this.
 LEVELS = 13
 #: Words of the stretches that short texts' limits are learned from.
@@ -205,13 +207,14 @@ def fit(train: DataFrame, centroids_per_lang: int = 4, per_lang: int = 800, max_
     ids = [tuple(r) for r in ranked.orderBy("n", "h", "doc_id", "lang").limit(max_sample).select("doc_id", "lang").collect()]
 
     def encode(batches):
-        for batch in text_slices(batches, 0, 1 << 20):
+        for batch in text_slices(batches, 0, 1 << 19, _ROWS):
             v = vectors(batch.column(0), dims)
             pieces = [stretch(x or "") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.string()), pa.array([zlib.compress(x.tobytes(), 1) for x in v], pa.binary()), pa.array(pieces, pa.string())], names=["lang", "v", "piece"])
 
     spark = train.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(ids, "chosen long, chosen_lang string"))  # max_sample rows at most
+    # max_sample rows at most; a list would go through Python workers of their own
+    chosen = F.broadcast(spark.createDataFrame(pa.table([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.string())], names=["chosen", "chosen_lang"])))
     sample = usable.join(chosen, (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")), "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     packed: dict[str, list[tuple[bytes, str]]] = {}  # vectors are sparse, so packed ones take a tenth or less
     for lang, x, piece in sample.select("text", "lang").mapInArrow(encode, "lang string, v binary, piece string").collect():
@@ -253,7 +256,7 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in text_slices(batches, at, 1 << 20):
+        for batch in text_slices(batches, at, 1 << 19, _ROWS):
             langs, score, rejected = model.predict(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *new])
 

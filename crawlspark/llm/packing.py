@@ -157,6 +157,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     seen[len(part)] += 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "map_id", "at"])
+        encoder.forget()  # the worker lives on through later stages
 
     return run
 
